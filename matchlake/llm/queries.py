@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import bpe, fingerprints, lm_scoring, media, packing, sharding
+from matchlake.llm import bpe, fingerprints, lm_scoring, media, packing, sharding, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(documents(spark, sf_dir), held_out=F.coalesce(remainder(7) == 2, F.lit(False)))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digests(documents(spark, sf_dir))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), shards=24)
 
@@ -35,12 +39,12 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end=2)
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end=2, ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.coding_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_lm_scoring, op6_sharding, op7_media, op8_packing, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_lm_scoring, op3_substring_dedup, op6_sharding, op7_media, op8_packing, op9_bpe)}
 ORACLE_SQL: dict[str, str] = {}
