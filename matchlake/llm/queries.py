@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import bpe, fingerprints, lm_scoring, media, minhash, packing, sharding, substring_dedup
+from matchlake.llm import bpe, fingerprints, lm_scoring, media, minhash, packing, quality, sharding, substring_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def remainder(of: int) -> Column:
     """crc32 of the id's decimal form, modulo ``of``; null for a null id."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
@@ -30,6 +34,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digests(documents(spark, sf_dir))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of rows whose crc32 modulo 3 is 1 are not learned from."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
+    scored = quality.score(docs, labels(spark, sf_dir), learn=remainder(3) != 1)
+    return scored.select("doc_id", (F.coalesce(remainder(3) == 1, F.lit(False))).alias("held_out"), "source", "lang", "evidence", "quality_score", "quality_kept")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), shingle=2, percent=80)
 
@@ -50,5 +61,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.coding_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_lm_scoring, op3_substring_dedup, op5_minhash, op6_sharding, op7_media, op8_packing, op9_bpe)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(documents(spark, sf_dir).select("doc_id", "text"), labels(spark, sf_dir), learn=remainder(3) != 1)
+    return scored.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_lm_scoring, op3_substring_dedup, op4_quality, op5_minhash, op6_sharding, op7_media, op8_packing, op9_bpe, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
