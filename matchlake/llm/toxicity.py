@@ -6,7 +6,8 @@ scan over each whole text finds every maximal-scoring passage. A passage's score
 distribution in clean text, P(max >= S) = 1 - exp(-K n exp(-lambda S)); what the significant passages of a text have
 beyond chance is added up and turned into a probability by a logistic fit on sample rows that gave no weights.
 
-Tokens are runs of letters (ASCII letters in lower case, and all bytes beyond ASCII). Edge cases: a null or empty text
+Words are runs of letters (ASCII letters in lower case, and all bytes beyond ASCII). Each gives a token for itself and
+one for each of its STEMS, so inflected and compounded forms of a learned word count too; the strongest weight holds. Edge cases: a null or empty text
 has no passages and gets the lowest score; without labels every text gets the same score; rows with null ids are scored
 and never learned from; repeated rows are scored alike; an empty table gives an empty result; other columns are not read.
 """
@@ -31,6 +32,8 @@ PRIOR_SHARE, PRIOR_EACH = 1000.0, 0.5
 SIGNIFICANT, LARGEST, DRIFT = 3.0, 6.0, 0.05
 #: K of the extreme-value distribution, and the largest chance of a passage that counts.
 SCALE, CHANCE = 0.1, 0.05
+#: Lengths in bytes of the stems that are tokens beside the whole word.
+STEMS = (4, 5, 6, 8)
 
 _U = np.uint64
 _NO_LETTER = np.array([not (chr(b).isalpha() and b < 128 or b >= 128) for b in range(256)])
@@ -46,11 +49,14 @@ class Model:
     intercept: float = 0.0
     slope: float = 0.0
 
-    def scores(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.tokens):
-            return np.full(len(hashes), -DRIFT)
-        at = np.minimum(np.searchsorted(self.tokens, hashes), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == hashes, self.weights[at], -DRIFT)
+    def scores(self, forms: np.ndarray) -> np.ndarray:
+        """The weight of each word: the strongest of its forms', or -DRIFT."""
+        best = np.zeros(forms.shape[1])
+        for hashes in forms if len(self.tokens) else ():
+            at = np.minimum(np.searchsorted(self.tokens, hashes), len(self.tokens) - 1)
+            weight = np.where(self.tokens[at] == hashes, self.weights[at], 0.0)
+            best = np.where(np.abs(weight) > np.abs(best), weight, best)
+        return np.where(best == 0, -DRIFT, best)
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -86,18 +92,19 @@ def passages(scores: np.ndarray, decay: float) -> list[tuple[int, int, float, fl
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Token hashes of slices of texts and where each text's begin."""
+    """Token hashes of slices of texts (a row for each kind of token, a column for each word) and where texts begin."""
     column = w.binary(column)
     for a, b in w.slices(len(column), w.raw(column)[1]):
         found = w.split(column.slice(a, b - a), _NO_LETTER)
-        yield found.hashes(lower=True), found.first
+        sums = found.sums(lower=True)
+        yield np.stack([found.hashes(k, sums=sums) ^ _U(k or 0) for k in (None, *STEMS)]), found.first
 
 
 def evidence(column: pa.Array, model: Model) -> np.ndarray:
     """For each text what its significant passages have beyond chance, on a logarithmic scale."""
     out = []
-    for hashes, first in _texts(column):
-        scores = model.scores(hashes)
+    for forms, first in _texts(column):
+        scores = model.scores(forms)
         positive = np.concatenate([[0], np.cumsum(scores > 0)])
         value = np.zeros(len(first) - 1)
         for i in np.flatnonzero(positive[first[1:]] > positive[first[:-1]]).tolist():
@@ -113,11 +120,15 @@ def _probability(value: np.ndarray, model: Model) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
-    """text, toxic, fold of at most TRAIN_ROWS labelled rows for which ``learn`` holds; the ids are broadcast (bounded)."""
+    """text, toxic, fold of at most TRAIN_ROWS labelled rows for which ``learn`` holds; the ids are broadcast (bounded).
+
+    Copies of one text count once, so that a group of copies doesn't make its words significant.
+    """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learn)
     some = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.join(F.broadcast(some), "doc_id").select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)).cast("int").alias("fold"))
+    distinct = rows.join(F.broadcast(some), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    return distinct.select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(5)).cast("int").alias("fold"))
 
 
 def learn_weights(rows: DataFrame) -> Model:
@@ -126,11 +137,11 @@ def learn_weights(rows: DataFrame) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic, at = batch.column(1).to_numpy(), 0
-            for hashes, first in _texts(batch.column(0)):
+            for forms, first in _texts(batch.column(0)):
                 kind = toxic[at : at + len(first) - 1]
                 at += len(first) - 1
                 # a text counts a token once
-                owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                hashes, owner = forms.ravel(), np.tile(np.repeat(np.arange(len(first) - 1), np.diff(first)), len(forms))
                 order = np.lexsort((owner, hashes))
                 new = np.ones(len(order), bool)
                 new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
@@ -183,7 +194,7 @@ def calibrate(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
-    """Weights from two thirds of the sample, the logistic fit from the rest; the driver gets TRAIN_ROWS numbers at most."""
+    """Weights from four fifths of the sample, the logistic fit from the rest; the driver gets TRAIN_ROWS numbers at most."""
     rows = sample(docs, labels, learn)
     model = learn_weights(rows.filter("fold > 0"))
 
@@ -221,8 +232,8 @@ def find_passages(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFram
         for batch in batches:
             out: list[tuple] = []
             at, ids = 0, batch.column(0).to_pylist()
-            for hashes, first in _texts(batch.column(1)):
-                scores = model.scores(hashes)
+            for forms, first in _texts(batch.column(1)):
+                scores = model.scores(forms)
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                     out += [(ids[at], x, y - x, s, p) for x, y, s, p in passages(scores[a:b], model.decay)]
                     at += 1

@@ -67,14 +67,18 @@ class Words:
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(self.texts), np.diff(self.first))
 
-    def hashes(self, most: int | None = None, lower: bool = False) -> np.ndarray:
-        """64-bit hash of each word, or of its first ``most`` bytes."""
+    def sums(self, lower: bool) -> np.ndarray:
+        """Running sums of the bytes, each times its power of the base."""
         data = _LOWER[self.data] if lower else self.data
-        up, down = powers(len(data))
         sums = np.zeros(len(data) + 1, _U)
-        np.cumsum((data.astype(_U) + _U(1)) * up[:-1], out=sums[1:])
+        np.cumsum((data.astype(_U) + _U(1)) * powers(len(data))[0][:-1], out=sums[1:])
+        return sums
+
+    def hashes(self, most: int | None = None, lower: bool = False, sums: np.ndarray | None = None) -> np.ndarray:
+        """64-bit hash of each word, or of its first ``most`` bytes."""
+        sums = self.sums(lower) if sums is None else sums
         end = self.end if most is None else np.minimum(self.end, self.start + most)
-        return mix((sums[end] - sums[self.start]) * down[self.start] + (end - self.start).astype(_U))
+        return mix((sums[end] - sums[self.start]) * powers(len(self.data))[1][self.start] + (end - self.start).astype(_U))
 
 
 def binary(column: pa.Array | pa.ChunkedArray) -> pa.Array:
