@@ -184,7 +184,7 @@ def parse(docs: DataFrame, columns: str, emit, window: int = WINDOW, seed: int =
     """
     rows = docs.withColumn("text", F.coalesce(F.col("text").cast("binary"), F.unhex(F.lit(""))))
     blocks = block_count(rows)
-    rows = with_block(rows, blocks, "text")
+    rows = with_block(rows, blocks, *rows.columns)
     texts = rows.select("block", "text")
 
     def seeds(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
