@@ -165,9 +165,9 @@ def possible(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(check, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("text"))
+def members(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, row (hash of id and text), n_shingles, root (null for empty sets) and component_id of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("binary")).alias("row"), F.col("text").cast("binary").alias("text"))
     each = staged(signed(rows, shingle))
     some = each.filter(F.col("n_shingles") > 0)
     classes = staged(some.groupBy("class").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
@@ -200,9 +200,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
     roots = components(links)
     named = classes.join(roots.withColumnRenamed("a", "class"), "class", "left").select("class", "first", F.coalesce("root", "class").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    result = each.select("doc_id", "n_shingles", "class").join(named.join(smallest, "root").select("class", "component_id"), "class", "left")
+    result = each.select("doc_id", "row", "n_shingles", "class").join(named.join(smallest, "root"), "class", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return result.select("doc_id", "row", "n_shingles", "root", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    found = members(docs, shingle, percent).select("doc_id", "n_shingles", "component_id")
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component (of the smallest id; of equal rows any), with all columns; rows without words stay."""
+    found = staged(members(docs, shingle, percent))
+    first = found.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("first.row")
+    chosen = first.unionByName(found.filter(F.col("root").isNull()).select("row")).distinct()
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("binary")).alias("row"), F.struct(*docs.columns).alias("own"))
+    return rows.join(chosen, "row", "left_semi").dropDuplicates(["row"]).select(*[F.col("own")[c].alias(c) for c in docs.columns])
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
