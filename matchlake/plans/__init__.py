@@ -1,6 +1,6 @@
 """Registered queries: each applies an operator to the supplied tables, with the SQL that gives the same rows."""
 
-from matchlake.plans import ingest
+from matchlake.plans import context, features, ingest, metrics, ratings
 from matchlake.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "ingest"]
+__all__ = ["QUERIES", "SQL", "context", "features", "ingest", "metrics", "ratings"]
