@@ -64,13 +64,23 @@ def _of(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in 4 bytes each where they fit, else in 8."""
+    return counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64).tobytes()
+
+
+def _wide(keys: bytes, counts: bytes) -> np.ndarray:
+    return np.frombuffer(counts, np.uint32 if 2 * len(counts) == len(keys) else np.int64).astype(np.int64)
+
+
 def _joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Keys and counts of all rows, summed by key."""
-    return counted(np.concatenate(_of(table.column("keys"), _U)), np.concatenate(_of(table.column("counts"), np.int64)))
+    keys, counts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
+    return counted(np.concatenate(_of(table.column("keys"), _U)), np.concatenate([_wide(k, c) for k, c in zip(keys, counts, strict=True)]))
 
 
 def _packed(kind: int, part: int, salt: int, block: int, keys: np.ndarray, counts: np.ndarray) -> dict:
-    return {"kind": kind, "part": part, "salt": salt, "block": block, "keys": keys.tobytes(), "counts": counts.astype(np.int64).tobytes()}
+    return {"kind": kind, "part": part, "salt": salt, "block": block, "keys": keys.tobytes(), "counts": _narrow(counts)}
 
 
 _SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("salt", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -195,20 +205,26 @@ def valued(sums: DataFrame, pairs: np.ndarray) -> DataFrame:
 
     def part(table: pa.Table) -> pa.Table:
         kind, keys, counts = table.column("kind")[0].as_py(), *_joined(table)
-        values = log_probabilities(keys, counts, pairs) if kind == RUNS else counts.astype(np.float64)
-        row = {"kind": kind, "part": table.column("part")[0].as_py(), "keys": keys.tobytes(), "values": values.tobytes(), "total": int(counts.sum()), "known": int((counts > 0).sum())}
+        values = log_probabilities(keys, counts, pairs).astype(np.float32).tobytes() if kind == RUNS else _narrow(counts)
+        row = {"kind": kind, "part": table.column("part")[0].as_py(), "keys": keys.tobytes(), "values": values, "total": int(counts.sum()), "known": int((counts > 0).sum())}
         return pa.Table.from_pylist([row], pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("values", pa.binary()), ("total", pa.int64()), ("known", pa.int64())]))
 
     return sums.groupBy("kind", "part").applyInArrow(part, "kind int, part int, keys binary, values binary, total bigint, known bigint")
 
 
+def _values(kind: int, keys: bytes, values: bytes) -> np.ndarray:
+    """log10 probabilities of runs in 4 bytes each, counts of words in 4 or 8."""
+    return np.frombuffer(values, np.int64 if len(keys) == len(values) else np.float32 if kind == RUNS else np.uint32)
+
+
 def returned(sent: DataFrame, values: DataFrame) -> DataFrame:
     """To each block the values of the keys that it sent."""
 
     def give(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows:
-            table, value = _of(right.column("keys"), _U)[0], _of(right.column("values"), np.float64)[0]
+            keys, values = right.column("keys")[0].as_py(), right.column("values")[0].as_py()
+            table, value = np.frombuffer(keys, _U), _values(left.column("kind")[0].as_py(), keys, values)
             for block, keys in zip(left.column("block").to_pylist(), left.column("keys").to_pylist(), strict=True):
                 rows.append({"block": block, "kind": left.column("kind")[0].as_py(), "keys": keys, "values": value[np.searchsorted(table, np.frombuffer(keys, _U))].tobytes()})
         return pa.Table.from_pylist(rows, pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())]))
@@ -229,7 +245,7 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
     pairs = np.zeros(1 << 16, np.int64)
     few = summed(summed(sent.filter(F.col("kind") == PAIRS), "salt"), "kind").collect()  # at most 65,536 counts
     for row in few:
-        pairs[np.frombuffer(row["keys"], _U).astype(np.int64)] = np.frombuffer(row["counts"], np.int64)
+        pairs[np.frombuffer(row["keys"], _U).astype(np.int64)] = _wide(row["keys"], row["counts"])
     sent = sent.filter(F.col("kind") != PAIRS)
     sums = summed(sent, "kind", "part", "salt") if blocks > FAN else sent
     values = staged(valued(sums, pairs.reshape(256, 256)))
@@ -243,18 +259,17 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
         tables = {}
         for kind in (RUNS, WORDS):
             own = right.filter(pa.compute.equal(right.column("kind"), kind))
-            keys, value = (np.concatenate([np.zeros(0, t), *_of(own.column(c), t)]) for c, t in (("keys", _U), ("values", np.float64)))
-            order = np.argsort(keys)
-            tables[kind] = keys[order], value[order]
+            sent_keys, sent_values = own.column("keys").to_pylist(), own.column("values").to_pylist()
+            keys = np.concatenate([np.zeros(0, _U), *_of(own.column("keys"), _U)])
+            value = np.concatenate([np.zeros(0, np.float32 if kind == RUNS else np.uint32), *[_values(kind, k, v) for k, v in zip(sent_keys, sent_values, strict=True)]])
+            tables[kind] = w.Table(keys, value)
         out = []
         for part in _sliced(left) if left.num_rows else []:
             column = w.binary(part.column("text"))
             run, first = byte_runs(column.to_pylist())
-            keys, value = tables[RUNS]
-            total = np.add.reduceat(value[np.searchsorted(keys, run)], first[:-1])
+            total = np.add.reduceat(tables[RUNS][run].astype(np.float64), first[:-1])
             split = w.split(column)
-            keys, value = tables[WORDS]
-            count = value[np.searchsorted(keys, split.hashes(lower=True) & ~_U(1))] if len(split) else np.zeros(0)
+            count = tables[WORDS][split.hashes(lower=True) & ~_U(1)].astype(np.float64)
             each = np.concatenate([[0], np.cumsum(np.log10((count + 1) / (tokens + vocabulary + 1)))])
             known = np.concatenate([[0], np.cumsum(count > 0)])
             a, b = split.first[:-1], split.first[1:]

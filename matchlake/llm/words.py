@@ -136,3 +136,35 @@ def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint6
     sums = np.zeros(len(values) + 1, _U)
     np.cumsum(values * up[:-1], out=sums[1:])
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
+class Table:
+    """Values by 64-bit key, for keys that are all known: open addressing over arrays (no key is all ones)."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift = _U(64 - bits)
+        self.keys, self.values = np.full(1 << bits, ~_U(0), _U), np.zeros(1 << bits, values.dtype)
+        place, left = self._place(keys), np.arange(len(keys))
+        while len(left):
+            at = place[left]
+            free = self.keys[at] == ~_U(0)
+            self.keys[at[free]] = keys[left[free]]
+            own = self.keys[at] == keys[left]
+            self.values[at[own]] = values[left[own]]
+            left = left[~own]
+            place[left] = (place[left] + 1) & (len(self.keys) - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * _BASE >> self.shift).astype(np.int64)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        place = self._place(keys)
+        found = self.values[place]
+        left = np.flatnonzero(self.keys[place] != keys)
+        while len(left):
+            place[left] = (place[left] + 1) & (len(self.keys) - 1)
+            own = self.keys[place[left]] == keys[left]
+            found[left[own]] = self.values[place[left[own]]]
+            left = left[~own]
+        return found
