@@ -1,6 +1,6 @@
 """Registered queries: each applies an operator to the supplied tables, with the SQL that gives the same rows."""
 
-from matchlake.plans import context, features, ingest, markets, metrics, ratings, sim, track
+from matchlake.plans import context, events, features, ingest, markets, metrics, products, ratings, sim, track
 from matchlake.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "context", "features", "ingest", "markets", "metrics", "ratings", "sim", "track"]
+__all__ = ["QUERIES", "SQL", "context", "events", "features", "ingest", "markets", "metrics", "products", "ratings", "sim", "track"]
