@@ -86,11 +86,16 @@ def _packed(kind: int, part: int, salt: int, block: int, keys: np.ndarray, count
 _SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("salt", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def _dealt(kind: int, block: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> list[dict]:
-    """One row for each part: runs by the last two bytes of context, words by hash."""
+def _order(kind: int, keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of keys by part, and where each part's begin: runs by the last two bytes of context, words by hash."""
     part = (w.mix(keys >> _U(8) & _U(0xFFFF) if kind == RUNS else keys) % _U(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def _dealt(kind: int, block: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> list[dict]:
+    """One row for each part."""
+    order, edges = _order(kind, keys, parts)
     keys, counts = keys[order], counts[order]
     return [_packed(kind, p, block // FAN, block, keys[a:b], counts[a:b]) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
 
@@ -100,24 +105,28 @@ def _sliced(table: pa.Table) -> list[pa.Table]:
     return [table.slice(a, b - a) for a, b in w.slices(len(column), w.raw(column)[1])]
 
 
+def distinct(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The distinct runs and words of a block in order, with their training counts (0: only in other texts)."""
+    found: dict[int, list] = {RUNS: [], WORDS: []}
+    for part in _sliced(table):
+        column = w.binary(part.column("text"))
+        train = part.column("train").to_numpy().astype(_U)
+        run, first = byte_runs(column.to_pylist())
+        split = w.split(column)
+        own = (run << _U(1) | np.repeat(train, np.diff(first)), split.hashes(lower=True) & ~_U(1) | np.repeat(train, np.diff(split.first)))
+        for kind, values in zip(found, own, strict=True):
+            values, counts = np.unique(values, return_counts=True)
+            keys = values >> _U(1) if kind == RUNS else values & ~_U(1)
+            found[kind].append(counted(keys, counts * (values & _U(1)).astype(np.int64)))
+    return {kind: counted(np.concatenate([k for k, _ in each]), np.concatenate([c for _, c in each])) for kind, each in found.items()}
+
+
 def gather(docs: DataFrame, parts: int) -> DataFrame:
-    """Distinct runs and words of each block with their training counts (0: only in other texts), dealt to parts."""
+    """Distinct runs and words of each block with their training counts, dealt to parts."""
 
     def block(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        found: dict[int, list] = {RUNS: [], WORDS: []}
-        for part in _sliced(table):
-            column = w.binary(part.column("text"))
-            train = part.column("train").to_numpy().astype(_U)
-            run, first = byte_runs(column.to_pylist())
-            split = w.split(column)
-            own = (run << _U(1) | np.repeat(train, np.diff(first)), split.hashes(lower=True) & ~_U(1) | np.repeat(train, np.diff(split.first)))
-            for kind, values in zip(found, own, strict=True):
-                values, counts = np.unique(values, return_counts=True)
-                shift = _U(1) if kind == RUNS else _U(0)
-                found[kind].append(counted(values >> shift if shift else values & ~_U(1), counts * (values & _U(1)).astype(np.int64)))
         at, rows = key[0].as_py(), []
-        for kind, each in found.items():
-            keys, counts = counted(np.concatenate([k for k, _ in each]), np.concatenate([c for _, c in each]))
+        for kind, (keys, counts) in distinct(table).items():
             rows += _dealt(kind, at, keys, counts, parts)
             if kind == RUNS:
                 seen = counts > 0
@@ -212,25 +221,26 @@ def valued(sums: DataFrame, pairs: np.ndarray) -> DataFrame:
     return sums.groupBy("kind", "part").applyInArrow(part, "kind int, part int, keys binary, values binary, total bigint, known bigint")
 
 
-def _values(kind: int, keys: bytes, values: bytes) -> np.ndarray:
+def _values(kind: int, count: int, values: bytes) -> np.ndarray:
     """log10 probabilities of runs in 4 bytes each, counts of words in 4 or 8."""
-    return np.frombuffer(values, np.int64 if len(keys) == len(values) else np.float32 if kind == RUNS else np.uint32)
+    return np.frombuffer(values, np.int64 if len(values) == 8 * count else np.float32 if kind == RUNS else np.uint32)
 
 
 def returned(sent: DataFrame, values: DataFrame) -> DataFrame:
-    """To each block the values of the keys that it sent."""
+    """To each block the values of the keys that it sent, in its order of keys."""
 
     def give(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows:
-            keys, values = right.column("keys")[0].as_py(), right.column("values")[0].as_py()
-            table, value = np.frombuffer(keys, _U), _values(left.column("kind")[0].as_py(), keys, values)
+            kind, part = (left.column(c)[0].as_py() for c in ("kind", "part"))
+            table = np.frombuffer(right.column("keys")[0].as_py(), _U)
+            value = _values(kind, len(table), right.column("values")[0].as_py())
             for block, keys in zip(left.column("block").to_pylist(), left.column("keys").to_pylist(), strict=True):
-                rows.append({"block": block, "kind": left.column("kind")[0].as_py(), "keys": keys, "values": value[np.searchsorted(table, np.frombuffer(keys, _U))].tobytes()})
-        return pa.Table.from_pylist(rows, pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())]))
+                rows.append({"block": block, "kind": kind, "part": part, "values": value[np.searchsorted(table, np.frombuffer(keys, _U))].tobytes()})
+        return pa.Table.from_pylist(rows, pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("values", pa.binary())]))
 
     keys = ["kind", "part", "salt"]
-    return sent.groupBy(*keys).cogroup(values.groupBy(*keys)).applyInArrow(give, "block int, kind int, keys binary, values binary")
+    return sent.groupBy(*keys).cogroup(values.groupBy(*keys)).applyInArrow(give, "block int, kind int, part int, values binary")
 
 
 def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
@@ -257,12 +267,11 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = {}
-        for kind in (RUNS, WORDS):
-            own = right.filter(pa.compute.equal(right.column("kind"), kind))
-            sent_keys, sent_values = own.column("keys").to_pylist(), own.column("values").to_pylist()
-            keys = np.concatenate([np.zeros(0, _U), *_of(own.column("keys"), _U)])
-            value = np.concatenate([np.zeros(0, np.float32 if kind == RUNS else np.uint32), *[_values(kind, k, v) for k, v in zip(sent_keys, sent_values, strict=True)]])
-            tables[kind] = w.Table(keys, value)
+        for kind, (keys, _) in distinct(left).items() if left.num_rows else ():
+            order, edges = _order(kind, keys, blocks)
+            own = {p: v for k, p, v in zip(*(right.column(c).to_pylist() for c in ("kind", "part", "values")), strict=True) if k == kind}
+            value = [_values(kind, b - a, own[p]) for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a]
+            tables[kind] = w.Table(keys[order], np.concatenate([np.zeros(0, np.float32 if kind == RUNS else np.uint32), *value]))
         out = []
         for part in _sliced(left) if left.num_rows else []:
             column = w.binary(part.column("text"))
@@ -280,5 +289,5 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
         return pa.concat_tables(out) if out else result.empty_table()
 
     result = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    documents = rows.select("block", "doc_id", "text", "held_out")
+    documents = rows.select("block", "doc_id", "text", "held_out", "train")
     return documents.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(block, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

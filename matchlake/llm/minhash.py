@@ -4,11 +4,13 @@ Each permutation of the shingle hashes gives two signature values, its minimum a
 evaluations of plain MinHash for as many values. Bands of ROWS values each propose links; what a band proposes is
 confirmed on the full shingle sets. At similarity 0.8 a link escapes all bands with probability (1 - 0.8**4)**32 = 5e-8.
 
-Texts with equal shingle sets are one class from the start. Within a band's bucket no pairs are listed: every class is
-first compared with the bucket's smallest class only, a star. Then components are formed, and only classes that share a
-bucket but still lie in different components are compared, if sizes and signatures leave a link possible (a signature
-estimate under the threshold by 5 standard deviations rules it out). So a large group of copies costs one comparison a
-member, while no link between different components is lost.
+Texts with equal shingle sets are one class from the start. Within a band's bucket no pairs are listed: in a few rounds
+every class is compared only with one class of each of its buckets, a star whose centre is the smallest class first and
+then a random one, as far as the two are not connected yet. What is left lies in buckets that still hold several
+components: there one task for each bucket (or each two blocks of a large one) compares signatures across components, and
+only pairs whose sizes and signatures leave a link possible are confirmed (a signature estimate under the threshold by 5
+standard deviations rules it out). So a large group of copies costs a few comparisons a member, while no link between
+different components is lost.
 
 Words are runs of bytes other than ASCII white space, A-Z in lower case. Edge cases: a null text or one without words has
 an empty set and is its own component; fewer words than a shingle are one shingle; repeated rows are one class, and all
@@ -34,6 +36,10 @@ BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS // 2
 #: A pair whose signature estimate lies this far below the threshold is no link (5 standard deviations).
 SLACK = 0.18
+#: Star rounds with random centres.
+ROUNDS = 3
+#: Classes of a bucket whose signatures are compared in one task, with as many others.
+TOGETHER = 4096
 #: Pairs of one class that share a copy of its text.
 CROWD = 500
 
@@ -153,16 +159,31 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return whole.select("a", "b", "text_a", "text_b").mapInArrow(check, "a binary, b binary")
 
 
-def possible(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, sig_a, sig_b) whose signatures leave a link possible."""
+def possible(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) in one bucket but different components whose sizes and signatures leave a link possible.
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS) for c in ("sig_a", "sig_b"))
-            near = (a == b).mean(axis=1) >= percent / 100 - SLACK
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near))
+    mixed: key, size (of the bucket), a, n, root, signature. A bucket of more than TOGETHER classes is dealt to blocks,
+    and every two blocks meet in one task.
+    """
 
-    return pairs.mapInArrow(check, "a binary, b binary")
+    def across(table: pa.Table) -> pa.Table:
+        count, block = table.column("n").to_numpy(), table.column("block").to_numpy()
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS)
+        names, roots = np.array(table.column("a").to_pylist(), object), np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+        one, other = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        found = []
+        for i in one.tolist():
+            rest = other[other > i] if low == high else other
+            rest = rest[(roots[rest] != roots[i]) & (100 * np.minimum(count[rest], count[i]) >= percent * np.maximum(count[rest], count[i]))]
+            near = rest[(signature[rest] == signature[i]).mean(axis=1) >= percent / 100 - SLACK] if len(rest) else rest
+            found += [(max(names[i], x), min(names[i], x)) for x in names[near]]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([x for _, x in found], pa.binary())})
+
+    blocks = F.expr(f"(size - 1) div {TOGETHER} + 1").cast("int")
+    dealt = mixed.withColumn("block", F.pmod(F.xxhash64("a"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", "a", "n", "root", "signature", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+    return dealt.groupBy("key", "low", "high").applyInArrow(across, "a binary, b binary").distinct()
 
 
 def members(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -178,25 +199,22 @@ def members(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     star = inside.filter("a <> centre").groupBy("a", F.col("centre").alias("b")).agg(F.max("n").alias("n")).join(sizes, "b")
     star = star.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b")
     texts = representatives(rows, classes, inside)
-    # every class with its smallest centre, then with the other centres that lie in other components
-    nearest = staged(star.groupBy("a").agg(F.min("b").alias("b")))
-    links = staged(confirmed(nearest, texts, shingle, percent))
-    tried = nearest
-    rest = staged(apart(star.join(nearest, ["a", "b"], "left_anti"), components(links)))
+    # every class with its smallest centre, then with the other centres that it isn't connected to yet
+    tried = staged(star.groupBy("a").agg(F.min("b").alias("b")))
+    links = staged(confirmed(tried, texts, shingle, percent))
+    rest = staged(apart(star.join(tried, ["a", "b"], "left_anti"), components(links)))
     links = staged(links.unionByName(confirmed(rest, texts, shingle, percent)))
     tried = tried.unionByName(rest)
-    # classes in one bucket that are still apart
-    roots = components(links)
-    placed = inside.join(roots, "a", "left").select("key", "a", "n", F.coalesce("root", "a").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    open_ = staged(placed.join(mixed, "key"))
-    other = open_.select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
-    across = open_.join(other, "key").filter((F.col("a") > F.col("b")) & (F.col("root") != F.col("root_b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-    across = across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    signature = classes.select(F.col("class").alias("a"), F.col("signature").alias("sig_a"))
-    known = across.join(signature, "a").join(signature.select(F.col("a").alias("b"), F.col("sig_a").alias("sig_b")), "b")
-    more = staged(possible(known.select("a", "b", "sig_a", "sig_b"), percent))
-    links = links.unionByName(confirmed(more, texts, shingle, percent))
+    for turn in range(ROUNDS):
+        mixed = open_buckets(inside, components(links))
+        centre = mixed.groupBy("key").agg(F.min_by(F.struct("a", "n", "root"), F.xxhash64("a", "key", F.lit(turn))).alias("c"))
+        near = (F.col("root") != F.col("c.root")) & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
+        pairs = mixed.join(centre, "key").filter(near).select(F.greatest("a", "c.a").alias("a"), F.least("a", "c.a").alias("b")).distinct()
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"))
+        links, tried = staged(links.unionByName(confirmed(pairs, texts, shingle, percent))), tried.unionByName(pairs)
+    mixed = open_buckets(inside, components(links)).join(classes.select(F.col("class").alias("a"), "signature"), "a")
+    more = staged(possible(mixed, percent).join(tried, ["a", "b"], "left_anti"))
+    links = staged(links.unionByName(confirmed(more, texts, shingle, percent)))
     roots = components(links)
     named = classes.join(roots.withColumnRenamed("a", "class"), "class", "left").select("class", "first", F.coalesce("root", "class").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -220,6 +238,13 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     return rows.join(chosen, "row", "left_semi").dropDuplicates(["row"]).select(*[F.col("own")[c].alias(c) for c in docs.columns])
 
 
+def open_buckets(inside: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, size, a, n, root of the buckets that hold several components."""
+    placed = inside.join(roots, "a", "left").select("key", "a", "n", F.coalesce("root", "a").alias("root"))
+    several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", "size")
+    return staged(placed.join(several, "key"))
+
+
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) that lie in different components."""
     found = pairs.join(roots.withColumnRenamed("root", "root_a"), "a", "left").join(roots.select(F.col("a").alias("b"), F.col("root").alias("root_b")), "b", "left")

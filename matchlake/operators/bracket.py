@@ -34,7 +34,7 @@ def propagate(slots: DataFrame, key: str, rounds: int, chance: Column) -> DataFr
         side = now.withColumn("block", F.shiftright("slot", r)).withColumn("half", F.shiftright("slot", r - 1) % 2)
         x, y = side.alias("x"), side.alias("y")
         meet = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.half") != F.col("y.half")))
-        p = F.when(F.col("x.player").isNull(), 0.0).when(F.col("y.player").isNull(), 1.0).otherwise(chance)
+        p = F.when(F.col("x.player").isNull(), F.when(F.col("y.player").isNull(), 0.5).otherwise(0.0)).when(F.col("y.player").isNull(), 1.0).otherwise(chance)
         won = meet.groupBy(F.col(f"x.{key}").alias(key), F.col("x.slot").alias("slot"), F.col("x.player").alias("player"), F.col("x.rating").alias("rating")).agg(F.sum(F.col("x.reach") * F.col("y.reach") * p).alias("reach"))
         done = won.select(key, "slot", "player", F.lit(r).alias("round"), "reach")
         out = done if out is None else out.unionByName(done)

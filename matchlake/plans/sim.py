@@ -27,7 +27,7 @@ def rounds_sql(name: str, source: str, extra: str = "", lock: str = "NULL") -> s
     for r in range(1, ROUNDS + 1):
         block, half = 2**r, 2 ** (r - 1)
         on = " AND ".join(f"x.{k} = y.{k}" for k in keys.split(", "))
-        price = f"CASE WHEN x.player IS NULL THEN 0.0 WHEN y.player IS NULL THEN 1.0 ELSE coalesce({lock if r == ROUNDS else 'NULL'}, 1 / (1 + pow(10, -(x.rating - y.rating) / 4000))) END"
+        price = f"CASE WHEN x.player IS NULL AND y.player IS NULL THEN 0.5 WHEN x.player IS NULL THEN 0.0 WHEN y.player IS NULL THEN 1.0 ELSE coalesce({lock if r == ROUNDS else 'NULL'}, 1 / (1 + pow(10, -(x.rating - y.rating) / 4000))) END"
         parts.append(f"{name}{r} AS (SELECT {', '.join('x.' + k for k in keys.split(', '))}, x.slot, x.player, x.rating, sum(x.reach * y.reach * {price}) AS reach FROM {previous} x JOIN {previous} y ON {on} AND x.slot // {block} = y.slot // {block} AND x.slot // {half} <> y.slot // {half} GROUP BY ALL)")
         previous = f"{name}{r}"
     return ", ".join(parts)
@@ -80,7 +80,7 @@ def _final(semi: DataFrame, lock: Column) -> DataFrame:
     side = semi.withColumn("half", F.shiftright("slot", ROUNDS - 1))
     x, y = side.alias("x"), side.alias("y")
     meet = x.join(y, (F.col("x.case") == F.col("y.case")) & (F.col("x.half") != F.col("y.half")))
-    p = F.when(F.col("x.player").isNull(), 0.0).when(F.col("y.player").isNull(), 1.0).otherwise(F.coalesce(lock, chance()))
+    p = F.when(F.col("x.player").isNull(), F.when(F.col("y.player").isNull(), 0.5).otherwise(0.0)).when(F.col("y.player").isNull(), 1.0).otherwise(F.coalesce(lock, chance()))
     won = meet.groupBy(F.col("x.case").alias("case"), F.col("x.player").alias("player")).agg(F.sum(F.col("x.reach") * F.col("y.reach") * p).alias("title"))
     return won.filter("player is not null").select("case.event", "case.forced", "player", "title")
 
