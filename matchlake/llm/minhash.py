@@ -4,13 +4,12 @@ Each permutation of the shingle hashes gives two signature values, its minimum a
 evaluations of plain MinHash for as many values. Bands of ROWS values each propose links; what a band proposes is
 confirmed on the full shingle sets. At similarity 0.8 a link escapes all bands with probability (1 - 0.8**4)**32 = 5e-8.
 
-Texts with equal shingle sets are one class from the start. Within a band's bucket no pairs are listed: in a few rounds
-every class is compared only with one class of each of its buckets, a star whose centre is the smallest class first and
-then a random one, as far as the two are not connected yet. What is left lies in buckets that still hold several
-components: there one task for each bucket (or each two blocks of a large one) compares signatures across components, and
-only pairs whose sizes and signatures leave a link possible are confirmed (a signature estimate under the threshold by 5
-standard deviations rules it out). So a large group of copies costs a few comparisons a member, while no link between
-different components is lost.
+Texts with equal shingle sets are one class from the start. Within a band's bucket no pairs are listed: every class is
+first compared only with the smallest class of each of its buckets, as far as the two are not connected yet. What is left
+lies in buckets that still hold several components: there one task for each bucket (or each two blocks of a large one)
+gets the full sets, counts shared shingles across components exactly, by matrix products, and gives back only links that
+join components. So a large group of copies costs a few comparisons a member and a row for each join, while no link
+between different components is lost.
 
 Words are runs of bytes other than ASCII white space, A-Z in lower case. Edge cases: a null text or one without words has
 an empty set and is its own component; fewer words than a shingle are one shingle; repeated rows are one class, and all
@@ -29,24 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.llm import words as w
-from matchlake.llm.blocks import staged
+from matchlake.llm.blocks import groups, staged
 
 #: Bands and values in each; half as many permutations as values.
 BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS // 2
-#: A pair whose signature estimate lies this far below the threshold is no link (5 standard deviations).
-SLACK = 0.18
-#: Star rounds with random centres.
-ROUNDS = 3
-#: Classes of a bucket whose signatures are compared in one task, with as many others.
-TOGETHER = 4096
+#: Shingles of a bucket's classes that meet in one task, with as many others; shingles in one matrix product.
+TOGETHER, WIDE = 500_000, 4096
 #: Pairs of one class that share a copy of its text.
 CROWD = 500
 
 _U = np.uint64
 _FACTORS = w.mix(np.arange(1, PERMUTATIONS + 1, dtype=_U)) | _U(1)
 _SHIFTS = w.mix(np.arange(1, PERMUTATIONS + 1, dtype=_U) + _U(1 << 32))
-_SIGNED = "doc_id bigint, row bigint, n_shingles bigint, class binary, bands array<bigint>, signature binary"
+_SIGNED = "doc_id bigint, row bigint, n_shingles bigint, class binary, bands array<bigint>"
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -85,7 +80,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, row, n_shingles, class (hash of the whole set), bands and one byte of each signature value of every row."""
+    """doc_id, row, n_shingles, class (hash of the whole set) and bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,12 +89,12 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
                 sizes = np.diff(first)
                 some = np.flatnonzero(sizes)
                 classes = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                bands, short = [None] * len(sizes), [None] * len(sizes)
+                bands: list = [None] * len(sizes)
                 if len(some):
                     signature = signatures(values, np.append(first[:-1][some], len(values)))
-                    for i, keys, row in zip(some.tolist(), band_keys(signature).tolist(), signature.astype(np.uint8), strict=True):
-                        bands[i], short[i] = keys, row.tobytes()
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, len(sizes)), "row": batch.column(1).slice(at, len(sizes)), "n_shingles": pa.array(sizes, pa.int64()), "class": pa.array(classes, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())), "signature": pa.array(short, pa.binary())})
+                    for i, keys in zip(some.tolist(), band_keys(signature).tolist(), strict=True):
+                        bands[i] = keys
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, len(sizes)), "row": batch.column(1).slice(at, len(sizes)), "n_shingles": pa.array(sizes, pa.int64()), "class": pa.array(classes, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
                 at += len(sizes)
 
     return docs.mapInArrow(run, _SIGNED)
@@ -159,31 +154,59 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return whole.select("a", "b", "text_a", "text_b").mapInArrow(check, "a binary, b binary")
 
 
-def possible(mixed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) in one bucket but different components whose sizes and signatures leave a link possible.
+def joining_links(mixed: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) within buckets that join different components, enough to join all that are linked.
 
-    mixed: key, size (of the bucket), a, n, root, signature. A bucket of more than TOGETHER classes is dealt to blocks,
-    and every two blocks meet in one task.
+    mixed: key, size (shingles of all classes in the bucket), a, n, root. Large buckets are dealt to blocks of TOGETHER
+    shingles or one class, and every two blocks meet in one task.
     """
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [values[x:y].tobytes() for values, first in shingle_sets(batch.column(1), shingle) for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"a": batch.column(0), "shingles": pa.array(own, pa.binary())})
+
     def across(table: pa.Table) -> pa.Table:
-        count, block = table.column("n").to_numpy(), table.column("block").to_numpy()
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS)
-        names, roots = np.array(table.column("a").to_pylist(), object), np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
-        one, other = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        block, low, high = table.column("block").to_numpy(), table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        names, count = table.column("a").to_pylist(), table.column("n").to_numpy()
+        root = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+        most = np.bincount(root).argmax()
+        asked = np.flatnonzero((root != most) | (block != low)) if low != high else np.flatnonzero(root != most)
+        each = [np.frombuffer(x, _U) for x in table.column("shingles").to_pylist()]
+        owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
+        order, start = groups(np.concatenate(each))
+        size = np.diff(np.append(start, len(order)))
+        column = np.repeat(np.cumsum(size > 1) - 1, size)[np.repeat(size > 1, size)]  # of shingles that occur twice
+        owner = owner[order][np.repeat(size > 1, size)]
+        shared = np.zeros((len(asked), len(each)), np.float32)
+        for at in range(0, int(column.max(initial=-1)) + 1, WIDE):
+            a, b = np.searchsorted(column, [at, at + WIDE])
+            matrix = np.zeros((len(each), WIDE), np.float32)
+            matrix[owner[a:b], column[a:b] - at] = 1
+            shared += matrix[asked] @ matrix.T
+        parent = list(range(int(root.max()) + 1))
+
+        def top(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
         found = []
-        for i in one.tolist():
-            rest = other[other > i] if low == high else other
-            rest = rest[(roots[rest] != roots[i]) & (100 * np.minimum(count[rest], count[i]) >= percent * np.maximum(count[rest], count[i]))]
-            near = rest[(signature[rest] == signature[i]).mean(axis=1) >= percent / 100 - SLACK] if len(rest) else rest
-            found += [(max(names[i], x), min(names[i], x)) for x in names[near]]
+        for row, i in zip(shared.astype(np.int64), asked.tolist(), strict=True):
+            for j in np.flatnonzero(100 * row >= percent * (count[i] + count - row)).tolist():
+                x, y = top(root[i]), top(root[j])
+                if x != y:
+                    parent[x] = y
+                    found.append((max(names[i], names[j]), min(names[i], names[j])))
         return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([x for _, x in found], pa.binary())})
 
+    wanted = texts.withColumnRenamed("class", "a").join(mixed.select("a").distinct(), "a", "left_semi").select("a", "text")
+    own = wanted.mapInArrow(sets, "a binary, shingles binary")
     blocks = F.expr(f"(size - 1) div {TOGETHER} + 1").cast("int")
     dealt = mixed.withColumn("block", F.pmod(F.xxhash64("a"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", "a", "n", "root", "signature", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
-    return dealt.groupBy("key", "low", "high").applyInArrow(across, "a binary, b binary").distinct()
+    dealt = dealt.select("key", "a", "n", "root", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+    return dealt.join(own, "a").groupBy("key", "low", "high").applyInArrow(across, "a binary, b binary").distinct()
 
 
 def members(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -191,7 +214,7 @@ def members(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("binary")).alias("row"), F.col("text").cast("binary").alias("text"))
     each = staged(signed(rows, shingle))
     some = each.filter(F.col("n_shingles") > 0)
-    classes = staged(some.groupBy("class").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
+    classes = staged(some.groupBy("class").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")))
     member = classes.select(F.col("class").alias("a"), "n", F.explode("bands").alias("key"))
     buckets = member.groupBy("key").agg(F.min("a").alias("centre"), F.count("*").alias("size")).filter(F.col("size") > 1)
     inside = staged(member.join(buckets, "key").select("key", "a", "n", "centre"))
@@ -200,21 +223,11 @@ def members(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     star = star.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b")
     texts = representatives(rows, classes, inside)
     # every class with its smallest centre, then with the other centres that it isn't connected to yet
-    tried = staged(star.groupBy("a").agg(F.min("b").alias("b")))
-    links = staged(confirmed(tried, texts, shingle, percent))
-    rest = staged(apart(star.join(tried, ["a", "b"], "left_anti"), components(links)))
+    nearest = staged(star.groupBy("a").agg(F.min("b").alias("b")))
+    links = staged(confirmed(nearest, texts, shingle, percent))
+    rest = staged(apart(star.join(nearest, ["a", "b"], "left_anti"), components(links)))
     links = staged(links.unionByName(confirmed(rest, texts, shingle, percent)))
-    tried = tried.unionByName(rest)
-    for turn in range(ROUNDS):
-        mixed = open_buckets(inside, components(links))
-        centre = mixed.groupBy("key").agg(F.min_by(F.struct("a", "n", "root"), F.xxhash64("a", "key", F.lit(turn))).alias("c"))
-        near = (F.col("root") != F.col("c.root")) & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
-        pairs = mixed.join(centre, "key").filter(near).select(F.greatest("a", "c.a").alias("a"), F.least("a", "c.a").alias("b")).distinct()
-        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"))
-        links, tried = staged(links.unionByName(confirmed(pairs, texts, shingle, percent))), tried.unionByName(pairs)
-    mixed = open_buckets(inside, components(links)).join(classes.select(F.col("class").alias("a"), "signature"), "a")
-    more = staged(possible(mixed, percent).join(tried, ["a", "b"], "left_anti"))
-    links = staged(links.unionByName(confirmed(more, texts, shingle, percent)))
+    links = staged(links.unionByName(joining_links(open_buckets(inside, components(links)), texts, shingle, percent)))
     roots = components(links)
     named = classes.join(roots.withColumnRenamed("a", "class"), "class", "left").select("class", "first", F.coalesce("root", "class").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -241,7 +254,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
 def open_buckets(inside: DataFrame, roots: DataFrame) -> DataFrame:
     """key, size, a, n, root of the buckets that hold several components."""
     placed = inside.join(roots, "a", "left").select("key", "a", "n", F.coalesce("root", "a").alias("root"))
-    several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", "size")
+    several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("n").alias("size")).filter("lo <> hi").select("key", "size")
     return staged(placed.join(several, "key"))
 
 
