@@ -121,10 +121,10 @@ def in_order(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted = 4 * tasks
-    cuts = sorted({float(x) for x in rows.approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], max(1e-4, 1 / (20 * wanted)))} if wanted > 1 else set())
+    cuts = sorted({float(x) for x in rows.approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], max(1e-4, 1 / (20 * wanted)))} if wanted > 1 else set()) or [0.0]  # a Bucketizer has two ranges at least
     edges = [-float("inf"), *cuts, float("inf")]
     ranged = Bucketizer(splits=edges, inputCol="place", outputCol="range", handleInvalid="keep").transform(rows.withColumn("place", F.col("doc_id").cast("double")))
-    ranged = ranged.select("doc_id", "text", F.col("range").cast("int").alias("bucket"))
+    ranged = ranged.select("doc_id", "text", F.coalesce(F.col("range").cast("int"), F.lit(len(edges))).alias("bucket"))  # null ids last
     heads = ranged.groupBy("bucket").agg(F.min("doc_id").alias("head")).orderBy("bucket").collect()
     if not heads:
         return ranged.withColumn("copy", F.lit(False))
