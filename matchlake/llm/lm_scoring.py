@@ -117,7 +117,11 @@ def distinct(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         for kind, values in zip(found, own, strict=True):
             values, counts = np.unique(values, return_counts=True)
             keys = values >> _U(1) if kind == RUNS else values & ~_U(1)
-            found[kind].append(counted(keys, counts * (values & _U(1)).astype(np.int64)))
+            each = found[kind]
+            each.append(counted(keys, counts * (values & _U(1)).astype(np.int64)))
+            while len(each) > 1 and 2 * len(each[-1][0]) > len(each[-2][0]):  # few slices' keys are held apart
+                (k, n), (keys, counts) = each.pop(), each.pop()
+                each.append(counted(np.concatenate([k, keys]), np.concatenate([n, counts])))
     return {kind: counted(np.concatenate([k for k, _ in each]), np.concatenate([c for _, c in each])) for kind, each in found.items()}
 
 
@@ -267,7 +271,9 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = {}
-        for kind, (keys, _) in distinct(left).items() if left.num_rows else ():
+        known = distinct(left) if left.num_rows else {}
+        for kind in [*known]:
+            keys, _ = known.pop(kind)
             order, edges = _order(kind, keys, blocks)
             own = {p: v for k, p, v in zip(*(right.column(c).to_pylist() for c in ("kind", "part", "values")), strict=True) if k == kind}
             value = [_values(kind, b - a, own[p]) for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a]
