@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from matchlake.functions import scalars as s
 from matchlake.operators.graph import smallest_member
@@ -34,9 +35,13 @@ walk(a, b) AS (SELECT a, b FROM sym UNION SELECT w.a, s.b FROM walk w JOIN sym s
 """
 
 
-def coverage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Events of a season, and edges between those that overlap in time and share a pair of players."""
-    m = matches(spark, sf_dir).filter("year = 1996 and draw_level = 'qual'")
+#: The rows that the SQL of the queries without ``_all`` names; the queries with it take every row.
+_STATED = "year = 1996 and draw_level = 'qual'"
+_ALL_GROUPS = _GROUPS.replace(" WHERE year = 1996 AND draw_level = 'qual'", "")
+
+
+def coverage(m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events of the given matches, and edges between those that overlap in time and share a pair of players."""
     ev = m.groupBy(F.col("event_id").alias("e")).agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     pairs = m.select(F.col("event_id").alias("e"), F.least("winner", "loser").alias("a"), F.greatest("winner", "loser").alias("b")).distinct()
     x = pairs.join(ev, "e").select(F.col("e").alias("x"), "a", "b", F.col("lo").alias("xlo"), F.col("hi").alias("xhi"))
@@ -45,21 +50,42 @@ def coverage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return ev, edges
 
 
-@query(_GROUPS + "SELECT a AS event_id, min(b) AS root FROM walk GROUP BY a")
-def event_coverage_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev, edges = coverage(spark, sf_dir)
+def components(m: DataFrame) -> DataFrame:
+    ev, edges = coverage(m)
     roots = smallest_member(edges, "x", "y")
     return ev.join(roots, F.col("e") == F.col("vertex"), "left").select(F.col("e").alias("event_id"), F.coalesce("root", "e").alias("root"))
 
 
-@query(_GROUPS + ", roots AS (SELECT a AS e, min(b) AS root FROM walk GROUP BY a) SELECT root, count(*) AS events, min(lo) AS start, max(hi) AS finish FROM roots JOIN ev USING (e) GROUP BY root")
-def event_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+def coalesced(m: DataFrame) -> DataFrame:
     """Merged events with their span."""
-    ev, edges = coverage(spark, sf_dir)
+    ev, edges = coverage(m)
     joined = ev.join(smallest_member(edges, "x", "y"), F.col("e") == F.col("vertex"), "left")
     return joined.groupBy(F.coalesce("root", "e").alias("root")).agg(F.count("*").alias("events"), F.min("lo").alias("start"), F.max("hi").alias("finish"))
 
 
+@query(_GROUPS + "SELECT a AS event_id, min(b) AS root FROM walk GROUP BY a")
+def event_coverage_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(matches(spark, sf_dir).filter(_STATED))
+
+
+@query(_ALL_GROUPS + "SELECT a AS event_id, min(b) AS root FROM walk GROUP BY a")
+def event_coverage_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over every season and draw."""
+    return components(matches(spark, sf_dir))
+
+
+@query(_GROUPS + ", roots AS (SELECT a AS e, min(b) AS root FROM walk GROUP BY a) SELECT root, count(*) AS events, min(lo) AS start, max(hi) AS finish FROM roots JOIN ev USING (e) GROUP BY root")
+def event_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged events with their span."""
+    return coalesced(matches(spark, sf_dir).filter(_STATED))
+
+
+@query(_ALL_GROUPS + ", roots AS (SELECT a AS e, min(b) AS root FROM walk GROUP BY a) SELECT root, count(*) AS events, min(lo) AS start, max(hi) AS finish FROM roots JOIN ev USING (e) GROUP BY root")
+def event_coalesce_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged events of every season and draw, with their span."""
+    return coalesced(matches(spark, sf_dir))
+
+
 @query("""WITH n AS (SELECT p_brand, p_name, p_type, length(p_name) AS len FROM part)
 SELECT p_brand AS event, coalesce(arg_min(p_name, (len, p_name)) FILTER (WHERE len <= 12), arg_max(p_type, (length(p_type), p_type))) AS display, count(DISTINCT p_name) AS aliases FROM n GROUP BY p_brand""")
 def display_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,12 +99,38 @@ tok AS (SELECT k, w, unnest(w) AS x FROM t), c AS (SELECT a.k AS k, b.k AS other
 SELECT k, count(*) AS near, min(other) AS first FROM c WHERE shared = n AND m >= n GROUP BY k""")
 def alias_near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names whose words are all among another's: spellings that may be one player's."""
+    return near_misses(spellings(table(spark, sf_dir, "part").filter("p_size < 10")))
+
+
+@query()
+def alias_near_miss_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over every name."""
+    return near_misses(spellings(table(spark, sf_dir, "part")))
+
+
+def spellings(part: DataFrame) -> DataFrame:
+    """k, w: the sorted distinct words of each name."""
     words = F.array_sort(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", F.split_part("p_type", F.lit(" "), F.lit(1)))), " ")))
-    t = table(spark, sf_dir, "part").filter("p_size < 10").select(F.col("p_partkey").alias("k"), words.alias("w"))
-    tok = t.select("k", F.size("w").alias("n"), F.explode("w").alias("x"))
-    other = tok.select(F.col("k").alias("other"), F.col("n").alias("m"), "x")
-    shared = tok.join(other, "x").filter("k <> other").groupBy("k", "other", "n", "m").agg(F.count("*").alias("shared"))
-    return shared.filter("shared = n and m >= n").groupBy("k").agg(F.count("*").alias("near"), F.min("other").alias("first"))
+    return part.select(F.col("p_partkey").alias("k"), words.alias("w"))
+
+
+def near_misses(t: DataFrame) -> DataFrame:
+    """k, near, first: for each name the number of others that hold all its words, and the first of them.
+
+    Distinct sets of words meet, by the rarest word of the smaller one, which any larger one has too; rows with the same
+    set are counted, not paired.
+    """
+    sets = t.groupBy("w").agg(F.count("*").alias("rows"), F.min("k").alias("least"))
+    tok = sets.select("w", "rows", "least", F.explode("w").alias("x"))
+    often = tok.groupBy("x").agg(F.count("*").alias("often"))
+    rarest = tok.join(often, "x").groupBy("w").agg(F.min_by("x", F.struct("often", "x")).alias("x"))
+    other = tok.select("x", F.col("w").alias("v"), "rows", "least")
+    inside = rarest.join(other, "x").filter((F.size("v") > F.size("w")) & (F.size(F.array_except("w", "v")) == 0))
+    larger = inside.groupBy("w").agg(F.sum("rows").alias("more"), F.min("least").alias("lowest"))
+    same = W.partitionBy("w")
+    peers = t.withColumns({"n": F.count("*").over(same), "low": F.min("k").over(same), "next": F.lead("k").over(same.orderBy("k"))})
+    found = peers.join(larger, "w", "left").select("k", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("near"), F.least(F.when(F.col("k") == F.col("low"), F.col("next")).otherwise(F.col("low")), F.col("lowest")).alias("first"))
+    return found.filter("near > 0")
 
 
 @query("""WITH o AS (SELECT o_custkey AS id, list_sort(list_distinct(list(o_orderpriority))) AS names, max(CAST(o_orderdate AS DATE)) AS seen FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey), n AS (SELECT o_custkey AS id, list_sort(list_distinct(list(o_orderpriority))) AS names, max(CAST(o_orderdate AS DATE)) AS seen FROM orders WHERE o_orderkey % 2 = 1 GROUP BY o_custkey)

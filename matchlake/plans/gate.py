@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from matchlake.functions.scalars import event_key
 from matchlake.plans.registry import query
 from matchlake.plans.sim import chance, slots, ROUNDS
 from matchlake.operators.bracket import propagate
@@ -92,10 +93,34 @@ def gate_cross_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return violations(both, "split", F.concat_ws("/", "a.event", "b.event"), F.col("a.surface") != F.col("b.surface"), F.concat_ws(" and ", "a.surface", "b.surface"))
 
 
+@query()
+def gate_cross_tour_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over every season; the supplied tables name no event in two tours, so none are expected."""
+    return surface_splits(matches(spark, sf_dir))
+
+
+def surface_splits(m: DataFrame) -> DataFrame:
+    """Events of the same whole name in two tours that overlap by two days or more, with different main surfaces."""
+    n = m.groupBy("event_id", "event", "tour", "surface").agg(F.count("*").alias("n"), F.min("date").alias("lo"), F.max("date").alias("hi"))
+    t = n.groupBy("event_id", "event", "tour").agg(F.max_by("surface", F.struct("n", "surface")).alias("surface"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).withColumn("k", event_key(F.col("event")))
+    both = t.alias("a").join(t.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.tour") < F.col("b.tour")) & (F.datediff(F.least("a.hi", "b.hi"), F.greatest("a.lo", "b.lo")) >= 2))
+    return violations(both, "split", F.concat_ws("/", "a.event_id", F.col("a.tour").cast("string"), "b.event_id", F.col("b.tour").cast("string")), F.col("a.surface") != F.col("b.surface"), F.concat_ws(" and ", "a.surface", "b.surface"))
+
+
 @query(MATCHES + """, want AS (SELECT event_id FROM matches WHERE year = 1997 GROUP BY event_id), ship AS (SELECT event_id FROM matches WHERE year = 1997 AND tier <= 4 AND match_id % 11 = 0 GROUP BY event_id)
 SELECT 'event' AS "check", w.event_id AS key, 'not shipped' AS message FROM want w LEFT JOIN ship s USING (event_id) WHERE s.event_id IS NULL""")
 def gate_event_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = matches(spark, sf_dir).filter("year = 1997")
+    return unshipped(matches(spark, sf_dir).filter("year = 1997"))
+
+
+@query(MATCHES + """, want AS (SELECT event_id FROM matches GROUP BY event_id), ship AS (SELECT event_id FROM matches WHERE tier <= 4 AND match_id % 11 = 0 GROUP BY event_id)
+SELECT 'event' AS "check", w.event_id AS key, 'not shipped' AS message FROM want w LEFT JOIN ship s USING (event_id) WHERE s.event_id IS NULL""")
+def gate_event_coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over every season."""
+    return unshipped(matches(spark, sf_dir))
+
+
+def unshipped(m: DataFrame) -> DataFrame:
     lost = m.select("event_id").distinct().exceptAll(m.filter("tier <= 4 and match_id % 11 = 0").select("event_id").distinct())
     return violations(lost, "event", F.col("event_id"), F.lit(True), F.lit("not shipped"))
 
