@@ -6,6 +6,8 @@ at once: in round r the slots s >> r meet, so each round is one join on (event,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,15 +28,26 @@ def seeded(field: DataFrame, key: str, rating: str, rounds: int) -> DataFrame:
     return slots.join(ranked.select(key, "seed", "player", rating), [key, "seed"], "left")
 
 
-def propagate(slots: DataFrame, key: str, rounds: int, chance: Column) -> DataFrame:
-    """key, slot, player, round, reach: the exact chance to win each round; ``chance`` prices x.rating against y.rating."""
+def seeded_whole(field: DataFrame, key: str, rating: str) -> tuple[DataFrame, int]:
+    """key, rounds, slot, seed, player, rating: every player of each field in standard places, with byes up to the next
+    power of two (two places at least); and the rounds of the largest field."""
+    ranked = field.withColumn("seed", F.row_number().over(W.partitionBy(key).orderBy(F.desc(rating), "player")))
+    sizes = field.groupBy(key).agg(F.length(F.bin(F.count("*") - 1)).alias("rounds"))
+    most = sizes.agg(F.max("rounds")).first()[0] or 1
+    places = field.sparkSession.createDataFrame([(k, i, x) for k in range(1, most + 1) for i, x in enumerate(seed_order(k))], "rounds int, slot int, seed int")
+    return sizes.join(F.broadcast(places), "rounds").join(ranked.select(key, "seed", "player", rating), [key, "seed"], "left").select(key, "rounds", "slot", "seed", "player", rating), most
+
+
+def propagate(slots: DataFrame, key: str, rounds: int, chance: Column, lock: Callable[[int], Column] | None = None) -> DataFrame:
+    """key, slot, player, round, reach: the exact chance to win each round; ``chance`` prices x.rating against y.rating, and
+    ``lock`` of a round takes its place where it is not null. Fields with fewer rounds end with their final."""
     now = slots.select(key, "slot", "player", "rating", F.lit(1.0).alias("reach"))
     out = None
     for r in range(1, rounds + 1):
         side = now.withColumn("block", F.shiftright("slot", r)).withColumn("half", F.shiftright("slot", r - 1) % 2)
         x, y = side.alias("x"), side.alias("y")
         meet = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.half") != F.col("y.half")))
-        p = F.when(F.col("x.player").isNull(), F.when(F.col("y.player").isNull(), 0.5).otherwise(0.0)).when(F.col("y.player").isNull(), 1.0).otherwise(chance)
+        p = F.when(F.col("x.player").isNull(), F.when(F.col("y.player").isNull(), 0.5).otherwise(0.0)).when(F.col("y.player").isNull(), 1.0).otherwise(F.coalesce(lock(r), chance) if lock else chance)
         won = meet.groupBy(F.col(f"x.{key}").alias(key), F.col("x.slot").alias("slot"), F.col("x.player").alias("player"), F.col("x.rating").alias("rating")).agg(F.sum(F.col("x.reach") * F.col("y.reach") * p).alias("reach"))
         done = won.select(key, "slot", "player", F.lit(r).alias("round"), "reach")
         out = done if out is None else out.unionByName(done)
@@ -43,13 +56,14 @@ def propagate(slots: DataFrame, key: str, rounds: int, chance: Column) -> DataFr
 
 
 def simulate(slots: DataFrame, key: str, rounds: int, chance: Column, runs: int, seed: int) -> DataFrame:
-    """key, player, round, wins: how often each player wins a round in simulated brackets, runs dealt over tasks."""
+    """key, player, round, wins: how often each player wins a round in simulated brackets, runs dealt over tasks.
+    Fields with fewer rounds end with their final."""
     sims = slots.sparkSession.range(runs).withColumnRenamed("id", "run")
-    now = slots.select(key, "slot", "player", "rating").join(F.broadcast(sims))
+    now = slots.select(key, "slot", "player", "rating").join(F.broadcast(sims)).repartition(key, "run")
     out = None
     for r in range(1, rounds + 1):
         entry = F.struct("slot", "player", "rating")
-        pairs = now.groupBy(key, "run", F.shiftright("slot", r).alias("block")).agg(F.min_by(entry, "slot").alias("x"), F.max_by(entry, "slot").alias("y"))
+        pairs = now.groupBy(key, "run", F.shiftright("slot", r).alias("block")).agg(F.min_by(entry, "slot").alias("x"), F.max_by(entry, "slot").alias("y")).filter("x.slot <> y.slot")
         draw = (F.pmod(F.xxhash64(F.lit(seed), key, "run", F.lit(r), "block"), F.lit(1 << 30)) / float(1 << 30)).alias("u")
         first = F.when(F.col("x.player").isNull(), False).when(F.col("y.player").isNull(), True).otherwise(F.col("u") < chance)
         now = pairs.select(key, "run", "x", "y", draw).select(key, "run", F.when(first, F.col("x")).otherwise(F.col("y")).alias("w")).select(key, "run", "w.slot", "w.player", "w.rating")

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from matchlake.functions.scalars import event_key
 from matchlake.plans.registry import query
-from matchlake.plans.sim import chance, slots, ROUNDS
+from matchlake.plans.sim import brackets, chance
 from matchlake.operators.bracket import propagate
 from matchlake.plans.track import snapshot_hour_dedup
 from matchlake.sources.adapters import MATCHES, matches, player_long, players, table
@@ -69,10 +69,12 @@ def gate_forecast_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gate_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reach that grows with the round, and rounds whose reach doesn't add up to their places: none are expected."""
-    reach = propagate(slots(spark, sf_dir), "event", ROUNDS, chance()).filter("player is not null")
+    rows, rounds = brackets(spark, sf_dir)
+    reach = propagate(rows, "event", rounds, chance()).filter("player is not null")
     step = reach.withColumn("before", F.lag("reach").over(W.partitionBy("event", "player").orderBy("round")))
     grows = violations(step, "monotone", F.concat_ws("/", F.col("event").cast("string"), F.col("player").cast("string")), F.col("reach") > F.col("before") + 1e-9, F.lit("grows"))
-    title = reach.filter(F.col("round") == ROUNDS).groupBy("event").agg(F.sum("reach").alias("mass"))
+    last = rows.select("event", F.col("rounds").alias("round")).distinct()
+    title = reach.join(last, ["event", "round"]).groupBy("event").agg(F.sum("reach").alias("mass"))
     return grows.unionByName(violations(title, "mass", F.col("event"), F.abs(F.col("mass") - 1) > 1e-9, F.lit("title mass")))
 
 

@@ -42,6 +42,11 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.seeded(fields(spark, sf_dir), "event", "rating", ROUNDS)
 
 
+def brackets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The bracket of each whole field, and the rounds of the largest."""
+    return b.seeded_whole(fields(spark, sf_dir), "event", "rating")
+
+
 def chance() -> Column:
     return 1 / (1 + F.pow(F.lit(10.0), -(F.col("x.rating") - F.col("y.rating")) / 4000))
 
@@ -61,6 +66,19 @@ def exact_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.propagate(slots(spark, sf_dir), "event", ROUNDS, chance()).filter("player is not null").select("event", "player", "round", F.round("reach", 6).alias("reach"))
 
 
+@query()
+def standard_draw_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every player of each field, and byes."""
+    return brackets(spark, sf_dir)[0].select("event", "slot", "seed", "player")
+
+
+@query()
+def exact_reach_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every player of each field, in every round."""
+    rows, rounds = brackets(spark, sf_dir)
+    return b.propagate(rows, "event", rounds, chance()).filter("player is not null").select("event", "player", "round", F.round("reach", 6).alias("reach"))
+
+
 _LOCK = "CASE WHEN x.player = x.forced THEN 1.0 WHEN y.player = x.forced THEN 0.0 END"
 _SCENARIOS = _SLOTS + ", top AS (SELECT event, player AS forced FROM slots WHERE seed <= 2 AND player IS NOT NULL), sc AS (SELECT s.*, t.forced FROM slots s JOIN top t USING (event)), " + rounds_sql("s", "sc", ", forced", _LOCK) + ", " + rounds_sql("r", "slots")
 
@@ -101,7 +119,8 @@ def title_leverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def monte_carlo_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simulated reach; a test holds it against the exact one within four standard errors."""
     runs = 400
-    return b.simulate(slots(spark, sf_dir), "event", ROUNDS, chance(), runs, seed=7).select("event", "player", "round", (F.col("wins") / runs).alias("reach"))
+    rows, rounds = brackets(spark, sf_dir)
+    return b.simulate(rows, "event", rounds, chance(), runs, seed=7).select("event", "player", "round", (F.col("wins") / runs).alias("reach"))
 
 
 _FOLD = _SLOTS + """, res AS (SELECT least(winner, loser) AS lo, greatest(winner, loser) AS hi, arg_max(winner, (date, match_id)) AS w FROM matches GROUP BY ALL),
@@ -129,32 +148,67 @@ def bracket_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MATRIX = _SLOTS + ", top AS (SELECT * FROM field WHERE seed <= 8), pm AS (SELECT a.event, a.player AS i, b.player AS j, a.seed AS si, b.seed AS sj, 1 / (1 + pow(10, -(a.rating - b.rating) / 4000)) AS p FROM top a JOIN top b ON a.event = b.event AND a.seed < b.seed)"
 
 
-def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event, i, j, si, sj, p of the upper triangle over each event's eight best; the sides are bounded by 8."""
-    ranked = fields(spark, sf_dir).withColumn("seed", F.row_number().over(W.partitionBy("event").orderBy(F.desc("rating"), "player"))).filter("seed <= 8")
+#: Players in a published matrix (a top-k report), as in the reference.
+TOP = 120
+_MATRIX_ALL = _MATRIX.replace("seed <= 8", f"seed <= {TOP}")
+
+
+def matrix(spark: SparkSession, sf_dir: str, top: int = 8) -> DataFrame:
+    """event, i, j, si, sj, p of the upper triangle over each event's best; the sides are bounded by ``top``."""
+    ranked = fields(spark, sf_dir).withColumn("seed", F.row_number().over(W.partitionBy("event").orderBy(F.desc("rating"), "player"))).filter(F.col("seed") <= top)
     x, y = ranked.alias("x"), ranked.alias("y")
     return x.join(y, (F.col("x.event") == F.col("y.event")) & (F.col("x.seed") < F.col("y.seed"))).select(F.col("x.event").alias("event"), F.col("x.player").alias("i"), F.col("y.player").alias("j"), F.col("x.seed").alias("si"), F.col("y.seed").alias("sj"), chance().alias("p"))
 
 
-@query(_MATRIX + " SELECT event, i, j, round(p, 6) AS p FROM pm UNION ALL SELECT event, j, i, round(1 - p, 6) FROM pm")
+_PAIRS = " SELECT event, i, j, round(p, 6) AS p FROM pm UNION ALL SELECT event, j, i, round(1 - p, 6) FROM pm"
+_BAD = ", bad AS (SELECT event, i, j, CASE WHEN si = 1 AND sj = 2 THEN p + 0.1 ELSE p END AS p, 1 - p AS q FROM pm) SELECT event, i, j, CASE WHEN p < 0 OR p > 1 THEN 'range' ELSE 'complement' END AS problem FROM bad WHERE p < 0 OR p > 1 OR abs(p + q - 1) > 1e-6"
+_PACKED = ", n AS (SELECT event, count(*) AS k FROM top GROUP BY event) SELECT pm.event, CAST((si - 1) * (2 * k - si) / 2 + sj - si - 1 AS BIGINT) AS place, CAST(round(p * 10000) AS BIGINT) AS bps FROM pm JOIN n USING (event)"
+
+
+@query(_MATRIX + _PAIRS)
 def pair_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    upper = matrix(spark, sf_dir)
+    return mirrored(matrix(spark, sf_dir))
+
+
+@query(_MATRIX_ALL + _PAIRS)
+def pair_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mirrored(matrix(spark, sf_dir, TOP))
+
+
+def mirrored(upper: DataFrame) -> DataFrame:
     mirror = F.explode(F.array(F.struct("i", "j", "p"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), (1 - F.col("p")).alias("p"))))
     return upper.select("event", mirror.alias("m")).select("event", "m.i", "m.j", F.round("m.p", 6).alias("p"))
 
 
-@query(_MATRIX + ", bad AS (SELECT event, i, j, CASE WHEN si = 1 AND sj = 2 THEN p + 0.1 ELSE p END AS p, 1 - p AS q FROM pm) SELECT event, i, j, CASE WHEN p < 0 OR p > 1 THEN 'range' ELSE 'complement' END AS problem FROM bad WHERE p < 0 OR p > 1 OR abs(p + q - 1) > 1e-6")
+@query(_MATRIX + _BAD)
 def matrix_contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells out of range or not complementary, in a matrix with one cell of each event damaged."""
-    m = matrix(spark, sf_dir).withColumn("q", 1 - F.col("p")).withColumn("p", F.when((F.col("si") == 1) & (F.col("sj") == 2), F.col("p") + 0.1).otherwise(F.col("p")))
+    return contract(matrix(spark, sf_dir))
+
+
+@query(_MATRIX_ALL + _BAD)
+def matrix_contract_violations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contract(matrix(spark, sf_dir, TOP))
+
+
+def contract(upper: DataFrame) -> DataFrame:
+    m = upper.withColumn("q", 1 - F.col("p")).withColumn("p", F.when((F.col("si") == 1) & (F.col("sj") == 2), F.col("p") + 0.1).otherwise(F.col("p")))
     outside = (F.col("p") < 0) | (F.col("p") > 1)
     return m.filter(outside | (F.abs(F.col("p") + F.col("q") - 1) > 1e-6)).select("event", "i", "j", F.when(outside, "range").otherwise("complement").alias("problem"))
 
 
-@query(_MATRIX + ", n AS (SELECT event, count(*) AS k FROM top GROUP BY event) SELECT pm.event, CAST((si - 1) * (2 * k - si) / 2 + sj - si - 1 AS BIGINT) AS place, CAST(round(p * 10000) AS BIGINT) AS bps FROM pm JOIN n USING (event)")
+@query(_MATRIX + _PACKED)
 def packed_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places and basis points of the upper triangle in row order."""
-    m = matrix(spark, sf_dir)
+    return packed(matrix(spark, sf_dir))
+
+
+@query(_MATRIX_ALL + _PACKED)
+def packed_triangle_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(matrix(spark, sf_dir, TOP))
+
+
+def packed(m: DataFrame) -> DataFrame:
     size = m.groupBy("event").agg(F.max("sj").alias("k"))
     return m.join(size, "event").select("event", F.expr("(si - 1) * (2 * k - si) div 2 + sj - si - 1").cast("long").alias("place"), F.round(F.col("p") * 10000).cast("long").alias("bps"))
 
