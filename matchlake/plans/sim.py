@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from matchlake.operators import bracket as b
+from matchlake.operators.graph import _cut as cut
 from matchlake.operators.merge import keep_best
 from matchlake.plans.registry import query
 from matchlake.sources.adapters import MATCHES, matches, table
@@ -115,6 +116,45 @@ def title_leverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenarios(spark, sf_dir).join(plain, ["event", "player"]).groupBy("event", "forced").agg(F.round(0.5 * F.sum(F.abs(F.col("title") - F.col("reach"))), 6).alias("leverage"))
 
 
+def lockable(rows: DataFrame) -> DataFrame:
+    """event, round, block, a, b: the matches whose two players are certain before any result, those of the first round and
+    those of the second between players with byes."""
+    known = F.when(F.col("a").isNull(), F.col("b")).when(F.col("b").isNull(), F.col("a"))
+    first = _pairs(rows.select("event", "slot", "player")).withColumn("player", known)
+    second = _pairs(first.select("event", "slot", "player"))
+    return first.select("event", F.lit(1).alias("round"), F.col("slot").alias("block"), "a", "b").unionByName(second.select("event", F.lit(2).alias("round"), F.col("slot").alias("block"), "a", "b")).filter("a is not null and b is not null")
+
+
+def locked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event, round, block, a, b, forced, player, title: title chances of every player under each outcome of every lockable
+    match; all outcomes are rows of one propagation."""
+    rows, rounds = brackets(spark, sf_dir)
+    sides = lockable(rows).withColumn("forced", F.explode(F.array("a", "b")))
+    last = rows.select("event", "rounds").distinct()
+    cases = rows.select("event", "slot", "player", "rating").join(sides, "event").select(F.struct("event", "round", "block", "a", "b", "forced").alias("case"), "slot", "player", "rating")
+
+    def lock(r: int) -> Column:
+        case = F.col("x.case")
+        here = (case["round"] == r) & (F.shiftright("x.slot", r) == case["block"])
+        return F.when(here, F.when(F.col("x.player") == case["forced"], 1.0).otherwise(0.0))
+
+    won = b.propagate(cases, "case", rounds, chance(), lock).filter("player is not null")
+    return won.select("case.*", "player", F.col("round").alias("at"), F.col("reach").alias("title")).join(last, "event").filter("at = rounds").drop("at", "rounds")
+
+
+@query()
+def scenario_locks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return locked(spark, sf_dir).select("event", "round", "block", "forced", "player", F.round("title", 6).alias("title"))
+
+
+@query()
+def title_leverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total-variation distance of the title laws under the two outcomes of every lockable match."""
+    signed = F.when(F.col("forced") == F.col("a"), F.col("title")).otherwise(-F.col("title"))
+    apart = locked(spark, sf_dir).groupBy("event", "round", "block", "a", "b", "player").agg(F.abs(F.sum(signed)).alias("apart"))
+    return apart.groupBy("event", "round", "block", "a", "b").agg(F.round(0.5 * F.sum("apart"), 6).alias("leverage"))
+
+
 @query()
 def monte_carlo_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simulated reach; a test holds it against the exact one within four standard errors."""
@@ -123,6 +163,12 @@ def monte_carlo_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.simulate(rows, "event", rounds, chance(), runs, seed=7).select("event", "player", "round", (F.col("wins") / runs).alias("reach"))
 
 
+def _pairs(now: DataFrame) -> DataFrame:
+    """event, slot, a, b: the two players that meet, of event, slot, player."""
+    side = lambda i: F.max(F.when(F.col("slot") % 2 == i, F.col("player")))
+    return now.groupBy("event", F.shiftright("slot", 1).alias("slot")).agg(side(0).alias("a"), side(1).alias("b"))
+
+
 _FOLD = _SLOTS + """, res AS (SELECT least(winner, loser) AS lo, greatest(winner, loser) AS hi, arg_max(winner, (date, match_id)) AS w FROM matches GROUP BY ALL),
 f1 AS (SELECT a.event, a.slot // 2 AS slot, a.player AS a, b.player AS b, CASE WHEN a.player IS NULL THEN b.player WHEN b.player IS NULL THEN a.player ELSE r.w END AS player FROM slots a JOIN slots b ON a.event = b.event AND a.slot % 2 = 0 AND b.slot = a.slot + 1 LEFT JOIN res r ON r.lo = least(a.player, b.player) AND r.hi = greatest(a.player, b.player)),
 f2 AS (SELECT a.event, a.slot // 2 AS slot, a.player AS a, b.player AS b, CASE WHEN a.player IS NULL OR b.player IS NULL THEN NULL ELSE r.w END AS player FROM f1 a JOIN f1 b ON a.event = b.event AND a.slot % 2 = 0 AND b.slot = a.slot + 1 LEFT JOIN res r ON r.lo = least(a.player, b.player) AND r.hi = greatest(a.player, b.player))
@@ -132,11 +178,23 @@ f2 AS (SELECT a.event, a.slot // 2 AS slot, a.player AS a, b.player AS b, CASE W
 @query(_FOLD + "SELECT event, 1 AS round, slot, a, b, player AS winner FROM f1 UNION ALL SELECT event, 2, slot, a, b, player FROM f2")
 def bracket_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounds filled forward from results: byes pass in the first round, unplayed matches stay open."""
-    m = matches(spark, sf_dir)
-    results = m.groupBy(F.least("winner", "loser").alias("lo"), F.greatest("winner", "loser").alias("hi")).agg(F.max_by("winner", F.struct("date", "match_id")).alias("w"))
-    now, out = slots(spark, sf_dir).select("event", "slot", "player"), None
-    for r in (1, 2):
-        pair = now.groupBy("event", F.shiftright("slot", 1).alias("slot")).agg(F.max(F.when(F.col("slot") % 2 == 0, F.col("player"))).alias("a"), F.max(F.when(F.col("slot") % 2 == 1, F.col("player"))).alias("b"))
+    return folded(slots(spark, sf_dir).select("event", F.lit(2).alias("rounds"), "slot", "player"), 2, matches(spark, sf_dir))
+
+
+@query()
+def bracket_fold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every round of whole fields, to the final."""
+    rows, rounds = brackets(spark, sf_dir)
+    return folded(rows, rounds, matches(spark, sf_dir))
+
+
+def folded(rows: DataFrame, rounds: int, m: DataFrame) -> DataFrame:
+    """event, round, slot, a, b, winner; rows of event, rounds, slot, player."""
+    results = cut(m.groupBy(F.least("winner", "loser").alias("lo"), F.greatest("winner", "loser").alias("hi")).agg(F.max_by("winner", F.struct("date", "match_id")).alias("w")))
+    last = rows.select("event", "rounds").distinct()
+    now, out = rows.select("event", "slot", "player"), None
+    for r in range(1, rounds + 1):
+        pair = _pairs(now).join(last.filter(F.col("rounds") >= r), "event", "left_semi")
         met = pair.join(results, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")) & F.col("a").isNotNull() & F.col("b").isNotNull(), "left")
         bye = F.when(F.col("a").isNull(), F.col("b")).when(F.col("b").isNull(), F.col("a")) if r == 1 else F.lit(None).cast("bigint")
         done = met.select("event", F.lit(r).alias("round"), "slot", "a", "b", F.coalesce(bye, F.col("w")).alias("winner"))
@@ -147,7 +205,6 @@ def bracket_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MATRIX = _SLOTS + ", top AS (SELECT * FROM field WHERE seed <= 8), pm AS (SELECT a.event, a.player AS i, b.player AS j, a.seed AS si, b.seed AS sj, 1 / (1 + pow(10, -(a.rating - b.rating) / 4000)) AS p FROM top a JOIN top b ON a.event = b.event AND a.seed < b.seed)"
 
-
 #: Players in a published matrix (a top-k report), as in the reference.
 TOP = 120
 _MATRIX_ALL = _MATRIX.replace("seed <= 8", f"seed <= {TOP}")
@@ -223,3 +280,31 @@ def reconstruct_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = semi.select("event_id", F.col("winner").alias("slot0"), F.col("loser").alias("slot1"))
     two = semi.select("event_id", F.col("winner").alias("slot2"), F.col("loser").alias("slot3"))
     return final.join(one, ["event_id", "slot0"], "left").join(two, ["event_id", "slot2"], "left").select("event_id", "slot0", "slot1", "slot2", "slot3")
+
+
+@query()
+def reconstruct_draw_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expanded(matches(spark, sf_dir))
+
+
+def expanded(m: DataFrame) -> DataFrame:
+    """event_id, slot, player: the last round's match expanded back to the event's first round, each player with whom it beat
+    in the round before; one without a match there entered with a bye, keeps the first of its two places and is not expanded
+    further. Rounds that an event lacks are passed over."""
+    m = cut(m.select("event_id", "date", "match_id", "round_order", "winner", "loser"))
+    last = [F.desc("date"), F.desc("match_id")]
+    present = m.groupBy("event_id").agg(F.max("round_order").alias("top"))
+    final = keep_best(m.join(present, "event_id").filter("round_order = top"), ["event_id"], last)
+    two = F.explode(F.array(F.struct(F.lit(0).alias("slot"), F.col("winner").alias("player")), F.struct(F.lit(1).alias("slot"), F.col("loser").alias("player"))))
+    now = final.select("event_id", "top", F.lit(True).alias("live"), two.alias("x")).select("event_id", "top", "live", "x.*")
+    won = keep_best(m, ["event_id", "round_order", "winner"], last).select("event_id", "round_order", F.col("winner").alias("player"), "loser")
+    played = m.select("event_id", "round_order").distinct()
+    for r in range(6, 0, -1):
+        here = played.filter(F.col("round_order") == r).select("event_id", F.lit(True).alias("here"))
+        before = now.join(here, "event_id", "left").join(won.filter(F.col("round_order") == r).drop("round_order"), ["event_id", "player"], "left")
+        goes = F.coalesce("here", F.lit(False)) & (F.col("top") > r)
+        more = F.col("live") & F.col("loser").isNotNull()
+        kept = F.struct(F.when(goes, 2 * F.col("slot")).otherwise(F.col("slot")).alias("slot"), F.col("player"))
+        beat = F.when(goes & more, F.struct((2 * F.col("slot") + 1).alias("slot"), F.col("loser").alias("player")))
+        now = before.select("event_id", "top", F.when(goes, more).otherwise(F.col("live")).alias("live"), F.explode(F.array_compact(F.array(kept, beat))).alias("x")).select("event_id", "top", "live", "x.*")
+    return now.select("event_id", "slot", "player")
