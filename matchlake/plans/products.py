@@ -115,6 +115,13 @@ def upcoming_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "match_id"))), lambda x: x["match_id"].cast("string")), ",").alias("matches"))
 
 
+@query(MATCHES + "SELECT event_id, match_id, row_number() OVER (PARTITION BY event_id ORDER BY date, round_order DESC, match_id) AS place FROM matches")
+def upcoming_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match of each event with its place by day, round depth and id."""
+    place = F.row_number().over(W.partitionBy("event_id").orderBy("date", F.desc("round_order"), "match_id"))
+    return matches(spark, sf_dir).select("event_id", "match_id", place.cast("long").alias("place"))
+
+
 @query(MATCHES + """, s AS (SELECT match_id, event_id, least(winner, loser) AS a, greatest(winner, loser) AS b FROM matches WHERE match_id % 2 = 0), v AS (SELECT DISTINCT event_id, least(winner, loser) AS a, greatest(winner, loser) AS b FROM matches WHERE match_id % 2 = 1)
 SELECT match_id FROM s ANTI JOIN v USING (event_id, a, b)""")
 def exclude_live(spark: SparkSession, sf_dir: str) -> DataFrame:
