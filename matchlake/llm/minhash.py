@@ -243,12 +243,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component (of the smallest id; of equal rows any), with all columns; rows without words stay."""
+    """One row of each component (of the smallest id; of equal rows any), with all columns; rows without words all stay."""
     found = staged(members(docs, shingle, percent))
     first = found.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("first.row")
-    chosen = first.unionByName(found.filter(F.col("root").isNull()).select("row")).distinct()
+    bare = found.filter(F.col("root").isNull()).select("row").distinct()
     rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("binary")).alias("row"), F.struct(*docs.columns).alias("own"))
-    return rows.join(chosen, "row", "left_semi").dropDuplicates(["row"]).select(*[F.col("own")[c].alias(c) for c in docs.columns])
+    kept = rows.join(first, "row", "left_semi").dropDuplicates(["row"]).unionByName(rows.join(bare, "row", "left_semi"))
+    return kept.select(*[F.col("own")[c].alias(c) for c in docs.columns])
 
 
 def open_buckets(inside: DataFrame, roots: DataFrame) -> DataFrame:
