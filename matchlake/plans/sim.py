@@ -157,8 +157,11 @@ def title_leverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def monte_carlo_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simulated reach; a test holds it against the exact one within four standard errors."""
-    runs = 400
+    """Simulated reach over the reference's number of runs."""
+    return simulated(spark, sf_dir, 20_000)
+
+
+def simulated(spark: SparkSession, sf_dir: str, runs: int) -> DataFrame:
     rows, rounds = brackets(spark, sf_dir)
     return b.simulate(rows, "event", rounds, chance(), runs, seed=7).select("event", "player", "round", (F.col("wins") / runs).alias("reach"))
 
