@@ -96,8 +96,8 @@ def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     column = w.binary(column)
     for a, b in w.slices(len(column), w.raw(column)[1]):
         found = w.split(column.slice(a, b - a), _NO_LETTER)
-        sums = found.sums(lower=True)
-        yield np.stack([found.hashes(k, sums=sums) ^ _U(k or 0) for k in (None, *STEMS)]), found.first
+        eights = found.eights(lower=True)
+        yield np.stack([found.hashes(k, True, k or 0, eights) for k in (None, *STEMS)]), found.first
 
 
 def evidence(column: pa.Array, model: Model) -> np.ndarray:

@@ -6,6 +6,7 @@ Everything here works on one slice of a task's rows at a time, so memory follows
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,26 +16,17 @@ import pyarrow as pa
 #: Texts are handled in slices of about this many bytes.
 SLICE_BYTES = 1 << 20
 
+#: Words of more bytes are hashed one by one with BLAKE2b.
+LONG = 256
+
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int, base: np.uint64 = _BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i in 0..n (base must be odd)."""
-    key = int(base)
-    if key not in _powers or len(_powers[key][0]) <= n:
-        size = max(n + 1, SLICE_BYTES + 4096)
-        inverse = _U(pow(key, -1, 1 << 64))
-        up, down = np.full(size, base, _U), np.full(size, inverse, _U)
-        up[0] = down[0] = 1
-        _powers[key] = np.cumprod(up), np.cumprod(down)
-    up, down = _powers[key]
-    return up[: n + 1], down[: n + 1]
+#: Keeps the first i bytes of eight.
+_HEAD = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,18 +59,27 @@ class Words:
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(self.texts), np.diff(self.first))
 
-    def sums(self, lower: bool) -> np.ndarray:
-        """Running sums of the bytes, each times its power of the base."""
-        data = _LOWER[self.data] if lower else self.data
-        sums = np.zeros(len(data) + 1, _U)
-        np.cumsum((data.astype(_U) + _U(1)) * powers(len(data))[0][:-1], out=sums[1:])
-        return sums
-
-    def hashes(self, most: int | None = None, lower: bool = False, sums: np.ndarray | None = None) -> np.ndarray:
-        """64-bit hash of each word, or of its first ``most`` bytes."""
-        sums = self.sums(lower) if sums is None else sums
-        end = self.end if most is None else np.minimum(self.end, self.start + most)
-        return mix((sums[end] - sums[self.start]) * powers(len(self.data))[1][self.start] + (end - self.start).astype(_U))
+    def eights(self, lower: bool = False) -> np.ndarray:
+        """The eight bytes from each byte on as one number (zeros behind the end)."""
+        data = np.zeros(len(self.data) + 8, np.uint8)
+        data[:-8] = _LOWER[self.data] if lower else self.data
+        return np.ndarray(len(self.data) + 1, "<u8", data, strides=(1,))
+
+    def hashes(self, most: int | None = None, lower: bool = False, seed: int = 0, eights: np.ndarray | None = None) -> np.ndarray:
+        """64-bit hash of each word, or of its first ``most`` bytes: every eight bytes are mixed in by a nonlinear step."""
+        eights = self.eights(lower) if eights is None else eights
+        size = self.end - self.start if most is None else np.minimum(self.end - self.start, most)
+        out = mix(size.astype(_U) * _BASE + _U(seed))
+        large, left, at = np.flatnonzero(size > LONG), np.flatnonzero(size <= LONG), 0
+        while len(left):
+            part = eights[self.start[left] + at] & _HEAD[np.minimum(size[left] - at, 8)]
+            out[left] = mix(out[left] ^ part)
+            at += 8
+            left = left[size[left] > at]
+        for i in large.tolist():
+            word = self.data[self.start[i] : self.start[i] + size[i]]
+            out[i] = int.from_bytes(hashlib.blake2b((_LOWER[word] if lower else word).tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
+        return out
 
 
 def binary(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -119,23 +120,35 @@ def split(column: pa.Array, separators: np.ndarray = _SPACE) -> Words:
     return Words(data, start, end, np.searchsorted(start, offsets).astype(np.int64), offsets)
 
 
-def runs(values: np.ndarray, length: int, base: np.uint64 = _BASE) -> np.ndarray:
-    """Hash of every run of ``length`` consecutive values."""
-    if len(values) < length:
-        return np.zeros(0, _U)
-    up, down = powers(len(values), base)
-    sums = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * up[:-1], out=sums[1:])
-    n = len(values) - length + 1
-    return mix((sums[length:] - sums[:n]) * down[:n])
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix((a ^ _U(0xD6E8FEB86659FD93)) * _BASE + b)
 
 
-def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
-    """Hash of each given range of values."""
-    up, down = powers(len(values), base)
-    sums = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * up[:-1], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+def runs(values: np.ndarray, length: int) -> np.ndarray:
+    """Hash of every run of ``length`` consecutive hashes, from hashes of runs of 1, 2, 4, ... of them."""
+    n = len(values) - length + 1
+    if n <= 0:
+        return np.zeros(0, _U)
+    out, at, size, power = None, 0, 1, values
+    while True:
+        if length & size:
+            out = power[at : at + n] if out is None else _joined(out, power[at : at + n])
+            at += size
+        if 2 * size > length:
+            return out if length > 1 else mix(out)
+        power = _joined(power[:-size], power[size:])
+        size *= 2
+
+
+def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each given range of hashes; in as many steps as the longest range is long."""
+    out = mix((end - start).astype(_U))
+    left, at = np.flatnonzero(end > start), 0
+    while len(left):
+        out[left] = _joined(out[left], values[start[left] + at])
+        at += 1
+        left = left[end[left] - start[left] > at]
+    return out
 
 
 class Table:

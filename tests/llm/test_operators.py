@@ -77,20 +77,81 @@ def test_lm_scoring(docs, rows):
     assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-3, atol=0.02)
 
 
-@pytest.mark.parametrize("seed", [8, 35])
-def test_substring_dedup(docs, rows, seed):
-    want = []
-    for (i, t), covered in zip(rows, brute.repeats([t for _, t in rows]), strict=True):
-        own = brute.words(t, low=False)
+@pytest.mark.parametrize(("block", "crowd"), [(1 << 24, 4096), (2000, 4096), (2000, 1), (300, 0)])
+def test_substring_dedup(docs, rows, monkeypatch, block, crowd):
+    """In one block, in many, and with seeds so crowded that windows are looked up one by one."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(substring_dedup, "CROWD", crowd)
+    each = [brute.words(t, low=False) for _, t in rows]
+    want, covers = [], brute.repeats([t for _, t in rows])
+    for (i, _), own, covered in zip(rows, each, covers, strict=True):
         want.append((i, len(own), sum(covered), sha(b" ".join(x for x, c in zip(own, covered, strict=True) if not c))))
     found = [tuple(r) for r in substring_dedup.removal_digests(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
     assert sorted(found, key=repr) == sorted(want, key=repr)
     assert sum(r[2] for r in want) > 200
-    assert sum(r.n_words for r in substring_dedup.factors(docs).collect()) == sum(r[2] for r in want)
+    if block < 1 << 20:
+        return
+    # factors: 35 words or more, all of them what the removed words are, and equal to those of their source
+    once = {i: (own, covered) for (i, _), own, covered in zip(rows, each, covers, strict=True) if [j for j, _ in rows].count(i) == 1 and i is not None}
+    factors = [r for r in substring_dedup.factors(docs).collect() if r.doc_id in once]
+    marked = {i: [False] * len(own) for i, (own, _) in once.items()}
+    for r in factors:
+        assert r.n_words >= 35 and (r.source_doc_id, r.source_word) != (r.doc_id, r.first_word)
+        marked[r.doc_id][r.first_word : r.first_word + r.n_words] = [True] * r.n_words
+        if r.source_doc_id in once:
+            source = once[r.source_doc_id][0][r.source_word : r.source_word + r.n_words]
+            assert source == once[r.doc_id][0][r.first_word : r.first_word + r.n_words]
+    assert marked == {i: covered for i, (_, covered) in once.items()}
     cut = substring_dedup.without_repeats(docs)
     assert cut.columns == docs.columns and cut.count() == len(rows)
 
 
+def test_parse_takes_the_longest_match():
+    """Places in a reference block against all pairs of places; long words and digests among them."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    regions = [" ".join(rng.choice(["a", "b", "y" * 90], rng.integers(3, 30))).encode() + b" " for _ in range(40)]
+    index = substring_dedup.Reference(pa.array(regions, pa.large_binary()), 3)
+    each = [r.split() for r in regions]
+    places = [(r, i) for r, own in enumerate(each) for i in range(len(own) - 2)]
+
+    def common(x, y):
+        n = 0
+        for p, q in zip(each[x[0]][x[1] :], each[y[0]][y[1] :], strict=False):
+            if p != q:
+                break
+            n += 1
+        return n
+
+    length, source = index.longest()
+    base = {int(index.first[r]) + i: (r, i) for r, i in places}
+    for k, place in enumerate(places):
+        best = max(common(place, other) for other in places if other != place)
+        assert length[k] == best and (not best or common(place, base[int(source[k])]) == best)
+
+
+def test_hashes_are_not_linear():
+    """Thue-Morse words collide under any polynomial modulo 2**64; equal words hash alike wherever they lie."""
+    import pyarrow as pa
+
+    from matchlake.llm import words as w
+
+    one = "a"
+    for _ in range(11):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    text = f"{one} {other} x{'y' * 20} b {one} x{'y' * 20}"
+    found = w.split(pa.array([text.encode(), " ".join(one).encode(), " ".join(other).encode()], pa.large_binary()))
+    hashes = found.hashes()
+    assert len(set(hashes[:6].tolist())) == 4 and hashes[0] == hashes[4] and hashes[2] == hashes[5]
+    assert len(set(w.runs(hashes[6:], 2048)[[0, 2048]].tolist())) == 2 == len(set(w.spans(hashes, np.array([6, 2054]), np.array([2054, 4102])).tolist()))
+    for n in (1, 2, 5, 35):
+        runs, alike = w.runs(hashes[6:], n), {}
+        for i, x in enumerate(runs.tolist()):
+            assert alike.setdefault(x, hashes[6 + i : 6 + i + n].tolist()) == hashes[6 + i : 6 + i + n].tolist()
+
+
 @pytest.mark.parametrize(("size", "percent"), [(2, 80), (5, 80), (2, 50)])
 def test_minhash(spark, docs, rows, size, percent, monkeypatch):
     component = brute.groups([t for _, t in rows], size, percent)
