@@ -2,35 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder and read back, so that loops don't grow lineage."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from matchlake.sources.files import staged
 
 
 def smallest_member(edges: DataFrame, a: str, b: str) -> DataFrame:
     """vertex, root: the smallest vertex of each component, by alternating star steps over joins and grouped minima."""
     x, y = F.col(a), F.col(b)
-    now, before = _cut(edges.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).filter("a <> b").distinct()), None
+    now, before = staged(edges.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).filter("a <> b").distinct()), None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        now = _cut(large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(small.select("a", F.col("m").alias("b"))).distinct())
+        now = staged(large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(small.select("a", F.col("m").alias("b"))).distinct())
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:
             return now.select(F.col("a").alias("vertex"), F.col("b").alias("root"))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from matchlake.operators import bracket as b
-from matchlake.operators.graph import _cut as cut
 from matchlake.operators.merge import keep_best
 from matchlake.plans.registry import query
 from matchlake.sources.adapters import MATCHES, matches, table
+from matchlake.sources.files import staged
 
 ROUNDS = 3
 _ORDER = ", ".join(f"({i}, {x})" for i, x in enumerate(b.seed_order(ROUNDS)))
@@ -193,7 +193,7 @@ def bracket_fold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def folded(rows: DataFrame, rounds: int, m: DataFrame) -> DataFrame:
     """event, round, slot, a, b, winner; rows of event, rounds, slot, player."""
-    results = cut(m.groupBy(F.least("winner", "loser").alias("lo"), F.greatest("winner", "loser").alias("hi")).agg(F.max_by("winner", F.struct("date", "match_id")).alias("w")))
+    results = staged(m.groupBy(F.least("winner", "loser").alias("lo"), F.greatest("winner", "loser").alias("hi")).agg(F.max_by("winner", F.struct("date", "match_id")).alias("w")))
     last = rows.select("event", "rounds").distinct()
     now, out = rows.select("event", "slot", "player"), None
     for r in range(1, rounds + 1):
@@ -294,7 +294,7 @@ def expanded(m: DataFrame) -> DataFrame:
     """event_id, slot, player: the last round's match expanded back to the event's first round, each player with whom it beat
     in the round before; one without a match there entered with a bye, keeps the first of its two places and is not expanded
     further. Rounds that an event lacks are passed over."""
-    m = cut(m.select("event_id", "date", "match_id", "round_order", "winner", "loser"))
+    m = staged(m.select("event_id", "date", "match_id", "round_order", "winner", "loser"))
     last = [F.desc("date"), F.desc("match_id")]
     present = m.groupBy("event_id").agg(F.max("round_order").alias("top"))
     final = keep_best(m.join(present, "event_id").filter("round_order = top"), ["event_id"], last)

@@ -10,13 +10,21 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the checkpoint folder that driver and executors share; a local one only where none is configured."""
+    """A new path in the checkpoint folder that driver and executors share; a local one only where none is configured. What
+    is written there lives as long as the folder: the cluster clears it as it clears checkpoints."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
     return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: what follows starts from files, not from lineage."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A folder of CSV files with a header, with the name of the file that each row came from; extra columns are ignored
     and missing ones null."""
