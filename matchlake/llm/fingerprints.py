@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from matchlake.llm import words as w
+from matchlake.llm.blocks import narrow_batches
 
 #: Hashes in a fingerprint, words in a shingle.
 SIZE, SHINGLE = 128, 5
+#: Parts that a key's fingerprints are merged in, and keys that a task holds at once.
+SALTS, HELD = 64, 20_000
 
 
 def sketches(column: pa.Array, size: int = SIZE, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -102,13 +104,45 @@ def fingerprint(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def merge_fingerprints(prints: DataFrame, *keys: str, size: int = SIZE) -> DataFrame:
-    """One fingerprint for each key: the smallest distinct hashes of its rows' fingerprints."""
-    hashes = F.explode(F.expr("transform(sequence(1, length(fingerprint) div 16), i -> substring(fingerprint, i * 16 - 15, 16))"))
-    each = prints.filter(F.length("fingerprint") > 0).select(*keys, hashes.alias("hash")).distinct()
-    first = each.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("hash"))).filter(F.col("place") <= size)
-    found = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("hash")), "").alias("fingerprint"))
-    names = prints.select(*keys).distinct()
-    return names.join(found, list(keys), "left").fillna("", ["fingerprint"])
+    """One fingerprint for each key: the smallest distinct hashes of its rows' fingerprints.
+
+    Tasks merge what they hold of a key, then SALTS parts of every key are merged, then the parts; so no task sees more of
+    a key than ``size`` hashes for each task before it. A null fingerprint is empty.
+    """
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*held, strict=True)) or [[] for _ in keys]
+            made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            return pa.RecordBatch.from_arrays([*made, pa.array([text_form(x) for x in held.values()], pa.string())], names=[*names, "fingerprint"])
+
+        types: list[pa.DataType] = []
+        for batch in batches:
+            types = [batch.column(i).type for i in range(len(keys))]
+            for *key, form in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                own, known = from_text(form), held.get(tuple(key))
+                held[tuple(key)] = own if known is None else merged(known, own, size)
+            if len(held) > HELD:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    names = [f"k{i}" for i in range(len(keys))]
+    now = prints.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    now = now.mapInArrow(merge, now.schema)
+    now = now.repartition(tasks, *names, F.pmod(F.xxhash64("fingerprint"), F.lit(SALTS))).mapInArrow(merge, now.schema)
+
+    def last(table: pa.Table) -> pa.Table:
+        out = np.zeros(0, np.uint64)
+        for form in table.column("fingerprint").to_pylist():
+            out = merged(out, from_text(form), size)
+        return table.slice(0, 1).set_column(len(names), "fingerprint", pa.array([text_form(out)], pa.string()))
+
+    return now.groupBy(*names).applyInArrow(last, now.schema).toDF(*keys, "fingerprint")
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -118,6 +152,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     Buckets are ranges of ids cut at quantiles; the driver sees one id for each bucket.
     """
     spark = docs.sparkSession
+    narrow_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted = 4 * tasks
