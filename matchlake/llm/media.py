@@ -2,7 +2,7 @@
 
 A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are the 8-bit samples of a grey PNG
 64 pixels wide. The file is split into its chunks again, every CRC and the zlib checksum are tested, the five row
-filters are undone with numpy, and a perceptual hash is taken from the low frequencies of a 2-D cosine transform.
+filters are undone with numpy (each row is written with the best of none, left and up), and a perceptual hash is taken from the low frequencies of a 2-D cosine transform.
 
 Edge cases: a null text is empty and gives one row of zero bytes; equal texts give equal files and features; rows
 with null or repeated ids are kept as they are; an empty table gives an empty result; other columns are not read.
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchlake.llm.blocks import narrow_batches
+
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -40,10 +42,18 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 
 
 def write_png(samples: np.ndarray, level: int = 1) -> bytes:
-    """A grey 8-bit PNG of the rows, unfiltered."""
+    """A grey 8-bit PNG of the rows. Each row takes the filter of none, left and up whose bytes are nearest to zero.
+
+    The writer doesn't choose average and Paeth, which can only be undone byte after byte; the reader knows all five.
+    """
     height, width = samples.shape
-    rows = np.zeros((height, width + 1), np.uint8)
-    rows[:, 1:] = samples
+    left, up = samples.copy(), samples.copy()
+    left[:, 1:] -= samples[:, :-1]
+    up[1:] -= samples[:-1]
+    each = np.stack([samples, left, up])
+    kinds = np.minimum(each, np.negative(each)).sum(axis=2, dtype=np.int64).argmin(axis=0)
+    rows = np.empty((height, width + 1), np.uint8)
+    rows[:, 0], rows[:, 1:] = kinds, each[kinds, np.arange(height)]
     head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + _chunk(b"IEND", b"")
 
@@ -53,24 +63,32 @@ def _unfilter(rows: np.ndarray) -> np.ndarray:
     kinds, out = rows[:, 0], rows[:, 1:].copy()
     if kinds.max(initial=0) > 4:
         raise ValueError("unknown row filter")
-    above = np.zeros(out.shape[1], np.uint8)
-    for i in np.flatnonzero(kinds):
-        row, up = out[i], out[i - 1] if i else above
-        if kinds[i] == 1:
-            np.cumsum(row, out=row, dtype=np.uint8)
-        elif kinds[i] == 2:
-            row += up
-        else:
-            left = corner = 0
-            for j, (value, top) in enumerate(zip(row.tolist(), up.tolist(), strict=True)):
-                if kinds[i] == 3:
-                    guess = (left + top) // 2
-                else:
-                    by = left + top - corner
-                    guess = min((abs(by - left), 0, left), (abs(by - top), 1, top), (abs(by - corner), 2, corner))[2]
-                left, corner = (value + guess) & 255, top
-                row[j] = left
-    return out
+    if (kinds > 2).any():
+        return _unfilter_diagonals(kinds, out)
+    left = kinds == 1
+    out[left] = np.cumsum(out[left], axis=1, dtype=np.uint8)
+    # rows that add to the one above: running sums since the last row that doesn't
+    up = np.cumsum(np.where((kinds == 2)[:, None], out, 0), axis=0, dtype=np.uint8)
+    base = np.maximum.accumulate(np.where(kinds == 2, -1, np.arange(len(kinds))))
+    start = np.where((base < 0)[:, None], 0, out[np.maximum(base, 0)] - up[np.maximum(base, 0)]).astype(np.uint8)
+    return np.where((kinds == 2)[:, None], start + up, out)
+
+
+def _unfilter_diagonals(kinds: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """All five filters: the pixels of one diagonal depend on those before only, so they are undone together."""
+    height, width = out.shape
+    whole = np.zeros((height + 1, width + 1), np.int64)
+    kind = kinds.astype(np.int64)
+    for d in range(height + width - 1):
+        i = np.arange(max(0, d - width + 1), min(height, d + 1))
+        j = d - i
+        left, up, corner = whole[i + 1, j], whole[i, j + 1], whole[i, j]
+        by = left + up - corner
+        to_left, to_up, to_corner = abs(by - left), abs(by - up), abs(by - corner)
+        paeth = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        guess = np.select([kind[i] == k for k in range(1, 5)], [left, up, (left + up) // 2, paeth], 0)
+        whole[i + 1, j + 1] = (out[i, j] + guess) & 255
+    return whole[1:, 1:].astype(np.uint8)
 
 
 def read_png(data: bytes) -> np.ndarray:
@@ -148,6 +166,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _source(docs: DataFrame) -> DataFrame:
+    narrow_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
