@@ -13,7 +13,7 @@ between different components is lost.
 
 Words are runs of bytes other than ASCII white space, A-Z in lower case. Edge cases: a null text or one without words has
 an empty set and is its own component; fewer words than a shingle are one shingle; repeated rows are one class, and all
-rows that carry the smallest id of a component are kept; a null id never names a component unless all ids in it are null;
+rows that carry the smallest id of a component are kept (of equal rows, ``keep_one`` keeps any); a null id never names a component unless all ids in it are null;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -28,20 +28,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.llm import words as w
-from matchlake.llm.blocks import groups, staged
+from matchlake.llm.blocks import groups, narrow_batches, staged
+from matchlake.operators.graph import smallest_member
 
 #: Bands and values in each; half as many permutations as values.
 BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS // 2
-#: Shingles of a bucket's classes that meet in one task, with as many others; shingles in one matrix product.
-TOGETHER, WIDE = 500_000, 4096
+#: Shingles and classes of a bucket that meet in one task, with as many others; shingles in one matrix product.
+TOGETHER, CLASSES, WIDE = 500_000, 2000, 4096
 #: Pairs of one class that share a copy of its text.
 CROWD = 500
 
 _U = np.uint64
 _FACTORS = w.mix(np.arange(1, PERMUTATIONS + 1, dtype=_U)) | _U(1)
 _SHIFTS = w.mix(np.arange(1, PERMUTATIONS + 1, dtype=_U) + _U(1 << 32))
-_SIGNED = "doc_id bigint, row bigint, n_shingles bigint, class binary, bands array<bigint>"
+_SIGNED = "doc_id bigint, row binary, n_shingles bigint, class binary, bands array<bigint>"
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -101,24 +102,8 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """a, root: the smallest member of each vertex's component, for edges (a, b) of any order.
-
-    Alternates two star steps until nothing changes: every vertex's larger neighbours, then its smaller ones, are linked
-    to the smallest of them. Hubs are handled by grouped minima and joins; no neighbourhood is ever one value.
-    """
-    now = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        linked = large.join(small, "a")
-        now = staged(linked.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(small.select("a", F.col("m").alias("b"))).distinct())
-        after = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if after == before:
-            return now.select("a", F.col("b").alias("root"))
-        before = after
+    """a, root: the smallest member of each vertex's component, for edges (a, b) of any order."""
+    return smallest_member(edges, "a", "b").withColumnRenamed("vertex", "a")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -157,8 +142,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 def joining_links(mixed: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) within buckets that join different components, enough to join all that are linked.
 
-    mixed: key, size (shingles of all classes in the bucket), a, n, root. Large buckets are dealt to blocks of TOGETHER
-    shingles or one class, and every two blocks meet in one task.
+    mixed: key, size and classes (shingles and number of all classes in the bucket), a, n, root. Large buckets are dealt to
+    blocks of TOGETHER shingles and CLASSES classes at most (or one class), and every two blocks meet in one task.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,15 +188,21 @@ def joining_links(mixed: DataFrame, texts: DataFrame, shingle: int, percent: int
 
     wanted = texts.withColumnRenamed("class", "a").join(mixed.select("a").distinct(), "a", "left_semi").select("a", "text")
     own = wanted.mapInArrow(sets, "a binary, shingles binary")
-    blocks = F.expr(f"(size - 1) div {TOGETHER} + 1").cast("int")
+    blocks = F.expr(f"greatest((size - 1) div {TOGETHER}, (classes - 1) div {CLASSES}) + 1").cast("int")
     dealt = mixed.withColumn("block", F.pmod(F.xxhash64("a"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", "a", "n", "root", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
     return dealt.join(own, "a").groupBy("key", "low", "high").applyInArrow(across, "a binary, b binary").distinct()
 
 
+def _same_text() -> F.Column:
+    """128 bits that tell texts apart."""
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.unhex(F.lit("")))))
+
+
 def members(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, row (hash of id and text), n_shingles, root (null for empty sets) and component_id of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("binary")).alias("row"), F.col("text").cast("binary").alias("text"))
+    """doc_id, row (128 bits of the text), n_shingles, root (null for empty sets) and component_id of every row."""
+    narrow_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _same_text().alias("row"), F.col("text").cast("binary").alias("text"))
     each = staged(signed(rows, shingle))
     some = each.filter(F.col("n_shingles") > 0)
     classes = staged(some.groupBy("class").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")))
@@ -243,19 +234,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component (of the smallest id; of equal rows any), with all columns; rows without words all stay."""
-    found = staged(members(docs, shingle, percent))
-    first = found.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("first.row")
-    bare = found.filter(F.col("root").isNull()).select("row").distinct()
-    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("binary")).alias("row"), F.struct(*docs.columns).alias("own"))
-    kept = rows.join(first, "row", "left_semi").dropDuplicates(["row"]).unionByName(rows.join(bare, "row", "left_semi"))
-    return kept.select(*[F.col("own")[c].alias(c) for c in docs.columns])
+    """One row of each component (of the smallest id, then text; of rows equal in both any), with all columns; rows
+    without words all stay."""
+    found = members(docs, shingle, percent)
+    first = found.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    first = first.select(F.coalesce("first.doc_id", F.lit(0)).alias("id"), F.col("first.doc_id").isNull().alias("no_id"), "first.row")
+    id, none = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").cast("long").isNull()
+    rows = docs.select(id.alias("id"), none.alias("no_id"), _same_text().alias("row"), F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("words"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("own"))
+    some = rows.filter("words").join(first, ["id", "no_id", "row"], "left_semi").dropDuplicates(["id", "no_id", "row"])
+    kept = some.select("own").unionByName(rows.filter("not words").select("own"))
+    return kept.select(*[F.col(f"own.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def open_buckets(inside: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, size, a, n, root of the buckets that hold several components."""
+    """key, size, classes, a, n, root of the buckets that hold several components."""
     placed = inside.join(roots, "a", "left").select("key", "a", "n", F.coalesce("root", "a").alias("root"))
-    several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("n").alias("size")).filter("lo <> hi").select("key", "size")
+    several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("n").alias("size"), F.count("*").alias("classes")).filter("lo <> hi").select("key", "size", "classes")
     return staged(placed.join(several, "key"))
 
 
