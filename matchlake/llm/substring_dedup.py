@@ -16,7 +16,7 @@ has WINDOW words or more, else a literal word. The words of its factors go, the
 4. A seed with more than CROWD different regions would make one block large. Its windows are looked up one by one, by two
    independent 64-bit hashes of the whole window, wherever they lie; these factors have no source.
 
-Tasks hold a block of documents (BLOCK_BYTES) or a reference block of the same size. What blocks send are plain rows, one
+Tasks hold a block of documents (BLOCK_BYTES) or a reference block (REFERENCE_BYTES). What blocks send are plain rows, one
 for each distinct seed, region or window of the block, so traffic is in proportion to the input, and a text in any number
 of places is one row for each block.
 
@@ -42,8 +42,8 @@ from matchlake.llm.blocks import BLOCK_BYTES, block_count, groups, staged, with_
 
 #: Words in a window that counts as repeated, and in its seed; a region must fit 64 words.
 WINDOW, SEED = 35, 8
-#: Rows of regions of one seed that a reference block takes.
-CROWD = 4096
+#: Rows of regions of one seed that a reference block takes, and about how many bytes of words in all.
+CROWD, REFERENCE_BYTES = 4096, 4 << 20
 #: Words of more bytes are sent as digests.
 LONG = 64
 
@@ -322,7 +322,7 @@ def parse(docs: DataFrame, columns: str, emit, window: int = WINDOW, seed: int =
     index = staged(counted.filter("times > 1").select("block", "seed", (F.col("kinds") > CROWD).alias("hot")))
     sent = staged(texts.groupBy("block").cogroup(index.groupBy("block")).applyInArrow(_regions(window, seed), _REGION_ROWS))
     references = sent.filter(~F.col("hot"))
-    parts = block_count(references, "words", BLOCK_BYTES)
+    parts = block_count(references, "words", REFERENCE_BYTES)
     parsed = references.withColumn("part", F.pmod(F.xxhash64("seed"), F.lit(parts))).groupBy("part").applyInArrow(_parse_block(window), _FOUND_ROWS)
     often = F.sum("times").over(W.partitionBy("seed", "low"))
     single = sent.filter("hot").withColumn("often", often).filter("often > 1").select("block", "hot", "seed", "low", F.lit(None).cast("bigint").alias("mask"), F.lit(None).cast("binary").alias("factors"))
