@@ -5,21 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from matchlake.functions.names import name_key
+
 #: Rating curves (start, logistic scale) and the numbers of the two tours' default curves.
 START, SCALE = 1500.0, 400.0
 K, K_OFFSET, K_SHAPE = 250.0, 5.0, 0.4
 SURFACE_K = 200.0
 BLEND, MOV, MOV_CAP = 0.5, 0.30, 1.60
 
-_ACCENTS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžøåÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŠŽØ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyszoaAAAAAACEEEEIIIINOOOOOUUUUYSZO"
-
-
-def name_key(name: Column) -> Column:
-    """Accent-, case- and punctuation-insensitive key of a Latin-script name; null gives an empty key."""
-    plain = F.lower(F.translate(F.coalesce(name, F.lit("")), _ACCENTS, _PLAIN))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[-.'`]", " "), r"\s+", " "))
-
 
 def surname_key(name: Column) -> Column:
     """"surname initial", from "First Last" or "Last F."."""

@@ -1,6 +1,6 @@
 """Registered queries: each applies an operator to the supplied tables, with the SQL that gives the same rows."""
 
-from matchlake.plans import context, events, features, gate, ingest, markets, metrics, products, ratings, sim, sinks, stream, track
+from matchlake.plans import context, events, features, gate, ingest, markets, metrics, products, ratings, sim, sinks, stream, track, venues
 from matchlake.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "context", "events", "features", "gate", "ingest", "markets", "metrics", "products", "ratings", "sim", "sinks", "stream", "track"]
+__all__ = ["QUERIES", "SQL", "context", "events", "features", "gate", "ingest", "markets", "metrics", "products", "ratings", "sim", "sinks", "stream", "track", "venues"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from matchlake.functions import scalars as s
+from matchlake.functions.names import name_key
 from matchlake.operators.merge import fill_if_unique, keep_best, mode_by
 from matchlake.operators.order import sequence
 from matchlake.plans.registry import query
@@ -31,10 +32,10 @@ def parse_dates_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(replace(split_part(text, ' ', 1), chr(10), ' '))), '[-.''`]', ' ', 'g'), '\\s+', ' ', 'g')) AS name_key
-FROM documents WHERE lang IN ('fr', 'es', 'en')""")
+FROM documents""")
 def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.translate(F.split_part(F.col("text"), F.lit(" "), F.lit(1)), "\n", " ")
-    return table(spark, sf_dir, "documents").filter(F.col("lang").isin("fr", "es", "en")).select("doc_id", s.name_key(first).alias("name_key"))
+    return table(spark, sf_dir, "documents").select("doc_id", name_key(first).alias("name_key"))
 
 
 @query("""WITH n AS (SELECT p_partkey, string_split(trim(regexp_replace(regexp_replace(lower(p_name), '[-.''`]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS w FROM part)
