@@ -26,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.blocks import staged, totals
+from matchlake.llm.blocks import narrow_batches, staged, totals
 
 #: Distinct stretches of text whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 20_000
 
 #: Fixed value: how byte-level tokenizers of this kind cut a text into pre-tokens.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -122,6 +122,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2,
                     at, to, piece = to, to + capacity, piece + 1
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "piece" else pa.int64()) for k, v in out.items()} | {"part": pa.array([part] * len(out["piece"]), pa.int32())})
 
+    narrow_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, rank bigint, part int")
 
@@ -217,5 +218,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, ra
             yield pa.RecordBatch.from_pydict(kept | {"sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64())})
 
     before = totals(counts, ["length"], "part", "n", "before").select("length", "part", "before")
-    ranked = cut.join(before, ["length", "part"]).withColumn("place", F.col("rank") + F.col("before"))
+    # ``before`` grows with the parts, so it is never broadcast
+    ranked = cut.join(before.hint("merge"), ["length", "part"]).withColumn("place", F.col("rank") + F.col("before"))
     return ranked.mapInArrow(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

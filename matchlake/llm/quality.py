@@ -9,7 +9,8 @@ posterior says beyond the global mean.
 
 Edge cases: a null text is empty and is judged by its shape like any other; null sources and languages count as empty
 names; rows with null ids are scored and never learned from; without labels every document's evidence is 0.5; repeated
-rows are scored alike; an empty table gives an empty result; columns named as the results are replaced.
+rows are scored alike; an empty table gives an empty result; columns named as the results are replaced by ``score`` and kept
+by ``accepted``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.llm import words as w
-from matchlake.llm.blocks import staged
+from matchlake.llm.blocks import beside, staged
 
 #: Labelled rows learned from at most, those of the smallest id hash.
 TRAIN_ROWS = 30_000
@@ -138,27 +139,32 @@ def posteriors(evidence: DataFrame) -> DataFrame:
     return joined.select("site", "path", (F.log(bounded / (1 - bounded)) - float(np.log(mean / (1 - mean)))).alias("shift"))
 
 
-def _own(model: Logistic):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"row": batch.column(1), "p": model.probability(shapes(batch.column(0)))})
-
-    return run
+def rated(docs: DataFrame, labels: DataFrame, learn: Column, carry: list[str]) -> DataFrame:
+    """The columns ``carry`` of docs as c0, c1, ..., each document's own probability ``p`` and its ``final`` one.
 
-
-def score(docs: DataFrame, labels: DataFrame, learn: Column, keep: float = KEEP) -> DataFrame:
-    """The rows and columns of docs with ``evidence``, ``quality_score`` and ``quality_kept``."""
+    Every text is read once: the numbers that site and path need are staged beside the rows that they belong to.
+    """
     model = fit(docs, labels, learn)
-    site, path = F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    text = F.col("text").cast("binary").alias("text")
-    places = docs.select(text, F.struct(site.alias("site"), path.alias("path")).alias("row"))
-    evidence = places.mapInArrow(_own(model), "row struct<site:string,path:string>, p double").select("row.site", "row.path", "p")
-    shift = posteriors(evidence)
-    names = [c for c in docs.columns if c not in ("evidence", "quality_score", "quality_kept")]
-    rows = docs.select(text, F.struct(F.struct(*names).alias("own"), site.alias("site"), path.alias("path")).alias("row"))
-    own = rows.mapInArrow(_own(model), f"row {rows.schema['row'].dataType.simpleString()}, p double").select("row.own", "row.site", "row.path", "p")
-    joined = own.join(shift, ["site", "path"], "left")
-    p = F.least(F.greatest(F.col("p"), F.lit(1e-9)), F.lit(1 - 1e-9))
+    place = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in ("source", "lang")]
+    own = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(carry)], place[0].alias("site"), place[1].alias("path"), F.col("text").cast("string").alias("t"))
+    kept = own.columns[:-1]
+    text = carry.index("text") if "text" in carry else None
+    found = beside(own, lambda column: model.probability(shapes(column)), "t" if text is None else f"k{text}", kept)
+    found = staged(found.toDF(*[f"c{i}" for i in range(len(carry))], "site", "path", "own"))
+    shift = posteriors(found.select("site", "path", F.col("own").alias("p")))
+    joined = found.join(shift, ["site", "path"], "left")
+    p = F.least(F.greatest(F.col("own"), F.lit(1e-9)), F.lit(1 - 1e-9))
     final = 1 / (1 + F.exp(-(F.log(p / (1 - p)) + F.coalesce("shift", F.lit(0.0)))))
-    scored = joined.select("own", F.col("p").alias("evidence"), final.alias("quality_score"))
-    return scored.select(*[F.col("own")[c].alias(c) for c in names], "evidence", "quality_score", (F.col("quality_score") >= keep).alias("quality_kept"))
+    return joined.select(*[f"c{i}" for i in range(len(carry))], F.col("own").alias("p"), final.alias("final"))
+
+
+def score(docs: DataFrame, labels: DataFrame, learn: Column, keep: float = KEEP, carry: list[str] | None = None) -> DataFrame:
+    """The rows and columns (or those in ``carry``) of docs with ``evidence``, ``quality_score`` and ``quality_kept``."""
+    names = [c for c in carry or docs.columns if c not in ("evidence", "quality_score", "quality_kept")]
+    found = rated(docs, labels, learn, names)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("p").alias("evidence"), F.col("final").alias("quality_score"), (F.col("final") >= keep).alias("quality_kept"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, learn: Column, keep: float = KEEP) -> DataFrame:
+    """The rows that are kept, with the columns of docs as they are, whatever their names."""
+    return rated(docs, labels, learn, docs.columns).filter(F.col("final") >= keep).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

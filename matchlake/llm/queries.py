@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.llm import bpe, fingerprints, lm_scoring, media, minhash, packing, quality, sharding, substring_dedup, toxicity
+from matchlake.llm.blocks import narrow_batches
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    narrow_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -37,7 +39,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of rows whose crc32 modulo 3 is 1 are not learned from."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
-    scored = quality.score(docs, labels(spark, sf_dir), learn=remainder(3) != 1)
+    scored = quality.score(docs, labels(spark, sf_dir), learn=remainder(3) != 1, carry=["doc_id", "source", "lang"])
     return scored.select("doc_id", (F.coalesce(remainder(3) == 1, F.lit(False))).alias("held_out"), "source", "lang", "evidence", "quality_score", "quality_kept")
 
 
@@ -62,7 +64,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(documents(spark, sf_dir).select("doc_id", "text"), labels(spark, sf_dir), learn=remainder(3) != 1)
+    scored = toxicity.score(documents(spark, sf_dir).select("doc_id", "text"), labels(spark, sf_dir), learn=remainder(3) != 1, carry=["doc_id"])
     return scored.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 

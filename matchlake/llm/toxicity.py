@@ -3,19 +3,22 @@
 Token weights are log-odds of the two classes under an informative Dirichlet prior, from document frequencies in a
 bounded sample of labelled rows (TRAIN_ROWS); only significant tokens keep a weight, all others cost DRIFT. A linear-time
 scan over each whole text finds every maximal-scoring passage. A passage's score is calibrated by its extreme-value
-distribution in clean text, P(max >= S) = 1 - exp(-K n exp(-lambda S)); what the significant passages of a text have
+distribution in clean text, P(max >= S) = 1 - exp(-K n exp(-lambda S)), with lambda from the weights' rates in clean text
+and K estimated from the highest passages of clean sample rows that gave no weights; what the significant passages of a text have
 beyond chance is added up and turned into a probability by a logistic fit on sample rows that gave no weights.
 
 Words are runs of letters (ASCII letters in lower case, and all bytes beyond ASCII). Each gives a token for itself and
 one for each of its STEMS, so inflected and compounded forms of a learned word count too; the strongest weight holds. Edge cases: a null or empty text
 has no passages and gets the lowest score; without labels every text gets the same score; rows with null ids are scored
-and never learned from; repeated rows are scored alike; an empty table gives an empty result; other columns are not read.
+and never learned from; repeated rows are scored alike; an empty table gives an empty result; columns named as the results
+are replaced by ``score`` and kept by ``accepted``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.llm import words as w
+from matchlake.llm.blocks import beside, staged
 
-#: Labelled rows learned from at most, those of the smallest id hash; tokens that keep a weight at most.
-TRAIN_ROWS, TOKENS = 30_000, 50_000
+#: Labelled rows learned from at most, those of the smallest id hash.
+TRAIN_ROWS = 30_000
 #: Prior: PRIOR_SHARE pseudo-documents by background frequency and PRIOR_EACH for every token.
 PRIOR_SHARE, PRIOR_EACH = 1000.0, 0.5
 #: Least |z| of a weight, largest weight, and cost of a token without one.
 SIGNIFICANT, LARGEST, DRIFT = 3.0, 6.0, 0.05
-#: K of the extreme-value distribution, and the largest chance of a passage that counts.
-SCALE, CHANCE = 0.1, 0.05
+#: K of the extreme-value distribution before it is estimated, its bounds, and the largest chance of a passage that counts.
+RATE, RATES, CHANCE = 0.1, (1e-4, 1.0), 0.05
 #: Lengths in bytes of the stems that are tokens beside the whole word.
 STEMS = (4, 5, 6, 8)
 
@@ -41,13 +45,14 @@ _NO_LETTER = np.array([not (chr(b).isalpha() and b < 128 or b >= 128) for b in r
 
 @dataclass
 class Model:
-    """Sorted token hashes with weights, lambda, and intercept and slope of the logistic fit."""
+    """Sorted token hashes with weights, lambda, K, and intercept and slope of the logistic fit."""
 
     tokens: np.ndarray
     weights: np.ndarray
     decay: float
     intercept: float = 0.0
     slope: float = 0.0
+    rate: float = RATE
 
     def scores(self, forms: np.ndarray) -> np.ndarray:
         """The weight of each word: the strongest of its forms', or -DRIFT."""
@@ -60,32 +65,31 @@ class Model:
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (begin, end, score), in one scan.
+    """All maximal-scoring segments (begin, end, score), in one linear scan.
 
-    A list of candidates is kept with the sums before and behind each; a new positive score joins back to the last
-    candidate that starts lower, as long as that candidate ends lower than the new one.
+    A list of candidates is kept with the sums before and behind each and a link to the last one before that starts
+    lower; a new positive score joins back to the candidate that starts lower, as long as that one ends lower than the
+    new one. What a search passes by is behind the new candidate's link and is never passed again.
     """
     sums = np.concatenate([[0.0], np.cumsum(scores)])
-    found: list[tuple[int, int, float, float]] = []
+    found: list[tuple[int, int, float, float, int]] = []
     for i in np.flatnonzero(scores > 0).tolist():
-        begin, low, high = i, float(sums[i]), float(sums[i + 1])
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= low:
-                j -= 1
-            if j < 0 or found[j][3] >= high:
-                break
-            begin, low = found[j][0], found[j][2]
+        begin, low, high, j = i, float(sums[i]), float(sums[i + 1]), len(found) - 1
+        while j >= 0 and found[j][2] >= low:
+            j = found[j][4]
+        while j >= 0 and found[j][3] < high:
+            begin, _, low, _, link = found[j]
             del found[j:]
-        found.append((begin, i + 1, low, high))
-    return [(a, b, high - low) for a, b, low, high in found]
+            j = link
+        found.append((begin, i + 1, low, high, j))
+    return [(a, b, high - low) for a, b, low, high, _ in found]
 
 
-def passages(scores: np.ndarray, decay: float) -> list[tuple[int, int, float, float]]:
+def passages(scores: np.ndarray, model: Model) -> list[tuple[int, int, float, float]]:
     """Significant passages of a text: begin, end, score and chance of one as high in clean text of this length."""
     out = []
     for a, b, score in maximal_segments(scores):
-        chance = -np.expm1(-SCALE * len(scores) * np.exp(-decay * score))
+        chance = -np.expm1(-model.rate * len(scores) * np.exp(-model.decay * score))
         if chance <= CHANCE:
             out.append((a, b, score, float(chance)))
     return out
@@ -102,16 +106,29 @@ def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def evidence(column: pa.Array, model: Model) -> np.ndarray:
     """For each text what its significant passages have beyond chance, on a logarithmic scale."""
+
+    def beyond(own: np.ndarray) -> float:
+        return np.log1p(max(0.0, sum(model.decay * s - np.log(model.rate * len(own)) for _, _, s, _ in passages(own, model))))
+
+    return _each(column, model, beyond)
+
+
+def exponential(column: pa.Array, model: Model) -> np.ndarray:
+    """For each text its length times exp(-lambda highest score): exponential with rate K where the text is clean."""
+    return _each(column, model, lambda own: len(own) * np.exp(-model.decay * max((s for _, _, s in maximal_segments(own)), default=0.0)), all_texts=True)
+
+
+def _each(column: pa.Array, model: Model, value, all_texts: bool = False) -> np.ndarray:
+    """``value`` of each text's word scores; 0 for texts without a positive one, unless all are asked for."""
     out = []
     for forms, first in _texts(column):
         scores = model.scores(forms)
         positive = np.concatenate([[0], np.cumsum(scores > 0)])
-        value = np.zeros(len(first) - 1)
-        for i in np.flatnonzero(positive[first[1:]] > positive[first[:-1]]).tolist():
-            own = scores[first[i] : first[i + 1]]
-            beyond = [model.decay * s - np.log(SCALE * len(own)) for _, _, s, _ in passages(own, model.decay)]
-            value[i] = np.log1p(max(0.0, sum(beyond)))
-        out.append(value)
+        values = np.zeros(len(first) - 1)
+        some = np.arange(len(values)) if all_texts else np.flatnonzero(positive[first[1:]] > positive[first[:-1]])
+        for i in some.tolist():
+            values[i] = value(scores[first[i] : first[i + 1]])
+        out.append(values)
     return np.concatenate([np.zeros(0), *out])
 
 
@@ -159,7 +176,7 @@ def learn_weights(rows: DataFrame) -> Model:
     bad, good = F.col("bad") + prior, F.col("n") - F.col("bad") + prior
     odds = F.log(bad / (F.lit(bad_all + PRIOR_SHARE) - bad)) - F.log(good / (F.lit(good_all + PRIOR_SHARE) - good))
     scored = tokens.select("token", (F.col("n") - F.col("bad")).alias("good"), odds.alias("weight"), (odds / F.sqrt(1 / bad + 1 / good)).alias("z"))
-    kept = scored.filter(F.abs("z") >= SIGNIFICANT).orderBy(F.abs("z").desc(), "token").limit(TOKENS).toPandas()
+    kept = scored.filter(F.abs("z") >= SIGNIFICANT).toPandas()  # of a bounded sample's tokens
     order = np.argsort(kept["token"].to_numpy().view(_U))
     weights = np.clip(kept["weight"].to_numpy()[order], -LARGEST, LARGEST)
     rates = (kept["good"].to_numpy()[order] + 0.01) / good_all
@@ -194,34 +211,38 @@ def calibrate(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
-    """Weights from four fifths of the sample, the logistic fit from the rest; the driver gets TRAIN_ROWS numbers at most."""
+    """Weights from four fifths of the sample, K and the logistic fit from the rest; the driver gets TRAIN_ROWS numbers at most."""
     rows = sample(docs, labels, learn)
     model = learn_weights(rows.filter("fold > 0"))
+    rest = staged(rows.filter("fold = 0").select("text", "toxic"))
+    clean = beside(rest.filter("toxic = 0"), partial(exponential, model=model), keep=["toxic"]).filter("value > 0")
+    many, total = clean.agg(F.count("*"), F.sum("value")).first()
+    if many:
+        model.rate = float(np.clip(many / total, *RATES))
+    found = beside(rest, partial(evidence, model=model), keep=["toxic"]).toPandas()
+    model.intercept, model.slope = calibrate(found["value"].to_numpy(float), found["c0"].to_numpy(float))
+    return model
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"value": evidence(batch.column(0), model), "toxic": batch.column(1)})
 
-    found = rows.filter("fold = 0").select("text", "toxic").mapInArrow(run, "value double, toxic int").toPandas()
-    model.intercept, model.slope = calibrate(found["value"].to_numpy(float), found["toxic"].to_numpy(float))
-    return model
+def judged(docs: DataFrame, labels: DataFrame, learn: Column, carry: list[str]) -> DataFrame:
+    """The columns ``carry`` of docs as c0, c1, ..., and ``value``, the probability of each."""
+    model = fit(docs, labels, learn)
+    return beside(docs, lambda column: _probability(evidence(column, model), model), keep=carry)
 
 
-def score(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.7) -> DataFrame:
-    """The rows and columns of docs with ``score`` and ``predicted`` (1 from the threshold on).
+def score(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.7, carry: list[str] | None = None) -> DataFrame:
+    """The rows and columns (or those in ``carry``) of docs with ``score`` and ``predicted`` (1 from the threshold on).
 
     Columns of these names are replaced. ``learn`` tells by doc_id which labels may be learned from.
     """
-    model = fit(docs, labels, learn)
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    rows = docs.select(F.col("text").cast("binary").alias("text"), F.struct(*names).alias("row"))
+    names = [c for c in carry or docs.columns if c not in ("score", "predicted")]
+    found = judged(docs, labels, learn, names)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("value").alias("score"), (F.col("value") >= threshold).cast("int").alias("predicted"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"row": batch.column(1), "score": _probability(evidence(batch.column(0), model), model)})
 
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
-    return out.select(*[F.col("row")[c].alias(c) for c in names], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def accepted(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.7) -> DataFrame:
+    """The rows below the threshold, with the columns of docs as they are, whatever their names."""
+    return judged(docs, labels, learn, docs.columns).filter(F.col("value") < threshold).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def find_passages(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
@@ -235,7 +256,7 @@ def find_passages(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFram
             for forms, first in _texts(batch.column(1)):
                 scores = model.scores(forms)
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    out += [(ids[at], x, y - x, s, p) for x, y, s, p in passages(scores[a:b], model.decay)]
+                    out += [(ids[at], x, y - x, s, p) for x, y, s, p in passages(scores[a:b], model)]
                     at += 1
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "first_token", "n_tokens", "score", "chance"])

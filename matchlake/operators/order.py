@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -25,22 +26,25 @@ def sequence(df: DataFrame, order: list[Column], name: str = "seq", bins: int =
     return numbered.join(F.broadcast(before), "_bin").withColumn(name, (F.col("_row") + F.col("_before")).cast("long")).drop("_lead", "_bin", "_row", "_before")
 
 
-def ordered_fold(df: DataFrame, by: str, order: list[str], start: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
+def ordered_fold(df: DataFrame, by: str, order: list[str], start: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """Run a stateful step over the rows of each key, in order.
 
-    ``start`` makes a step function with fresh state; the step gets a row as a dict and returns the output row. Rows are
-    dealt by key and sorted within partitions, then streamed, so a task holds the state but never a key's rows.
+    ``start`` makes a step function with fresh state; its parameters are named as the columns that it reads, and it returns
+    the output row as a tuple. Rows are dealt by key and sorted within partitions, then streamed, so a task holds the state
+    but never a key's rows.
     """
+    reads = list(inspect.signature(start()).parameters)
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, step = object(), None
         for frame in frames:
             out = []
-            for row in frame.to_dict("records"):
-                if step is None or row[by] != key:
-                    key, step = row[by], start()
-                out.append(step(row))
+            for own, *values in zip(frame[by].tolist(), *[frame[c].tolist() for c in reads], strict=True):
+                if own != key:
+                    key, step = own, start()
+                out.append(step(*values))
             if out:
-                yield pd.DataFrame(out)
+                yield pd.DataFrame(dict(zip(names, zip(*out, strict=True), strict=True)))
 
-    return df.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)
+    return df.select(*dict.fromkeys([by, *order, *reads])).repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)

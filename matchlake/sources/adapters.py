@@ -24,7 +24,7 @@ def pairings(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     totals = line.groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
     ranked = totals.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct((-F.col("q")).alias("q"), F.col("l_suppkey").alias("p")))).alias("s"))
-    first, second = F.col("s")[0], F.col("s")[1]
+    first, second = F.get("s", F.lit(0)), F.get("s", F.lit(1))  # filters on what follows may be moved before the size's
     return ranked.filter(F.size("s") > 1).select(F.col("l_orderkey").alias("match_id"), first["p"].alias("winner"), second["p"].alias("loser"), (-first["q"]).alias("wq"), (-second["q"]).alias("lq"))
 
 
