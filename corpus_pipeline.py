@@ -17,14 +17,12 @@ from matchlake.llm.queries import labels, remainder
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects."""
-    scored = quality.score(docs, labels(spark, sf_dir), learn=remainder(3) != 1)
-    return scored.filter("quality_kept").select(*docs.columns)
+    return quality.accepted(docs, labels(spark, sf_dir), learn=remainder(3) != 1)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that are predicted toxic."""
-    scored = toxicity.score(docs, labels(spark, sf_dir), learn=remainder(3) != 1)
-    return scored.filter("predicted = 0").select(*docs.columns)
+    return toxicity.accepted(docs, labels(spark, sf_dir), learn=remainder(3) != 1)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
