@@ -1,76 +1,242 @@
-"""Rating walks: ordered folds whose state is one number or a few for each player."""
+"""Rating and serve walks: ordered folds whose state is a few numbers for each player, and the point model."""
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
 
 from matchlake.functions.scalars import BLEND, K, K_OFFSET, K_SHAPE, MOV, MOV_CAP, SCALE, START, SURFACE_K
 
-ELO = "match_id bigint, tour int, winner bigint, loser bigint, date date, surface string, w_elo double, l_elo double, w_selo double, l_selo double, p_blend double, w_after double, l_after double, w_n int, l_n int"
+SURFACES = ("Hard", "Clay", "Grass")
+
+
+@dataclass(frozen=True)
+class Rating:
+    """Settings of a rating walk; as they are by default, the rules from ``transfer`` on change nothing."""
+
+    k: float = K
+    offset: float = K_OFFSET
+    shape: float = K_SHAPE
+    surface_k: float = SURFACE_K
+    surface_offset: float = K_OFFSET
+    surface_shape: float = K_SHAPE
+    blend: float = BLEND
+    margin: float = MOV
+    cap: float = MOV_CAP
+    form_days: float = 90.0
+    transfer: float = 0.0  # share of a surface's update that other surfaces get
+    blend_half: float = 0.0  # matches on a surface at which half the blend counts
+    home: float = 0.0  # points for playing at home, in the expectation of updates only
+    skip_walkovers: bool = False
+    retired: float = 1.0  # weight of matches that were given up
+    layoff_days: float = 0.0  # days off after which the first match counts more
+    layoff_boost: float = 0.0
+    best_of_5: float = 1.0  # stretch of rating differences in long matches
+
+    @property
+    def keep_days(self) -> float:
+        """Days that a form snapshot is kept for."""
+        return max(120.0, self.form_days * 4 / 3)
+
+
+#: The tuned settings of the two tours.
+ATP = Rating(k=145, offset=5, shape=0.21, surface_k=52, surface_shape=0.33, blend=0.63, margin=0.22, cap=2.0, layoff_days=400, layoff_boost=0.44, best_of_5=1.28, transfer=0.27)
+WTA = Rating(k=320, offset=1.5, shape=0.37, surface_k=45, surface_shape=0.40, blend=0.62, margin=0.22, cap=1.65, retired=0.72, layoff_days=86, layoff_boost=0.16, transfer=0.17, form_days=65)
+
+ELO = (
+    "match_id bigint, tour int, winner bigint, loser bigint, date date, surface string, w_elo double, l_elo double, w_selo double, l_selo double, p_blend double, w_after double, l_after double, w_n int, l_n int, "
+    "w_belo double, l_belo double, p_overall double, p_surface double, w_form double, l_form double, counted boolean"
+)
+
+
+def chance(difference: float) -> float:
+    return 1 / (1 + 10 ** (-difference / SCALE))
+
+
+def rating_walk(s: Rating) -> Callable[[], Callable[..., tuple]]:
+    """Overall and surface ratings: what they are before each match, then the update of both sides.
+
+    Recorded chances know no venue; only the update's expectation has the home bonus. Ratings after a match that is not
+    counted are those before it.
+    """
+
+    def start() -> Callable[..., tuple]:
+        overall: dict[int, float] = {}
+        surfaces: dict[tuple[int, str], float] = {}
+        played: dict[int, int] = {}
+        on: dict[tuple[int, str], int] = {}
+        last: dict[int, int] = {}
+        form: dict[int, tuple[list[int], list[float]]] = {}
+
+        def change(player: int, now: float, day: int) -> float:
+            days, values = form.get(player, ((), ()))
+            at = bisect_right(days, day - s.form_days)
+            return now - values[at - 1] if at else 0.0
+
+        def boost(player: int, day: int) -> float:
+            gap = day - last.get(player, day)
+            return 1 + s.layoff_boost * min(gap / 365, 2.0) if s.layoff_days > 0 and gap > s.layoff_days else 1.0
+
+        def step(match_id, tour, winner, loser, date, day, surface, tier_k, w_games, l_games, completed, walkover, best_of, w_home, l_home) -> tuple:
+            we, le = overall.get(winner, START), overall.get(loser, START)
+            ws, ls = surfaces.get((winner, surface), we), surfaces.get((loser, surface), le)
+            wn, ln = played.get(winner, 0), played.get(loser, 0)
+            wsn, lsn = on.get((winner, surface), 0), on.get((loser, surface), 0)
+            wide = [s.blend * n / (n + s.blend_half) if s.blend_half > 0 else s.blend for n in (wsn, lsn)]
+            wb, lb = (1 - wide[0]) * we + wide[0] * ws, (1 - wide[1]) * le + wide[1] * ls
+            stretch = s.best_of_5 if best_of == 5 else 1.0
+            p, q = chance((we - le) * stretch), chance((ws - ls) * stretch)
+            out = (wb, lb, p, q, change(winner, we, day), change(loser, le, day))
+            head = (match_id, tour, winner, loser, date, surface, we, le, ws, ls, chance((wb - lb) * stretch))
+            if walkover and s.skip_walkovers:
+                return *head, we, le, wn, ln, *out, False
+            weight = tier_k * (1.0 if completed or walkover else s.retired)
+            if completed:
+                weight *= min(1 + s.margin * math.log1p(abs(w_games - l_games)), s.cap)
+            if w_home or l_home:
+                p, q = chance((we + s.home * w_home - le - s.home * l_home) * stretch), chance((ws + s.home * w_home - ls - s.home * l_home) * stretch)
+            for player, sign, rating, local, n, sn in ((winner, 1, we, ws, wn, wsn), (loser, -1, le, ls, ln, lsn)):
+                more = weight * boost(player, day)
+                overall[player] = rating + sign * s.k / (n + s.offset) ** s.shape * more * (1 - p)
+                step_on = sign * s.surface_k / (sn + s.surface_offset) ** s.surface_shape * more * (1 - q)
+                surfaces[player, surface] = local + step_on
+                for other in SURFACES if s.transfer > 0 else ():
+                    if other != surface:
+                        surfaces[player, other] = surfaces.get((player, other), rating) + s.transfer * step_on
+                played[player], on[player, surface] = n + 1, sn + 1
+            for player in (winner, loser):
+                last[player] = day
+                days, values = form.setdefault(player, ([], []))
+                days.append(day)
+                values.append(overall[player])
+                if days[0] < day - s.keep_days:
+                    old = bisect_right(days, day - s.keep_days - 1)
+                    del days[:old], values[:old]
+            return *head, overall[winner], overall[loser], wn + 1, ln + 1, *out, True
+
+        return step
+
+    return start
+
+
+@dataclass(frozen=True)
+class Serve:
+    """Settings of a serve walk: half-life of credit in days, and points of shrinkage toward the league, toward the player's
+    own level on all surfaces, and toward no effect of the venue (0: venues are not told apart)."""
 
+    half_life: float = 540.0
+    shrink: float = 200.0
+    surface_shrink: float = 120.0
+    venue_shrink: float = 0.0
 
-def elo_walk() -> Callable[[dict], dict]:
-    """Overall and surface ratings: record before the match, then update both sides.
 
-    The update is K by matches played before, times the tier's weight, times the margin of a completed match.
+#: The tuned settings of the two tours, and the bounds of a point's chance.
+SERVE_ATP, SERVE_WTA = Serve(200, 600, 1400), Serve(200, 550, 3000)
+CLIP = (0.05, 0.95)
+
+SERVE = "match_id bigint, tour int, winner bigint, loser bigint, date date, best_of int, w_serve double, l_serve double, w_return double, l_return double, w_points double, l_points double, pa double, pb double"
+
+
+def serve_walk(s: Serve, average: float, base: dict[str, float]) -> Callable[[], Callable[..., tuple]]:
+    """Decayed serve and return skills by surface, each adjusted for the opponent's skill read before the update, and what
+    venues add to everybody's serve.
+
+    average and base: serve points won in the league, and by surface.
     """
-    overall: dict[int, float] = {}
-    surface: dict[tuple[int, str], float] = {}
-    played: dict[int, int] = {}
-    on: dict[tuple[int, str], int] = {}
-
-    def step(row: dict) -> dict:
-        w, l, s = row["winner"], row["loser"], row["surface"]
-        we, le = overall.get(w, START), overall.get(l, START)
-        ws, ls = surface.get((w, s), we), surface.get((l, s), le)
-        wb, lb = (1 - BLEND) * we + BLEND * ws, (1 - BLEND) * le + BLEND * ls
-        wn, ln = played.get(w, 0), played.get(l, 0)
-        weight = row["tier_k"] * (min(1 + MOV * math.log1p(abs(row["w_games"] - row["l_games"])), MOV_CAP) if row["completed"] else 1.0)
-        miss = 1 - 1 / (1 + 10 ** (-(we - le) / SCALE))
-        overall[w] = we + K / (wn + K_OFFSET) ** K_SHAPE * weight * miss
-        overall[l] = le - K / (ln + K_OFFSET) ** K_SHAPE * weight * miss
-        miss = 1 - 1 / (1 + 10 ** (-(ws - ls) / SCALE))
-        surface[w, s] = ws + SURFACE_K / (on.get((w, s), 0) + K_OFFSET) ** K_SHAPE * weight * miss
-        surface[l, s] = ls - SURFACE_K / (on.get((l, s), 0) + K_OFFSET) ** K_SHAPE * weight * miss
-        for p, n in ((w, wn), (l, ln)):
-            played[p] = n + 1
-            on[p, s] = on.get((p, s), 0) + 1
-        return {k: row[k] for k in ("match_id", "tour", "winner", "loser", "date", "surface")} | {
-            "w_elo": we, "l_elo": le, "w_selo": ws, "l_selo": ls, "p_blend": 1 / (1 + 10 ** (-(wb - lb) / SCALE)),
-            "w_after": overall[w], "l_after": overall[l], "w_n": wn + 1, "l_n": ln + 1,
-        }
-
-    return step
-
-
-SERVE = "match_id bigint, tour int, winner bigint, loser bigint, date date, w_serve double, l_serve double, w_return double, l_return double"
-#: Half-life of credit in days, and points of shrinkage toward the league.
-HALF_LIFE, SHRINK = 540.0, 200.0
-
-
-def serve_walk(league: float) -> Callable[[], Callable[[dict], dict]]:
-    """Decayed serve and return skills above the league, adjusted for the opponent's skill read before the update."""
-
-    def start() -> Callable[[dict], dict]:
-        state: dict[int, list[float]] = {}  # serve excess, serve points, return excess, return points, day
-
-        def step(row: dict) -> dict:
-            day = row["day"]
-            for p in (row["winner"], row["loser"]):
-                s = state.setdefault(p, [0.0, 0.0, 0.0, 0.0, day])
-                decay = 0.5 ** ((day - s[4]) / HALF_LIFE)
-                state[p] = [s[0] * decay, s[1] * decay, s[2] * decay, s[3] * decay, day]
-            skill = {p: (state[p][0] / (state[p][1] + SHRINK), state[p][2] / (state[p][3] + SHRINK)) for p in (row["winner"], row["loser"])}
-            w, l = row["winner"], row["loser"]
-            if row["w_svpt"] == row["w_svpt"] and row["w_svpt"] is not None:
-                for a, b, n, won in ((w, l, row["w_svpt"], row["w_won"]), (l, w, row["l_svpt"], row["l_won"])):
-                    state[a][0] += won - n * (league - skill[b][1])
-                    state[a][1] += n
-                    state[b][2] += (n - won) - n * (1 - league - skill[a][0])
-                    state[b][3] += n
-            return {k: row[k] for k in ("match_id", "tour", "winner", "loser", "date")} | {"w_serve": skill[w][0], "l_serve": skill[l][0], "w_return": skill[w][1], "l_return": skill[l][1]}
+
+    def start() -> Callable[..., tuple]:
+        # of a player: the day, then won and served on serve, won and received on return, over all and by surface
+        state: dict[int, list] = {}
+        venues: dict[tuple, list[float]] = {}
+
+        def at(player: int, day: int) -> dict:
+            then, totals = state.setdefault(player, [day, {}])
+            if day > then:
+                factor = 0.5 ** ((day - then) / s.half_life)
+                for t in totals.values():
+                    t[:] = [x * factor for x in t]
+            state[player][0] = day
+            return totals
+
+        def skills(totals: dict, surface: str) -> tuple[float, float, float, float]:
+            """Serve and return over all, then on the surface."""
+            sw, sp, rw, rp = totals.get(None, (0.0, 0.0, 0.0, 0.0))
+            serve = (sw + average * s.shrink) / (sp + s.shrink) - average
+            back = (rw + (1 - average) * s.shrink) / (rp + s.shrink) - (1 - average)
+            if surface not in base:
+                return serve, back, serve, back
+            sw, sp, rw, rp = totals.get(surface, (0.0, 0.0, 0.0, 0.0))
+            level = base[surface]
+            local = (sw + (level + serve) * s.surface_shrink) / (sp + s.surface_shrink) - level
+            local_back = (rw + (1 - level + back) * s.surface_shrink) / (rp + s.surface_shrink) - (1 - level)
+            return serve, back, local, local_back
+
+        def step(match_id, tour, winner, loser, date, day, surface, event, best_of, w_svpt, w_won, l_svpt, l_won) -> tuple:
+            mine, other = at(winner, day), at(loser, day)
+            gsw, grw, sw, rw = skills(mine, surface)
+            gsl, grl, sl, rl = skills(other, surface)
+            level = base.get(surface, average)
+            won, n = venues.get((event, surface), (0.0, 0.0)) if s.venue_shrink > 0 else (0.0, 0.0)
+            shift = won / (n + s.venue_shrink) if s.venue_shrink > 0 else 0.0
+            pa, pb = (min(max(level + shift + x, CLIP[0]), CLIP[1]) for x in (sw - rl, sl - rw))
+            out = (match_id, tour, winner, loser, date, best_of, sw, sl, rw, rl, mine.get(None, (0, 0.0))[1], other.get(None, (0, 0.0))[1], pa, pb)
+            if w_svpt and l_svpt and w_svpt > 0 and l_svpt > 0:
+                for totals, own, ours, theirs, lost, back, serve in ((mine, w_svpt, w_won, l_svpt, l_won, grl, gsl), (other, l_svpt, l_won, w_svpt, w_won, grw, gsw)):
+                    more = ((ours / own + back - shift) * own, own, ((theirs - lost) / theirs + serve + shift) * theirs, theirs)
+                    for key in (None, surface):
+                        totals[key] = [x + y for x, y in zip(totals.get(key, (0.0, 0.0, 0.0, 0.0)), more, strict=True)]
+                if s.venue_shrink > 0:
+                    pool = w_svpt + l_svpt
+                    expected = level + ((sw - rl) * w_svpt + (sl - rw) * l_svpt) / pool
+                    venues[event, surface] = [won + (w_won + l_won) - expected * pool, n + pool]
+            return out
 
         return step
 
     return start
+
+
+def game(p: np.ndarray) -> np.ndarray:
+    """Chance to win a service game when each point is won with chance p."""
+    q = 1 - p
+    return p**4 * (1 + 4 * q + 10 * q * q) + 20 * (p * q) ** 3 * p * p / (1 - 2 * p * q)
+
+
+def tiebreak(serve: np.ndarray, back: np.ndarray, to: int = 7) -> np.ndarray:
+    """Chance to win a tie-break for the side that serves first, from its points won on serve and on return."""
+    level = serve * back / (serve * back + (1 - serve) * (1 - back))
+    row = [np.ones_like(serve)] * (to + 1)  # of scores (to, b)
+    for a in range(to - 1, -1, -1):
+        new = [row[0]] * (to + 1)
+        new[to] = np.zeros_like(serve)
+        for b in range(to - 1, -1, -1):
+            p = serve if (a + b + 1) // 2 % 2 == 0 else back
+            new[b] = level if a == b == to - 1 else p * row[b] + (1 - p) * new[b + 1]
+        row = new
+    return row[0]
+
+
+def set_chance(serve: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Chance to win a set for the side that serves first, by points won on serve and on return, from the last games back."""
+    won, lost = np.ones_like(serve), np.zeros_like(serve)
+    own, gained = game(serve), 1 - game(1 - back)
+    value = {(7, b): won for b in range(7)} | {(a, 7): lost for a in range(7)} | {(6, b): won for b in range(5)} | {(a, 6): lost for a in range(5)}
+    value[6, 6] = tiebreak(serve, back)
+    for total in range(11, -1, -1):
+        p = own if total % 2 == 0 else gained
+        for a in range(max(0, total - 6), min(6, total) + 1):
+            score = (a, total - a)
+            if score not in value:
+                value[score] = p * value[a + 1, total - a] + (1 - p) * value[a, total - a + 1]
+    return value[0, 0]
+
+
+def point_match(pa: np.ndarray, pb: np.ndarray, best_of: np.ndarray) -> np.ndarray:
+    """Chance to win a match from both sides' points won on serve (four decimals), whoever serves first."""
+    a, b = (np.clip(np.round(p, 4), *CLIP) for p in (pa, pb))
+    one = (set_chance(a, 1 - b) + 1 - set_chance(b, 1 - a)) / 2
+    return np.where(best_of == 5, one**3 * (10 - 15 * one + 6 * one * one), one * one * (3 - 2 * one))

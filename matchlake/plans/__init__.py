@@ -1,6 +1,6 @@
 """Registered queries: each applies an operator to the supplied tables, with the SQL that gives the same rows."""
 
-from matchlake.plans import context, events, evidence, features, gate, ingest, ledger, markets, metrics, products, ratings, scoreboard, sim, sinks, sources, stream, track, venues
+from matchlake.plans import charting, context, events, evidence, features, gate, ingest, ledger, markets, metrics, products, ratings, scoreboard, sim, sinks, sources, stream, track, training, venues
 from matchlake.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "context", "events", "evidence", "features", "gate", "ingest", "ledger", "markets", "metrics", "products", "ratings", "scoreboard", "sim", "sinks", "sources", "stream", "track", "venues"]
+__all__ = ["QUERIES", "SQL", "charting", "context", "events", "evidence", "features", "gate", "ingest", "ledger", "markets", "metrics", "products", "ratings", "scoreboard", "sim", "sinks", "sources", "stream", "track", "training", "venues"]

@@ -1,33 +1,41 @@
-"""Feature assembly, orientation, classifiers and calibration."""
+"""Feature assembly and orientation."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.functions import scalars as s
 from matchlake.operators import context as c
-from matchlake.plans.context import sides
-from matchlake.plans.ratings import elo
+from matchlake.operators.charting import STYLES, profiles
+from matchlake.plans.charting import tables as charted
+from matchlake.plans.ratings import elo, serve
 from matchlake.plans.registry import query
-from matchlake.sources.adapters import MATCHES, matches, players
-
-#: Features that change sign when the sides are swapped, and those that don't.
-SIGNED = ["elo_diff", "elo_overall_diff", "elo_surface_diff", "logit_p", "rankpts_diff", "exp_diff", "age_diff", "ht_diff", "hand_matchup", "rest_diff", "log_days_since_diff", "layoff_flag_diff", "h2h_diff", "fatigue_diff", "winrate_diff", "home_flag_diff", "peak_age_dev_diff"]
-EVEN = ["best_of", "tier_k", "round_order", "surf_hard", "surf_clay", "surf_grass", "log_min_matches", "log1p_h2h_total"]
+from matchlake.sources.adapters import MATCHES, matches, player_long, players
+from matchlake.sources.files import staged
+
+#: Features that change sign when the sides are swapped (31), and those that don't (11).
+SIGNED = [
+    "elo_diff", "elo_overall_diff", "elo_surface_diff", "logit_p_blend", "logit_p_point", "serve_skill_diff", "return_skill_diff", "rankpts_diff", "exp_diff", "age_diff", "ht_diff", "hand_matchup",
+    "rest_diff", "fatigue_diff", "h2h_diff", "log_days_since_diff", "layoff_flag_diff", "form90_diff", "winrate10_diff", "h2h_surface_diff", "entry_q_diff", "peak_age_dev_diff", "home_flag_diff",
+    *[f"{x}_diff" for x in STYLES],
+]
+EVEN = ["best_of", "is_indoor", "tier_k", "round_order", "surf_hard", "surf_clay", "surf_grass", "log_min_srv_pts", "log_min_matches", "has_style", "log1p_h2h_total"]
+#: Groups of features whose evidence is shown together.
+GROUPS = {
+    "ratings": SIGNED[:4], "serve": SIGNED[4:7], "ranking": SIGNED[7:9], "body": SIGNED[9:12], "rest": [*SIGNED[12:14], *SIGNED[15:17]], "record": [SIGNED[14], *SIGNED[17:20]], "place": SIGNED[20:23],
+    "style": [*SIGNED[23:], "has_style"],
+}
 
 _BIO = MATCHES + """, bio AS (SELECT m.*, w.points AS wp, l.points AS lp, w.age AS wa, l.age AS la, w.ht AS wh, l.ht AS lh, w.hand AS whd, l.hand AS lhd, w.ioc AS wi, l.ioc AS li FROM matches m JOIN players w ON w.player = m.winner JOIN players l ON l.player = m.loser)
 """
 
 
-def with_bios(spark: SparkSession, sf_dir: str) -> DataFrame:
+def with_bios(spark: SparkSession, sf_dir: str, m: DataFrame | None = None) -> DataFrame:
+    """Matches with both players' attributes; whether the players' side is broadcast is left to its size."""
     p = players(spark, sf_dir)
-    side = lambda x, k: F.broadcast(p).select(*[F.col(n).alias(x + n) for n in ("player", "ioc", "hand", "ht", "age", "points")]).withColumnRenamed(x + "player", k)
-    return matches(spark, sf_dir).join(side("w_", "winner"), "winner").join(side("l_", "loser"), "loser")
+    side = lambda x, k: p.select(*[F.col(n).alias(x + n) for n in ("player", "ioc", "hand", "ht", "age", "points")]).withColumnRenamed(x + "player", k)
+    return (matches(spark, sf_dir) if m is None else m).join(side("w_", "winner"), "winner").join(side("l_", "loser"), "loser")
 
 
 def static_features() -> dict[str, Column]:
@@ -66,30 +74,49 @@ def features_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contexts(spark, sf_dir).select("match_id", "rest_diff", F.round("log_days_since_diff", 6).alias("log_days_since_diff"), "layoff_flag_diff", "h2h_diff", F.round("log1p_h2h_total", 6).alias("log1p_h2h_total"), F.round("exp_diff", 6).alias("exp_diff"), F.round("log_min_matches", 6).alias("log_min_matches"))
 
 
-def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def contexts(spark: SparkSession, sf_dir: str, m: DataFrame | None = None) -> DataFrame:
     """Differences of the sides' contexts: both rows of a match meet in one aggregation, not in a self-join."""
     w = c.timeline("player")
-    rows = c.win_rate_bounded(sides(spark, sf_dir), 10).withColumns({"rest": c.rest_days(), "n": F.count("*").over(w) - 1, "load": c.workload(14)})
-    rows = c.head_to_head(rows)
-    side = F.struct("rest", "n", "load", "h2h", "win_rate")
+    rows = player_long(matches(spark, sf_dir) if m is None else m)
+    rows = c.win_rate_bounded(rows, 10).withColumns({"rest": c.rest_days(), "n": F.count("*").over(w) - 1, "load": c.workload(14)})
+    rows = c.head_to_head(c.head_to_head(rows), "surface", name="h2h_surface")
+    side = F.struct("rest", "n", "load", "h2h", "h2h_surface", "win_rate")
     both = rows.groupBy("match_id").agg(F.max(F.when(F.col("won") == 1, side)).alias("a"), F.max(F.when(F.col("won") == 0, side)).alias("b"))
     flag = lambda x: (F.col(x + ".rest") > 120).cast("int")
+    diff = lambda x: F.col("a." + x) - F.col("b." + x)
     return both.select(
-        "match_id", F.greatest(F.lit(-60), F.least(F.lit(60), F.col("a.rest") - F.col("b.rest"))).cast("int").alias("rest_diff"), (F.log1p("a.rest") - F.log1p("b.rest")).alias("log_days_since_diff"), (flag("a") - flag("b")).alias("layoff_flag_diff"),
-        (F.col("a.h2h") - F.col("b.h2h")).alias("h2h_diff"), F.log1p(F.col("a.h2h") + F.col("b.h2h")).alias("log1p_h2h_total"), (F.log(F.col("a.n") + 1.0) - F.log(F.col("b.n") + 1.0)).alias("exp_diff"), F.log1p(F.least("a.n", "b.n")).alias("log_min_matches"),
-        (F.col("a.load") - F.col("b.load")).alias("fatigue_diff"), (F.col("a.win_rate") - F.col("b.win_rate")).alias("winrate_diff"))
+        "match_id", F.greatest(F.lit(-60), F.least(F.lit(60), diff("rest"))).cast("int").alias("rest_diff"), (F.log1p("a.rest") - F.log1p("b.rest")).alias("log_days_since_diff"), (flag("a") - flag("b")).alias("layoff_flag_diff"),
+        diff("h2h").alias("h2h_diff"), F.log1p(F.col("a.h2h") + F.col("b.h2h")).alias("log1p_h2h_total"), (F.log(F.col("a.n") + 1.0) - F.log(F.col("b.n") + 1.0)).alias("exp_diff"), F.log1p(F.least("a.n", "b.n")).alias("log_min_matches"),
+        diff("load").alias("fatigue_diff"), diff("win_rate").alias("winrate10_diff"), diff("h2h_surface").alias("h2h_surface_diff"))
+
+
+def qualified(player: str) -> Column:
+    """Whether a player came in by qualifying or as a lucky loser (a rule over ids stands for the entry lists)."""
+    return ((F.col(player) + F.col("match_id")) % 11 < 2).cast("int")
 
 
 def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All features of every match, winner-oriented, with keys."""
-    walk = elo(spark, sf_dir).select("match_id", (F.col("w_elo") - F.col("l_elo")).alias("elo_overall_diff"), (F.col("w_selo") - F.col("l_selo")).alias("elo_surface_diff"), ((F.col("w_elo") + F.col("w_selo") - F.col("l_elo") - F.col("l_selo")) / 2).alias("elo_diff"), s.logit(F.col("p_blend")).alias("logit_p"), "p_blend")
-    base = with_bios(spark, sf_dir).select("match_id", "date", "year", "tour", "draw_level", "completed", "best_of", "tier_k", "round_order", *[v.alias(k) for k, v in static_features().items()])
-    joined = base.join(walk, "match_id").join(contexts(spark, sf_dir), "match_id")
-    return joined.select("match_id", "date", "year", "tour", "draw_level", "completed", "p_blend", *[F.col(x).cast("double").alias(x) for x in (*SIGNED, *EVEN)])
+    """All 42 features of every match, winner-oriented, with keys. The match table is made once and staged."""
+    m = staged(matches(spark, sf_dir))
+    d = lambda x: F.col(f"w_{x}") - F.col(f"l_{x}")
+    walk = elo(spark, sf_dir, m=m).select("match_id", "p_blend", d("elo").alias("elo_overall_diff"), d("selo").alias("elo_surface_diff"), d("belo").alias("elo_diff"), s.logit(F.col("p_blend")).alias("logit_p_blend"), d("form").alias("form90_diff"))
+    point = serve(spark, sf_dir, m=m).select("match_id", "p_point", s.logit(F.col("p_point")).alias("logit_p_point"), d("serve").alias("serve_skill_diff"), d("return").alias("return_skill_diff"), F.log1p(F.least("w_points", "l_points")).alias("log_min_srv_pts"))
+    style = staged(profiles(*charted(m)))
+    bios = with_bios(spark, sf_dir, m)
+    for side, who in (("ws_", "winner"), ("ls_", "loser")):
+        bios = bios.join(style.select(F.col("player").alias(who), F.lit(True).alias(side + "known"), *[F.col(x).alias(side + x) for x in STYLES]), who, "left")
+    known = F.coalesce(F.col("ws_known") & F.col("ls_known"), F.lit(False))
+    styles = [F.when(known, F.coalesce(F.col("ws_" + x) - F.col("ls_" + x), F.lit(0.0))).otherwise(0.0).alias(f"{x}_diff") for x in STYLES]
+    base = bios.select(
+        "match_id", "date", "year", "tour", "draw_level", "completed", "best_of", "tier_k", "round_order", (F.col("match_id") % 5 == 0).cast("int").alias("is_indoor"), known.cast("int").alias("has_style"),
+        (qualified("winner") - qualified("loser")).alias("entry_q_diff"), *[v.alias(k) for k, v in static_features().items()], *styles)
+    joined = base.join(walk, "match_id").join(point, "match_id").join(contexts(spark, sf_dir, m), "match_id")
+    return joined.select("match_id", "date", "year", "tour", "draw_level", "completed", "p_blend", "p_point", *[F.col(x).cast("double").alias(x) for x in (*SIGNED, *EVEN)])
 
 
 @query()
 def features_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A test holds signs, sides and the skills of both walks to what they are made of."""
     return assembled(spark, sf_dir)
 
 
@@ -104,70 +131,3 @@ def oriented_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = static_features()
     rows = with_bios(spark, sf_dir).select("match_id", "year", "tour", made["age_diff"].alias("age_diff"), made["surf_hard"].alias("surf_hard"))
     return oriented(rows).select("match_id", "label", (F.col("age_diff") + 0.0).alias("age_diff"), "surf_hard")
-
-
-def _vectors(rows: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=[*SIGNED, *EVEN], outputCol="features").transform(rows)
-
-
-def _p(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("p", vector_to_array("probability")[1])
-
-
-@query()
-def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each test year: fit on all years but the one before, calibrate on that one, predict the year.
-
-    The classifier is logistic, the calibrator logistic on the logit; both are fitted by Spark.
-    """
-    rows = _vectors(oriented(assembled(spark, sf_dir).filter("draw_level = 'main'"))).select("match_id", "year", "label", "features").cache()
-    years = sorted(r["year"] for r in rows.select("year").distinct().collect())
-    out = None
-    for year in years[2:]:
-        model = LogisticRegression(regParam=0.01).fit(rows.filter(F.col("year") < year - 1))
-        raw = _p(model.transform(rows.filter((F.col("year") >= year - 1) & (F.col("year") <= year)))).select("match_id", "year", "label", s.logit(F.col("p")).alias("z"))
-        raw = VectorAssembler(inputCols=["z"], outputCol="features").transform(raw)
-        platt = LogisticRegression(regParam=1e-4).fit(raw.filter(F.col("year") == year - 1))
-        scored = _p(platt.transform(raw.filter(F.col("year") == year))).select("match_id", "year", "label", F.round("p", 6).alias("p"))
-        out = scored if out is None else out.unionByName(scored)
-    return out if out is not None else rows.select("match_id", "year", "label", F.lit(0.5).alias("p")).limit(0)
-
-
-@query()
-def bagged_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean of boosted trees over seeds, fitted on the years before the last, scored on the last."""
-    rows = _vectors(oriented(assembled(spark, sf_dir))).select("match_id", "year", "label", "features").cache()
-    last = rows.agg(F.max("year")).first()[0]
-    out = None
-    for seed in (1, 2):
-        model = GBTClassifier(maxIter=8, maxDepth=4, stepSize=0.1, subsamplingRate=0.85, seed=seed).fit(rows.filter(F.col("year") < last))
-        scored = _p(model.transform(rows.filter(F.col("year") == last))).select("match_id", "label", "p")
-        out = scored if out is None else out.unionByName(scored)
-    return out.groupBy("match_id", "label").agg(F.round(F.avg("p"), 6).alias("p"))
-
-
-@query()
-def isotonic_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monotone calibration of the blended rating's probability on even matches, applied to odd ones."""
-    rows = elo(spark, sf_dir).select("match_id", F.when(F.col("match_id") % 4 < 2, F.col("p_blend")).otherwise(1 - F.col("p_blend")).alias("p"), F.when(F.col("match_id") % 4 < 2, 1.0).otherwise(0.0).alias("label"))
-    rows = VectorAssembler(inputCols=["p"], outputCol="features").transform(rows)
-    model = IsotonicRegression().fit(rows.filter("match_id % 2 = 0"))
-    return model.transform(rows.filter("match_id % 2 = 1")).select("match_id", F.round("p", 6).alias("p"), F.round(F.least(F.greatest("prediction", F.lit(0.001)), F.lit(0.999)), 6).alias("calibrated"))
-
-
-@query()
-def evidence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each group of features, the change of probability in points when the group is set to zero, ranked.
-
-    Variants are exploded and scored in one pass.
-    """
-    groups = {"ratings": SIGNED[:4], "ranking": SIGNED[4:6], "body": SIGNED[6:9], "rest": SIGNED[9:12], "record": SIGNED[12:15], "place": SIGNED[15:]}
-    rows = oriented(assembled(spark, sf_dir))
-    model = LogisticRegression(regParam=0.01).fit(_vectors(rows.filter("year < 2000")).select("label", "features"))
-    names = F.explode(F.array(F.lit("all"), *[F.lit(g) for g in groups])).alias("group")
-    variants = rows.filter("year >= 2000").select("*", names)
-    zeroed = variants.withColumns({x: F.when(F.col("group") == g, 0.0).otherwise(F.col(x)) for g, xs in groups.items() for x in xs})
-    scored = _p(model.transform(_vectors(zeroed))).select("match_id", "group", "p")
-    full = scored.groupBy("match_id").agg(F.max(F.when(F.col("group") == "all", F.col("p"))).alias("full"), F.array_sort(F.collect_list(F.when(F.col("group") != "all", F.struct("group", "p")))).alias("x"))
-    each = full.select("match_id", F.explode(F.transform("x", lambda g: F.struct(g["group"].alias("group"), F.round(100 * (F.col("full") - g["p"]), 4).alias("points")))).alias("e"))
-    return each.select("match_id", "e.group", "e.points")

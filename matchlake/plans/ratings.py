@@ -13,38 +13,69 @@ from pyspark.sql import Window as W
 from matchlake.functions import scalars as s
 from matchlake.operators import ratings as r
 from matchlake.operators.order import ordered_fold
+from matchlake.operators.ratings import Rating
 from matchlake.plans.registry import query
 from matchlake.sources.adapters import MATCHES, ORDER, matches, players
 
-_WALK = MATCHES.replace("WITH qty", "WITH RECURSIVE qty", 1) + """, ids AS (SELECT player, row_number() OVER (ORDER BY player) AS i FROM (SELECT DISTINCT player FROM pl)), cnt AS (SELECT count(*) AS k FROM ids),
+
+
+def walk_sql(r: Rating) -> str:
+    """The walk as one recursion whose row holds the state as lists: e, n, lp (overall, matches, last day) of each player,
+    se, sn (ratings, matches) of each player and surface."""
+    number = lambda x: f"CAST({x} AS DOUBLE)"
+    blend = lambda n: f"{r.blend} * {n} / ({n} + {number(r.blend_half)})" if r.blend_half else str(r.blend)
+    miss = lambda a, b: f"(1 - 1 / (1 + pow(10, -({a} - {b}) * ds / 400)))"
+    boost = lambda x: f"CASE WHEN day - {x} > {r.layoff_days} THEN 1 + {r.layoff_boost} * least((day - {x}) / 365.0, 2.0) ELSE 1.0 END" if r.layoff_days else "1.0"
+    own = lambda p: f"3 * {p} - 2 + si"
+    skip = "walkover" if r.skip_walkovers else "FALSE"
+    return MATCHES.replace("WITH qty", "WITH RECURSIVE qty", 1) + f""", ids AS (SELECT player, row_number() OVER (ORDER BY player) AS i FROM (SELECT DISTINCT player FROM pl)), cnt AS (SELECT count(*) AS k FROM ids),
 o AS (SELECT m.*, a.i AS wi, b.i AS li, CASE surface WHEN 'Hard' THEN 0 WHEN 'Clay' THEN 1 ELSE 2 END AS si, row_number() OVER (PARTITION BY tour ORDER BY date, event_id, round_order, match_id) AS seq,
-  m.tier_k * CASE WHEN completed THEN least(1 + 0.3 * ln(1 + abs(w_games - l_games)), 1.6) ELSE 1.0 END AS wt FROM matches m JOIN ids a ON a.player = m.winner JOIN ids b ON b.player = m.loser),
+    CASE WHEN x.ioc = CAST(split_part(event_id, '-', 1) AS INTEGER) THEN {r.home} ELSE 0.0 END AS wh, CASE WHEN y.ioc = CAST(split_part(event_id, '-', 1) AS INTEGER) THEN {r.home} ELSE 0.0 END AS lh,
+    m.tier_k * CASE WHEN completed THEN least(1 + {r.margin} * ln(1 + abs(w_games - l_games)), {r.cap}) WHEN walkover THEN 1.0 ELSE {r.retired} END AS wt, {skip} AS skipped, CASE WHEN best_of = 5 THEN {r.best_of_5} ELSE 1.0 END AS ds
+  FROM matches m JOIN ids a ON a.player = m.winner JOIN ids b ON b.player = m.loser LEFT JOIN players x ON x.player = m.winner LEFT JOIN players y ON y.player = m.loser),
 walk AS (
-  SELECT tour, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS match_id, CAST(0 AS BIGINT) AS winner, CAST(0 AS BIGINT) AS loser, DATE '1970-01-01' AS date, '' AS surface, CAST(0 AS DOUBLE) AS w_elo, CAST(0 AS DOUBLE) AS l_elo, CAST(0 AS DOUBLE) AS w_selo, CAST(0 AS DOUBLE) AS l_selo,
-    CAST(0 AS DOUBLE) AS w_after, CAST(0 AS DOUBLE) AS l_after, CAST(0 AS BIGINT) AS w_n, CAST(0 AS BIGINT) AS l_n,
-    (SELECT list_transform(range(k), lambda x: CAST(1500 AS DOUBLE)) FROM cnt) AS e, (SELECT list_transform(range(3 * k), lambda x: CAST(NULL AS DOUBLE)) FROM cnt) AS se,
-    (SELECT list_transform(range(k), lambda x: CAST(0 AS BIGINT)) FROM cnt) AS n, (SELECT list_transform(range(3 * k), lambda x: CAST(0 AS BIGINT)) FROM cnt) AS sn
+  SELECT tour, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS match_id, CAST(0 AS BIGINT) AS winner, CAST(0 AS BIGINT) AS loser, DATE '1970-01-01' AS date, '' AS surface, {", ".join(f"{number(0)} AS {c}" for c in ("w_elo", "l_elo", "w_selo", "l_selo", "w_belo", "l_belo", "stretch", "w_after", "l_after"))},
+    CAST(0 AS BIGINT) AS w_n, CAST(0 AS BIGINT) AS l_n, FALSE AS counted, (SELECT list_transform(range(k), lambda x: {number(1500)}) FROM cnt) AS e, (SELECT list_transform(range(3 * k), lambda x: CAST(NULL AS DOUBLE)) FROM cnt) AS se,
+    (SELECT list_transform(range(k), lambda x: CAST(0 AS BIGINT)) FROM cnt) AS n, (SELECT list_transform(range(3 * k), lambda x: CAST(0 AS BIGINT)) FROM cnt) AS sn, (SELECT list_transform(range(k), lambda x: CAST(NULL AS BIGINT)) FROM cnt) AS lp
   FROM (SELECT DISTINCT tour FROM o)
   UNION ALL
-  SELECT tour, seq, match_id, winner, loser, date, surface, we, le, ws, ls, we + 250 / pow(wn + 5, 0.4) * wt * (1 - 1 / (1 + pow(10, -(we - le) / 400))), le - 250 / pow(ln_ + 5, 0.4) * wt * (1 - 1 / (1 + pow(10, -(we - le) / 400))), wn + 1, ln_ + 1,
-    list_transform(e, lambda x, i: CASE WHEN i = wi THEN we + 250 / pow(wn + 5, 0.4) * wt * (1 - 1 / (1 + pow(10, -(we - le) / 400))) WHEN i = li THEN le - 250 / pow(ln_ + 5, 0.4) * wt * (1 - 1 / (1 + pow(10, -(we - le) / 400))) ELSE x END),
-    list_transform(se, lambda x, i: CASE WHEN i = 3 * wi - 2 + si THEN ws + 200 / pow(wsn + 5, 0.4) * wt * (1 - 1 / (1 + pow(10, -(ws - ls) / 400))) WHEN i = 3 * li - 2 + si THEN ls - 200 / pow(lsn + 5, 0.4) * wt * (1 - 1 / (1 + pow(10, -(ws - ls) / 400))) ELSE x END),
-    list_transform(n, lambda x, i: CASE WHEN i = wi OR i = li THEN x + 1 ELSE x END), list_transform(sn, lambda x, i: CASE WHEN i = 3 * wi - 2 + si OR i = 3 * li - 2 + si THEN x + 1 ELSE x END)
-  FROM (SELECT o.tour, o.seq, o.match_id, o.winner, o.loser, o.date, o.surface, o.wi, o.li, o.si, o.wt, walk.e, walk.se, walk.n, walk.sn, walk.e[o.wi] AS we, walk.e[o.li] AS le, walk.n[o.wi] AS wn, walk.n[o.li] AS ln_,
-      coalesce(walk.se[3 * o.wi - 2 + o.si], walk.e[o.wi]) AS ws, coalesce(walk.se[3 * o.li - 2 + o.si], walk.e[o.li]) AS ls, walk.sn[3 * o.wi - 2 + o.si] AS wsn, walk.sn[3 * o.li - 2 + o.si] AS lsn
-    FROM walk JOIN o ON o.tour = walk.tour AND o.seq = walk.seq + 1)),
+  SELECT tour, seq, match_id, winner, loser, date, surface, we, le, ws, ls, bw, bl, ds, CASE WHEN skipped THEN we ELSE we + dw END, CASE WHEN skipped THEN le ELSE le - dl END, CASE WHEN skipped THEN wn ELSE wn + 1 END, CASE WHEN skipped THEN ln_ ELSE ln_ + 1 END, NOT skipped,
+    CASE WHEN skipped THEN e ELSE list_transform(e, lambda x, i: CASE WHEN i = wi THEN we + dw WHEN i = li THEN le - dl ELSE x END) END,
+    CASE WHEN skipped THEN se ELSE list_transform(se, lambda x, i: CASE WHEN i = {own("wi")} THEN ws + dsw WHEN i = {own("li")} THEN ls - dsl
+      WHEN {r.transfer} > 0 AND i BETWEEN 3 * wi - 2 AND 3 * wi THEN coalesce(x, we) + {r.transfer} * dsw WHEN {r.transfer} > 0 AND i BETWEEN 3 * li - 2 AND 3 * li THEN coalesce(x, le) - {r.transfer} * dsl ELSE x END) END,
+    CASE WHEN skipped THEN n ELSE list_transform(n, lambda x, i: CASE WHEN i = wi OR i = li THEN x + 1 ELSE x END) END, CASE WHEN skipped THEN sn ELSE list_transform(sn, lambda x, i: CASE WHEN i = {own("wi")} OR i = {own("li")} THEN x + 1 ELSE x END) END,
+    CASE WHEN skipped THEN lp ELSE list_transform(lp, lambda x, i: CASE WHEN i = wi OR i = li THEN day ELSE x END) END
+  FROM (SELECT *, {r.k} / pow(wn + {r.offset}, {r.shape}) * wt * wb * eo AS dw, {r.k} / pow(ln_ + {r.offset}, {r.shape}) * wt * lb * eo AS dl,
+      {r.surface_k} / pow(wsn + {r.surface_offset}, {r.surface_shape}) * wt * wb * es AS dsw, {r.surface_k} / pow(lsn + {r.surface_offset}, {r.surface_shape}) * wt * lb * es AS dsl
+    FROM (SELECT *, (1 - {blend("wsn")}) * we + {blend("wsn")} * ws AS bw, (1 - {blend("lsn")}) * le + {blend("lsn")} * ls AS bl, {miss("(we + wh)", "(le + lh)")} AS eo, {miss("(ws + wh)", "(ls + lh)")} AS es, {boost("wl")} AS wb, {boost("ll")} AS lb
+      FROM (SELECT o.tour, o.seq, o.match_id, o.winner, o.loser, o.date, CAST(o.day AS BIGINT) AS day, o.surface, o.wi, o.li, o.si, o.wt, o.wh, o.lh, o.ds, o.skipped, walk.e, walk.se, walk.n, walk.sn, walk.lp, walk.e[o.wi] AS we, walk.e[o.li] AS le, walk.n[o.wi] AS wn, walk.n[o.li] AS ln_,
+          coalesce(walk.se[3 * o.wi - 2 + o.si], walk.e[o.wi]) AS ws, coalesce(walk.se[3 * o.li - 2 + o.si], walk.e[o.li]) AS ls, walk.sn[3 * o.wi - 2 + o.si] AS wsn, walk.sn[3 * o.li - 2 + o.si] AS lsn, walk.lp[o.wi] AS wl, walk.lp[o.li] AS ll
+        FROM walk JOIN o ON o.tour = walk.tour AND o.seq = walk.seq + 1)))),
 elo AS (SELECT * FROM walk WHERE seq > 0),
-after AS (SELECT tour, seq, match_id, winner AS player, w_after AS elo, w_n AS n, date, surface FROM elo UNION ALL SELECT tour, seq, match_id, loser, l_after, l_n, date, surface FROM elo)
+after AS (SELECT tour, seq, match_id, winner AS player, w_after AS elo, w_n AS n, date, surface FROM elo WHERE counted UNION ALL SELECT tour, seq, match_id, loser, l_after, l_n, date, surface FROM elo WHERE counted)
 """
 
 
-def elo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["match_id", "tour", "winner", "loser", "date", "event_id", "round_order", "surface", "tier_k", "w_games", "l_games", "completed"]
-    return ordered_fold(matches(spark, sf_dir).select(*columns), "tour", list(ORDER), r.elo_walk, r.ELO)
+_WALK = walk_sql(Rating())
+#: Settings with every rule of the walk at work.
+ALL_RULES = Rating(k=145, shape=0.21, surface_k=52, surface_shape=0.33, blend=0.63, margin=0.22, cap=2.0, transfer=0.27, blend_half=10, home=30, skip_walkovers=True, retired=0.72, layoff_days=60, layoff_boost=0.44, best_of_5=1.28)
+
+
+def elo(spark: SparkSession, sf_dir: str, rating: Rating | None = None, m: DataFrame | None = None) -> DataFrame:
+    """The rating walk over all matches, or over ``m``."""
+    rating, m = rating or Rating(), matches(spark, sf_dir) if m is None else m
+    if not rating.home:
+        m = m.withColumns({"w_home": F.lit(0), "l_home": F.lit(0)})
+    else:
+        host = F.split("event_id", "-")[0].cast("int")
+        for side, who in (("w", "winner"), ("l", "loser")):
+            m = m.join(players(spark, sf_dir).select(F.col("player").alias(who), F.col("ioc").alias("_ioc")), who, "left").withColumn(f"{side}_home", F.coalesce((F.col("_ioc") == host).cast("int"), F.lit(0))).drop("_ioc")
+    return ordered_fold(m, "tour", list(ORDER), r.rating_walk(rating), r.ELO)
 
 
 def after(walk: DataFrame) -> DataFrame:
-    """One row for each player and match with the rating after it."""
+    """One row for each player and counted match with the rating after it."""
+    walk = walk.filter("counted")
     both = F.explode(F.array(F.struct(F.col("winner").alias("player"), F.col("w_after").alias("elo"), F.col("w_n").alias("n")), F.struct(F.col("loser").alias("player"), F.col("l_after").alias("elo"), F.col("l_n").alias("n"))))
     return walk.select("tour", "match_id", "date", "surface", both.alias("x")).select("tour", "match_id", "date", "surface", "x.*")
 
@@ -99,14 +130,39 @@ def movers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.groupBy("tour", "player").agg(F.count("*").alias("points"), F.round(F.min_by("elo", "place") - F.max_by("elo", "place"), 6).alias("delta")).filter("points >= 4")
 
 
+@query(walk_sql(ALL_RULES) + f""", sd AS (SELECT tour, seq, match_id, winner AS player, date, w_elo AS now FROM elo UNION ALL SELECT tour, seq, match_id, loser, date, l_elo FROM elo),
+pv AS (SELECT s.*, (SELECT max(a.date) FROM after a WHERE a.tour = s.tour AND a.player = s.player AND a.seq < s.seq) AS prev FROM sd s),
+fm AS (SELECT p.match_id, p.player, round(coalesce(p.now - arg_max(a.elo, a.seq), 0), 6) AS form FROM pv p LEFT JOIN after a ON a.tour = p.tour AND a.player = p.player AND a.seq < p.seq AND a.date <= p.date - {int(ALL_RULES.form_days)} AND a.date >= p.prev - {int(ALL_RULES.keep_days)} GROUP BY p.match_id, p.player, p.now)
+SELECT e.match_id, round(w_elo, 6) AS w_elo, round(l_elo, 6) AS l_elo, round(w_selo, 6) AS w_selo, round(l_selo, 6) AS l_selo, round(w_belo, 6) AS w_belo, round(1 / (1 + pow(10, -(w_belo - l_belo) * stretch / 400)), 6) AS p_blend,
+  round(w_after, 6) AS w_after, counted, f.form AS w_form, g.form AS l_form FROM elo e JOIN fm f ON f.match_id = e.match_id AND f.player = e.winner JOIN fm g ON g.match_id = e.match_id AND g.player = e.loser""")
+def rating_walk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk with transfer between surfaces, adaptive blend, home bonus, skipped walkovers, weighted retirements, layoffs,
+    long matches and form."""
+    columns = ("w_elo", "l_elo", "w_selo", "l_selo", "w_belo", "p_blend", "w_after", "w_form", "l_form")
+    return elo(spark, sf_dir, ALL_RULES).select("match_id", *[F.round(c, 6).alias(c) for c in columns], "counted")
+
+
+def serve(spark: SparkSession, sf_dir: str, settings: r.Serve | None = None, m: DataFrame | None = None) -> DataFrame:
+    """The serve walk, its league averages taken from the same matches, with the point model's chance ``p_point``."""
+    m = matches(spark, sf_dir) if m is None else m
+    served = m.filter("w_svpt is not null").groupBy("surface").agg(F.sum(F.col("w_won") + F.col("l_won")).alias("won"), F.sum(F.col("w_svpt") + F.col("l_svpt")).alias("n")).collect()  # a row a surface
+    total = sum(x["n"] for x in served)
+    average = sum(x["won"] for x in served) / total if total else 0.62
+    rows = m.withColumns({c: F.col(c).cast("double") for c in ("w_svpt", "w_won", "l_svpt", "l_won")}).fillna(0.0, ["w_svpt", "w_won", "l_svpt", "l_won"])
+    walk = ordered_fold(rows, "tour", list(ORDER), r.serve_walk(settings or r.Serve(), average, {x["surface"]: x["won"] / x["n"] for x in served}), r.SERVE)
+
+    def priced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(p_point=r.point_match(frame["pa"].to_numpy(), frame["pb"].to_numpy(), frame["best_of"].to_numpy()))
+
+    return walk.mapInPandas(priced, r.SERVE + ", p_point double")
+
+
 @query()
 def serve_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Serve and return skills before each match; tested against a plain restatement."""
-    m = matches(spark, sf_dir)
-    total = m.agg(F.sum(F.col("w_won") + F.col("l_won")).alias("won"), F.sum(F.col("w_svpt") + F.col("l_svpt")).alias("n")).first()
-    league = total["won"] / total["n"] if total["n"] else 0.6
-    columns = ["match_id", "tour", "winner", "loser", "date", "day", "event_id", "round_order", "w_svpt", "w_won", "l_svpt", "l_won"]
-    return ordered_fold(m.select(*columns), "tour", list(ORDER), r.serve_walk(league), r.SERVE)
+    """Serve and return skills by surface, venue effects and the point model's chance before each match; a test holds it to a
+    plain restatement."""
+    return serve(spark, sf_dir, r.Serve(venue_shrink=2000.0))
 
 
 @query("SELECT part.p_partkey, round(p, 6) AS p, round(pow(p, 4) * (1 + 4 * (1 - p) + 10 * (1 - p) * (1 - p)) + 20 * pow(p * (1 - p), 3) * p * p / (1 - 2 * p * (1 - p)), 6) AS hold FROM part JOIN (SELECT p_partkey, 0.3 + (p_size % 50) / 100.0 AS p FROM part) USING (p_partkey)")
@@ -142,56 +198,18 @@ def set_from_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.round(s.set_from_match(p, 3), 6).alias("set_p"))
 
 
-def tiebreak(serve: float, other: float, to: int = 7) -> float:
-    """Chance to win a tie-break for the side that serves first, from its points won on serve and on return."""
-    table: dict[tuple[int, int], float] = {}
-    deuce = serve * other / (serve * other + (1 - serve) * (1 - other))
-    for a in range(to, -1, -1):
-        for b in range(to, -1, -1):
-            if a == to or b == to:
-                table[a, b] = deuce if a == b else float(a > b)
-            elif a == b == to - 1:
-                table[a, b] = deuce
-            else:
-                p = serve if (a + b + 1) // 2 % 2 == 0 else other
-                table[a, b] = p * table[a + 1, b] + (1 - p) * table[a, b + 1]
-    return table[0, 0]
-
-
-def set_chance(serve: float, other: float) -> float:
-    """Chance to win a set with the first service game, from points won on serve (own) and on return."""
-    hold = lambda p: p**4 * (1 + 4 * (1 - p) + 10 * (1 - p) ** 2) + 20 * (p * (1 - p)) ** 3 * p * p / (1 - 2 * p * (1 - p))
-    own, back = hold(serve), 1 - hold(1 - other)
-    table: dict[tuple[int, int], float] = {}
-
-    def at(a: int, b: int) -> float:
-        if a >= 6 and a - b >= 2 or a == 7:
-            return 1.0
-        if b >= 6 and b - a >= 2 or b == 7:
-            return 0.0
-        if a == b == 6:
-            return tiebreak(serve, other)
-        if (a, b) not in table:
-            p = own if (a + b) % 2 == 0 else back
-            table[a, b] = p * at(a + 1, b) + (1 - p) * at(a, b + 1)
-        return table[a, b]
-
-    return at(0, 0)
-
-
 @query()
 def set_chance_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chances of a set for the distinct pairs of serve and return shares (two decimals), averaged over who serves first.
 
-    The pairs are reduced to a grid before the dynamic program runs on it; tested against simulation and symmetry.
+    The pairs are reduced to a grid before the dynamic program runs on it, all of a batch at once.
     """
     m = matches(spark, sf_dir).filter("w_svpt is not null")
     grid = m.select(F.round(F.col("w_won") / F.col("w_svpt"), 2).alias("a"), F.round(1 - F.col("l_won") / F.col("l_svpt"), 2).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            clip = frame.assign(x=frame["a"].clip(0.05, 0.95), y=frame["b"].clip(0.05, 0.95))
-            frame["p"] = [(set_chance(x, y) + 1 - set_chance(1 - y, 1 - x)) / 2 for x, y in zip(clip["x"], clip["y"], strict=True)]
-            yield frame
+            x, y = (frame[c].clip(*r.CLIP).to_numpy() for c in "ab")
+            yield frame.assign(p=(r.set_chance(x, y) + 1 - r.set_chance(1 - y, 1 - x)) / 2)
 
     return grid.mapInPandas(run, "a double, b double, n bigint, p double")
