@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
-    """What NFKD without combining marks makes of Latin, Greek and Cyrillic letters: one character, or several."""
+    """What NFKD without combining marks makes of Latin, Greek and Cyrillic letters and of punctuation: one character, or several."""
     one, several = {}, {}
-    for code in (*range(0xA0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000), *range(0xFB00, 0xFB07)):
+    for code in (*range(0xA0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2070), *range(0xFB00, 0xFB07)):
         plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
         if plain != chr(code):
             (one if len(plain) == 1 else several)[chr(code)] = plain

@@ -6,12 +6,20 @@ at once: in round r the slots s >> r meet, so each round is one join on (event,
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from matchlake.sources.files import staged
+
+#: Simulated brackets that one task plays at once.
+CHUNK = 1000
+
 
 def seed_order(rounds: int) -> list[int]:
     """Seeds by slot: each round pairs every seed with its complement."""
@@ -49,24 +57,36 @@ def propagate(slots: DataFrame, key: str, rounds: int, chance: Column, lock: Cal
         meet = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.half") != F.col("y.half")))
         p = F.when(F.col("x.player").isNull(), F.when(F.col("y.player").isNull(), 0.5).otherwise(0.0)).when(F.col("y.player").isNull(), 1.0).otherwise(F.coalesce(lock(r), chance) if lock else chance)
         won = meet.groupBy(F.col(f"x.{key}").alias(key), F.col("x.slot").alias("slot"), F.col("x.player").alias("player"), F.col("x.rating").alias("rating")).agg(F.sum(F.col("x.reach") * F.col("y.reach") * p).alias("reach"))
-        done = won.select(key, "slot", "player", F.lit(r).alias("round"), "reach")
+        now = staged(won) if r < rounds else won  # else every round's plan would hold all before it twice
+        done = now.select(key, "slot", "player", F.lit(r).alias("round"), "reach")
         out = done if out is None else out.unionByName(done)
-        now = won
     return out
 
 
-def simulate(slots: DataFrame, key: str, rounds: int, chance: Column, runs: int, seed: int) -> DataFrame:
-    """key, player, round, wins: how often each player wins a round in simulated brackets, runs dealt over tasks.
-    Fields with fewer rounds end with their final."""
-    sims = slots.sparkSession.range(runs).withColumnRenamed("id", "run")
-    now = slots.select(key, "slot", "player", "rating").join(F.broadcast(sims)).repartition(key, "run")
-    out = None
-    for r in range(1, rounds + 1):
-        entry = F.struct("slot", "player", "rating")
-        pairs = now.groupBy(key, "run", F.shiftright("slot", r).alias("block")).agg(F.min_by(entry, "slot").alias("x"), F.max_by(entry, "slot").alias("y")).filter("x.slot <> y.slot")
-        draw = (F.pmod(F.xxhash64(F.lit(seed), key, "run", F.lit(r), "block"), F.lit(1 << 30)) / float(1 << 30)).alias("u")
-        first = F.when(F.col("x.player").isNull(), False).when(F.col("y.player").isNull(), True).otherwise(F.col("u") < chance)
-        now = pairs.select(key, "run", "x", "y", draw).select(key, "run", F.when(first, F.col("x")).otherwise(F.col("y")).alias("w")).select(key, "run", "w.slot", "w.player", "w.rating")
-        done = now.groupBy(key, "player").agg(F.count("*").alias("wins")).withColumn("round", F.lit(r))
-        out = done if out is None else out.unionByName(done)
-    return out.filter("player is not null")
+def simulate(slots: DataFrame, key: str, chance: Callable[[np.ndarray, np.ndarray], np.ndarray], runs: int, seed: int) -> DataFrame:
+    """key, player, round, wins: how often each player wins a round in simulated brackets.
+
+    Runs are dealt to tasks in chunks; a chunk plays its brackets as arrays and gives back counts only. ``chance`` prices
+    arrays of ratings against each other. Fields with fewer rounds end with their final.
+    """
+
+    def play(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("slot")
+        player = frame["player"].astype("float64").to_numpy()  # no player: not a number
+        rating, event, chunk = frame["rating"].astype("float64").to_numpy(), frame[key].iloc[0], int(frame["chunk"].iloc[0])
+        rng = np.random.default_rng([seed, chunk, zlib.crc32(str(event).encode())])
+        n = min(CHUNK, runs - chunk * CHUNK)
+        now, out, r = np.broadcast_to(np.arange(len(player)), (n, len(player))), [], 0
+        while now.shape[1] > 1:
+            r += 1
+            a, b = now[:, ::2], now[:, 1::2]
+            first = rng.random(a.shape) < chance(rating[a], rating[b])
+            first = np.where(np.isnan(player[a]), False, np.where(np.isnan(player[b]), True, first))
+            now = np.where(first, a, b)
+            wins = np.bincount(now.ravel(), minlength=len(player))
+            out += [(event, int(player[i]), r, int(wins[i])) for i in np.flatnonzero(wins) if not np.isnan(player[i])]
+        return pd.DataFrame(out, columns=[key, "player", "round", "wins"])
+
+    dealt = slots.select(key, "slot", "player", "rating", F.explode(F.sequence(F.lit(0), F.lit((runs - 1) // CHUNK))).alias("chunk"))
+    played = dealt.groupBy(key, "chunk").applyInPandas(play, f"{key} {slots.schema[key].dataType.simpleString()}, player bigint, round int, wins bigint")
+    return played.groupBy(key, "player", "round").agg(F.sum("wins").alias("wins"))

@@ -11,14 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def sequence(df: DataFrame, order: list[Column], name: str = "seq", bins: int = 64) -> DataFrame:
-    """Number all rows from 1 in a total order.
+#: Rows of a bin that one task numbers, about.
+BIN = 200_000
+
+
+def sequence(df: DataFrame, order: list[Column], name: str = "seq", bins: int | None = None) -> DataFrame:
+    """Number all rows from 1 in a total order led by a number (nulls not allowed in it).
 
     Rows are ranged by the first key into bins cut at approximate quantiles of its value, numbered within bins, and
-    shifted by the sizes of the bins before; only bin sizes meet in one place.
+    shifted by the sizes of the bins before; only bin sizes meet in one place. Bins are as many as the rows ask for.
     """
     lead = df.withColumn("_lead", order[0].cast("double") if order else F.lit(0.0))
-    cuts = sorted(set(lead.approxQuantile("_lead", [i / bins for i in range(1, bins)], 0.001)))
+    bins = bins or min(1024, 1 + lead.count() // BIN)
+    cuts = sorted(set(lead.approxQuantile("_lead", [i / bins for i in range(1, bins)], 0.001))) if bins > 1 else []
     binned = lead.withColumn("_bin", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("_lead"))) if cuts else F.lit(0))
     sizes = binned.groupBy("_bin").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
@@ -26,6 +31,19 @@ def sequence(df: DataFrame, order: list[Column], name: str = "seq", bins: int =
     return numbered.join(F.broadcast(before), "_bin").withColumn(name, (F.col("_row") + F.col("_before")).cast("long")).drop("_lead", "_bin", "_row", "_before")
 
 
+def near(left: DataFrame, right: DataFrame, on: list[str], left_day: str, right_day: str, low: int, high: int) -> DataFrame:
+    """Rows of equal keys whose right day is ``low`` to ``high`` days after the left one.
+
+    Both sides meet by key and by a stretch of days, so a key's whole past is not paired; a left row is dealt to the two
+    stretches at most that its days touch.
+    """
+    stretch = lambda d: F.floor(F.unix_date(d) / (high - low + 1)).cast("int")
+    first, last = F.date_add(left_day, low), F.date_add(left_day, high)
+    dealt = left.withColumn("_stretch", F.explode(F.sequence(stretch(first), stretch(last))))
+    met = dealt.join(right.withColumn("_stretch", stretch(F.col(right_day))), [*on, "_stretch"]).drop("_stretch")
+    return met.filter(F.datediff(right_day, left_day).between(low, high))
+
+
 def ordered_fold(df: DataFrame, by: str, order: list[str], start: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """Run a stateful step over the rows of each key, in order.
 

@@ -35,8 +35,6 @@ walk(a, b) AS (SELECT a, b FROM sym UNION SELECT w.a, s.b FROM walk w JOIN sym s
 """
 
 
-#: The rows that the SQL of the queries without ``_all`` names; the queries with it take every row.
-_STATED = "year = 1996 and draw_level = 'qual'"
 _ALL_GROUPS = _GROUPS.replace(" WHERE year = 1996 AND draw_level = 'qual'", "")
 
 
@@ -63,9 +61,10 @@ def coalesced(m: DataFrame) -> DataFrame:
     return joined.groupBy(F.coalesce("root", "e").alias("root")).agg(F.count("*").alias("events"), F.min("lo").alias("start"), F.max("hi").alias("finish"))
 
 
-@query(_GROUPS + "SELECT a AS event_id, min(b) AS root FROM walk GROUP BY a")
+@query(_ALL_GROUPS + "SELECT a AS event_id, min(b) AS root FROM walk GROUP BY a")
 def event_coverage_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(matches(spark, sf_dir).filter(_STATED))
+    """Events of every season and draw that overlap in time and share a pair of players, by their smallest id."""
+    return components(matches(spark, sf_dir))
 
 
 @query(_ALL_GROUPS + "SELECT a AS event_id, min(b) AS root FROM walk GROUP BY a")
@@ -74,10 +73,10 @@ def event_coverage_components_all(spark: SparkSession, sf_dir: str) -> DataFrame
     return components(matches(spark, sf_dir))
 
 
-@query(_GROUPS + ", roots AS (SELECT a AS e, min(b) AS root FROM walk GROUP BY a) SELECT root, count(*) AS events, min(lo) AS start, max(hi) AS finish FROM roots JOIN ev USING (e) GROUP BY root")
+@query(_ALL_GROUPS + ", roots AS (SELECT a AS e, min(b) AS root FROM walk GROUP BY a) SELECT root, count(*) AS events, min(lo) AS start, max(hi) AS finish FROM roots JOIN ev USING (e) GROUP BY root")
 def event_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged events with their span."""
-    return coalesced(matches(spark, sf_dir).filter(_STATED))
+    return coalesced(matches(spark, sf_dir))
 
 
 @query(_ALL_GROUPS + ", roots AS (SELECT a AS e, min(b) AS root FROM walk GROUP BY a) SELECT root, count(*) AS events, min(lo) AS start, max(hi) AS finish FROM roots JOIN ev USING (e) GROUP BY root")
@@ -94,12 +93,12 @@ def display_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("event")).agg(F.coalesce(F.min_by("p_name", short), F.max_by("p_type", F.struct(F.length("p_type"), "p_type"))).alias("display"), F.count_distinct("p_name").alias("aliases"))
 
 
-@query("""WITH t AS (SELECT p_partkey AS k, list_sort(list_distinct(string_split(lower(p_name || ' ' || split_part(p_type, ' ', 1)), ' '))) AS w FROM part WHERE p_size < 10),
+@query("""WITH t AS (SELECT p_partkey AS k, list_sort(list_distinct(string_split(lower(p_name || ' ' || split_part(p_type, ' ', 1)), ' '))) AS w FROM part),
 tok AS (SELECT k, w, unnest(w) AS x FROM t), c AS (SELECT a.k AS k, b.k AS other, count(*) AS shared, len(a.w) AS n, len(b.w) AS m FROM tok a JOIN tok b ON a.x = b.x AND a.k <> b.k GROUP BY ALL)
 SELECT k, count(*) AS near, min(other) AS first FROM c WHERE shared = n AND m >= n GROUP BY k""")
 def alias_near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names whose words are all among another's: spellings that may be one player's."""
-    return near_misses(spellings(table(spark, sf_dir, "part").filter("p_size < 10")))
+    return near_misses(spellings(table(spark, sf_dir, "part")))
 
 
 @query()

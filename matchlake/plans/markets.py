@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchlake.functions import scalars as s
 from matchlake.operators.merge import keep_best, upsert
+from matchlake.operators.order import near
 from matchlake.plans.metrics import log_loss, scored
 from matchlake.plans.registry import query
 from matchlake.plans.metrics import _P
@@ -58,8 +59,8 @@ def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored matches with the nearest odds of the same players within four days."""
     o = best_book(odds(spark, sf_dir)).select(F.col("match_id").alias("odds_id"), F.col("w_key").alias("winner"), F.col("l_key").alias("loser"), F.col("date").alias("odds_date"), "book", "odds_w", "odds_l")
     gap = F.abs(F.datediff("date", "odds_date"))
-    near = scored(spark, sf_dir).join(o, ["winner", "loser"]).filter(gap <= 4)
-    one = keep_best(near, ["date", "winner", "loser"], [gap, F.col("odds_id"), F.col("match_id")])
+    met = near(scored(spark, sf_dir), o, ["winner", "loser"], "date", "odds_date", -4, 4)
+    one = keep_best(met, ["date", "winner", "loser"], [gap, F.col("odds_id"), F.col("match_id")])
     return one.withColumn("mkt", s.market_probability(F.col("odds_w"), F.col("odds_l")))
 
 
@@ -167,7 +168,7 @@ def ledger_join_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = matches(spark, sf_dir).select("match_id", "date", "round_order", F.least("winner", "loser").alias("lo"), F.greatest("winner", "loser").alias("hi"))
     t = m.filter("match_id % 3 = 0").select(F.col("match_id").alias("ticker"), "lo", "hi", F.date_add("date", (F.col("match_id") % 5 - 2).cast("int")).alias("occ"), F.col("round_order").alias("r"))
     days = F.datediff("date", "occ")
-    cand = t.join(m, ["lo", "hi"]).filter(days.between(-8, 21))
+    cand = near(t, m, ["lo", "hi"], "occ", "date", -8, 21)
     rank = F.struct((F.col("round_order") != F.col("r")).alias("other"), F.abs(days).alias("gap"))
     grouped = cand.groupBy("ticker", rank.alias("rank")).agg(F.count("*").alias("n"), F.min("match_id").alias("match_id"))
     best = grouped.groupBy("ticker").agg(F.min(F.struct("rank", "n", "match_id")).alias("b"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from matchlake.operators.order import sequence
 from matchlake.plans.metrics import _P, scored
 from matchlake.plans.registry import query
 from matchlake.sources.adapters import MATCHES, matches, player_long, players, table
@@ -15,10 +16,10 @@ _BOARD = MATCHES + """, act AS (SELECT player, count(*) AS n, CAST(sum(won) AS B
 
 
 def board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Players by ranking points; the board is one row a player, a dimension."""
+    """Players by ranking points, numbered without a task that sees them all."""
     acts = player_long(matches(spark, sf_dir)).groupBy("player").agg(F.count("*").alias("n"), F.sum("won").cast("long").alias("wins"))
     joined = players(spark, sf_dir).join(acts, "player").select("player", "name", "points", "age", "hand", "n", "wins")
-    return joined.withColumn("rank", F.row_number().over(W.orderBy(F.desc_nulls_last("points"), "player")).cast("long"))
+    return sequence(joined, [F.coalesce(-F.col("points"), F.lit(1 << 40)), F.col("player")], "rank")
 
 
 @query(_BOARD + "SELECT rank, player, name, points, age, hand, n, wins, round(wins / n, 6) AS share FROM pb")
@@ -34,8 +35,9 @@ def rankings_age_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_BOARD + "SELECT player, row_number() OVER (ORDER BY points ASC NULLS LAST, player) AS up, row_number() OVER (ORDER BY points DESC NULLS LAST, player) AS down FROM pb")
 def sort_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    up, down = W.orderBy(F.asc_nulls_last("points"), "player"), W.orderBy(F.desc_nulls_last("points"), "player")
-    return board(spark, sf_dir).select("player", F.row_number().over(up).cast("long").alias("up"), F.row_number().over(down).cast("long").alias("down"))
+    last = F.lit(1 << 40)
+    up = sequence(board(spark, sf_dir).select("player", "points"), [F.coalesce("points", last), F.col("player")], "up")
+    return sequence(up, [F.coalesce(-F.col("points"), last), F.col("player")], "down").select("player", "up", "down")
 
 
 @query(_BOARD + "SELECT player, round((rank() OVER (ORDER BY points) - 1 + 0.5 * count(*) OVER (PARTITION BY points)) / count(*) OVER (), 6) AS pct, round(cume_dist() OVER (ORDER BY points), 6) AS at_most FROM pb WHERE points IS NOT NULL")
@@ -144,4 +146,5 @@ def tournament_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = matches(spark, sf_dir).groupBy("event_id").agg(F.min("date").alias("start"), F.max("date").alias("finish"), F.min("tier").alias("tier"))
     status = F.when(F.col("finish") < now, "completed").when(F.col("start") > now, "upcoming").otherwise("active")
     order = F.when(status == "active", 0).when(status == "upcoming", 1).otherwise(2)
-    return t.select("event_id", status.alias("status"), F.row_number().over(W.orderBy(order, F.desc("finish"), "tier", "event_id")).cast("long").alias("place"))
+    led = 1_000_000 * order - F.unix_date("finish")  # status first, then the latest
+    return sequence(t.withColumn("status", status), [led, F.col("tier"), F.col("event_id")], "place").select("event_id", "status", "place")

@@ -21,15 +21,15 @@ slots AS (SELECT e.event, p.slot, p.seed, f.player, f.rating FROM (SELECT DISTIN
 """
 
 
-def rounds_sql(name: str, source: str, extra: str = "", lock: str = "NULL") -> str:
+def rounds_sql(name: str, source: str, extra: str = "", lock: str = "NULL", rounds: int = ROUNDS) -> str:
     """SQL of the same propagation, one pair of expressions a round."""
     keys = "event" + extra
     parts, previous = [], f"(SELECT *, CAST(1 AS DOUBLE) AS reach FROM {source})"
-    for r in range(1, ROUNDS + 1):
+    for r in range(1, rounds + 1):
         block, half = 2**r, 2 ** (r - 1)
         on = " AND ".join(f"x.{k} = y.{k}" for k in keys.split(", "))
-        price = f"CASE WHEN x.player IS NULL AND y.player IS NULL THEN 0.5 WHEN x.player IS NULL THEN 0.0 WHEN y.player IS NULL THEN 1.0 ELSE coalesce({lock if r == ROUNDS else 'NULL'}, 1 / (1 + pow(10, -(x.rating - y.rating) / 4000))) END"
-        parts.append(f"{name}{r} AS (SELECT {', '.join('x.' + k for k in keys.split(', '))}, x.slot, x.player, x.rating, sum(x.reach * y.reach * {price}) AS reach FROM {previous} x JOIN {previous} y ON {on} AND x.slot // {block} = y.slot // {block} AND x.slot // {half} <> y.slot // {half} GROUP BY ALL)")
+        price = f"CASE WHEN x.player IS NULL AND y.player IS NULL THEN 0.5 WHEN x.player IS NULL THEN 0.0 WHEN y.player IS NULL THEN 1.0 ELSE coalesce({lock if r == rounds else 'NULL'}, 1 / (1 + pow(10, -(x.rating - y.rating) / 4000))) END"
+        parts.append(f"{name}{r} AS MATERIALIZED (SELECT {', '.join('x.' + k for k in keys.split(', '))}, x.slot, x.player, x.rating, sum(x.reach * y.reach * {price}) AS reach FROM {previous} x JOIN {previous} y ON {on} AND x.slot // {block} = y.slot // {block} AND x.slot // {half} <> y.slot // {half} GROUP BY ALL)")
         previous = f"{name}{r}"
     return ", ".join(parts)
 
@@ -67,13 +67,19 @@ def exact_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.propagate(slots(spark, sf_dir), "event", ROUNDS, chance()).filter("player is not null").select("event", "player", "round", F.round("reach", 6).alias("reach"))
 
 
-@query()
+#: Rounds that the SQL of whole fields knows; fields of up to 128 players.
+MOST = 7
+_WHOLE = _SLOTS + ", sizes AS (SELECT event, greatest(1, CAST(ceil(log2(count(*))) AS INTEGER)) AS rounds FROM field GROUP BY event), spots AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {i}, {x})" for k in range(1, MOST + 1) for i, x in enumerate(b.seed_order(k))) + ") AS v(rounds, slot, seed)), whole AS (SELECT z.event, p.slot, p.seed, f.player, f.rating FROM sizes z JOIN spots p USING (rounds) LEFT JOIN field f ON f.event = z.event AND f.seed = p.seed)"
+_REACH = " UNION ALL ".join(f"SELECT *, {r} AS round FROM w{r}" for r in range(1, MOST + 1))
+
+
+@query(_WHOLE + " SELECT event, slot, seed, player FROM whole")
 def standard_draw_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every player of each field, and byes."""
     return brackets(spark, sf_dir)[0].select("event", "slot", "seed", "player")
 
 
-@query()
+@query(_WHOLE + ", " + rounds_sql("w", "whole", rounds=MOST) + f" SELECT event, player, round, round(reach, 6) AS reach FROM ({_REACH}) WHERE player IS NOT NULL")
 def exact_reach_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every player of each field, in every round."""
     rows, rounds = brackets(spark, sf_dir)
@@ -162,8 +168,8 @@ def monte_carlo_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simulated(spark: SparkSession, sf_dir: str, runs: int) -> DataFrame:
-    rows, rounds = brackets(spark, sf_dir)
-    return b.simulate(rows, "event", rounds, chance(), runs, seed=7).select("event", "player", "round", (F.col("wins") / runs).alias("reach"))
+    rows, _ = brackets(spark, sf_dir)
+    return b.simulate(rows, "event", lambda x, y: 1 / (1 + 10 ** (-(x - y) / 4000)), runs, seed=7).select("event", "player", "round", (F.col("wins") / runs).alias("reach"))
 
 
 def _pairs(now: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Streams that end up with what a batch query gives."""
+"""Streams in several micro-batches, with rows that come late and files that come twice, that end up with what a batch query gives."""
 
 from __future__ import annotations
 
@@ -11,29 +11,49 @@ from matchlake.sources.files import scratch
 from matchlake.streaming import forecast_log as log
 
 _SCHEMA = "event_id bigint, as_of timestamp, match bigint, player bigint, p double, version string, k int"
+#: Files that the log lands in: as many micro-batches.
+FILES = 4
 
 
-def landed(spark: SparkSession, sf_dir: str, files: int) -> str:
-    """The log as files in order of time."""
+def landed(spark: SparkSession, sf_dir: str, twice: bool = False) -> str:
+    """The log as files in order of time; every tenth row comes up to an hour after its time. With ``twice`` a file follows
+    that repeats rows of the last ones."""
     path = scratch(spark)
-    forecasts(spark, sf_dir).repartitionByRange(files, "as_of").sortWithinPartitions("as_of", "event_id").write.parquet(path)
+    rows = forecasts(spark, sf_dir).withColumn("arrives", F.when(F.col("event_id") % 10 == 0, F.col("as_of") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("as_of")))
+    rows.repartitionByRange(FILES, "arrives").sortWithinPartitions("arrives", "event_id").drop("arrives").write.parquet(path)
+    if twice:
+        latest = rows.agg(F.max("as_of").alias("latest"))
+        again = rows.join(F.broadcast(latest), F.col("as_of") > F.col("latest") - F.expr("INTERVAL 1 HOUR")).drop("arrives", "latest")
+        again.coalesce(1).write.mode("append").parquet(path)
     return path
 
 
 @query(MATCHES + "SELECT DISTINCT match, date_trunc('hour', as_of) AS hour FROM forecasts")
 def stream_hour_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches and hours in the log, each appended once."""
-    stream = log.source(spark, landed(spark, sf_dir, 3), _SCHEMA, files=1000)
+    """Matches and hours in the log, each appended once, though rows repeat across batches."""
+    stream = log.source(spark, landed(spark, sf_dir, twice=True), _SCHEMA)
     return log.run(log.hourly(stream).select("match", "hour"))
 
 
-@query(MATCHES + "SELECT match, arg_min(event_id, (as_of, event_id)) AS event_id, arg_min(p, (as_of, event_id)) AS p FROM forecasts GROUP BY match")
+@query(MATCHES + ", a AS (SELECT *, as_of + INTERVAL 1 HOUR * (CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) AS arrives FROM forecasts) SELECT DISTINCT match FROM a")
 def stream_first_sighting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.run(log.first_sightings(log.source(spark, landed(spark, sf_dir, 2), _SCHEMA, files=1000)))
+    """Every match is locked once, whatever later batches say; a test holds the locked rows to the batches."""
+    return log.run(log.first_sightings(log.source(spark, landed(spark, sf_dir), _SCHEMA))).select("match")
 
 
 @query(MATCHES + """, d AS (SELECT date_trunc('day', as_of) AS day, version, count(*) AS n, round(avg(p), 6) AS p FROM forecasts GROUP BY ALL) SELECT * FROM d WHERE day < (SELECT date_trunc('day', max(as_of) - INTERVAL 1 DAY) FROM forecasts)""")
 def stream_daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily windows that the watermark has closed."""
-    found = log.run(log.windows(log.source(spark, landed(spark, sf_dir, 2), _SCHEMA, files=1000)))
+    """Daily windows that the watermark has closed; rows an hour late still count."""
+    found = log.run(log.windows(log.source(spark, landed(spark, sf_dir), _SCHEMA)))
     return found.select(F.col("w.start").alias("day"), "version", "n", "p")
+
+
+@query(MATCHES + """, r AS (SELECT match, as_of + INTERVAL 20 DAY AS ended, event_id % 2 = 0 AS won FROM forecasts WHERE event_id % 3 = 0) SELECT f.event_id, f.match, f.p, r.won FROM forecasts f JOIN r ON f.match = r.match AND r.ended >= f.as_of - INTERVAL 1 DAY AND r.ended <= f.as_of + INTERVAL 21 DAY""")
+def stream_late_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts graded by results that come within three weeks: two streams joined by match and interval."""
+    left = log.source(spark, landed(spark, sf_dir), _SCHEMA)
+    path = scratch(spark)
+    rows = forecasts(spark, sf_dir).filter("event_id % 3 = 0").select("match", (F.col("as_of") + F.expr("INTERVAL 20 DAYS")).alias("ended"), (F.col("event_id") % 2 == 0).alias("won"))
+    rows.repartitionByRange(FILES, "ended").write.parquet(path)
+    right = log.source(spark, path, "match bigint, ended timestamp, won boolean")
+    return log.run(log.graded(left, right, 21, late="30 days"))

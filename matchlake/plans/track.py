@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from matchlake.operators.merge import keep_best
+from matchlake.operators.order import near
 from matchlake.plans.registry import query
 from matchlake.sources.adapters import MATCHES, forecasts, matches
 
@@ -48,7 +49,7 @@ def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("match_id")
     m = matches(spark, sf_dir).select("match_id", "winner", "date", "event_id", "walkover", F.least("winner", "loser").alias("a"), F.greatest("winner", "loser").alias("b"))
     fc = m.filter(key % 4 < 2).select(key.alias("id"), "a", "b", F.date_sub("date", (key % 25).cast("int")).alias("as_of"), F.when(key % 2 == 0, F.col("event_id")).alias("wanted"), (F.lit(0.3) + (key % 40) / 100.0).alias("p"))
-    cand = fc.select("id", "a", "b", "as_of", "wanted").join(m.filter("not walkover"), ["a", "b"]).filter(F.datediff("date", "as_of").between(-1, 21))
+    cand = near(fc.select("id", "a", "b", "as_of", "wanted"), m.filter("not walkover"), ["a", "b"], "as_of", "date", -1, 21)
     other = (~F.coalesce(F.col("event_id") == F.col("wanted"), F.lit(False))).alias("other")
     each = cand.groupBy("id", other).agg(F.count("*").alias("n"), F.min("match_id").alias("match_id"), F.min(F.col("winner") == F.col("a")).alias("a_won"))
     best = each.groupBy("id").agg(F.min_by(F.struct("n", "match_id", "a_won"), "other").alias("r"))

@@ -1,4 +1,4 @@
-"""The forecast log as Structured Streaming: idempotent hourly snapshots, first sightings and rolling state."""
+"""The forecast log as Structured Streaming: idempotent hourly snapshots, first sightings, windows, late rows and state that expires."""
 
 from __future__ import annotations
 
@@ -13,37 +13,74 @@ from matchlake.sources.files import scratch
 
 
 def source(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
-    """New Parquet files of a folder, a few at a time."""
+    """New Parquet files of a folder, so many a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def hourly(stream: DataFrame) -> DataFrame:
-    """The first row of each match and hour, kept for an hour of lateness."""
+def hourly(stream: DataFrame, late: str = "2 hours") -> DataFrame:
+    """The first row of each match and hour, over all batches; keys are kept for as long as rows may be late."""
     keyed = stream.withColumn("hour", F.date_trunc("hour", "as_of"))
-    return keyed.withWatermark("as_of", "1 hour").dropDuplicatesWithinWatermark(["match", "hour"])
+    return keyed.withWatermark("as_of", late).dropDuplicatesWithinWatermark(["match", "hour"])
 
 
-def windows(stream: DataFrame) -> DataFrame:
+def windows(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """Counts and mean chances by day (an addition of this engine: event-time windows with a watermark)."""
-    return stream.withWatermark("as_of", "1 day").groupBy(F.window("as_of", "1 day").alias("w"), "version").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("p"))
+    return stream.withWatermark("as_of", late).groupBy(F.window("as_of", "1 day").alias("w"), "version").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("p"))
 
 
 def first_sightings(stream: DataFrame) -> DataFrame:
-    """Each match once, when it is first seen, with the earliest row of that batch."""
+    """Each match once, in the batch that first holds it, with the earliest row of that batch: a sighting is locked, later
+    batches never change it."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(frames)
+        first = None
+        for frame in frames:
+            row = frame.sort_values(["as_of", "event_id"]).iloc[0]
+            if first is None or (row["as_of"], row["event_id"]) < (first["as_of"], first["event_id"]):
+                first = row
         if not state.exists:
-            first = rows.sort_values(["as_of", "event_id"]).iloc[0]
             state.update((int(first["event_id"]),))
             yield pd.DataFrame({"match": [key[0]], "event_id": [int(first["event_id"])], "p": [float(first["p"])]})
 
     return stream.groupBy("match").applyInPandasWithState(update, "match bigint, event_id bigint, p double", "event_id bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def run(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process all files there are, then read what was written."""
+def latest(stream: DataFrame, late: str, keep_hours: int) -> DataFrame:
+    """Each match's last row, given out when ``keep_hours`` of event time have passed since it; then its state is gone, and
+    a later row of the match starts anew."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            at, event_id, p = state.get
+            state.remove()
+            yield pd.DataFrame({"match": [key[0]], "event_id": [event_id], "p": [p]})
+            return
+        at, event_id, p = state.get if state.exists else (-1, -1, 0.0)
+        if state.exists and at // 1000 + keep_hours * 3_600_000 <= state.getCurrentWatermarkMs():  # over, though rows came
+            yield pd.DataFrame({"match": [key[0]], "event_id": [event_id], "p": [p]})
+            at, event_id, p = -1, -1, 0.0
+        for frame in frames:
+            for stamp, new, value in zip(frame["as_of"], frame["event_id"], frame["p"], strict=True):
+                when = int(stamp.timestamp() * 1_000_000)
+                if (when, new) > (at, event_id):
+                    at, event_id, p = when, int(new), float(value)
+        state.update((at, event_id, p))
+        state.setTimeoutTimestamp(max(at // 1000 + keep_hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
+
+    return stream.withWatermark("as_of", late).groupBy("match").applyInPandasWithState(update, "match bigint, event_id bigint, p double", "at bigint, event_id bigint, p double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def graded(forecasts: DataFrame, results: DataFrame, grace_days: int, late: str = "1 day") -> DataFrame:
+    """Forecasts joined to the results of their match that come within the grace window; both streams forget older rows."""
+    f = forecasts.withWatermark("as_of", late).alias("f")
+    r = results.withWatermark("ended", late).alias("r")
+    within = F.expr(f"f.match = r.match and r.ended >= f.as_of - interval 1 day and r.ended <= f.as_of + interval {grace_days} days")
+    return f.join(r, within).select("f.event_id", "f.match", "f.p", "r.won")
+
+
+def run(stream: DataFrame, mode: str = "append", checkpoint: str | None = None, out: str | None = None) -> DataFrame:
+    """Process all files there are, a batch after the other, then read what was written; a checkpoint goes on where it ended."""
     spark = stream.sparkSession
-    out, checkpoint = scratch(spark), scratch(spark)
+    out, checkpoint = out or scratch(spark), checkpoint or scratch(spark)
     stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
