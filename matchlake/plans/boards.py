@@ -16,11 +16,14 @@ from matchlake.plans.sim import TOP, matrix
 from matchlake.sources.adapters import MATCHES, matches, player_long, players, table
 from matchlake.sources.files import read_jsonl, scratch, staged
 
-_PL = "WITH field AS (SELECT s_nationkey AS event, s_suppkey AS player, s_name AS name, CAST(s_acctbal AS DOUBLE) AS rating, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS seed FROM supplier) "
+_PL = """WITH field AS (SELECT s_nationkey AS event, s_suppkey AS player, s_name AS name, CAST(s_acctbal AS DOUBLE) AS rating,
+  row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS seed FROM supplier) """
 
 
-@query(_PL + """, ask AS (SELECT a.event, a.player AS i, b.player AS j, a.seed AS si, b.seed AS sj, a.rating AS ri, CASE WHEN b.player % 6 > 0 THEN b.rating END AS rj FROM field a JOIN field b ON a.event = b.event AND a.player < b.player)
-SELECT event, i, j, CASE WHEN si <= 3 AND sj <= 3 THEN round(1 / (1 + pow(10, -(ri - rj0) / 4000)), 6) WHEN rj IS NOT NULL THEN round(1 / (1 + pow(10, -(ri - rj) / 400)), 6) END AS p, CASE WHEN si <= 3 AND sj <= 3 THEN 'matrix' WHEN rj IS NOT NULL THEN 'rating' END AS source
+@query(_PL + """, ask AS (SELECT a.event, a.player AS i, b.player AS j, a.seed AS si, b.seed AS sj, a.rating AS ri, CASE WHEN b.player % 6 > 0 THEN b.rating END AS rj
+  FROM field a JOIN field b ON a.event = b.event AND a.player < b.player)
+SELECT event, i, j, CASE WHEN si <= 3 AND sj <= 3 THEN round(1 / (1 + pow(10, -(ri - rj0) / 4000)), 6) WHEN rj IS NOT NULL THEN round(1 / (1 + pow(10,
+  -(ri - rj) / 400)), 6) END AS p, CASE WHEN si <= 3 AND sj <= 3 THEN 'matrix' WHEN rj IS NOT NULL THEN 'rating' END AS source
 FROM (SELECT ask.*, f.rating AS rj0 FROM ask JOIN field f ON f.event = ask.event AND f.player = ask.j)""")
 def win_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chances of pairs: a cell of the published matrix, else the logistic of both ratings, else none."""
@@ -50,8 +53,10 @@ def ranking_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").filter(low.contains("00000") & low.contains("7")).select(F.col("s_suppkey").alias("player"), F.col("s_name").alias("name"))
 
 
-_EV = MATCHES + """, e AS (SELECT event_id, event, year, min(date) AS start, max(date) AS finish, CASE min(tier) WHEN 1 THEN 'Grand Slam' WHEN 2 THEN 'ATP Finals' WHEN 3 THEN 'Masters 1000' WHEN 4 THEN 'ATP 500' ELSE 'ATP 250' END AS level FROM matches GROUP BY ALL),
-st AS (SELECT *, CASE WHEN finish < DATE '1998-06-01' THEN 'completed' WHEN start > DATE '1998-06-01' THEN 'upcoming' ELSE 'live' END AS status, CASE level WHEN 'Grand Slam' THEN 0 WHEN 'ATP Finals' THEN 1 WHEN 'Masters 1000' THEN 2 WHEN 'ATP 500' THEN 3 ELSE 4 END AS rank FROM e)
+_EV = MATCHES + """, e AS (SELECT event_id, event, year, min(date) AS start, max(date) AS finish, CASE min(tier) WHEN 1 THEN 'Grand Slam' WHEN 2 THEN 'ATP Finals'
+  WHEN 3 THEN 'Masters 1000' WHEN 4 THEN 'ATP 500' ELSE 'ATP 250' END AS level FROM matches GROUP BY ALL),
+st AS (SELECT *, CASE WHEN finish < DATE '1998-06-01' THEN 'completed' WHEN start > DATE '1998-06-01' THEN 'upcoming' ELSE 'live' END AS status,
+  CASE level WHEN 'Grand Slam' THEN 0 WHEN 'ATP Finals' THEN 1 WHEN 'Masters 1000' THEN 2 WHEN 'ATP 500' THEN 3 ELSE 4 END AS rank FROM e)
 """
 
 
@@ -83,7 +88,9 @@ def upcoming_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(spark, sf_dir).filter((F.col("surface") == "Clay") & F.lower("event").contains("a") & (F.col("date") > "1997-01-01")).select("match_id", "event_id")
 
 
-@query(MATCHES + ", o AS (SELECT event_id, match_id, date FROM matches WHERE year = 1997), g AS (SELECT event_id, min({'d': date, 'm': match_id}) AS first, array_to_string(list(match_id ORDER BY date, match_id), ',') AS matches FROM o GROUP BY event_id) SELECT event_id, matches, row_number() OVER (ORDER BY first.d, first.m) AS place FROM g")
+@query(MATCHES + """, o AS (SELECT event_id, match_id, date FROM matches WHERE year = 1997), g AS (SELECT event_id, min({'d': date, 'm': match_id}) AS first,
+  array_to_string(list(match_id ORDER BY date, match_id), ',') AS matches FROM o
+  GROUP BY event_id) SELECT event_id, matches, row_number() OVER (ORDER BY first.d, first.m) AS place FROM g""")
 def upcoming_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A season's schedule grouped by event, groups and matches in the order of the schedule."""
     from matchlake.operators.order import sequence
@@ -95,7 +102,8 @@ def upcoming_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence(rows, [F.unix_date("d"), F.col("m")], "place").select("event_id", "matches", "place")
 
 
-@query(MATCHES + """, pr AS (SELECT m.match_id, floor((coalesce(w.points, 0) + 100.0) / (coalesce(w.points, 0) + coalesce(l.points, 0) + 200.0) * 1000 + 0.5) / 1000 AS p FROM matches m JOIN players w ON w.player = m.winner JOIN players l ON l.player = m.loser WHERE m.completed)
+@query(MATCHES + """, pr AS (SELECT m.match_id, floor((coalesce(w.points, 0) + 100.0) / (coalesce(w.points, 0) + coalesce(l.points, 0) + 200.0) * 1000 + 0.5) / 1000 AS p
+  FROM matches m JOIN players w ON w.player = m.winner JOIN players l ON l.player = m.loser WHERE m.completed)
 SELECT match_id, 'all' AS filter FROM pr UNION ALL SELECT match_id, CASE WHEN p < 0.5 THEN 'upsets' ELSE 'called' END FROM pr""")
 def results_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results under each filter that shows them."""
@@ -121,8 +129,10 @@ def oriented_evidence(value: F.Column, flip: F.Column) -> F.Column:
     return F.when(flip, -value).otherwise(value)
 
 
-@query(MATCHES + """, v AS (SELECT player, sum(games_for) AS g, sum(won) AS w FROM pl GROUP BY player), a AS (SELECT player, 'games' AS axis, CAST(g AS DOUBLE) AS x FROM v UNION ALL SELECT player, 'wins', CAST(w AS DOUBLE) FROM v)
-SELECT player, axis, round((rank() OVER (PARTITION BY axis ORDER BY x) - 1 + 0.5 * count(*) OVER (PARTITION BY axis, x)) / count(*) OVER (PARTITION BY axis), 6) AS percentile FROM a""")
+@query(MATCHES + """, v AS (SELECT player, sum(games_for) AS g, sum(won) AS w FROM pl GROUP BY player), a AS (SELECT player, 'games' AS axis, CAST(g AS DOUBLE) AS x
+  FROM v UNION ALL SELECT player, 'wins', CAST(w AS DOUBLE) FROM v)
+SELECT player, axis, round((rank() OVER (PARTITION BY axis ORDER BY x) - 1 + 0.5 * count(*) OVER (PARTITION BY axis,
+  x)) / count(*) OVER (PARTITION BY axis), 6) AS percentile FROM a""")
 def radar_scalers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mid-rank percentile of every player on every axis, from counts of distinct values."""
     v = player_long(matches(spark, sf_dir)).groupBy("player").agg(F.sum("games_for").cast("double").alias("games"), F.sum("won").cast("double").alias("wins"))
@@ -139,7 +149,8 @@ def reach_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(s.event_key(F.col("event")).alias("event"), "event_id", "player").agg(F.max("round_order").alias("reach"))
 
 
-@query(MATCHES + """, r AS (SELECT player, count(*) AS n, CAST(sum(won) AS BIGINT) AS wins, max(date) AS last, array_to_string(list(CASE WHEN won = 1 THEN 'W' ELSE 'L' END ORDER BY date DESC, match_id DESC)[1:5], '') AS form FROM pl GROUP BY player)
+@query(MATCHES + """, r AS (SELECT player, count(*) AS n, CAST(sum(won) AS BIGINT) AS wins, max(date) AS last, array_to_string(list(CASE WHEN won = 1 THEN 'W'
+  ELSE 'L' END ORDER BY date DESC, match_id DESC)[1:5], '') AS form FROM pl GROUP BY player)
 SELECT p.player, p.name, r.n, r.wins, r.last, r.form, substr(sha256(p.name), 1, 16) || '.json' AS file FROM players p JOIN r USING (player)""")
 def profile_dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One dossier a player, with the file it goes to; recent form from a window of five rows."""
@@ -151,7 +162,9 @@ def profile_dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(totals, "player").join(form, "player").select("player", "name", "n", "wins", "last", "form", "file")
 
 
-@query(MATCHES + """SELECT tour, count(*) AS matches, CAST(count(*) FILTER (WHERE draw_level = 'main') AS BIGINT) AS main, (SELECT count(DISTINCT player) FROM pl q WHERE q.tour = m.tour) AS players, max(date) AS data_to, CAST(count(*) FILTER (WHERE tour = 1 AND tier = 5) AS BIGINT) AS excluded FROM matches m GROUP BY tour""")
+@query(MATCHES + """SELECT tour, count(*) AS matches, CAST(count(*) FILTER (WHERE draw_level = 'main') AS BIGINT) AS main, (SELECT count(DISTINCT player) FROM pl q
+  WHERE q.tour = m.tour) AS players, max(date) AS data_to, CAST(count(*) FILTER (WHERE tour = 1 AND tier = 5) AS BIGINT) AS excluded FROM matches m
+  GROUP BY tour""")
 def build_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, players and what policy excludes, by tour."""
     m = matches(spark, sf_dir)
@@ -160,7 +173,9 @@ def build_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(who, "tour")
 
 
-@query(MATCHES + """SELECT tour, date_diff('day', max(date), DATE '2002-01-01') AS age, date_diff('day', max(date) FILTER (WHERE w_svpt IS NOT NULL), DATE '2002-01-01') AS stats_age, round(avg(CASE WHEN w_svpt IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS coverage, CAST(count(*) FILTER (WHERE date > DATE '1998-07-01') AS BIGINT) AS future FROM matches GROUP BY tour""")
+@query(MATCHES + """SELECT tour, date_diff('day', max(date), DATE '2002-01-01') AS age, date_diff('day', max(date) FILTER (WHERE w_svpt IS NOT NULL),
+  DATE '2002-01-01') AS stats_age, round(avg(CASE WHEN w_svpt IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS coverage,
+  CAST(count(*) FILTER (WHERE date > DATE '1998-07-01') AS BIGINT) AS future FROM matches GROUP BY tour""")
 def tour_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ages of results and statistics, coverage, and rows after a stated day."""
     now = F.lit("2002-01-01").cast("date")
@@ -169,9 +184,14 @@ def tour_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WEIGHTS = {"closeness": 0.30, "quality": 0.25, "stakes": 0.15, "leverage": 0.15, "style": 0.15}
-_WATCHED = MATCHES + """, f AS (SELECT match_id, date, 100 - match_id % 50 AS closeness, match_id % 101 AS quality, match_id % 90 AS stakes, CASE WHEN match_id % 3 = 0 THEN NULL ELSE match_id % 80 END AS leverage, CASE WHEN match_id % 4 = 0 THEN NULL ELSE match_id % 70 END AS style FROM matches),
-s AS (SELECT *, round(0.30 * closeness + 0.25 * quality + 0.15 * stakes + 0.15 * coalesce(leverage, 0) + 0.15 * coalesce(style, 0), 4) AS true_score, 3 + (leverage IS NOT NULL)::INT + (style IS NOT NULL)::INT AS true_cover FROM f),
-w AS (SELECT *, CASE WHEN match_id % 17 = 0 THEN true_score + 1 ELSE true_score END AS score, CASE WHEN match_id % 23 = 0 THEN 5 ELSE true_cover END AS coverage FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, match_id) + CASE WHEN match_id % 29 = 0 THEN 1 ELSE 0 END AS rank FROM w)
+_WATCHED = MATCHES + """, f AS (SELECT match_id, date, 100 - match_id % 50 AS closeness, match_id % 101 AS quality, match_id % 90 AS stakes, CASE
+  WHEN match_id % 3 = 0 THEN NULL ELSE match_id % 80 END AS leverage, CASE WHEN match_id % 4 = 0 THEN NULL ELSE match_id % 70 END AS style
+  FROM matches),
+s AS (SELECT *, round(0.30 * closeness + 0.25 * quality + 0.15 * stakes + 0.15 * coalesce(leverage, 0) + 0.15 * coalesce(style, 0), 4) AS true_score,
+  3 + (leverage IS NOT NULL)::INT + (style IS NOT NULL)::INT AS true_cover FROM f),
+w AS (SELECT *, CASE WHEN match_id % 17 = 0 THEN true_score + 1 ELSE true_score END AS score, CASE WHEN match_id % 23 = 0 THEN 5
+  ELSE true_cover END AS coverage FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, match_id) + CASE
+  WHEN match_id % 29 = 0 THEN 1 ELSE 0 END AS rank FROM w)
 """
 
 
@@ -192,8 +212,10 @@ def weighted() -> tuple[F.Column, F.Column]:
     return F.round(sum(terms[1:], terms[0]), 4), sum(there[1:], there[0])
 
 
-@query(_WATCHED + """SELECT 'score' AS "check", CAST(match_id AS VARCHAR) AS key, 'disagrees with its factors' AS message FROM r WHERE abs(score - true_score) > 0.11 UNION ALL SELECT 'coverage', CAST(match_id AS VARCHAR), 'disagrees with its factors' FROM r WHERE coverage <> true_cover
-UNION ALL SELECT 'ranks', CAST(date AS VARCHAR), 'not contiguous' FROM r GROUP BY date HAVING max(rank) <> count(*) OR count(DISTINCT rank) <> count(*) OR min(rank) <> 1""")
+@query(_WATCHED + """SELECT 'score' AS "check", CAST(match_id AS VARCHAR) AS key, 'disagrees with its factors' AS message FROM r WHERE abs(score - true_score) > 0.11
+  UNION ALL SELECT 'coverage', CAST(match_id AS VARCHAR), 'disagrees with its factors' FROM r WHERE coverage <> true_cover
+UNION ALL SELECT 'ranks', CAST(date AS VARCHAR), 'not contiguous' FROM r GROUP BY date
+  HAVING max(rank) <> count(*) OR count(DISTINCT rank) <> count(*) OR min(rank) <> 1""")
 def gate_watch_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores and coverage recomputed from their factors; ranks of a day without gaps."""
     rows = watched(spark, sf_dir)
@@ -205,12 +227,15 @@ def gate_watch_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(violations(day, "ranks", F.col("date"), (F.col("hi") != F.col("n")) | (F.col("ranks") != F.col("n")) | (F.col("lo") != 1), F.lit("not contiguous")))
 
 
-_PERF = MATCHES + """, d AS (SELECT player, match_id, won, 0.2 + match_id % 60 / 100.0 AS p FROM pl WHERE NOT walkover), s AS (SELECT player, count(*) AS n, CAST(sum(won) AS BIGINT) AS wins, sum(p) AS expected FROM d GROUP BY player),
-pub AS (SELECT player, n, CASE WHEN player % 7 = 3 THEN n + 1 ELSE wins END AS wins, round(expected, 6) AS expected, round(wins - expected + CASE WHEN player % 5 = 2 THEN 0.5 ELSE 0 END, 6) AS delta FROM s)
+_PERF = MATCHES + """, d AS (SELECT player, match_id, won, 0.2 + match_id % 60 / 100.0 AS p FROM pl
+  WHERE NOT walkover), s AS (SELECT player, count(*) AS n, CAST(sum(won) AS BIGINT) AS wins, sum(p) AS expected FROM d GROUP BY player),
+pub AS (SELECT player, n, CASE WHEN player % 7 = 3 THEN n + 1 ELSE wins END AS wins, round(expected, 6) AS expected, round(wins - expected + CASE
+  WHEN player % 5 = 2 THEN 0.5 ELSE 0 END, 6) AS delta FROM s)
 """
 
 
-@query(_PERF + """SELECT 'summary' AS "check", CAST(player AS VARCHAR) AS key, 'inconsistent' AS message FROM pub WHERE wins > n OR expected > n OR abs(delta - (wins - expected)) > 0.002
+@query(_PERF + """SELECT 'summary' AS "check", CAST(player AS VARCHAR) AS key, 'inconsistent' AS message FROM pub
+  WHERE wins > n OR expected > n OR abs(delta - (wins - expected)) > 0.002
 UNION ALL SELECT 'evidence', CAST(p.player AS VARCHAR), 'wins differ from decisions' FROM pub p JOIN s ON s.player = p.player WHERE p.wins <> s.wins""")
 def gate_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Published performance against itself and against its decisions; some players' summaries are damaged here."""
@@ -235,7 +260,9 @@ def method(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "tour string, section string, name string, value double")
 
 
-@query("SELECT * FROM (VALUES ('atp', 'elo', 'blend', 0.63::DOUBLE), ('atp', 'elo', 'transfer', 0.27), ('atp', 'serve', 'half_life', 200), ('atp', 'combiner', 'features', 42), ('wta', 'elo', 'blend', 0.62), ('wta', 'elo', 'transfer', 0.17), ('wta', 'serve', 'half_life', 200), ('wta', 'combiner', 'features', 42)) AS v(tour, section, name, value)")
+@query("""SELECT * FROM (VALUES ('atp', 'elo', 'blend', 0.63::DOUBLE), ('atp', 'elo', 'transfer', 0.27), ('atp', 'serve', 'half_life', 200), ('atp', 'combiner',
+  'features', 42), ('wta', 'elo', 'blend', 0.62), ('wta', 'elo', 'transfer', 0.17), ('wta', 'serve', 'half_life', 200), ('wta', 'combiner', 'features',
+  42)) AS v(tour, section, name, value)""")
 def method_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some of the published settings."""
     return method(spark).filter("name in ('blend', 'transfer', 'half_life', 'features')")
@@ -250,7 +277,8 @@ def method_problems(rows: DataFrame, features: int) -> DataFrame:
     return violations(rows, "range", key, bad, v).unionByName(violations(sections, "section", F.concat_ws("/", "tour", "lost"), F.lit(True), F.lit("missing")))
 
 
-@query("""SELECT * FROM (VALUES ('range', 'atp/elo/blend', '1.5'), ('range', 'wta/combiner/features', '41.0'), ('section', 'wta/serve', 'missing')) AS v("check", key, message)""")
+@query("""SELECT * FROM (VALUES ('range', 'atp/elo/blend', '1.5'), ('range', 'wta/combiner/features', '41.0'), ('section', 'wta/serve',
+  'missing')) AS v("check", key, message)""")
 def gate_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Published settings with a blend beyond 1, a lost section and a wrong number of features: each is found."""
     name = F.col("name")
@@ -258,10 +286,13 @@ def gate_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     return method_problems(method(spark).withColumn("value", value).filter("not (tour = 'wta' and section = 'serve')"), 42)
 
 
-_SHARDS = _PL + ", t AS (SELECT event, player, name, seed, substr(sha256(name), 1, 16) AS file FROM field), i AS (SELECT event, player, file, CASE WHEN player % 9 = 4 THEN seed + 1 ELSE seed END AS place FROM t WHERE player % 11 > 0), sh AS (SELECT event, player, file, seed FROM t WHERE player % 13 > 0) "
+_SHARDS = _PL + """, t AS (SELECT event, player, name, seed, substr(sha256(name), 1, 16) AS file
+  FROM field), i AS (SELECT event, player, file, CASE WHEN player % 9 = 4 THEN seed + 1 ELSE seed END AS place FROM t
+  WHERE player % 11 > 0), sh AS (SELECT event, player, file, seed FROM t WHERE player % 13 > 0) """
 
 
-@query(_SHARDS + """SELECT 'file' AS "check", CAST(i.player AS VARCHAR) AS key, 'no shard' AS message FROM i LEFT JOIN sh USING (player) WHERE sh.player IS NULL UNION ALL SELECT 'stale', CAST(sh.player AS VARCHAR), 'not in the index' FROM sh LEFT JOIN i USING (player) WHERE i.player IS NULL
+@query(_SHARDS + """SELECT 'file' AS "check", CAST(i.player AS VARCHAR) AS key, 'no shard' AS message FROM i LEFT JOIN sh USING (player) WHERE sh.player IS NULL
+  UNION ALL SELECT 'stale', CAST(sh.player AS VARCHAR), 'not in the index' FROM sh LEFT JOIN i USING (player) WHERE i.player IS NULL
 UNION ALL SELECT 'order', CAST(i.player AS VARCHAR), 'index and board disagree' FROM i JOIN t USING (player) WHERE i.place <> t.seed""")
 def gate_profile_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index of profiles against its shards and the board: missing, stale and misplaced entries."""
@@ -276,8 +307,10 @@ def gate_profile_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(violations(both, "order", k, F.col("place") != F.col("seed"), F.lit("index and board disagree")))
 
 
-@query(_PL + """, m AS (SELECT event, seed % 3 AS surface, player, CASE WHEN player % 10 = 1 THEN 'old' ELSE 'g1' END AS generation, seed FROM field), r AS (SELECT event, surface, count(*) AS n, count(DISTINCT generation) AS gens, bool_or(generation <> 'g1') AS stale FROM m GROUP BY ALL)
-SELECT 'generation' AS "check", event || '/' || surface AS key, 'not the index''s' AS message FROM r WHERE stale UNION ALL SELECT 'surfaces', CAST(event AS VARCHAR), CAST(count(*) AS VARCHAR) || ' of 3' FROM r GROUP BY event HAVING count(*) <> 3""")
+@query(_PL + """, m AS (SELECT event, seed % 3 AS surface, player, CASE WHEN player % 10 = 1 THEN 'old' ELSE 'g1' END AS generation, seed
+  FROM field), r AS (SELECT event, surface, count(*) AS n, count(DISTINCT generation) AS gens, bool_or(generation <> 'g1') AS stale FROM m GROUP BY ALL)
+SELECT 'generation' AS "check", event || '/' || surface AS key, 'not the index''s' AS message FROM r WHERE stale
+  UNION ALL SELECT 'surfaces', CAST(event AS VARCHAR), CAST(count(*) AS VARCHAR) || ' of 3' FROM r GROUP BY event HAVING count(*) <> 3""")
 def gate_matrix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of another generation than the index, and events that lack a surface."""
     f = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("event"), F.col("s_suppkey").alias("player"), F.row_number().over(W.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")).alias("seed"))
@@ -287,8 +320,11 @@ def gate_matrix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(violations(n, "surfaces", F.col("event"), F.col("n") != 3, F.concat(F.col("n").cast("string"), F.lit(" of 3"))))
 
 
-@query(MATCHES + """, e AS (SELECT match_id, unnest([{'g': 'ratings', 'v': match_id % 40 - 20}, {'g': 'serve', 'v': match_id % 30 - 15}, {'g': 'rest', 'v': match_id % 11 - 5}]) AS x FROM matches), o AS (SELECT match_id, x.g AS g, x.v AS v, row_number() OVER (PARTITION BY match_id ORDER BY abs(x.v) DESC, x.g) AS rank, row_number() OVER (PARTITION BY match_id ORDER BY x.g) AS shown FROM e)
-SELECT 'order' AS "check", CAST(match_id AS VARCHAR) AS key, 'not by size' AS message FROM o WHERE match_id % 5 = 0 GROUP BY match_id HAVING bool_or(rank <> shown) UNION ALL SELECT 'signals', CAST(match_id AS VARCHAR), '2 of 3' FROM matches WHERE match_id % 6 = 0""")
+@query(MATCHES + """, e AS (SELECT match_id, unnest([{'g': 'ratings', 'v': match_id % 40 - 20}, {'g': 'serve', 'v': match_id % 30 - 15}, {'g': 'rest',
+  'v': match_id % 11 - 5}]) AS x FROM matches), o AS (SELECT match_id, x.g AS g, x.v AS v,
+  row_number() OVER (PARTITION BY match_id ORDER BY abs(x.v) DESC, x.g) AS rank, row_number() OVER (PARTITION BY match_id ORDER BY x.g) AS shown FROM e)
+SELECT 'order' AS "check", CAST(match_id AS VARCHAR) AS key, 'not by size' AS message FROM o WHERE match_id % 5 = 0 GROUP BY match_id
+  HAVING bool_or(rank <> shown) UNION ALL SELECT 'signals', CAST(match_id AS VARCHAR), '2 of 3' FROM matches WHERE match_id % 6 = 0""")
 def gate_prediction_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Published evidence that lost a signal or is not ordered by size; every fifth and sixth match's is damaged here."""
     k = F.col("match_id")
@@ -302,7 +338,8 @@ def gate_prediction_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return violations(rows, "order", k, names("shown") != names("want"), F.lit("not by size")).unionByName(violations(rows, "signals", k, F.col("n") != 3, F.concat(F.col("n").cast("string"), F.lit(" of 3"))))
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS key, CASE WHEN p_partkey % 10 = 3 THEN 'corrupt' WHEN p_partkey % 10 = 7 THEN 'unsafe number' END AS problem FROM part WHERE p_partkey % 10 IN (3, 7)")
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS key, CASE WHEN p_partkey % 10 = 3 THEN 'corrupt' WHEN p_partkey % 10 = 7 THEN 'unsafe number' END AS problem
+  FROM part WHERE p_partkey % 10 IN (3, 7)""")
 def gate_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Published files read back: lines that don't parse, and numbers that no client reads."""
     k = F.col("p_partkey")
@@ -315,7 +352,9 @@ def gate_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(key.alias("key"), bad.alias("problem")).filter("problem is not null")
 
 
-@query(MATCHES + """, old AS (SELECT match_id AS k, 'old' AS src, draw_level FROM matches WHERE match_id % 4 < 3), new AS (SELECT match_id AS k, 'new' AS src, draw_level FROM matches WHERE match_id % 4 > 1), u AS (SELECT k, draw_level, max(src = 'new') AS fresh FROM (SELECT * FROM old UNION ALL SELECT * FROM new) GROUP BY ALL)
+@query(MATCHES + """, old AS (SELECT match_id AS k, 'old' AS src, draw_level FROM matches WHERE match_id % 4 < 3), new AS (SELECT match_id AS k, 'new' AS src, draw_level
+  FROM matches WHERE match_id % 4 > 1), u AS (SELECT k, draw_level, max(src = 'new') AS fresh FROM (SELECT * FROM old UNION ALL SELECT * FROM new)
+  GROUP BY ALL)
 SELECT draw_level <> 'main' AS lower, count(*) AS n, CAST(count(*) FILTER (WHERE fresh) AS BIGINT) AS fresh FROM u GROUP BY 1""")
 def year_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New rows merged over those on file by source key, keeping the last, split by level: written as partitions, read back."""
@@ -337,15 +376,19 @@ def payload_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("payload", (F.size(lost) == 0).alias("admitted"), F.array_join(lost, ",").alias("missing"))
 
 
-@query(MATCHES + "SELECT tour, count(*) AS rows, max(date) AS data_to, bit_xor(hash) AS fingerprint FROM (SELECT tour, date, match_id * 31 + winner * 17 + loser AS hash FROM matches) GROUP BY tour")
+@query(MATCHES + """SELECT tour, count(*) AS rows, max(date) AS data_to, bit_xor(hash) AS fingerprint FROM (SELECT tour, date, match_id * 31 + winner * 17 + loser AS hash
+  FROM matches) GROUP BY tour""")
 def health_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary and fingerprint of a tour's input, for reuse within a run."""
     h = F.col("match_id") * 31 + F.col("winner") * 17 + F.col("loser")
     return matches(spark, sf_dir).groupBy("tour").agg(F.count("*").alias("rows"), F.max("date").alias("data_to"), F.bit_xor(h).alias("fingerprint"))
 
 
-@query(MATCHES + """, l AS (SELECT match_id, 0.2 + match_id % 61 / 100.0 AS p, 0.2 + match_id % 59 / 100.0 AS q, surface, tier FROM matches WHERE completed), e AS (SELECT 'all' AS segment, p, q FROM l UNION ALL SELECT 'surface ' || surface, p, q FROM l UNION ALL SELECT 'tier ' || tier, p, q FROM l)
-SELECT segment, count(*) AS n, round(avg(-ln(p)), 6) AS model, round(avg(-ln(q)), 6) AS market, round(avg(ln(p) - ln(q)), 6) AS gain, round(avg((1 - q) * (1 - q) - (1 - p) * (1 - p)), 6) AS brier_gain FROM e GROUP BY segment""")
+@query(MATCHES + """, l AS (SELECT match_id, 0.2 + match_id % 61 / 100.0 AS p, 0.2 + match_id % 59 / 100.0 AS q, surface, tier FROM matches
+  WHERE completed), e AS (SELECT 'all' AS segment, p, q FROM l UNION ALL SELECT 'surface ' || surface, p, q FROM l
+  UNION ALL SELECT 'tier ' || tier, p, q FROM l)
+SELECT segment, count(*) AS n, round(avg(-ln(p)), 6) AS model, round(avg(-ln(q)), 6) AS market, round(avg(ln(p) - ln(q)), 6) AS gain,
+  round(avg((1 - q) * (1 - q) - (1 - p) * (1 - p)), 6) AS brier_gain FROM e GROUP BY segment""")
 def scorecard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model against market over all and by overlapping segments, in one grouping."""
     k = F.col("match_id")
@@ -355,7 +398,9 @@ def scorecard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("segment").agg(F.count("*").alias("n"), r(-F.log(p), "model"), r(-F.log(q), "market"), r(F.log(p) - F.log(q), "gain"), r((1 - q) * (1 - q) - (1 - p) * (1 - p), "brier_gain"))
 
 
-@query(MATCHES + """, up AS (SELECT match_id, event_id, least(winner, loser) AS lo, greatest(winner, loser) AS hi, round_order, match_id % 4 AS g FROM matches), sc AS (SELECT event_id, least(winner, loser) AS lo, greatest(winner, loser) AS hi, round_order, max(match_id % 100 / 100.0) AS leverage FROM matches WHERE match_id % 3 = 0 GROUP BY ALL)
+@query(MATCHES + """, up AS (SELECT match_id, event_id, least(winner, loser) AS lo, greatest(winner, loser) AS hi, round_order, match_id % 4 AS g
+  FROM matches), sc AS (SELECT event_id, least(winner, loser) AS lo, greatest(winner, loser) AS hi, round_order, max(match_id % 100 / 100.0) AS leverage
+  FROM matches WHERE match_id % 3 = 0 GROUP BY ALL)
 SELECT up.match_id, CASE WHEN g > 0 THEN round(sc.leverage, 6) END AS leverage FROM up LEFT JOIN sc USING (event_id, lo, hi, round_order)""")
 def scenario_leverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leverage joined to the schedule by event, pair and round, for rows of the same generation only."""

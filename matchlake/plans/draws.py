@@ -50,14 +50,19 @@ def advanced_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.advance(slots.select("event", "slot", "player"), slots.filter("player is not null").select("event", "player").join(out, "player"))
 
 
-_PRICE = MATCHES + """, g AS (SELECT match_id, winner, loser, CASE WHEN match_id % 2 = 0 THEN winner ELSE loser END AS a, CASE WHEN match_id % 2 = 0 THEN loser ELSE winner END AS b, CASE WHEN match_id % 7 > 0 THEN winner END AS w, walkover FROM matches),
-lg AS (SELECT least(winner, loser) AS lo, greatest(winner, loser) AS hi, arg_min(winner, match_id) AS pa, round(0.3 + min(match_id) % 45 / 100.0, 6) AS lp FROM matches WHERE match_id % 3 = 0 GROUP BY ALL),
-pr AS (SELECT g.*, CASE WHEN lg.pa = g.a THEN lp ELSE 1 - lp END AS logged, 1 / (1 + pow(10, -(x.points - y.points) / 4000.0)) AS model FROM g LEFT JOIN lg ON lg.lo = least(g.a, g.b) AND lg.hi = greatest(g.a, g.b) LEFT JOIN players x ON x.player = g.a LEFT JOIN players y ON y.player = g.b)
+_PRICE = MATCHES + """, g AS (SELECT match_id, winner, loser, CASE WHEN match_id % 2 = 0 THEN winner ELSE loser END AS a, CASE WHEN match_id % 2 = 0 THEN loser
+  ELSE winner END AS b, CASE WHEN match_id % 7 > 0 THEN winner END AS w, walkover FROM matches),
+lg AS (SELECT least(winner, loser) AS lo, greatest(winner, loser) AS hi, arg_min(winner, match_id) AS pa, round(0.3 + min(match_id) % 45 / 100.0,
+  6) AS lp FROM matches WHERE match_id % 3 = 0 GROUP BY ALL),
+pr AS (SELECT g.*, CASE WHEN lg.pa = g.a THEN lp ELSE 1 - lp END AS logged, 1 / (1 + pow(10, -(x.points - y.points) / 4000.0)) AS model FROM g LEFT
+  JOIN lg ON lg.lo = least(g.a, g.b) AND lg.hi = greatest(g.a, g.b) LEFT JOIN players x ON x.player = g.a LEFT JOIN players y ON y.player = g.b)
 """
 
 
-@query(_PRICE + """, q AS (SELECT match_id, a, w, CASE WHEN walkover THEN NULL WHEN w IS NOT NULL THEN coalesce(logged, model) ELSE model END AS p0, CASE WHEN walkover THEN NULL WHEN w IS NOT NULL AND logged IS NOT NULL THEN 'logged' WHEN model IS NOT NULL THEN 'model' END AS source FROM pr)
-SELECT match_id, round(p0, 4) AS p, source, CASE WHEN w IS NOT NULL AND p0 IS NOT NULL THEN CASE WHEN w = a THEN round(p0, 4) ELSE 1 - round(p0, 4) END < 0.5 END AS upset FROM q""")
+@query(_PRICE + """, q AS (SELECT match_id, a, w, CASE WHEN walkover THEN NULL WHEN w IS NOT NULL THEN coalesce(logged, model) ELSE model END AS p0, CASE
+  WHEN walkover THEN NULL WHEN w IS NOT NULL AND logged IS NOT NULL THEN 'logged' WHEN model IS NOT NULL THEN 'model' END AS source FROM pr)
+SELECT match_id, round(p0, 4) AS p, source, CASE WHEN w IS NOT NULL AND p0 IS NOT NULL THEN CASE WHEN w = a THEN round(p0, 4) ELSE 1 - round(p0,
+  4) END < 0.5 END AS upset FROM q""")
 def priced_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices of matches: what was logged before goes before the model of now."""
     m, k = matches(spark, sf_dir), F.col("match_id")
@@ -86,11 +91,14 @@ def projected_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.withColumn("place", place).filter("place <= 24")
 
 
-_CARD = MATCHES + """, e AS (SELECT event_id, min(date) AS start, max(date) AS finish, count(DISTINCT player) AS field FROM pl GROUP BY event_id), x AS (SELECT event_id, count(DISTINCT loser) AS out, arg_max(winner, (date, match_id)) FILTER (WHERE round_order = 7) AS champion FROM matches WHERE date <= DATE '1998-06-01' GROUP BY event_id)
+_CARD = MATCHES + """, e AS (SELECT event_id, min(date) AS start, max(date) AS finish, count(DISTINCT player) AS field FROM pl
+  GROUP BY event_id), x AS (SELECT event_id, count(DISTINCT loser) AS out, arg_max(winner, (date, match_id)) FILTER (WHERE round_order = 7) AS champion
+  FROM matches WHERE date <= DATE '1998-06-01' GROUP BY event_id)
 """
 
 
-@query(_CARD + """SELECT e.event_id, CASE WHEN start > DATE '1998-06-01' THEN 'upcoming' WHEN champion IS NOT NULL OR finish < DATE '1998-06-01' - 3 THEN 'completed' ELSE 'live' END AS status, field, field - coalesce(x.out, 0) AS alive, champion FROM e LEFT JOIN x USING (event_id)""")
+@query(_CARD + """SELECT e.event_id, CASE WHEN start > DATE '1998-06-01' THEN 'upcoming' WHEN champion IS NOT NULL OR finish < DATE '1998-06-01' - 3 THEN 'completed'
+  ELSE 'live' END AS status, field, field - coalesce(x.out, 0) AS alive, champion FROM e LEFT JOIN x USING (event_id)""")
 def tournament_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status, field, survivors and champion of every event on a stated day: what a card shows before its odds."""
     now = F.lit("1998-06-01").cast("date")
@@ -118,7 +126,8 @@ def upcoming_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SECTION = MATCHES + ", r AS (SELECT match_id, round_order AS round, match_id % 64 AS match FROM matches WHERE round_order <= 5) "
 
 
-@query(_SECTION + "SELECT match_id, CAST(match // greatest(1, 16 // CAST(pow(2, round) AS INTEGER)) AS INTEGER) AS section, CAST(match % greatest(1, 16 // CAST(pow(2, round) AS INTEGER)) AS INTEGER) AS place FROM r")
+@query(_SECTION + """SELECT match_id, CAST(match // greatest(1, 16 // CAST(pow(2, round) AS INTEGER)) AS INTEGER) AS section, CAST(match % greatest(1, 16 // CAST(pow(2,
+  round) AS INTEGER)) AS INTEGER) AS place FROM r""")
 def draw_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of sixteen places: of every match its section and its place in the column of its round."""
     rows = matches(spark, sf_dir).filter("round_order <= 5").select("match_id", F.col("round_order").alias("round"), (F.col("match_id") % 64).alias("match"))
@@ -191,8 +200,10 @@ def scenario_problems(published: DataFrame, fresh: DataFrame, tolerance: float =
     return violations(both, "scenario", key, wrong, F.lit("differs from exact propagation"))
 
 
-@query(MATCHES + """, top AS (SELECT s_nationkey AS event, s_suppkey AS player, CAST(s_acctbal AS DOUBLE) AS rating, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS seed FROM supplier)
-SELECT event, seed AS place, player, round(rating / sum(rating) OVER (PARTITION BY event), 6) AS odds FROM top WHERE rating > 0 QUALIFY row_number() OVER (PARTITION BY event ORDER BY rating DESC, player) <= 3""")
+@query(MATCHES + """, top AS (SELECT s_nationkey AS event, s_suppkey AS player, CAST(s_acctbal AS DOUBLE) AS rating,
+  row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS seed FROM supplier)
+SELECT event, seed AS place, player, round(rating / sum(rating) OVER (PARTITION BY event), 6) AS odds FROM top
+  WHERE rating > 0 QUALIFY row_number() OVER (PARTITION BY event ORDER BY rating DESC, player) <= 3""")
 def title_contenders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three with the highest title odds above 0 in each event (a top-k report)."""
     rows = fields(spark, sf_dir).filter("rating > 0")
@@ -201,7 +212,9 @@ def title_contenders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event", place.alias("place"), "player", odds.alias("odds")).filter("place <= 3")
 
 
-@query(MATCHES + """, h AS (SELECT match, date_trunc('hour', as_of) AS hour, arg_max(p, (as_of, event_id)) AS p FROM forecasts GROUP BY ALL), f AS (SELECT match, count(*) AS snapshots, round(arg_min(p, hour), 6) AS first, round(arg_max(p, hour), 6) AS current FROM h GROUP BY match)
+@query(MATCHES + """, h AS (SELECT match, date_trunc('hour', as_of) AS hour, arg_max(p, (as_of, event_id)) AS p FROM forecasts
+  GROUP BY ALL), f AS (SELECT match, count(*) AS snapshots, round(arg_min(p, hour), 6) AS first, round(arg_max(p, hour), 6) AS current FROM h
+  GROUP BY match)
 SELECT match, snapshots, first, current, round(current - first, 6) AS delta FROM f""")
 def forecast_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a match's card shows of its log: snapshots, first and current chance and the change."""
@@ -211,7 +224,8 @@ def forecast_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("delta", F.round(F.col("current") - F.col("first"), 6))
 
 
-@query(MATCHES + "SELECT n_nationkey AS event, n_name AS name, s.n IS NOT NULL AS has_bracket, coalesce(s.n, 0) AS players FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY s_nationkey HAVING count(*) >= 2) s ON s_nationkey = n_nationkey")
+@query(MATCHES + """SELECT n_nationkey AS event, n_name AS name, s.n IS NOT NULL AS has_bracket, coalesce(s.n, 0) AS players FROM nation LEFT
+  JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY s_nationkey HAVING count(*) >= 2) s ON s_nationkey = n_nationkey""")
 def bracket_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards with the mark whether a bracket of theirs is published (two known players at least)."""
     sizes = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("players")).filter("players >= 2")

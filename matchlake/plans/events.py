@@ -11,11 +11,13 @@ from matchlake.operators.graph import smallest_member
 from matchlake.plans.registry import query
 from matchlake.sources.adapters import MATCHES, matches, table
 
-_NAMES = "WITH reg AS (SELECT n_nationkey AS id, lower(n_name) AS name FROM nation), raw AS (SELECT c_custkey AS k, lower(n_name) || CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' open' ELSE ' masters 1000' END AS name FROM customer JOIN nation ON n_nationkey = c_nationkey)"
+_NAMES = """WITH reg AS (SELECT n_nationkey AS id, lower(n_name) AS name FROM nation), raw AS (SELECT c_custkey AS k, lower(n_name) || CASE c_custkey % 3
+  WHEN 0 THEN '' WHEN 1 THEN ' open' ELSE ' masters 1000' END AS name FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
 
 
 @query(_NAMES + """, hit AS (SELECT r.k, g.id, r.name = g.name AS exact FROM raw r JOIN reg g ON contains(r.name, g.name) OR contains(g.name, r.name))
-SELECT r.k, CASE WHEN count(h.id) FILTER (WHERE h.exact) = 1 THEN max(h.id) FILTER (WHERE h.exact) WHEN count(DISTINCT h.id) = 1 THEN max(h.id) END AS id FROM raw r LEFT JOIN hit h USING (k) GROUP BY r.k""")
+SELECT r.k, CASE WHEN count(h.id) FILTER (WHERE h.exact) = 1 THEN max(h.id) FILTER (WHERE h.exact)
+  WHEN count(DISTINCT h.id) = 1 THEN max(h.id) END AS id FROM raw r LEFT JOIN hit h USING (k) GROUP BY r.k""")
 def event_resolve_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Id by equal name, else by the only name contained either way. The registry is a dimension of event names: distinct
     raw names meet it, not rows."""
@@ -28,14 +30,15 @@ def event_resolve_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.join(hits, "name", "left").select("k", F.coalesce("exact", F.when(F.col("n") == 1, F.col("one"))).alias("id"))
 
 
-_GROUPS = MATCHES.replace("WITH qty", "WITH RECURSIVE qty", 1) + """, ev AS (SELECT event_id AS e, min(date) AS lo, max(date) AS hi FROM matches WHERE year = 1996 AND draw_level = 'qual' GROUP BY event_id), pp AS (SELECT DISTINCT event_id AS e, least(winner, loser) AS a, greatest(winner, loser) AS b FROM matches WHERE year = 1996 AND draw_level = 'qual'),
-edge AS (SELECT DISTINCT x.e AS a, y.e AS b FROM pp x JOIN pp y ON x.a = y.a AND x.b = y.b AND x.e < y.e JOIN ev u ON u.e = x.e JOIN ev v ON v.e = y.e WHERE u.lo <= v.hi AND v.lo <= u.hi),
+_GROUPS = MATCHES.replace("WITH qty", "WITH RECURSIVE qty", 1) + """, ev AS (SELECT event_id AS e, min(date) AS lo, max(date) AS hi FROM matches
+  GROUP BY event_id), pp AS (SELECT DISTINCT event_id AS e, least(winner, loser) AS a, greatest(winner, loser) AS b FROM matches),
+edge AS (SELECT DISTINCT x.e AS a, y.e AS b FROM pp x JOIN pp y ON x.a = y.a AND x.b = y.b AND x.e < y.e JOIN ev u ON u.e = x.e JOIN ev v ON v.e = y.e
+  WHERE u.lo <= v.hi AND v.lo <= u.hi),
 sym AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge UNION SELECT e, e FROM ev),
 walk(a, b) AS (SELECT a, b FROM sym UNION SELECT w.a, s.b FROM walk w JOIN sym s ON w.b = s.a)
 """
 
 
-_ALL_GROUPS = _GROUPS.replace(" WHERE year = 1996 AND draw_level = 'qual'", "")
 
 
 def coverage(m: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,32 +64,35 @@ def coalesced(m: DataFrame) -> DataFrame:
     return joined.groupBy(F.coalesce("root", "e").alias("root")).agg(F.count("*").alias("events"), F.min("lo").alias("start"), F.max("hi").alias("finish"))
 
 
-@query(_ALL_GROUPS + "SELECT a AS event_id, min(b) AS root FROM walk GROUP BY a")
+@query(_GROUPS + "SELECT a AS event_id, min(b) AS root FROM walk GROUP BY a")
 def event_coverage_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of every season and draw that overlap in time and share a pair of players, by their smallest id."""
     return components(matches(spark, sf_dir))
 
 
-@query(_ALL_GROUPS + "SELECT a AS event_id, min(b) AS root FROM walk GROUP BY a")
+@query(_GROUPS + "SELECT a AS event_id, min(b) AS root FROM walk GROUP BY a")
 def event_coverage_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over every season and draw."""
     return components(matches(spark, sf_dir))
 
 
-@query(_ALL_GROUPS + ", roots AS (SELECT a AS e, min(b) AS root FROM walk GROUP BY a) SELECT root, count(*) AS events, min(lo) AS start, max(hi) AS finish FROM roots JOIN ev USING (e) GROUP BY root")
+@query(_GROUPS + """, roots AS (SELECT a AS e, min(b) AS root FROM walk GROUP BY a) SELECT root, count(*) AS events, min(lo) AS start, max(hi) AS finish FROM roots
+  JOIN ev USING (e) GROUP BY root""")
 def event_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged events with their span."""
     return coalesced(matches(spark, sf_dir))
 
 
-@query(_ALL_GROUPS + ", roots AS (SELECT a AS e, min(b) AS root FROM walk GROUP BY a) SELECT root, count(*) AS events, min(lo) AS start, max(hi) AS finish FROM roots JOIN ev USING (e) GROUP BY root")
+@query(_GROUPS + """, roots AS (SELECT a AS e, min(b) AS root FROM walk GROUP BY a) SELECT root, count(*) AS events, min(lo) AS start, max(hi) AS finish FROM roots
+  JOIN ev USING (e) GROUP BY root""")
 def event_coalesce_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged events of every season and draw, with their span."""
     return coalesced(matches(spark, sf_dir))
 
 
 @query("""WITH n AS (SELECT p_brand, p_name, p_type, length(p_name) AS len FROM part)
-SELECT p_brand AS event, coalesce(arg_min(p_name, (len, p_name)) FILTER (WHERE len <= 12), arg_max(p_type, (length(p_type), p_type))) AS display, count(DISTINCT p_name) AS aliases FROM n GROUP BY p_brand""")
+SELECT p_brand AS event, coalesce(arg_min(p_name, (len, p_name)) FILTER (WHERE len <= 12), arg_max(p_type, (length(p_type), p_type))) AS display,
+  count(DISTINCT p_name) AS aliases FROM n GROUP BY p_brand""")
 def display_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shortest alias of at most 12 letters, else the longest type name."""
     short = F.when(F.length("p_name") <= 12, F.struct(F.length("p_name"), "p_name"))
@@ -94,7 +100,8 @@ def display_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT p_partkey AS k, list_sort(list_distinct(string_split(lower(p_name || ' ' || split_part(p_type, ' ', 1)), ' '))) AS w FROM part),
-tok AS (SELECT k, w, unnest(w) AS x FROM t), c AS (SELECT a.k AS k, b.k AS other, count(*) AS shared, len(a.w) AS n, len(b.w) AS m FROM tok a JOIN tok b ON a.x = b.x AND a.k <> b.k GROUP BY ALL)
+tok AS (SELECT k, w, unnest(w) AS x FROM t), c AS (SELECT a.k AS k, b.k AS other, count(*) AS shared, len(a.w) AS n, len(b.w) AS m FROM tok a
+  JOIN tok b ON a.x = b.x AND a.k <> b.k GROUP BY ALL)
 SELECT k, count(*) AS near, min(other) AS first FROM c WHERE shared = n AND m >= n GROUP BY k""")
 def alias_near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names whose words are all among another's: spellings that may be one player's."""
@@ -132,8 +139,11 @@ def near_misses(t: DataFrame) -> DataFrame:
     return found.filter("near > 0")
 
 
-@query("""WITH o AS (SELECT o_custkey AS id, list_sort(list_distinct(list(o_orderpriority))) AS names, max(CAST(o_orderdate AS DATE)) AS seen FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey), n AS (SELECT o_custkey AS id, list_sort(list_distinct(list(o_orderpriority))) AS names, max(CAST(o_orderdate AS DATE)) AS seen FROM orders WHERE o_orderkey % 2 = 1 GROUP BY o_custkey)
-SELECT coalesce(o.id, n.id) AS id, array_to_string(list_sort(list_distinct(list_concat(coalesce(o.names, []), coalesce(n.names, [])))), ',') AS names, greatest(coalesce(o.seen, DATE '1900-01-01'), coalesce(n.seen, DATE '1900-01-01')) AS last_seen FROM o FULL JOIN n ON o.id = n.id
+@query("""WITH o AS (SELECT o_custkey AS id, list_sort(list_distinct(list(o_orderpriority))) AS names, max(CAST(o_orderdate AS DATE)) AS seen FROM orders
+  WHERE o_orderkey % 2 = 0 GROUP BY o_custkey), n AS (SELECT o_custkey AS id, list_sort(list_distinct(list(o_orderpriority))) AS names,
+  max(CAST(o_orderdate AS DATE)) AS seen FROM orders WHERE o_orderkey % 2 = 1 GROUP BY o_custkey)
+SELECT coalesce(o.id, n.id) AS id, array_to_string(list_sort(list_distinct(list_concat(coalesce(o.names, []), coalesce(n.names, [])))), ',') AS names,
+  greatest(coalesce(o.seen, DATE '1900-01-01'), coalesce(n.seen, DATE '1900-01-01')) AS last_seen FROM o FULL JOIN n ON o.id = n.id
 WHERE greatest(coalesce(o.seen, DATE '1900-01-01'), coalesce(n.seen, DATE '1900-01-01')) >= DATE '2000-06-01'""")
 def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names are only ever added, entries not seen for long are pruned."""
@@ -145,7 +155,8 @@ def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("id", F.array_join(names, ",").alias("names"), F.greatest("oseen", "nseen").alias("last_seen")).filter(F.col("last_seen") >= F.lit("2000-06-01").cast("date"))
 
 
-@query(MATCHES + """, w AS (SELECT event_id, count(DISTINCT player) AS field, count(DISTINCT player) FILTER (WHERE won = 0) AS eliminated, count(DISTINCT player) - count(DISTINCT CASE WHEN won = 0 THEN player END) AS alive FROM pl GROUP BY event_id) SELECT * FROM w WHERE field >= 8""")
+@query(MATCHES + """, w AS (SELECT event_id, count(DISTINCT player) AS field, count(DISTINCT player) FILTER (WHERE won = 0) AS eliminated,
+  count(DISTINCT player) - count(DISTINCT CASE WHEN won = 0 THEN player END) AS alive FROM pl GROUP BY event_id) SELECT * FROM w WHERE field >= 8""")
 def event_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields, losers and survivors of events with eight players or more."""
     m = matches(spark, sf_dir).select("event_id", F.explode(F.array(F.struct(F.col("winner").alias("p"), F.lit(1).alias("won")), F.struct(F.col("loser").alias("p"), F.lit(0).alias("won")))).alias("x"))

@@ -48,10 +48,15 @@ kept AS (SELECT * FROM win WHERE last >= DATE '{REF}' - {RETENTION} AND (NOT mai
 """
 
 
-@query(_CAND + """, pp AS (SELECT event_id, count(DISTINCT p) AS players FROM (SELECT event_id, winner AS p FROM kept UNION ALL SELECT event_id, loser FROM kept) GROUP BY event_id),
-sf AS (SELECT event_id, arg_min({'s': surface, 'g': g}, (g, -n, surface)) AS x FROM (SELECT event_id, surface, match_id % 3 = 0 AS g, count(*) AS n FROM kept GROUP BY ALL) GROUP BY event_id), tr AS (SELECT event_id, arg_min(tier, (-n, tier)) AS tier FROM (SELECT event_id, tier, count(*) AS n FROM kept GROUP BY ALL) GROUP BY event_id),
-e AS (SELECT event_id, min(date) AS start, max(date) AS finish, count(DISTINCT least(winner, loser) || '/' || greatest(winner, loser)) AS pairs, arg_max(winner, (date, match_id)) FILTER (WHERE round_order = 7) AS champion FROM kept GROUP BY event_id)
-SELECT e.*, CAST(pp.players AS INTEGER) AS players, tr.tier, x.s AS surface, CASE WHEN x.g THEN 'month' ELSE 'archive' END AS source FROM e JOIN pp USING (event_id) JOIN sf USING (event_id) JOIN tr USING (event_id)""")
+@query(_CAND + """, pp AS (SELECT event_id, count(DISTINCT p) AS players FROM (SELECT event_id, winner AS p FROM kept UNION ALL SELECT event_id, loser FROM kept)
+  GROUP BY event_id),
+sf AS (SELECT event_id, arg_min({'s': surface, 'g': g}, (g, -n, surface)) AS x FROM (SELECT event_id, surface, match_id % 3 = 0 AS g, count(*) AS n
+  FROM kept GROUP BY ALL) GROUP BY event_id), tr AS (SELECT event_id, arg_min(tier, (-n, tier)) AS tier FROM (SELECT event_id, tier, count(*) AS n
+  FROM kept GROUP BY ALL) GROUP BY event_id),
+e AS (SELECT event_id, min(date) AS start, max(date) AS finish, count(DISTINCT least(winner, loser) || '/' || greatest(winner, loser)) AS pairs,
+  arg_max(winner, (date, match_id)) FILTER (WHERE round_order = 7) AS champion FROM kept GROUP BY event_id)
+SELECT e.*, CAST(pp.players AS INTEGER) AS players, tr.tier, x.s AS surface, CASE WHEN x.g THEN 'month' ELSE 'archive' END AS source FROM e
+  JOIN pp USING (event_id) JOIN sf USING (event_id) JOIN tr USING (event_id)""")
 def coverage_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result_candidates(matches(spark, sf_dir), REF)
 
@@ -66,7 +71,8 @@ def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.when(k % 3 > 0, F.col("event_id")).alias("id"), F.concat("event", F.when(k % 2 == 0, " Open").otherwise("")).alias("name"), "date", F.when(k % 13 == 0, "Qualifier 1").otherwise(F.concat(F.lit("P"), "winner")).alias("a"), F.concat(F.lit("P"), "loser").alias("b"))
 
 
-@query(_SCHED + "SELECT k AS event, min(date) AS start, max(date) AS finish, array_to_string(list_sort(list_distinct(list(name))), ',') AS names, count(DISTINCT least(a, b) || '/' || greatest(a, b)) AS pairs FROM g GROUP BY k")
+@query(_SCHED + """SELECT k AS event, min(date) AS start, max(date) AS finish, array_to_string(list_sort(list_distinct(list(name))), ',') AS names,
+  count(DISTINCT least(a, b) || '/' || greatest(a, b)) AS pairs FROM g GROUP BY k""")
 def schedule_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Begun events of the schedule: by id, or by name where there is none; matches of two real players only."""
     rows = window(schedule(spark, sf_dir), REF, days=RETENTION).filter(lv.is_real(F.col("a")) & lv.is_real(F.col("b")))
@@ -80,12 +86,17 @@ def shared(a: DataFrame, b: DataFrame, key_a: str, key_b: str, on: list[str]) ->
     return x.join(y, on).groupBy(key_a, key_b).agg(F.count("*").alias("n"))
 
 
-_PROOF = MATCHES + """, gr AS (SELECT event || '/' || year AS g, winner, loser, date FROM matches WHERE match_id % 2 = 0), dr AS (SELECT event_id AS id, winner, loser, date, round_order FROM matches WHERE match_id % 4 < 3),
+_PROOF = MATCHES + """, gr AS (SELECT event || '/' || year AS g, winner, loser, date FROM matches WHERE match_id % 2 = 0), dr AS (SELECT event_id AS id, winner, loser,
+  date, round_order FROM matches WHERE match_id % 4 < 3),
 gs AS (SELECT g, min(date) AS lo, max(date) AS hi FROM gr GROUP BY g), ds AS (SELECT id, min(date) AS lo, max(date) AS hi FROM dr GROUP BY id),
-gp AS (SELECT DISTINCT g, p FROM (SELECT g, winner AS p FROM gr UNION ALL SELECT g, loser FROM gr)), dp AS (SELECT DISTINCT id, p FROM (SELECT id, winner AS p FROM dr UNION ALL SELECT id, loser FROM dr)),
-gq AS (SELECT DISTINCT g, least(winner, loser) AS a, greatest(winner, loser) AS b FROM gr), dq AS (SELECT DISTINCT id, least(winner, loser) AS a, greatest(winner, loser) AS b FROM dr WHERE round_order = 1),
-sp AS (SELECT g, id FROM gp JOIN dp USING (p) GROUP BY ALL HAVING count(*) >= 3), sq AS (SELECT g, id FROM gq JOIN dq USING (a, b) GROUP BY ALL HAVING count(*) >= 2),
-hits AS (SELECT sp.g, sp.id FROM sp JOIN sq ON sq.g = sp.g AND sq.id = sp.id JOIN gs ON gs.g = sp.g JOIN ds ON ds.id = sp.id WHERE date_diff('day', greatest(gs.lo, ds.lo), least(gs.hi, ds.hi)) >= 2)
+gp AS (SELECT DISTINCT g, p FROM (SELECT g, winner AS p FROM gr UNION ALL SELECT g, loser FROM gr)), dp AS (SELECT DISTINCT id, p
+  FROM (SELECT id, winner AS p FROM dr UNION ALL SELECT id, loser FROM dr)),
+gq AS (SELECT DISTINCT g, least(winner, loser) AS a, greatest(winner, loser) AS b
+  FROM gr), dq AS (SELECT DISTINCT id, least(winner, loser) AS a, greatest(winner, loser) AS b FROM dr WHERE round_order = 1),
+sp AS (SELECT g, id FROM gp JOIN dp USING (p) GROUP BY ALL HAVING count(*) >= 3), sq AS (SELECT g, id FROM gq JOIN dq USING (a, b) GROUP BY ALL
+  HAVING count(*) >= 2),
+hits AS (SELECT sp.g, sp.id FROM sp JOIN sq ON sq.g = sp.g AND sq.id = sp.id JOIN gs ON gs.g = sp.g JOIN ds ON ds.id = sp.id
+  WHERE date_diff('day', greatest(gs.lo, ds.lo), least(gs.hi, ds.hi)) >= 2)
 """
 
 
@@ -130,12 +141,16 @@ def merge_candidates(groups: DataFrame) -> DataFrame:
     return joined.withColumn("ids", ids).select("g", F.when(F.col("ids") > 1, F.coalesce(F.min("g").over(W.partitionBy("root", "id")), "g")).otherwise(F.col("root")).alias("root"), "id")
 
 
-@query(MATCHES.replace("WITH qty", "WITH RECURSIVE qty", 1) + """, gr AS (SELECT event || '/' || year || '/' || (match_id % 2) AS g, CASE WHEN match_id % 2 = 0 AND tour < 3 THEN event_id END AS id, winner, loser, date FROM matches WHERE draw_level = 'qual'),
-ea AS (SELECT g, max(id) AS id, min(date) AS lo, max(date) AS hi FROM gr GROUP BY g), pq AS (SELECT DISTINCT g, least(winner, loser) AS a, greatest(winner, loser) AS b FROM gr),
-ed AS (SELECT DISTINCT x.g AS a, y.g AS b FROM pq x JOIN pq y ON x.a = y.a AND x.b = y.b AND x.g <> y.g JOIN ea u ON u.g = x.g JOIN ea v ON v.g = y.g WHERE u.lo <= v.hi AND v.lo <= u.hi AND (u.id IS NULL OR v.id IS NULL)
+@query(MATCHES.replace("WITH qty", "WITH RECURSIVE qty", 1) + """, gr AS (SELECT event || '/' || year || '/' || (match_id % 2) AS g, CASE WHEN match_id % 2 = 0 AND tour < 3 THEN event_id END AS id, winner, loser,
+  date FROM matches WHERE draw_level = 'qual'),
+ea AS (SELECT g, max(id) AS id, min(date) AS lo, max(date) AS hi FROM gr GROUP BY g), pq AS (SELECT DISTINCT g, least(winner, loser) AS a,
+  greatest(winner, loser) AS b FROM gr),
+ed AS (SELECT DISTINCT x.g AS a, y.g AS b FROM pq x JOIN pq y ON x.a = y.a AND x.b = y.b AND x.g <> y.g JOIN ea u ON u.g = x.g JOIN ea v ON v.g = y.g
+  WHERE u.lo <= v.hi AND v.lo <= u.hi AND (u.id IS NULL OR v.id IS NULL)
   UNION SELECT u.g, v.g FROM ea u JOIN ea v ON u.id = v.id UNION SELECT g, g FROM ea),
 wk(a, b) AS (SELECT a, b FROM ed UNION SELECT w.a, e.b FROM wk w JOIN ed e ON w.b = e.a), rt AS (SELECT a AS g, min(b) AS root FROM wk GROUP BY a),
-n AS (SELECT rt.g, rt.root, ea.id, (SELECT count(DISTINCT e2.id) FROM rt r2 JOIN ea e2 ON e2.g = r2.g WHERE r2.root = rt.root) AS ids FROM rt JOIN ea ON ea.g = rt.g)
+n AS (SELECT rt.g, rt.root, ea.id, (SELECT count(DISTINCT e2.id) FROM rt r2 JOIN ea e2 ON e2.g = r2.g WHERE r2.root = rt.root) AS ids FROM rt
+  JOIN ea ON ea.g = rt.g)
 SELECT g, CASE WHEN ids > 1 THEN min(g) OVER (PARTITION BY root, id) ELSE root END AS root, id FROM n""")
 def merged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Qualifying groups of two sources merged on shared pairs; no bridge joins two ids."""
@@ -144,8 +159,10 @@ def merged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_candidates(m.select(key.alias("g"), F.when((k % 2 == 0) & (F.col("tour") < 3), F.col("event_id")).alias("id"), "winner", "loser", "date"))
 
 
-_SPLIT = MATCHES + """, f AS (SELECT event || ' ' || (match_id % 3) AS name, CASE WHEN match_id % 3 = 2 THEN event_id END AS id, winner AS p, date, year FROM matches UNION ALL SELECT event || ' ' || (match_id % 3), CASE WHEN match_id % 3 = 2 THEN event_id END, loser, date, year FROM matches),
-g AS (SELECT name || '/' || year AS g, max(id) AS id, min(date) AS lo, max(date) AS hi, count(DISTINCT p) AS n FROM f GROUP BY 1), fp AS (SELECT DISTINCT name || '/' || year AS g, p FROM f),
+_SPLIT = MATCHES + """, f AS (SELECT event || ' ' || (match_id % 3) AS name, CASE WHEN match_id % 3 = 2 THEN event_id END AS id, winner AS p, date, year FROM matches
+  UNION ALL SELECT event || ' ' || (match_id % 3), CASE WHEN match_id % 3 = 2 THEN event_id END, loser, date, year FROM matches),
+g AS (SELECT name || '/' || year AS g, max(id) AS id, min(date) AS lo, max(date) AS hi, count(DISTINCT p) AS n FROM f
+  GROUP BY 1), fp AS (SELECT DISTINCT name || '/' || year AS g, p FROM f),
 sh AS (SELECT x.g AS a, y.g AS b, count(*) AS shared FROM fp x JOIN fp y ON x.p = y.p AND x.g < y.g GROUP BY ALL)
 """
 
@@ -162,7 +179,9 @@ def split_identities(field: DataFrame) -> DataFrame:
     return both.filter(close & ((F.col("shared") >= 3) | inside)).select("a", "b", "shared")
 
 
-@query(_SPLIT + """SELECT 'identity' AS "check", sh.a || ' and ' || sh.b AS key, CAST(shared AS VARCHAR) || ' players' AS message FROM sh JOIN g x ON x.g = sh.a JOIN g y ON y.g = sh.b WHERE date_diff('day', greatest(x.lo, y.lo), least(x.hi, y.hi)) >= 2 AND (x.id IS NULL OR y.id IS NULL OR x.id = y.id) AND (shared >= 3 OR (least(x.n, y.n) >= 2 AND shared = least(x.n, y.n)))""")
+@query(_SPLIT + """SELECT 'identity' AS "check", sh.a || ' and ' || sh.b AS key, CAST(shared AS VARCHAR) || ' players' AS message FROM sh JOIN g x ON x.g = sh.a
+  JOIN g y ON y.g = sh.b WHERE date_diff('day', greatest(x.lo, y.lo), least(x.hi, y.hi)) >= 2 AND (x.id IS NULL OR y.id IS NULL OR x.id = y.id)
+  AND (shared >= 3 OR (least(x.n, y.n) >= 2 AND shared = least(x.n, y.n)))""")
 def gate_split_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that may be one under two names."""
     k = F.col("match_id") % 3
@@ -180,7 +199,8 @@ def cards_by_display_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("name").agg(F.max_by("k", authority).alias("k"), F.max("draw").alias("draw"), F.min("k").alias("place"))
 
 
-@query(MATCHES + """, w AS (SELECT *, max(date) OVER () AS dmax FROM matches), g AS (SELECT event, min(date) AS start, max(date) AS finish, count(*) AS n, max(dmax) AS dmax FROM w WHERE date >= dmax - 40 GROUP BY event HAVING max(round_order) >= 1)
+@query(MATCHES + """, w AS (SELECT *, max(date) OVER () AS dmax FROM matches), g AS (SELECT event, min(date) AS start, max(date) AS finish, count(*) AS n,
+  max(dmax) AS dmax FROM w WHERE date >= dmax - 40 GROUP BY event HAVING max(round_order) >= 1)
 SELECT event, start, finish, n, row_number() OVER (ORDER BY finish DESC, event) AS place FROM g WHERE date_diff('day', finish, dmax) <= 18""")
 def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Knock-out events of the last forty days of data that ended in the last eighteen, newest first."""
@@ -194,7 +214,9 @@ def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence(kept, [-F.unix_date("finish"), F.col("event")], "place").select("event", "start", "finish", "n", "place")
 
 
-@query(MATCHES + ", pol AS (SELECT *, draw_level = 'main' AND NOT (tour = 1 AND tier = 5) AS admitted FROM matches) SELECT match_id, CASE WHEN admitted THEN 'model' ELSE 'policy' END AS population FROM pol WHERE admitted OR (tour = 1 AND draw_level = 'main')")
+@query(MATCHES + """, pol AS (SELECT *, draw_level = 'main' AND NOT (tour = 1 AND tier = 5) AS admitted
+  FROM matches) SELECT match_id, CASE WHEN admitted THEN 'model' ELSE 'policy' END AS population FROM pol
+  WHERE admitted OR (tour = 1 AND draw_level = 'main')""")
 def event_match_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What lifecycles see: the model's rows and those that only policy keeps from it."""
     m = matches(spark, sf_dir)
@@ -231,8 +253,10 @@ def one_match_a_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_match_a_round(matches(spark, sf_dir).filter("draw_level = 'main'"))
 
 
-@query(MATCHES + """, ek AS (SELECT DISTINCT event_id, lower(event) AS name FROM matches), asked AS (SELECT DISTINCT event_id || '!' AS k, lower(event) || ' open' AS name FROM matches WHERE match_id % 9 = 0), rws AS (SELECT lower(event) AS t, surface, best_of, match_id % 4 = 0 AS guess FROM matches),
-h AS (SELECT a.k, r.surface, r.best_of, r.guess FROM asked a JOIN rws r ON contains(a.name, r.t) OR contains(r.t, a.name)), s AS (SELECT k, arg_min(surface, (-n, surface)) AS surface FROM (SELECT k, surface, count(*) AS n FROM h WHERE NOT guess GROUP BY ALL) GROUP BY k)
+@query(MATCHES + """, ek AS (SELECT DISTINCT event_id, lower(event) AS name FROM matches), asked AS (SELECT DISTINCT event_id || '!' AS k, lower(event) || ' open' AS name
+  FROM matches WHERE match_id % 9 = 0), rws AS (SELECT lower(event) AS t, surface, best_of, match_id % 4 = 0 AS guess FROM matches),
+h AS (SELECT a.k, r.surface, r.best_of, r.guess FROM asked a JOIN rws r ON contains(a.name, r.t) OR contains(r.t, a.name)), s AS (SELECT k,
+  arg_min(surface, (-n, surface)) AS surface FROM (SELECT k, surface, count(*) AS n FROM h WHERE NOT guess GROUP BY ALL) GROUP BY k)
 SELECT a.k, s.surface, max(h.best_of) AS best_of FROM asked a LEFT JOIN s USING (k) LEFT JOIN h USING (k) GROUP BY a.k, s.surface""")
 def event_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surface (commonest, no guesses) and format of an event from all archive names that hold its name or lie in it.
@@ -248,9 +272,13 @@ def event_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(best, "name", "left").select("k", "surface", "best_of")
 
 
-@query("""WITH m AS (SELECT lower(n_name) AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'Hard' ELSE 'Clay' END AS surface FROM nation), a AS (SELECT DISTINCT lower(n_name) || CASE n_nationkey % 2 WHEN 0 THEN ' classic' ELSE '' END AS event FROM nation UNION SELECT 'uni' UNION SELECT 'united states and united kingdom'),
-h AS (SELECT a.event, m.surface, m.name = a.event AS exact FROM a JOIN m ON contains(a.event, m.name) OR (length(a.event) >= 5 AND contains(m.name, a.event)))
-SELECT a.event, coalesce(max(h.surface) FILTER (WHERE exact), CASE WHEN count(DISTINCT h.surface) = 1 THEN max(h.surface) END) AS surface FROM a LEFT JOIN h USING (event) GROUP BY a.event""")
+@query("""WITH m AS (SELECT lower(n_name) AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'Hard' ELSE 'Clay' END AS surface
+  FROM nation), a AS (SELECT DISTINCT lower(n_name) || CASE n_nationkey % 2 WHEN 0 THEN ' classic' ELSE '' END AS event
+  FROM nation UNION SELECT 'uni' UNION SELECT 'united states and united kingdom'),
+h AS (SELECT a.event, m.surface, m.name = a.event AS exact FROM a JOIN m ON contains(a.event, m.name) OR (length(a.event) >= 5 AND contains(m.name,
+  a.event)))
+SELECT a.event, coalesce(max(h.surface) FILTER (WHERE exact), CASE WHEN count(DISTINCT h.surface) = 1 THEN max(h.surface) END) AS surface FROM a LEFT
+  JOIN h USING (event) GROUP BY a.event""")
 def surface_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cached surface by name, else by the names contained either way as far as they agree; short names contain nothing."""
     n = table(spark, sf_dir, "nation")
@@ -267,7 +295,8 @@ def contained(asked: DataFrame, cache: DataFrame) -> DataFrame:
     return asked.join(hits, "event", "left").select("event", F.coalesce("exact", F.when(F.col("n") == 1, F.col("one"))).alias("surface"))
 
 
-@query(MATCHES + """, drawn AS (SELECT DISTINCT event_id, player FROM pl WHERE match_id % 5 > 0), field AS (SELECT DISTINCT event_id, player FROM pl WHERE match_id % 3 > 0), played AS (SELECT DISTINCT event_id, player FROM pl WHERE match_id % 7 = 0)
+@query(MATCHES + """, drawn AS (SELECT DISTINCT event_id, player FROM pl WHERE match_id % 5 > 0), field AS (SELECT DISTINCT event_id, player FROM pl
+  WHERE match_id % 3 > 0), played AS (SELECT DISTINCT event_id, player FROM pl WHERE match_id % 7 = 0)
 SELECT event_id, player FROM drawn EXCEPT SELECT event_id, player FROM field EXCEPT SELECT event_id, player FROM played""")
 def drawn_and_gone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Players of the draw whom the feed no longer lists and who never played."""
@@ -313,7 +342,8 @@ def withdrawals(slots: DataFrame, field: DataFrame, results: DataFrame, most: in
 _EVID = MATCHES + ", sp AS (SELECT event || CASE WHEN match_id % 5 = 0 THEN ' ' ELSE '' END || player AS spelling, player, opponent, event FROM pl WHERE year >= 1996) "
 
 
-@query(_EVID + "SELECT player, count(DISTINCT opponent) AS opponents, count(DISTINCT spelling) AS spellings, arg_max(spelling, (n, spelling)) AS commonest FROM (SELECT player, opponent, spelling, count(*) OVER (PARTITION BY player, spelling) AS n FROM sp) GROUP BY player")
+@query(_EVID + """SELECT player, count(DISTINCT opponent) AS opponents, count(DISTINCT spelling) AS spellings, arg_max(spelling, (n, spelling)) AS commonest
+  FROM (SELECT player, opponent, spelling, count(*) OVER (PARTITION BY player, spelling) AS n FROM sp) GROUP BY player""")
 def alias_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opponents and spellings of each player since a year."""
     m = matches(spark, sf_dir).filter("year >= 1996")
@@ -332,8 +362,11 @@ def rejection(alias: Column, target: Column, asked: Column, known: Column, met:
     )
 
 
-@query(MATCHES + """, pr AS (SELECT p_partkey AS k, 1 + p_partkey % 10 AS a, 1 + p_partkey * 3 % 12 AS b FROM part), met AS (SELECT DISTINCT player AS a, opponent AS b FROM pl WHERE match_id % 20 = 0), kn AS (SELECT DISTINCT player FROM pl)
-SELECT k, CASE WHEN a = b THEN 'same name' WHEN k % 6 = 0 THEN 'not asked' WHEN b NOT IN (SELECT player FROM kn) THEN 'unknown player' WHEN EXISTS (SELECT 1 FROM met WHERE met.a = pr.a AND met.b = pr.b) THEN 'they played each other' WHEN a % 2 <> b % 2 THEN 'different ids' END AS reason FROM pr""")
+@query(MATCHES + """, pr AS (SELECT p_partkey AS k, 1 + p_partkey % 10 AS a, 1 + p_partkey * 3 % 12 AS b FROM part), met AS (SELECT DISTINCT player AS a, opponent AS b
+  FROM pl WHERE match_id % 20 = 0), kn AS (SELECT DISTINCT player FROM pl)
+SELECT k, CASE WHEN a = b THEN 'same name' WHEN k % 6 = 0 THEN 'not asked' WHEN b NOT IN (SELECT player
+  FROM kn) THEN 'unknown player' WHEN EXISTS (SELECT 1 FROM met WHERE met.a = pr.a AND met.b = pr.b) THEN 'they played each other'
+  WHEN a % 2 <> b % 2 THEN 'different ids' END AS reason FROM pr""")
 def alias_falsified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposed aliases with what speaks against them."""
     both = matches(spark, sf_dir).select("match_id", F.explode(F.array(F.struct(F.col("winner").alias("a"), F.col("loser").alias("b")), F.struct(F.col("loser").alias("a"), F.col("winner").alias("b")))).alias("x")).select("match_id", "x.*")
@@ -346,7 +379,8 @@ def alias_falsified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("k", rejection(text("a"), text("b"), F.col("k") % 6 != 0, F.coalesce("known", F.lit(False)), F.coalesce("met", F.lit(False)), F.col("a") % 2 != F.col("b") % 2).alias("reason"))
 
 
-_SLOTS = """WITH ev AS (SELECT s_nationkey AS event, s_name AS name, 'player ' || chr(CAST(97 + s_suppkey % 26 AS INTEGER)) || 'name' || s_suppkey AS nm FROM supplier),
+_SLOTS = """WITH ev AS (SELECT s_nationkey AS event, s_name AS name, 'player ' || chr(CAST(97 + s_suppkey % 26 AS INTEGER)) || 'name' || s_suppkey AS nm
+  FROM supplier),
 raw AS (SELECT event, nm, CASE WHEN length(nm) % 2 = 0 THEN nm ELSE split_part(nm, ' ', 2) || ' x.' END AS raw FROM ev)
 """
 

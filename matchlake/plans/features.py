@@ -27,7 +27,8 @@ GROUPS = {
     "style": [*SIGNED[23:], "has_style"],
 }
 
-_BIO = MATCHES + """, bio AS (SELECT m.*, w.points AS wp, l.points AS lp, w.age AS wa, l.age AS la, w.ht AS wh, l.ht AS lh, w.hand AS whd, l.hand AS lhd, w.ioc AS wi, l.ioc AS li FROM matches m JOIN players w ON w.player = m.winner JOIN players l ON l.player = m.loser)
+_BIO = MATCHES + """, bio AS (SELECT m.*, w.points AS wp, l.points AS lp, w.age AS wa, l.age AS la, w.ht AS wh, l.ht AS lh, w.hand AS whd, l.hand AS lhd, w.ioc AS wi,
+  l.ioc AS li FROM matches m JOIN players w ON w.player = m.winner JOIN players l ON l.player = m.loser)
 """
 
 
@@ -52,10 +53,13 @@ def static_features() -> dict[str, Column]:
     }
 
 
-@query(_BIO + """SELECT match_id, round(coalesce(ln((wp + 1.0) / (lp + 1.0)), 0), 6) AS rankpts_diff, coalesce(CAST(wa - la AS DOUBLE), 0) AS age_diff, coalesce(CAST(wh - lh AS DOUBLE), 0) AS ht_diff,
+@query(_BIO + """SELECT match_id, round(coalesce(ln((wp + 1.0) / (lp + 1.0)), 0), 6) AS rankpts_diff, coalesce(CAST(wa - la AS DOUBLE), 0) AS age_diff,
+  coalesce(CAST(wh - lh AS DOUBLE), 0) AS ht_diff,
 CAST((CASE WHEN whd = 'L' THEN 1 ELSE 0 END) - (CASE WHEN lhd = 'L' THEN 1 ELSE 0 END) AS DOUBLE) AS hand_matchup,
-CAST((CASE WHEN wi = CAST(split_part(event_id, '-', 1) AS INTEGER) THEN 1 ELSE 0 END) - (CASE WHEN li = CAST(split_part(event_id, '-', 1) AS INTEGER) THEN 1 ELSE 0 END) AS DOUBLE) AS home_flag_diff,
-coalesce(abs(wa - 26.5) - abs(la - 26.5), 0) AS peak_age_dev_diff, CASE surface WHEN 'Hard' THEN 1.0 ELSE 0.0 END AS surf_hard, CASE surface WHEN 'Clay' THEN 1.0 ELSE 0.0 END AS surf_clay, CASE surface WHEN 'Grass' THEN 1.0 ELSE 0.0 END AS surf_grass FROM bio""")
+CAST((CASE WHEN wi = CAST(split_part(event_id, '-', 1) AS INTEGER) THEN 1 ELSE 0 END) - (CASE WHEN li = CAST(split_part(event_id, '-',
+  1) AS INTEGER) THEN 1 ELSE 0 END) AS DOUBLE) AS home_flag_diff,
+coalesce(abs(wa - 26.5) - abs(la - 26.5), 0) AS peak_age_dev_diff, CASE surface WHEN 'Hard' THEN 1.0 ELSE 0.0 END AS surf_hard, CASE surface
+  WHEN 'Clay' THEN 1.0 ELSE 0.0 END AS surf_clay, CASE surface WHEN 'Grass' THEN 1.0 ELSE 0.0 END AS surf_grass FROM bio""")
 def features_static(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = static_features()
     made["rankpts_diff"] = F.round(made["rankpts_diff"], 6)
@@ -63,13 +67,16 @@ def features_static(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CTX = MATCHES + """, x AS (SELECT match_id, player, won, coalesce(day - lag(day) OVER w, 365) AS rest,
-  CAST(coalesce(sum(won) OVER (PARTITION BY least(player, opponent), greatest(player, opponent), player ORDER BY date, event_id, round_order, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS h2h,
+  CAST(coalesce(sum(won) OVER (PARTITION BY least(player, opponent), greatest(player, opponent), player ORDER BY date, event_id, round_order,
+  match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS h2h,
   count(*) OVER w - 1 AS n FROM pl WINDOW w AS (PARTITION BY player ORDER BY date, event_id, round_order, match_id))
 """
 
 
-@query(_CTX + """SELECT a.match_id, CAST(greatest(-60, least(60, a.rest - b.rest)) AS INTEGER) AS rest_diff, round(ln(1 + a.rest) - ln(1 + b.rest), 6) AS log_days_since_diff, (CASE WHEN a.rest > 120 THEN 1 ELSE 0 END) - (CASE WHEN b.rest > 120 THEN 1 ELSE 0 END) AS layoff_flag_diff,
-a.h2h - b.h2h AS h2h_diff, round(ln(1 + a.h2h + b.h2h), 6) AS log1p_h2h_total, round(ln(a.n + 1) - ln(b.n + 1), 6) AS exp_diff, round(ln(1 + least(a.n, b.n)), 6) AS log_min_matches FROM x a JOIN x b ON a.match_id = b.match_id AND a.won = 1 AND b.won = 0""")
+@query(_CTX + """SELECT a.match_id, CAST(greatest(-60, least(60, a.rest - b.rest)) AS INTEGER) AS rest_diff, round(ln(1 + a.rest) - ln(1 + b.rest),
+  6) AS log_days_since_diff, (CASE WHEN a.rest > 120 THEN 1 ELSE 0 END) - (CASE WHEN b.rest > 120 THEN 1 ELSE 0 END) AS layoff_flag_diff,
+a.h2h - b.h2h AS h2h_diff, round(ln(1 + a.h2h + b.h2h), 6) AS log1p_h2h_total, round(ln(a.n + 1) - ln(b.n + 1), 6) AS exp_diff,
+  round(ln(1 + least(a.n, b.n)), 6) AS log_min_matches FROM x a JOIN x b ON a.match_id = b.match_id AND a.won = 1 AND b.won = 0""")
 def features_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contexts(spark, sf_dir).select("match_id", "rest_diff", F.round("log_days_since_diff", 6).alias("log_days_since_diff"), "layoff_flag_diff", "h2h_diff", F.round("log1p_h2h_total", 6).alias("log1p_h2h_total"), F.round("exp_diff", 6).alias("exp_diff"), F.round("log_min_matches", 6).alias("log_min_matches"))
 
@@ -126,7 +133,8 @@ def oriented(features: DataFrame) -> DataFrame:
     return features.select("match_id", "year", "tour", (~flip).cast("double").alias("label"), *[F.when(flip, -F.col(x)).otherwise(F.col(x)).alias(x) for x in SIGNED if x in features.columns], *[x for x in EVEN if x in features.columns])
 
 
-@query(_BIO + """SELECT match_id, CASE WHEN match_id % 2 = 1 THEN 0.0 ELSE 1.0 END AS label, (CASE WHEN match_id % 2 = 1 THEN -1 ELSE 1 END) * coalesce(CAST(wa - la AS DOUBLE), 0) AS age_diff, CASE surface WHEN 'Hard' THEN 1.0 ELSE 0.0 END AS surf_hard FROM bio""")
+@query(_BIO + """SELECT match_id, CASE WHEN match_id % 2 = 1 THEN 0.0 ELSE 1.0 END AS label, (CASE WHEN match_id % 2 = 1 THEN -1
+  ELSE 1 END) * coalesce(CAST(wa - la AS DOUBLE), 0) AS age_diff, CASE surface WHEN 'Hard' THEN 1.0 ELSE 0.0 END AS surf_hard FROM bio""")
 def oriented_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = static_features()
     rows = with_bios(spark, sf_dir).select("match_id", "year", "tour", made["age_diff"].alias("age_diff"), made["surf_hard"].alias("surf_hard"))

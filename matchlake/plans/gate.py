@@ -19,8 +19,10 @@ def violations(rows: DataFrame, check: str, key: Column, when: Column, message:
     return rows.filter(when).select(F.lit(check).alias("check"), key.cast("string").alias("key"), message.cast("string").alias("message"))
 
 
-@query(MATCHES + """SELECT 'games' AS "check", CAST(match_id AS VARCHAR) AS key, 'completed with ' || CAST(w_games AS VARCHAR) || '-' || CAST(l_games AS VARCHAR) AS message FROM matches WHERE completed AND w_games <= l_games + 2
-UNION ALL SELECT 'level', CAST(match_id AS VARCHAR), draw_level || ' in tier ' || CAST(tier AS VARCHAR) FROM matches WHERE draw_level = 'qual' AND tier = 1
+@query(MATCHES + """SELECT 'games' AS "check", CAST(match_id AS VARCHAR) AS key,
+  'completed with ' || CAST(w_games AS VARCHAR) || '-' || CAST(l_games AS VARCHAR) AS message FROM matches WHERE completed AND w_games <= l_games + 2
+UNION ALL SELECT 'level', CAST(match_id AS VARCHAR), draw_level || ' in tier ' || CAST(tier AS VARCHAR) FROM matches
+  WHERE draw_level = 'qual' AND tier = 1
 UNION ALL SELECT 'served', CAST(match_id AS VARCHAR), 'won ' || CAST(w_won AS VARCHAR) FROM matches WHERE w_won > w_svpt OR l_won > l_svpt""")
 def gate_match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row checks in one scan: each row carries the list of what it violates."""
@@ -35,21 +37,25 @@ def gate_match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("match_id", F.explode(found).alias("v")).select("v.check", F.col("match_id").cast("string").alias("key"), "v.message")
 
 
-@query("""SELECT 'duplicate' AS "check", CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) || ' rows' AS message FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
+@query("""SELECT 'duplicate' AS "check", CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) AS key,
+  CAST(count(*) AS VARCHAR) || ' rows' AS message FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
 def gate_unique_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
     return violations(n, "duplicate", F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")), F.col("n") > 1, F.concat(F.col("n").cast("string"), F.lit(" rows")))
 
 
-@query("""SELECT 'orphan' AS "check", CAST(l_orderkey AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS message FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus <> 'P') GROUP BY l_orderkey""")
+@query("""SELECT 'orphan' AS "check", CAST(l_orderkey AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS message FROM lineitem l WHERE NOT EXISTS (SELECT 1
+  FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus <> 'P') GROUP BY l_orderkey""")
 def gate_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
     lost = table(spark, sf_dir, "lineitem").join(known, "l_orderkey", "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     return violations(lost, "orphan", F.col("l_orderkey"), F.lit(True), F.col("n"))
 
 
-@query(MATCHES + """, n AS (SELECT year, count(*) AS n, CAST(count(w_svpt) AS DOUBLE) / count(*) AS share FROM matches GROUP BY year), c AS (SELECT *, lag(n) OVER (ORDER BY year) AS before FROM n)
-SELECT 'volume' AS "check", CAST(year AS VARCHAR) AS key, CAST(n AS VARCHAR) || ' after ' || CAST(before AS VARCHAR) AS message FROM c WHERE n < 0.6 * before UNION ALL SELECT 'coverage', CAST(year AS VARCHAR), 'statistics' FROM c WHERE share < 0.888""")
+@query(MATCHES + """, n AS (SELECT year, count(*) AS n, CAST(count(w_svpt) AS DOUBLE) / count(*) AS share FROM matches
+  GROUP BY year), c AS (SELECT *, lag(n) OVER (ORDER BY year) AS before FROM n)
+SELECT 'volume' AS "check", CAST(year AS VARCHAR) AS key, CAST(n AS VARCHAR) || ' after ' || CAST(before AS VARCHAR) AS message FROM c
+  WHERE n < 0.6 * before UNION ALL SELECT 'coverage', CAST(year AS VARCHAR), 'statistics' FROM c WHERE share < 0.888""")
 def gate_source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = matches(spark, sf_dir).groupBy("year").agg(F.count("*").alias("n"), (F.count("w_svpt") / F.count("*")).alias("share"))
     c = n.withColumn("before", F.lag("n").over(W.orderBy("year")))  # one row a year
@@ -57,8 +63,11 @@ def gate_source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volume.unionByName(violations(c, "coverage", F.col("year"), F.col("share") < 0.888, F.lit("statistics")))
 
 
-@query(MATCHES + """, h AS (SELECT match, date_trunc('hour', as_of) AS hour, arg_max(p, (as_of, event_id)) AS p FROM forecasts GROUP BY ALL), s AS (SELECT *, lag(hour) OVER (PARTITION BY match ORDER BY hour) AS before, lag(p) OVER (PARTITION BY match ORDER BY hour) AS q FROM h)
-SELECT 'order' AS "check", CAST(match AS VARCHAR) AS key, 'jump' AS message FROM s WHERE abs(p - q) > 0.9 UNION ALL SELECT 'range', CAST(match AS VARCHAR), 'certain' FROM s WHERE p <= 0 OR p >= 0.999""")
+@query(MATCHES + """, h AS (SELECT match, date_trunc('hour', as_of) AS hour, arg_max(p, (as_of, event_id)) AS p FROM forecasts
+  GROUP BY ALL), s AS (SELECT *, lag(hour) OVER (PARTITION BY match ORDER BY hour) AS before, lag(p) OVER (PARTITION BY match ORDER BY hour) AS q
+  FROM h)
+SELECT 'order' AS "check", CAST(match AS VARCHAR) AS key, 'jump' AS message FROM s WHERE abs(p - q) > 0.9
+  UNION ALL SELECT 'range', CAST(match AS VARCHAR), 'certain' FROM s WHERE p <= 0 OR p >= 0.999""")
 def gate_forecast_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("match").orderBy("hour")
     s = snapshot_hour_dedup(spark, sf_dir).withColumn("q", F.lag("p").over(w))
@@ -82,15 +91,19 @@ def projection_problems(reach: DataFrame, last: DataFrame) -> DataFrame:
     return grows.unionByName(violations(title, "mass", F.col("event"), F.abs(F.col("mass") - 1) > 1e-9, F.lit("title mass")))
 
 
-@query(MATCHES + """, e AS (SELECT event_id, count(*) FILTER (WHERE round_order = 7) AS finals, count(*) AS n FROM matches GROUP BY event_id) SELECT 'finals' AS "check", event_id AS key, CAST(finals AS VARCHAR) || CASE WHEN n > 50 THEN '' ELSE ' [advisory]' END AS message FROM e WHERE finals <> 1""")
+@query(MATCHES + """, e AS (SELECT event_id, count(*) FILTER (WHERE round_order = 7) AS finals, count(*) AS n FROM matches
+  GROUP BY event_id) SELECT 'finals' AS "check", event_id AS key, CAST(finals AS VARCHAR) || CASE WHEN n > 50 THEN '' ELSE ' [advisory]' END AS message
+  FROM e WHERE finals <> 1""")
 def gate_event_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events without exactly one final; small events are advisory only."""
     e = matches(spark, sf_dir).groupBy("event_id").agg(F.count_if(F.col("round_order") == 7).alias("finals"), F.count("*").alias("n"))
     return violations(e, "finals", F.col("event_id"), F.col("finals") != 1, F.concat(F.col("finals").cast("string"), F.when(F.col("n") > 50, "").otherwise(" [advisory]")))
 
 
-@query(MATCHES + """, n AS (SELECT event, tour, surface, count(*) AS n FROM matches GROUP BY ALL), t AS (SELECT event, tour, arg_max(surface, (n, surface)) AS surface FROM n GROUP BY ALL)
-SELECT 'split' AS "check", a.event || '/' || b.event AS key, a.surface || ' and ' || b.surface AS message FROM t a JOIN t b ON substr(a.event, 1, 1) = substr(b.event, 1, 1) AND a.event < b.event AND a.surface <> b.surface""")
+@query(MATCHES + """, n AS (SELECT event, tour, surface, count(*) AS n FROM matches GROUP BY ALL), t AS (SELECT event, tour, arg_max(surface, (n, surface)) AS surface
+  FROM n GROUP BY ALL)
+SELECT 'split' AS "check", a.event || '/' || b.event AS key, a.surface || ' and ' || b.surface AS message FROM t a
+  JOIN t b ON substr(a.event, 1, 1) = substr(b.event, 1, 1) AND a.event < b.event AND a.surface <> b.surface""")
 def gate_cross_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with like names whose main surfaces differ (one row an event and tour)."""
     n = matches(spark, sf_dir).groupBy("event", "tour", "surface").agg(F.count("*").alias("n"))
@@ -113,13 +126,15 @@ def surface_splits(m: DataFrame) -> DataFrame:
     return violations(both, "split", F.concat_ws("/", "a.event_id", F.col("a.tour").cast("string"), "b.event_id", F.col("b.tour").cast("string")), F.col("a.surface") != F.col("b.surface"), F.concat_ws(" and ", "a.surface", "b.surface"))
 
 
-@query(MATCHES + """, want AS (SELECT event_id FROM matches GROUP BY event_id), ship AS (SELECT event_id FROM matches WHERE tier <= 4 AND match_id % 11 = 0 GROUP BY event_id)
+@query(MATCHES + """, want AS (SELECT event_id FROM matches GROUP BY event_id), ship AS (SELECT event_id FROM matches WHERE tier <= 4 AND match_id % 11 = 0
+  GROUP BY event_id)
 SELECT 'event' AS "check", w.event_id AS key, 'not shipped' AS message FROM want w LEFT JOIN ship s USING (event_id) WHERE s.event_id IS NULL""")
 def gate_event_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unshipped(matches(spark, sf_dir))
 
 
-@query(MATCHES + """, want AS (SELECT event_id FROM matches GROUP BY event_id), ship AS (SELECT event_id FROM matches WHERE tier <= 4 AND match_id % 11 = 0 GROUP BY event_id)
+@query(MATCHES + """, want AS (SELECT event_id FROM matches GROUP BY event_id), ship AS (SELECT event_id FROM matches WHERE tier <= 4 AND match_id % 11 = 0
+  GROUP BY event_id)
 SELECT 'event' AS "check", w.event_id AS key, 'not shipped' AS message FROM want w LEFT JOIN ship s USING (event_id) WHERE s.event_id IS NULL""")
 def gate_event_coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over every season."""
@@ -131,7 +146,8 @@ def unshipped(m: DataFrame) -> DataFrame:
     return violations(lost, "event", F.col("event_id"), F.lit(True), F.lit("not shipped"))
 
 
-@query(MATCHES + """, v AS (SELECT CASE WHEN completed AND w_games <= l_games + 2 THEN 'games' WHEN draw_level = 'qual' AND tier = 1 THEN 'level' END AS c, tour FROM matches)
+@query(MATCHES + """, v AS (SELECT CASE WHEN completed AND w_games <= l_games + 2 THEN 'games' WHEN draw_level = 'qual' AND tier = 1 THEN 'level' END AS c, tour
+  FROM matches)
 SELECT c AS "check", tour, count(*) AS n, CASE WHEN c = 'games' THEN TRUE ELSE FALSE END AS blocks FROM v WHERE c IS NOT NULL GROUP BY ALL""")
 def gate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations counted by check and tour; advisory ones don't block."""

@@ -18,9 +18,13 @@ ANCHOR_HOUR, LOOKBACK, EXTREME, SPREAD = 8, 4 * 3600, 0.99, 0.10
 FORECAST_DAYS = (-1, 21)
 
 
-_SNAPS = MATCHES + """, t AS (SELECT match_id AS ticker, winner AS player, date AS occ, CAST(date AS TIMESTAMP) + INTERVAL 1 HOUR * (match_id % 24) AS quote FROM matches WHERE match_id % 3 = 0),
-l AS (SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN 'match' ELSE 'match_snapshot' END AS type, user_id AS player, DATE '1992-01-01' + CAST(event_id * 37 % 2400 AS INTEGER) + INTERVAL 1 HOUR * (event_id % 24) AS as_of, round(abs(value) / (abs(value) + 50.0), 6) AS p FROM events),
-c AS (SELECT t.*, l.id, l.type, l.as_of, l.p FROM t JOIN l ON l.player = t.player % 50 AND date_diff('day', CAST(l.as_of AS DATE), t.occ) BETWEEN -1 AND 21)
+_SNAPS = MATCHES + """, t AS (SELECT match_id AS ticker, winner AS player, date AS occ, CAST(date AS TIMESTAMP) + INTERVAL 1 HOUR * (match_id % 24) AS quote FROM matches
+  WHERE match_id % 3 = 0),
+l AS (SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN 'match' ELSE 'match_snapshot' END AS type, user_id AS player,
+  DATE '1992-01-01' + CAST(event_id * 37 % 2400 AS INTEGER) + INTERVAL 1 HOUR * (event_id % 24) AS as_of, round(abs(value) / (abs(value) + 50.0),
+  6) AS p FROM events),
+c AS (SELECT t.*, l.id, l.type, l.as_of, l.p FROM t JOIN l ON l.player = t.player % 50 AND date_diff('day', CAST(l.as_of AS DATE), t.occ) BETWEEN -1
+  AND 21)
 """
 
 
@@ -42,7 +46,8 @@ def pick_forecast(tickers: DataFrame, log: DataFrame, on: list[str]) -> DataFram
     return best.select("ticker", chosen["id"].alias("id"), chosen["p"].alias("p"), F.col("a").isNotNull().alias("aligned"))
 
 
-@query(_SNAPS + """, k AS (SELECT ticker, arg_max({'id': id, 'p': p}, (as_of, id)) FILTER (WHERE type = 'match_snapshot' AND as_of <= quote) AS a, arg_min({'id': id, 'p': p}, (as_of, id)) FILTER (WHERE type = 'match') AS m, arg_min({'id': id, 'p': p}, (as_of, id)) AS f FROM c GROUP BY ticker)
+@query(_SNAPS + """, k AS (SELECT ticker, arg_max({'id': id, 'p': p}, (as_of, id)) FILTER (WHERE type = 'match_snapshot' AND as_of <= quote) AS a, arg_min({'id': id,
+  'p': p}, (as_of, id)) FILTER (WHERE type = 'match') AS m, arg_min({'id': id, 'p': p}, (as_of, id)) AS f FROM c GROUP BY ticker)
 SELECT ticker, coalesce(a, m, f).id AS id, coalesce(a, m, f).p AS p, a IS NOT NULL AS aligned FROM k""")
 def forecast_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecasts as of each ticker's quote, with the fallback to first sightings."""
@@ -54,10 +59,12 @@ def forecast_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick_forecast(t, log, ["player"])
 
 
-_OOS = MATCHES + ", oos AS (SELECT winner, loser, date, round(0.3 + match_id % 50 / 100.0, 6) AS p, match_id FROM matches WHERE completed AND date >= DATE '1995-01-01') "
+_OOS = MATCHES + """, oos AS (SELECT winner, loser, date, round(0.3 + match_id % 50 / 100.0, 6) AS p, match_id FROM matches
+  WHERE completed AND date >= DATE '1995-01-01') """
 
 
-@query(_OOS + "SELECT m.match_id, o.p FROM matches m LEFT JOIN (SELECT winner, loser, date, arg_max(p, match_id) AS p FROM oos GROUP BY ALL) o USING (winner, loser, date) WHERE m.match_id % 2 = 0")
+@query(_OOS + """SELECT m.match_id, o.p FROM matches m LEFT JOIN (SELECT winner, loser, date, arg_max(p, match_id) AS p FROM oos
+  GROUP BY ALL) o USING (winner, loser, date) WHERE m.match_id % 2 = 0""")
 def oos_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-sample predictions by winner, loser and day; the last one of a key holds."""
     m = matches(spark, sf_dir)
@@ -65,11 +72,15 @@ def oos_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.filter("match_id % 2 = 0").join(index, ["winner", "loser", "date"], "left").select("match_id", "p")
 
 
-_RANKS = MATCHES + ", live AS (SELECT * FROM (SELECT player, rank() OVER (ORDER BY points DESC, player) AS rank FROM players WHERE points IS NOT NULL) WHERE player % 3 > 0), res AS (SELECT match_id, winner, loser, CASE WHEN match_id % 4 > 0 THEN match_id % 90 + 1 END AS winner_rank, CASE WHEN match_id % 5 > 0 THEN match_id % 80 + 1 END AS loser_rank FROM matches) "
+_RANKS = MATCHES + """, live AS (SELECT * FROM (SELECT player, rank() OVER (ORDER BY points DESC, player) AS rank FROM players WHERE points IS NOT NULL)
+  WHERE player % 3 > 0), res AS (SELECT match_id, winner, loser, CASE WHEN match_id % 4 > 0 THEN match_id % 90 + 1 END AS winner_rank, CASE
+  WHEN match_id % 5 > 0 THEN match_id % 80 + 1 END AS loser_rank FROM matches) """
 
 
-@query(_RANKS + """, b AS (SELECT match_id, winner AS player, winner_rank AS r FROM res WHERE match_id % 7 > 0 UNION ALL SELECT match_id, loser, loser_rank FROM res WHERE match_id % 7 > 0 UNION ALL SELECT match_id, winner, NULL FROM res WHERE match_id % 7 = 0)
-SELECT b.match_id, b.player, CAST(coalesce(b.r, l.rank) AS BIGINT) AS rank, CASE WHEN b.r IS NOT NULL THEN 'results' WHEN l.rank IS NOT NULL THEN 'live' ELSE '' END AS source FROM b LEFT JOIN live l USING (player)""")
+@query(_RANKS + """, b AS (SELECT match_id, winner AS player, winner_rank AS r FROM res WHERE match_id % 7 > 0 UNION ALL SELECT match_id, loser, loser_rank FROM res
+  WHERE match_id % 7 > 0 UNION ALL SELECT match_id, winner, NULL FROM res WHERE match_id % 7 = 0)
+SELECT b.match_id, b.player, CAST(coalesce(b.r, l.rank) AS BIGINT) AS rank, CASE WHEN b.r IS NOT NULL THEN 'results'
+  WHEN l.rank IS NOT NULL THEN 'live' ELSE '' END AS source FROM b LEFT JOIN live l USING (player)""")
 def rank_with_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks from the matched result, else from the live table, with their source."""
     k = F.col("match_id")
@@ -89,9 +100,12 @@ def place(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame
     return sequence(rows, order, name)
 
 
-@query(MATCHES + """, known AS (SELECT lower(regexp_replace(s_name, '#', ' ')) AS k, s_suppkey AS id FROM supplier WHERE s_suppkey % 2 = 0), tokens AS (SELECT array_to_string(list_sort(string_split(k, ' ')), ' ') AS k, min(id) AS id FROM known GROUP BY 1),
-asked AS (SELECT s_suppkey AS player, CASE s_suppkey % 4 WHEN 0 THEN lower(regexp_replace(s_name, '#', ' ')) ELSE split_part(s_name, '#', 2) || ' supplier' END AS k FROM supplier)
-SELECT a.player, coalesce(k.id, t.id) AS id, CASE WHEN k.id IS NOT NULL THEN 'key' WHEN t.id IS NOT NULL THEN 'tokens' END AS how FROM asked a LEFT JOIN known k ON k.k = a.k LEFT JOIN tokens t ON t.k = array_to_string(list_sort(string_split(a.k, ' ')), ' ')""")
+@query(MATCHES + """, known AS (SELECT lower(regexp_replace(s_name, '#', ' ')) AS k, s_suppkey AS id FROM supplier
+  WHERE s_suppkey % 2 = 0), tokens AS (SELECT array_to_string(list_sort(string_split(k, ' ')), ' ') AS k, min(id) AS id FROM known GROUP BY 1),
+asked AS (SELECT s_suppkey AS player, CASE s_suppkey % 4 WHEN 0 THEN lower(regexp_replace(s_name, '#', ' ')) ELSE split_part(s_name, '#',
+  2) || ' supplier' END AS k FROM supplier)
+SELECT a.player, coalesce(k.id, t.id) AS id, CASE WHEN k.id IS NOT NULL THEN 'key' WHEN t.id IS NOT NULL THEN 'tokens' END AS how FROM asked a LEFT
+  JOIN known k ON k.k = a.k LEFT JOIN tokens t ON t.k = array_to_string(list_sort(string_split(a.k, ' ')), ' ')""")
 def live_rank_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Players by name key, else by the same words in any order."""
     s = table(spark, sf_dir, "supplier")
@@ -104,10 +118,14 @@ def live_rank_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("player", F.coalesce("by_key", "by_words").alias("id"), F.when(F.col("by_key").isNotNull(), "key").when(F.col("by_words").isNotNull(), "tokens").alias("how"))
 
 
-_LEDGER = MATCHES + """, led AS (SELECT match_id AS ticker, tour, date AS result_date, CASE WHEN match_id % 11 = 0 THEN 'pending' ELSE 'matched' END AS match_status, CASE WHEN completed THEN 'completed' WHEN walkover THEN 'walkover' ELSE 'retired' END AS result_type,
-  CASE WHEN match_id % 6 = 0 THEN 'last' ELSE 'candle' END AS price_kind, CASE WHEN match_id % 10 > 0 THEN 0.2 + match_id % 61 / 100.0 END AS p_model, CASE WHEN match_id % 9 > 0 THEN 0.2 + match_id % 59 / 100.0 END AS p_kalshi, match_id % 15 / 100.0 AS spread_max, match_id % 2 AS a_won,
-  CASE WHEN match_id % 13 = 0 THEN 'live' ELSE 'live_aligned' END AS pred_source, CASE WHEN match_id % 4 = 0 THEN NULL WHEN match_id % 2 = 0 THEN 'no' WHEN match_id % 17 = 0 THEN 'no' ELSE 'yes' END AS settled_a,
-  CAST(date AS TIMESTAMP) + INTERVAL 8 HOUR + INTERVAL 1 MINUTE * (match_id % 97 * 20 - 1500) AS price_ts, CASE WHEN match_id % 19 = 0 THEN 0.995 ELSE 0.4 END AS mid_a, least(winner, loser) AS lo, greatest(winner, loser) AS hi FROM matches)
+_LEDGER = MATCHES + """, led AS (SELECT match_id AS ticker, tour, date AS result_date, CASE WHEN match_id % 11 = 0 THEN 'pending' ELSE 'matched' END AS match_status, CASE
+  WHEN completed THEN 'completed' WHEN walkover THEN 'walkover' ELSE 'retired' END AS result_type,
+  CASE WHEN match_id % 6 = 0 THEN 'last' ELSE 'candle' END AS price_kind, CASE WHEN match_id % 10 > 0 THEN 0.2 + match_id % 61 / 100.0 END AS p_model,
+  CASE WHEN match_id % 9 > 0 THEN 0.2 + match_id % 59 / 100.0 END AS p_kalshi, match_id % 15 / 100.0 AS spread_max, match_id % 2 AS a_won,
+  CASE WHEN match_id % 13 = 0 THEN 'live' ELSE 'live_aligned' END AS pred_source, CASE WHEN match_id % 4 = 0 THEN NULL WHEN match_id % 2 = 0 THEN 'no'
+  WHEN match_id % 17 = 0 THEN 'no' ELSE 'yes' END AS settled_a,
+  CAST(date AS TIMESTAMP) + INTERVAL 8 HOUR + INTERVAL 1 MINUTE * (match_id % 97 * 20 - 1500) AS price_ts, CASE WHEN match_id % 19 = 0 THEN 0.995
+  ELSE 0.4 END AS mid_a, least(winner, loser) AS lo, greatest(winner, loser) AS hi FROM matches)
 """
 
 
@@ -146,7 +164,8 @@ def scoring_quote_ok(day: str = "result_date", at: str = "price_ts", mid: str =
     return (F.col("price_kind") == "candle") & (F.col("match_status") == "matched") & (F.col(at) <= anchor) & ~(stale & ~F.col(mid).between(1 - EXTREME + 1e-12, EXTREME - 1e-12))
 
 
-@query(_LEDGER + """SELECT ticker, price_kind = 'candle' AND match_status = 'matched' AND price_ts <= CAST(result_date AS TIMESTAMP) + INTERVAL 8 HOUR AND NOT (price_ts <= CAST(result_date AS TIMESTAMP) + INTERVAL 4 HOUR AND NOT (mid_a > 0.01 AND mid_a < 0.99)) AS ok FROM led""")
+@query(_LEDGER + """SELECT ticker, price_kind = 'candle' AND match_status = 'matched' AND price_ts <= CAST(result_date AS TIMESTAMP) + INTERVAL 8 HOUR
+  AND NOT (price_ts <= CAST(result_date AS TIMESTAMP) + INTERVAL 4 HOUR AND NOT (mid_a > 0.01 AND mid_a < 0.99)) AS ok FROM led""")
 def scoring_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger(spark, sf_dir).select("ticker", scoring_quote_ok().alias("ok"))
 
@@ -174,9 +193,12 @@ def gate_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("ticker").cast("string").alias("key"), F.explode(found).alias("v")).select("v.check", "key", "v.message")
 
 
-@query("""WITH m AS (SELECT DISTINCT o_custkey AS event, o_orderkey AS ticker, CASE WHEN o_orderkey % 13 = 0 THEN 'A/B' WHEN o_orderkey % 17 = 0 THEN ' ' ELSE 'Name ' || (o_orderkey % 40) END AS name FROM orders WHERE o_orderkey % 3 = 0),
-g AS (SELECT event, count(*) AS n, bool_or(contains(name, '/') OR trim(name) = '') AS bad, count(DISTINCT lower(name)) AS names, min({'k': lower(name), 't': ticker}) AS a, max({'k': lower(name), 't': ticker}) AS b FROM m GROUP BY event)
-SELECT event, CASE WHEN n <> 2 THEN CAST(n AS VARCHAR) || ' markets' WHEN bad THEN 'names' WHEN names < 2 THEN 'one player' END AS skipped, CASE WHEN n = 2 AND NOT bad AND names = 2 THEN a.t END AS a, CASE WHEN n = 2 AND NOT bad AND names = 2 THEN b.t END AS b FROM g""")
+@query("""WITH m AS (SELECT DISTINCT o_custkey AS event, o_orderkey AS ticker, CASE WHEN o_orderkey % 13 = 0 THEN 'A/B' WHEN o_orderkey % 17 = 0 THEN ' '
+  ELSE 'Name ' || (o_orderkey % 40) END AS name FROM orders WHERE o_orderkey % 3 = 0),
+g AS (SELECT event, count(*) AS n, bool_or(contains(name, '/') OR trim(name) = '') AS bad, count(DISTINCT lower(name)) AS names,
+  min({'k': lower(name), 't': ticker}) AS a, max({'k': lower(name), 't': ticker}) AS b FROM m GROUP BY event)
+SELECT event, CASE WHEN n <> 2 THEN CAST(n AS VARCHAR) || ' markets' WHEN bad THEN 'names' WHEN names < 2 THEN 'one player' END AS skipped, CASE
+  WHEN n = 2 AND NOT bad AND names = 2 THEN a.t END AS a, CASE WHEN n = 2 AND NOT bad AND names = 2 THEN b.t END AS b FROM g""")
 def market_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of exactly two markets for two players, in order of their keys; all others with the reason."""
     k = F.col("o_orderkey")
@@ -189,10 +211,12 @@ def market_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("event", skipped.alias("skipped"), F.when(good, F.col("x.t")).alias("a"), F.when(good, F.col("y.t")).alias("b"))
 
 
-_ARMS = MATCHES + ", a AS (SELECT match_id AS k, 0.3 + match_id % 50 / 100.0 AS p FROM matches WHERE match_id % 7 > 0), b AS (SELECT match_id AS k, 0.3 + match_id % 47 / 100.0 AS p FROM matches WHERE match_id % 5 > 0) "
+_ARMS = MATCHES + """, a AS (SELECT match_id AS k, 0.3 + match_id % 50 / 100.0 AS p FROM matches WHERE match_id % 7 > 0), b AS (SELECT match_id AS k,
+  0.3 + match_id % 47 / 100.0 AS p FROM matches WHERE match_id % 5 > 0) """
 
 
-@query(_ARMS + "SELECT k, round(a.p, 6) AS base, round(b.p, 6) AS arm, CASE WHEN b.p IS NULL THEN 'base only' WHEN a.p IS NULL THEN 'arm only' ELSE 'both' END AS side FROM a FULL JOIN b USING (k)")
+@query(_ARMS + """SELECT k, round(a.p, 6) AS base, round(b.p, 6) AS arm, CASE WHEN b.p IS NULL THEN 'base only' WHEN a.p IS NULL THEN 'arm only' ELSE 'both' END AS side
+  FROM a FULL JOIN b USING (k)""")
 def aligned_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two experiments paired by unique keys, with what either has alone; repeated keys are an error."""
     k = F.col("match_id")
@@ -214,12 +238,15 @@ def symmetric_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.subtract(b).withColumn("only", F.lit("base")).unionByName(b.subtract(a).withColumn("only", F.lit("arm")))
 
 
-_LOCAL = MATCHES + """, fresh AS (SELECT match_id, winner, loser, CASE WHEN match_id % 3 = 0 THEN tier END AS rank, score FROM matches WHERE match_id % 2 = 0), near AS (SELECT winner, loser, arg_max({'r': CASE WHEN match_id % 5 > 0 THEN tier + 10 END, 's': score}, match_id) AS x FROM matches WHERE match_id % 2 = 1 GROUP BY ALL),
+_LOCAL = MATCHES + """, fresh AS (SELECT match_id, winner, loser, CASE WHEN match_id % 3 = 0 THEN tier END AS rank, score FROM matches
+  WHERE match_id % 2 = 0), near AS (SELECT winner, loser, arg_max({'r': CASE WHEN match_id % 5 > 0 THEN tier + 10 END, 's': score}, match_id) AS x
+  FROM matches WHERE match_id % 2 = 1 GROUP BY ALL),
 far AS (SELECT winner, loser, arg_max(tier + 20, match_id) AS r FROM matches WHERE match_id % 4 = 0 GROUP BY ALL)
 """
 
 
-@query(_LOCAL + """SELECT f.match_id, CAST(coalesce(f.rank, n.x.r, a.r) AS INTEGER) AS rank, CASE WHEN contains(n.x.s, 'RET') AND (starts_with(split_part(n.x.s, ' RET', 1), f.score) OR starts_with(f.score, split_part(n.x.s, ' RET', 1))) THEN n.x.s ELSE f.score END AS score
+@query(_LOCAL + """SELECT f.match_id, CAST(coalesce(f.rank, n.x.r, a.r) AS INTEGER) AS rank, CASE WHEN contains(n.x.s, 'RET') AND (starts_with(split_part(n.x.s, ' RET',
+  1), f.score) OR starts_with(f.score, split_part(n.x.s, ' RET', 1))) THEN n.x.s ELSE f.score END AS score
 FROM fresh f LEFT JOIN near n USING (winner, loser) LEFT JOIN far a USING (winner, loser)""")
 def enrich_from_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing values from local copies of the same pair in order of files; a retirement's score only where the sets agree."""
@@ -233,8 +260,11 @@ def enrich_from_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("match_id", F.coalesce("rank", "n.r", "a").alias("rank"), F.when(same, F.col("n.s")).otherwise(F.col("score")).alias("score"))
 
 
-@query(MATCHES + """, nm AS (SELECT DISTINCT event || CASE WHEN match_id % 3 = 0 THEN ' Open' ELSE '' END AS name, event_id, CASE match_id % 50 WHEN 0 THEN 'ATP 500 series' WHEN 1 THEN 'mystery' ELSE 'ATP 250' END AS raw FROM matches WHERE match_id % 50 < 1 OR match_id % 50 = 1 OR match_id % 50 > 40)
-SELECT event_id, CASE WHEN max(raw) = 'ATP 500 series' THEN 'ATP 500' ELSE 'ATP 250' END AS level FROM (SELECT event_id, raw FROM nm WHERE raw <> 'mystery') GROUP BY event_id HAVING count(DISTINCT raw) = 1""")
+@query(MATCHES + """, nm AS (SELECT DISTINCT event || CASE WHEN match_id % 3 = 0 THEN ' Open' ELSE '' END AS name, event_id, CASE match_id % 50
+  WHEN 0 THEN 'ATP 500 series' WHEN 1 THEN 'mystery' ELSE 'ATP 250' END AS raw FROM matches
+  WHERE match_id % 50 < 1 OR match_id % 50 = 1 OR match_id % 50 > 40)
+SELECT event_id, CASE WHEN max(raw) = 'ATP 500 series' THEN 'ATP 500' ELSE 'ATP 250' END AS level FROM (SELECT event_id, raw FROM nm
+  WHERE raw <> 'mystery') GROUP BY event_id HAVING count(DISTINCT raw) = 1""")
 def categories_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiers cached under names, by the id behind the names, where all names of an id agree."""
     k = F.col("match_id") % 50
@@ -243,17 +273,25 @@ def categories_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.groupBy("event_id").agg(F.count_distinct("level").alias("n"), F.min("level").alias("level")).filter("n = 1").drop("n")
 
 
-_CASCADE_ALL = MATCHES + """, t AS (SELECT match_id AS ticker, least(winner, loser) AS lo, greatest(winner, loser) AS hi, date + CAST(match_id % 9 AS INTEGER) - 2 AS occ, round_order AS r, CASE WHEN match_id % 4 > 0 THEN event ELSE NULL END AS tournament FROM matches WHERE match_id % 3 = 0),
+_CASCADE_ALL = MATCHES + """, t AS (SELECT match_id AS ticker, least(winner, loser) AS lo, greatest(winner, loser) AS hi, date + CAST(match_id % 9 AS INTEGER) - 2 AS occ,
+  round_order AS r, CASE WHEN match_id % 4 > 0 THEN event ELSE NULL END AS tournament FROM matches WHERE match_id % 3 = 0),
 claimed AS (SELECT match_id, match_id + 3 AS by FROM matches WHERE match_id % 10 = 0),
-c AS (SELECT t.*, m.match_id, date_diff('day', m.date, t.occ) AS gap, m.round_order = t.r AS same_round, substr(regexp_replace(lower(m.event), '[^a-z]', '', 'g'), 1, 18) AS ek, substr(regexp_replace(lower(t.tournament), '[^a-z]', '', 'g'), 1, 18) AS rk
-  FROM t JOIN matches m ON least(m.winner, m.loser) = t.lo AND greatest(m.winner, m.loser) = t.hi AND date_diff('day', m.date, t.occ) BETWEEN -8 AND 21 LEFT JOIN claimed k ON k.match_id = m.match_id WHERE k.by IS NULL OR k.by = t.ticker),
-v AS (SELECT *, coalesce(contains(ek, rk) OR contains(rk, ek), FALSE) AS agrees FROM c), f AS (SELECT * FROM v WHERE rk IS NULL OR gap <= 3 OR agrees),
-e AS (SELECT *, bool_or(agrees) OVER (PARTITION BY ticker) AS any_agrees FROM f), e2 AS (SELECT * FROM e WHERE NOT any_agrees OR agrees), r1 AS (SELECT *, bool_or(same_round) OVER (PARTITION BY ticker) AS any_round FROM e2), r2 AS (SELECT * FROM r1 WHERE NOT any_round OR same_round),
-g AS (SELECT *, min(abs(gap)) OVER (PARTITION BY ticker) AS least_gap FROM r2), h AS (SELECT ticker, count(*) AS n, min(match_id) AS match_id FROM g WHERE abs(gap) = least_gap GROUP BY ticker)
+c AS (SELECT t.*, m.match_id, date_diff('day', m.date, t.occ) AS gap, m.round_order = t.r AS same_round, substr(regexp_replace(lower(m.event),
+  '[^a-z]', '', 'g'), 1, 18) AS ek, substr(regexp_replace(lower(t.tournament), '[^a-z]', '', 'g'), 1, 18) AS rk
+  FROM t JOIN matches m ON least(m.winner, m.loser) = t.lo AND greatest(m.winner, m.loser) = t.hi AND date_diff('day', m.date, t.occ) BETWEEN -8
+  AND 21 LEFT JOIN claimed k ON k.match_id = m.match_id WHERE k.by IS NULL OR k.by = t.ticker),
+v AS (SELECT *, coalesce(contains(ek, rk) OR contains(rk, ek), FALSE) AS agrees FROM c), f AS (SELECT * FROM v
+  WHERE rk IS NULL OR gap <= 3 OR agrees),
+e AS (SELECT *, bool_or(agrees) OVER (PARTITION BY ticker) AS any_agrees FROM f), e2 AS (SELECT * FROM e
+  WHERE NOT any_agrees OR agrees), r1 AS (SELECT *, bool_or(same_round) OVER (PARTITION BY ticker) AS any_round FROM e2), r2 AS (SELECT * FROM r1
+  WHERE NOT any_round OR same_round),
+g AS (SELECT *, min(abs(gap)) OVER (PARTITION BY ticker) AS least_gap FROM r2), h AS (SELECT ticker, count(*) AS n, min(match_id) AS match_id FROM g
+  WHERE abs(gap) = least_gap GROUP BY ticker)
 """
 
 
-@query(_CASCADE_ALL + "SELECT t.ticker, CASE WHEN h.n = 1 THEN h.match_id END AS match_id, CASE WHEN h.n IS NULL THEN 'pending' WHEN h.n = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM t LEFT JOIN h USING (ticker)")
+@query(_CASCADE_ALL + """SELECT t.ticker, CASE WHEN h.n = 1 THEN h.match_id END AS match_id, CASE WHEN h.n IS NULL THEN 'pending' WHEN h.n = 1 THEN 'matched'
+  ELSE 'ambiguous' END AS status FROM t LEFT JOIN h USING (ticker)""")
 def ledger_join_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of a pair within -8 to 21 days that no other ticker claims and, when far off, of the named tournament; then
     those of that tournament, of that round and the nearest, as far as any is; a tie stays open."""

@@ -14,12 +14,18 @@ from matchlake.plans.metrics import _P
 from matchlake.sources.adapters import MATCHES, forecasts, matches
 
 _ODDS = MATCHES + """, odds AS (SELECT match_id, winner AS w_key, loser AS l_key, date + CAST(match_id % 6 AS INTEGER) AS date,
-  CASE WHEN match_id % 3 <> 0 THEN 1.2 + (wq % 30) / 10.0 END AS odds_w_ps, CASE WHEN match_id % 3 <> 0 AND match_id % 8 <> 1 THEN 1.2 + (lq % 30) / 10.0 END AS odds_l_ps,
-  CASE WHEN match_id % 4 <> 0 THEN 1.25 + (wq % 30) / 10.0 END AS odds_w_b365, CASE WHEN match_id % 4 <> 0 THEN 1.25 + (lq % 30) / 10.0 END AS odds_l_b365,
-  1.3 + (wq % 30) / 10.0 AS odds_w_avg, 1.3 + (lq % 30) / 10.0 AS odds_l_avg FROM (SELECT m.match_id, m.winner, m.loser, m.date, b.wq, b.lq FROM matches m JOIN base b USING (match_id))),
-coalesced AS (SELECT match_id, w_key, l_key, date, CASE WHEN odds_w_ps IS NOT NULL AND odds_l_ps IS NOT NULL THEN 'ps' WHEN odds_w_b365 IS NOT NULL AND odds_l_b365 IS NOT NULL THEN 'b365' ELSE 'avg' END AS book,
-  CASE WHEN odds_w_ps IS NOT NULL AND odds_l_ps IS NOT NULL THEN odds_w_ps WHEN odds_w_b365 IS NOT NULL THEN odds_w_b365 ELSE odds_w_avg END AS odds_w,
-  CASE WHEN odds_w_ps IS NOT NULL AND odds_l_ps IS NOT NULL THEN odds_l_ps WHEN odds_l_b365 IS NOT NULL THEN odds_l_b365 ELSE odds_l_avg END AS odds_l FROM odds)
+  CASE WHEN match_id % 3 <> 0 THEN 1.2 + (wq % 30) / 10.0 END AS odds_w_ps, CASE WHEN match_id % 3 <> 0
+  AND match_id % 8 <> 1 THEN 1.2 + (lq % 30) / 10.0 END AS odds_l_ps,
+  CASE WHEN match_id % 4 <> 0 THEN 1.25 + (wq % 30) / 10.0 END AS odds_w_b365, CASE
+  WHEN match_id % 4 <> 0 THEN 1.25 + (lq % 30) / 10.0 END AS odds_l_b365,
+  1.3 + (wq % 30) / 10.0 AS odds_w_avg, 1.3 + (lq % 30) / 10.0 AS odds_l_avg FROM (SELECT m.match_id, m.winner, m.loser, m.date, b.wq, b.lq
+  FROM matches m JOIN base b USING (match_id))),
+coalesced AS (SELECT match_id, w_key, l_key, date, CASE WHEN odds_w_ps IS NOT NULL AND odds_l_ps IS NOT NULL THEN 'ps' WHEN odds_w_b365 IS NOT NULL
+  AND odds_l_b365 IS NOT NULL THEN 'b365' ELSE 'avg' END AS book,
+  CASE WHEN odds_w_ps IS NOT NULL AND odds_l_ps IS NOT NULL THEN odds_w_ps WHEN odds_w_b365 IS NOT NULL THEN odds_w_b365
+  ELSE odds_w_avg END AS odds_w,
+  CASE WHEN odds_w_ps IS NOT NULL AND odds_l_ps IS NOT NULL THEN odds_l_ps WHEN odds_l_b365 IS NOT NULL THEN odds_l_b365 ELSE odds_l_avg END AS odds_l
+  FROM odds)
 """
 
 
@@ -43,14 +49,16 @@ def best_book(rows: DataFrame) -> DataFrame:
     return rows.withColumn("o", F.coalesce(*legs)).filter("o is not null").select("match_id", "w_key", "l_key", "date", "o.*")
 
 
-@query(_ODDS + "SELECT match_id, book, round(odds_w, 6) AS odds_w, round(odds_l, 6) AS odds_l, round((1 / odds_w) / (1 / odds_w + 1 / odds_l), 6) AS p FROM coalesced")
+@query(_ODDS + """SELECT match_id, book, round(odds_w, 6) AS odds_w, round(odds_l, 6) AS odds_l, round((1 / odds_w) / (1 / odds_w + 1 / odds_l), 6) AS p FROM coalesced""")
 def odds_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_book(odds(spark, sf_dir)).select("match_id", "book", F.round("odds_w", 6).alias("odds_w"), F.round("odds_l", 6).alias("odds_l"), F.round(s.market_probability(F.col("odds_w"), F.col("odds_l")), 6).alias("p"))
 
 
-_BAND = _ODDS + """, banded AS (SELECT m.match_id, m.date, c.match_id AS odds_id, c.book, c.odds_w, c.odds_l, row_number() OVER (PARTITION BY m.date, m.winner, m.loser ORDER BY abs(date_diff('day', m.date, c.date)), c.match_id, m.match_id) AS i
+_BAND = _ODDS + """, banded AS (SELECT m.match_id, m.date, c.match_id AS odds_id, c.book, c.odds_w, c.odds_l, row_number() OVER (PARTITION BY m.date, m.winner,
+  m.loser ORDER BY abs(date_diff('day', m.date, c.date)), c.match_id, m.match_id) AS i
   FROM matches m JOIN coalesced c ON c.w_key = m.winner AND c.l_key = m.loser AND abs(date_diff('day', m.date, c.date)) <= 4 WHERE m.completed),
-priced AS (SELECT b.*, (1 / odds_w) / (1 / odds_w + 1 / odds_l) AS mkt, (coalesce(w.points, 0) + 100.0) / (coalesce(w.points, 0) + coalesce(l.points, 0) + 200.0) AS p
+priced AS (SELECT b.*, (1 / odds_w) / (1 / odds_w + 1 / odds_l) AS mkt, (coalesce(w.points, 0) + 100.0) / (coalesce(w.points, 0) + coalesce(l.points,
+  0) + 200.0) AS p
   FROM banded b JOIN matches m USING (match_id) JOIN players w ON w.player = m.winner JOIN players l ON l.player = m.loser WHERE i = 1)
 """
 
@@ -69,14 +77,16 @@ def odds_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return priced(spark, sf_dir).select("match_id", "odds_id", "book", F.round("mkt", 6).alias("mkt"), F.round("p", 6).alias("p"))
 
 
-@query(_BAND + """SELECT book, CAST(count(*) FILTER (WHERE abs(p - mkt) > 0.05) AS BIGINT) AS bets, round(sum(CASE WHEN p - mkt > 0.05 THEN odds_w - 1 WHEN mkt - p > 0.05 THEN -1.0 ELSE 0.0 END), 6) AS pnl FROM priced GROUP BY book""")
+@query(_BAND + """SELECT book, CAST(count(*) FILTER (WHERE abs(p - mkt) > 0.05) AS BIGINT) AS bets, round(sum(CASE WHEN p - mkt > 0.05 THEN odds_w - 1
+  WHEN mkt - p > 0.05 THEN -1.0 ELSE 0.0 END), 6) AS pnl FROM priced GROUP BY book""")
 def flat_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A unit on the side with an edge over five points."""
     edge = F.col("p") - F.col("mkt")
     return priced(spark, sf_dir).groupBy("book").agg(F.count_if(F.abs(edge) > 0.05).alias("bets"), F.round(F.sum(F.when(edge > 0.05, F.col("odds_w") - 1).when(edge < -0.05, -1.0).otherwise(0.0)), 6).alias("pnl"))
 
 
-@query(_BAND + """, k AS (SELECT book, least(greatest((p * odds_w - 1) / (odds_w - 1), 0), 0.25) AS fw, least(greatest(((1 - p) * odds_l - 1) / (odds_l - 1), 0), 0.25) AS fl, odds_w FROM priced)
+@query(_BAND + """, k AS (SELECT book, least(greatest((p * odds_w - 1) / (odds_w - 1), 0), 0.25) AS fw, least(greatest(((1 - p) * odds_l - 1) / (odds_l - 1), 0),
+  0.25) AS fl, odds_w FROM priced)
 SELECT book, round(sum(fw + fl), 6) AS staked, round(sum(fw * (odds_w - 1) - fl), 6) AS pnl FROM k GROUP BY book""")
 def kelly_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kelly stakes on both sides, capped at a quarter."""
@@ -87,13 +97,15 @@ def kelly_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("book").agg(F.round(F.sum(F.col("fw") + F.col("fl")), 6).alias("staked"), F.round(F.sum(F.col("fw") * (F.col("odds_w") - 1) - F.col("fl")), 6).alias("pnl"))
 
 
-@query(_ODDS + ", n AS (SELECT year(date) AS year, book, count(*) AS n FROM coalesced GROUP BY ALL) SELECT year, arg_max(book, (n, book)) AS main, CAST(sum(n) AS BIGINT) AS n, count(*) AS books FROM n GROUP BY year")
+@query(_ODDS + """, n AS (SELECT year(date) AS year, book, count(*) AS n FROM coalesced GROUP BY ALL) SELECT year, arg_max(book, (n, book)) AS main,
+  CAST(sum(n) AS BIGINT) AS n, count(*) AS books FROM n GROUP BY year""")
 def source_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = best_book(odds(spark, sf_dir)).groupBy(F.year("date").alias("year"), "book").agg(F.count("*").alias("n"))
     return n.groupBy("year").agg(F.max_by("book", F.struct("n", "book")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("books"))
 
 
-@query(_BAND + """, r AS (SELECT * FROM priced WHERE date > (SELECT max(date) FROM priced) - 90) SELECT count(*) AS n, round(avg(-ln(p)), 6) AS model, round(avg(-ln(mkt)), 6) AS market, round(avg(ln(mkt) - ln(p)), 6) AS d FROM r""")
+@query(_BAND + """, r AS (SELECT * FROM priced WHERE date > (SELECT max(date) FROM priced) - 90) SELECT count(*) AS n, round(avg(-ln(p)), 6) AS model,
+  round(avg(-ln(mkt)), 6) AS market, round(avg(ln(mkt) - ln(p)), 6) AS d FROM r""")
 def recent_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = priced(spark, sf_dir).select("date", "p", "mkt")
     last = rows.join(F.broadcast(rows.agg(F.max("date").alias("latest")))).filter(F.col("date") > F.date_sub("latest", 90))
@@ -101,9 +113,13 @@ def recent_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.agg(F.count("*").alias("n"), F.round(F.avg(model), 6).alias("model"), F.round(F.avg(market), 6).alias("market"), F.round(F.avg(model - market), 6).alias("d"))
 
 
-@query("""WITH o AS (SELECT o_orderkey AS ticker, o_totalprice AS price, CAST(o_orderdate AS DATE) AS opened, o_orderstatus = 'F' AS settled, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS result FROM orders WHERE o_orderkey % 4 < 3),
-n AS (SELECT o_orderkey AS ticker, o_totalprice + 1 AS price, CAST(o_orderdate AS DATE) + 1 AS opened, o_orderkey % 5 = 0 AS settled, o_orderpriority AS result FROM orders WHERE o_orderkey % 4 > 0)
-SELECT coalesce(o.ticker, n.ticker) AS ticker, round(CASE WHEN coalesce(o.settled, FALSE) THEN o.price ELSE coalesce(n.price, o.price) END, 6) AS price, coalesce(o.opened, n.opened) AS opened, coalesce(o.result, n.result) AS result, coalesce(o.settled, FALSE) OR coalesce(n.settled, FALSE) AS settled
+@query("""WITH o AS (SELECT o_orderkey AS ticker, o_totalprice AS price, CAST(o_orderdate AS DATE) AS opened, o_orderstatus = 'F' AS settled, CASE
+  WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS result FROM orders WHERE o_orderkey % 4 < 3),
+n AS (SELECT o_orderkey AS ticker, o_totalprice + 1 AS price, CAST(o_orderdate AS DATE) + 1 AS opened, o_orderkey % 5 = 0 AS settled,
+  o_orderpriority AS result FROM orders WHERE o_orderkey % 4 > 0)
+SELECT coalesce(o.ticker, n.ticker) AS ticker, round(CASE WHEN coalesce(o.settled, FALSE) THEN o.price ELSE coalesce(n.price, o.price) END,
+  6) AS price, coalesce(o.opened, n.opened) AS opened, coalesce(o.result, n.result) AS result, coalesce(o.settled, FALSE) OR coalesce(n.settled,
+  FALSE) AS settled
 FROM o FULL JOIN n ON o.ticker = n.ticker""")
 def ledger_upsert_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merge by ticker: opening day and result keep their first value, the price follows until the market is settled."""
@@ -115,8 +131,11 @@ def ledger_upsert_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("ticker", F.round("price", 6).alias("price"), "opened", "result", "settled")
 
 
-@query(MATCHES + """, c AS (SELECT user_id, ts, value, event_id FROM events), q AS (SELECT user_id, CAST(ts AS DATE) AS day, max(event_id) AS last_id FROM events GROUP BY ALL)
-SELECT q.user_id, q.day, arg_max(c.event_id, (c.ts, c.event_id)) AS quote_id, round(arg_max(c.value, (c.ts, c.event_id)), 6) AS value, count(*) AS candles FROM q JOIN c ON c.user_id = q.user_id AND c.ts <= CAST(q.day AS TIMESTAMP) + INTERVAL 8 HOUR AND c.ts > CAST(q.day AS TIMESTAMP) - INTERVAL 40 HOUR GROUP BY q.user_id, q.day""")
+@query(MATCHES + """, c AS (SELECT user_id, ts, value, event_id FROM events), q AS (SELECT user_id, CAST(ts AS DATE) AS day, max(event_id) AS last_id FROM events
+  GROUP BY ALL)
+SELECT q.user_id, q.day, arg_max(c.event_id, (c.ts, c.event_id)) AS quote_id, round(arg_max(c.value, (c.ts, c.event_id)), 6) AS value,
+  count(*) AS candles FROM q JOIN c ON c.user_id = q.user_id AND c.ts <= CAST(q.day AS TIMESTAMP) + INTERVAL 8 HOUR
+  AND c.ts > CAST(q.day AS TIMESTAMP) - INTERVAL 40 HOUR GROUP BY q.user_id, q.day""")
 def quote_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each user and day the last quote up to 08:00, not older than two days.
 
@@ -132,7 +151,8 @@ def quote_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(last, ["user_id", "day"]).select("user_id", "day", "quote_id", "value", "candles")
 
 
-@query("SELECT vec_id, round(a / nullif(a + b, 0), 5) AS p FROM (SELECT vec_id, abs(CAST(embedding[1] AS DOUBLE)) AS a, abs(CAST(embedding[2] AS DOUBLE)) AS b FROM embeddings)")
+@query("""SELECT vec_id, round(a / nullif(a + b, 0), 5) AS p FROM (SELECT vec_id, abs(CAST(embedding[1] AS DOUBLE)) AS a, abs(CAST(embedding[2] AS DOUBLE)) AS b
+  FROM embeddings)""")
 def devig(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (F.abs(F.col("embedding")[i].cast("double")) for i in (0, 1))
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.round(F.when(a + b != 0, s.devig(a, b)), 5).alias("p"))
@@ -152,14 +172,18 @@ def healed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ticker", "claimed", (F.row_number().over(W.partitionBy("claimed").orderBy("gap", "ticker")) > 1).alias("healed"))
 
 
-_CASCADE = MATCHES + """, t AS (SELECT match_id AS ticker, least(winner, loser) AS lo, greatest(winner, loser) AS hi, date + CAST(match_id % 5 AS INTEGER) - 2 AS occ, round_order FROM matches WHERE match_id % 3 = 0),
-cand AS (SELECT t.ticker, m.match_id, m.round_order = t.round_order AS same_round, abs(date_diff('day', t.occ, m.date)) AS gap FROM t JOIN matches m ON least(m.winner, m.loser) = t.lo AND greatest(m.winner, m.loser) = t.hi AND date_diff('day', t.occ, m.date) BETWEEN -8 AND 21),
-r AS (SELECT *, max(CAST(same_round AS INTEGER)) OVER (PARTITION BY ticker) AS any_round FROM cand), f AS (SELECT * FROM r WHERE any_round = 0 OR same_round), g AS (SELECT *, min(gap) OVER (PARTITION BY ticker) AS least_gap FROM f),
+_CASCADE = MATCHES + """, t AS (SELECT match_id AS ticker, least(winner, loser) AS lo, greatest(winner, loser) AS hi, date + CAST(match_id % 5 AS INTEGER) - 2 AS occ,
+  round_order FROM matches WHERE match_id % 3 = 0),
+cand AS (SELECT t.ticker, m.match_id, m.round_order = t.round_order AS same_round, abs(date_diff('day', t.occ, m.date)) AS gap FROM t
+  JOIN matches m ON least(m.winner, m.loser) = t.lo AND greatest(m.winner, m.loser) = t.hi AND date_diff('day', t.occ, m.date) BETWEEN -8 AND 21),
+r AS (SELECT *, max(CAST(same_round AS INTEGER)) OVER (PARTITION BY ticker) AS any_round FROM cand), f AS (SELECT * FROM r
+  WHERE any_round = 0 OR same_round), g AS (SELECT *, min(gap) OVER (PARTITION BY ticker) AS least_gap FROM f),
 h AS (SELECT ticker, count(*) AS n, min(match_id) AS match_id FROM g WHERE gap = least_gap GROUP BY ticker)
 """
 
 
-@query(_CASCADE + "SELECT t.ticker, CASE WHEN h.n = 1 THEN h.match_id END AS match_id, CASE WHEN h.n IS NULL THEN 'pending' WHEN h.n = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM t LEFT JOIN h USING (ticker)")
+@query(_CASCADE + """SELECT t.ticker, CASE WHEN h.n = 1 THEN h.match_id END AS match_id, CASE WHEN h.n IS NULL THEN 'pending' WHEN h.n = 1 THEN 'matched'
+  ELSE 'ambiguous' END AS status FROM t LEFT JOIN h USING (ticker)""")
 def ledger_join_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of a pair within -8 to 21 days: same round if any has it, then the nearest; a tie stays open.
 
@@ -176,7 +200,8 @@ def ledger_join_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("ticker").join(best, "ticker", "left").select("ticker", F.when(F.col("b.n") == 1, F.col("b.match_id")).alias("match_id"), status.alias("status"))
 
 
-@query(_CASCADE + "SELECT CASE WHEN h.n IS NULL THEN 'pending' WHEN h.n = 1 THEN 'matched' ELSE 'ambiguous' END AS status, count(*) AS n, min(t.occ) AS first, max(t.occ) AS last FROM t LEFT JOIN h USING (ticker) GROUP BY 1")
+@query(_CASCADE + """SELECT CASE WHEN h.n IS NULL THEN 'pending' WHEN h.n = 1 THEN 'matched' ELSE 'ambiguous' END AS status, count(*) AS n, min(t.occ) AS first,
+  max(t.occ) AS last FROM t LEFT JOIN h USING (ticker) GROUP BY 1""")
 def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     when = matches(spark, sf_dir).select(F.col("match_id").alias("ticker"), F.date_add("date", (F.col("match_id") % 5 - 2).cast("int")).alias("occ"))
     return ledger_join_cascade(spark, sf_dir).join(when, "ticker").groupBy("status").agg(F.count("*").alias("n"), F.min("occ").alias("first"), F.max("occ").alias("last"))

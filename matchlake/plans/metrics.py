@@ -14,7 +14,8 @@ from matchlake.plans.features import with_bios
 from matchlake.plans.registry import query
 from matchlake.sources.adapters import MATCHES
 
-_P = MATCHES + """, pr AS (SELECT m.match_id, m.date, m.year, m.tour, m.surface, m.tier, m.round_order, m.winner, m.loser, (coalesce(w.points, 0) + 100.0) / (coalesce(w.points, 0) + coalesce(l.points, 0) + 200.0) AS p
+_P = MATCHES + """, pr AS (SELECT m.match_id, m.date, m.year, m.tour, m.surface, m.tier, m.round_order, m.winner, m.loser, (coalesce(w.points,
+  0) + 100.0) / (coalesce(w.points, 0) + coalesce(l.points, 0) + 200.0) AS p
   FROM matches m JOIN players w ON w.player = m.winner JOIN players l ON l.player = m.loser WHERE m.completed),
 ab AS (SELECT *, 0.5 + (p - 0.5) * 0.6 AS q, ln(greatest(p, 1e-12)) AS lp, ln(greatest(0.5 + (p - 0.5) * 0.6, 1e-12)) AS lq FROM pr)
 """
@@ -35,7 +36,8 @@ def accuracy(p: Column) -> Column:
     return F.when(p > 0.5, 1.0).when(p == 0.5, 0.5).otherwise(0.0)
 
 
-@query(_P + "SELECT tour, count(*) AS n, round(avg(CASE WHEN p > 0.5 THEN 1.0 WHEN p = 0.5 THEN 0.5 ELSE 0.0 END), 6) AS acc, round(avg(-lp), 6) AS logloss, round(avg((1 - p) * (1 - p)), 6) AS brier FROM ab GROUP BY tour")
+@query(_P + """SELECT tour, count(*) AS n, round(avg(CASE WHEN p > 0.5 THEN 1.0 WHEN p = 0.5 THEN 0.5 ELSE 0.0 END), 6) AS acc, round(avg(-lp), 6) AS logloss,
+  round(avg((1 - p) * (1 - p)), 6) AS brier FROM ab GROUP BY tour""")
 def metrics_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p")
     return scored(spark, sf_dir).groupBy("tour").agg(F.count("*").alias("n"), F.round(F.avg(accuracy(p)), 6).alias("acc"), F.round(F.avg(log_loss(p)), 6).alias("logloss"), F.round(F.avg((1 - p) * (1 - p)), 6).alias("brier"))
@@ -82,9 +84,11 @@ def segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("*", F.explode(labels).alias("segment")).groupBy("segment").agg(*paired())
 
 
-@query(_P + """, w AS (SELECT CASE WHEN year < 1999 THEN 'tune' ELSE 'val' END AS part, count(*) AS n, avg(lq - lp) AS d, stddev_samp(lq - lp) / sqrt(count(*)) AS se FROM ab GROUP BY 1),
+@query(_P + """, w AS (SELECT CASE WHEN year < 1999 THEN 'tune' ELSE 'val' END AS part, count(*) AS n, avg(lq - lp) AS d, stddev_samp(lq - lp) / sqrt(count(*)) AS se
+  FROM ab GROUP BY 1),
 y AS (SELECT CASE WHEN year < 1999 THEN 'tune' ELSE 'val' END AS part, year, avg(lq - lp) AS d FROM ab GROUP BY ALL)
-SELECT w.part, w.n, round(w.d, 6) AS d, round(w.se, 6) AS se, count(*) AS years, CAST(count(*) FILTER (WHERE y.d > 0) AS BIGINT) AS positive, CASE WHEN w.d > 2 * w.se AND count(*) FILTER (WHERE y.d > 0) * 2 > count(*) THEN 'PASS' ELSE 'REJECT' END AS verdict
+SELECT w.part, w.n, round(w.d, 6) AS d, round(w.se, 6) AS se, count(*) AS years, CAST(count(*) FILTER (WHERE y.d > 0) AS BIGINT) AS positive, CASE
+  WHEN w.d > 2 * w.se AND count(*) FILTER (WHERE y.d > 0) * 2 > count(*) THEN 'PASS' ELSE 'REJECT' END AS verdict
 FROM w JOIN y USING (part) GROUP BY w.part, w.n, w.d, w.se""")
 def ab_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference of the arms by window with the years it holds in; sums by year are enough for both."""
@@ -98,15 +102,18 @@ def ab_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.select("part", "n", F.round(mean, 6).alias("d"), F.round(se, 6).alias("se"), "years", "positive", verdict.alias("verdict"))
 
 
-@query(MATCHES + """SELECT tour, count(*) AS n, round(avg(CASE WHEN coalesce(w.points, 0) > coalesce(l.points, 0) THEN 1.0 WHEN coalesce(w.points, 0) = coalesce(l.points, 0) THEN 0.5 ELSE 0.0 END), 6) AS acc
+@query(MATCHES + """SELECT tour, count(*) AS n, round(avg(CASE WHEN coalesce(w.points, 0) > coalesce(l.points, 0) THEN 1.0 WHEN coalesce(w.points, 0) = coalesce(l.points,
+  0) THEN 0.5 ELSE 0.0 END), 6) AS acc
 FROM matches m JOIN players w ON w.player = m.winner JOIN players l ON l.player = m.loser GROUP BY tour""")
 def rank_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, l = F.coalesce("w_points", F.lit(0)), F.coalesce("l_points", F.lit(0))
     return with_bios(spark, sf_dir).groupBy("tour").agg(F.count("*").alias("n"), F.round(F.avg(F.when(w > l, 1.0).when(w == l, 0.5).otherwise(0.0)), 6).alias("acc"))
 
 
-@query(_P + """, r AS (SELECT * FROM ab WHERE date > (SELECT max(date) FROM ab) - 90), s AS (SELECT count(*) AS n, avg(-lp) AS loss, avg(-(p * ln(p) + (1 - p) * ln(1 - p))) AS entropy, stddev_samp(-lp + p * ln(p) + (1 - p) * ln(1 - p)) / sqrt(count(*)) AS se FROM r)
-SELECT n, round(loss, 6) AS loss, round(entropy, 6) AS entropy, round(se, 6) AS se, (n >= 150 AND loss - entropy > 2.5 * se AND loss - entropy > 0.02) AS fires FROM s""")
+@query(_P + """, r AS (SELECT * FROM ab WHERE date > (SELECT max(date) FROM ab) - 90), s AS (SELECT count(*) AS n, avg(-lp) AS loss,
+  avg(-(p * ln(p) + (1 - p) * ln(1 - p))) AS entropy, stddev_samp(-lp + p * ln(p) + (1 - p) * ln(1 - p)) / sqrt(count(*)) AS se FROM r)
+SELECT n, round(loss, 6) AS loss, round(entropy, 6) AS entropy, round(se, 6) AS se, (n >= 150 AND loss - entropy > 2.5 * se
+  AND loss - entropy > 0.02) AS fires FROM s""")
 def drift_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-loss above what the forecasts themselves expect, over the last 90 days."""
     p = F.col("p")
@@ -118,7 +125,8 @@ def drift_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("n", F.round("loss", 6).alias("loss"), F.round("entropy", 6).alias("entropy"), F.round("se", 6).alias("se"), ((F.col("n") >= 150) & (over > 2.5 * F.col("se")) & (over > 0.02)).alias("fires"))
 
 
-@query(_P + """, b AS (SELECT 'best' AS kind, match_id, round(p, 6) AS p FROM ab ORDER BY round(p, 6) DESC, match_id LIMIT 10), m AS (SELECT 'worst' AS kind, match_id, round(p, 6) AS p FROM ab ORDER BY round(p, 6), match_id LIMIT 10)
+@query(_P + """, b AS (SELECT 'best' AS kind, match_id, round(p, 6) AS p FROM ab ORDER BY round(p, 6) DESC, match_id LIMIT 10), m AS (SELECT 'worst' AS kind,
+  match_id, round(p, 6) AS p FROM ab ORDER BY round(p, 6), match_id LIMIT 10)
 SELECT * FROM b UNION ALL SELECT * FROM m""")
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best calls and the ten worst misses (a top-k report)."""
@@ -127,14 +135,17 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.unionByName(rows.orderBy("p", "match_id").limit(10).select(F.lit("worst").alias("kind"), "match_id", "p"))
 
 
-@query(_P + "SELECT month(date) AS month, round(avg(abs(p - q)), 6) AS mean, round(quantile_cont(abs(p - q), 0.95), 6) AS p95, CAST(count(*) FILTER (WHERE abs(p - q) > 0.05) AS BIGINT) AS over, count(DISTINCT winner) AS names FROM ab GROUP BY 1")
+@query(_P + """SELECT month(date) AS month, round(avg(abs(p - q)), 6) AS mean, round(quantile_cont(abs(p - q), 0.95), 6) AS p95,
+  CAST(count(*) FILTER (WHERE abs(p - q) > 0.05) AS BIGINT) AS over, count(DISTINCT winner) AS names FROM ab GROUP BY 1""")
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.abs(F.col("p") - F.col("q"))
     return scored(spark, sf_dir).groupBy(F.month("date").alias("month")).agg(F.round(F.avg(gap), 6).alias("mean"), F.round(F.percentile(gap, F.lit(0.95)), 6).alias("p95"), F.count_if(gap > 0.05).alias("over"), F.count_distinct("winner").alias("names"))
 
 
-@query(_P + """, w AS (SELECT winner AS player, p, 1 AS won, date, match_id FROM ab UNION ALL SELECT loser, 1 - p, 0, date, match_id FROM ab), r AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY date DESC, match_id DESC) AS i FROM w)
-SELECT player, count(*) AS n, CAST(sum(won) AS BIGINT) AS wins, round(sum(p), 6) AS expected, round(sum(won) - sum(p), 6) AS delta FROM r WHERE i <= 10 GROUP BY player""")
+@query(_P + """, w AS (SELECT winner AS player, p, 1 AS won, date, match_id FROM ab UNION ALL SELECT loser, 1 - p, 0, date, match_id
+  FROM ab), r AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY date DESC, match_id DESC) AS i FROM w)
+SELECT player, count(*) AS n, CAST(sum(won) AS BIGINT) AS wins, round(sum(p), 6) AS expected, round(sum(won) - sum(p), 6) AS delta FROM r
+  WHERE i <= 10 GROUP BY player""")
 def player_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wins over the last ten decisions against what was forecast."""
     side = lambda k, p, w: F.struct(F.col(k).alias("player"), p.alias("p"), F.lit(w).alias("won"))

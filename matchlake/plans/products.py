@@ -11,7 +11,9 @@ from matchlake.plans.metrics import _P, scored
 from matchlake.plans.registry import query
 from matchlake.sources.adapters import MATCHES, matches, player_long, players, table
 
-_BOARD = MATCHES + """, act AS (SELECT player, count(*) AS n, CAST(sum(won) AS BIGINT) AS wins, max(date) AS last FROM pl GROUP BY player), pb AS (SELECT p.player, p.name, p.points, p.age, p.hand, a.n, a.wins, row_number() OVER (ORDER BY p.points DESC NULLS LAST, p.player) AS rank FROM players p JOIN act a USING (player))
+_BOARD = MATCHES + """, act AS (SELECT player, count(*) AS n, CAST(sum(won) AS BIGINT) AS wins, max(date) AS last FROM pl
+  GROUP BY player), pb AS (SELECT p.player, p.name, p.points, p.age, p.hand, a.n, a.wins, row_number() OVER (ORDER BY p.points DESC NULLS LAST,
+  p.player) AS rank FROM players p JOIN act a USING (player))
 """
 
 
@@ -33,14 +35,16 @@ def rankings_age_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return board(spark, sf_dir).filter("age < 25").orderBy(F.desc_nulls_last("points"), "player").limit(100).select("player", "rank", "age")
 
 
-@query(_BOARD + "SELECT player, row_number() OVER (ORDER BY points ASC NULLS LAST, player) AS up, row_number() OVER (ORDER BY points DESC NULLS LAST, player) AS down FROM pb")
+@query(_BOARD + """SELECT player, row_number() OVER (ORDER BY points ASC NULLS LAST, player) AS up, row_number() OVER (ORDER BY points DESC NULLS LAST, player) AS down
+  FROM pb""")
 def sort_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.lit(1 << 40)
     up = sequence(board(spark, sf_dir).select("player", "points"), [F.coalesce("points", last), F.col("player")], "up")
     return sequence(up, [F.coalesce(-F.col("points"), last), F.col("player")], "down").select("player", "up", "down")
 
 
-@query(_BOARD + "SELECT player, round((rank() OVER (ORDER BY points) - 1 + 0.5 * count(*) OVER (PARTITION BY points)) / count(*) OVER (), 6) AS pct, round(cume_dist() OVER (ORDER BY points), 6) AS at_most FROM pb WHERE points IS NOT NULL")
+@query(_BOARD + """SELECT player, round((rank() OVER (ORDER BY points) - 1 + 0.5 * count(*) OVER (PARTITION BY points)) / count(*) OVER (), 6) AS pct,
+  round(cume_dist() OVER (ORDER BY points), 6) AS at_most FROM pb WHERE points IS NOT NULL""")
 def percentile_midrank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mid-rank and inclusive percentiles; ranks come from counts of distinct values, not from all rows."""
     rows = board(spark, sf_dir).filter("points is not null")
@@ -51,7 +55,8 @@ def percentile_midrank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_BOARD + """, q AS (SELECT unnest(['supplier', '1', '00000007', '#']) AS q)
-SELECT q.q, player, CASE WHEN lower(name) = q THEN 4 WHEN starts_with(lower(name), q) THEN 3 WHEN contains(lower(name), '#' || q) THEN 2 ELSE 1 END AS score FROM q JOIN pb ON contains(lower(name), q.q)""")
+SELECT q.q, player, CASE WHEN lower(name) = q THEN 4 WHEN starts_with(lower(name), q) THEN 3 WHEN contains(lower(name), '#' || q) THEN 2
+  ELSE 1 END AS score FROM q JOIN pb ON contains(lower(name), q.q)""")
 def search_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that hold a stated query: equal, prefix, behind a mark, anywhere."""
     name, q = F.lower("name"), F.col("q")
@@ -60,13 +65,15 @@ def search_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.filter(F.contains(name, q)).select("q", "player", score.alias("score"))
 
 
-@query(_BOARD + "SELECT axis, n FROM (SELECT 'points' AS axis, count(points) AS n FROM pb UNION ALL SELECT 'age', count(age) FROM pb UNION ALL SELECT 'wins', count(nullif(wins, 0)) FROM pb UNION ALL SELECT 'none', 0) WHERE n >= 3")
+@query(_BOARD + """SELECT axis, n FROM (SELECT 'points' AS axis, count(points) AS n FROM pb UNION ALL SELECT 'age', count(age) FROM pb
+  UNION ALL SELECT 'wins', count(nullif(wins, 0)) FROM pb UNION ALL SELECT 'none', 0) WHERE n >= 3""")
 def axes_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = board(spark, sf_dir).agg(F.count("points").alias("points"), F.count("age").alias("age"), F.count(F.expr("nullif(wins, 0)")).alias("wins"), F.lit(0).cast("bigint").alias("none"))
     return counts.unpivot([], ["points", "age", "wins", "none"], "axis", "n").filter("n >= 3")
 
 
-@query(_BOARD + "SELECT CAST(count(*) FILTER (WHERE points IS NOT NULL AND n > 0) AS BIGINT) AS shown, CAST(count(*) FILTER (WHERE points IS NULL) AS BIGINT) AS missing, round(corr(points, wins), 6) AS corr FROM pb")
+@query(_BOARD + """SELECT CAST(count(*) FILTER (WHERE points IS NOT NULL AND n > 0) AS BIGINT) AS shown,
+  CAST(count(*) FILTER (WHERE points IS NULL) AS BIGINT) AS missing, round(corr(points, wins), 6) AS corr FROM pb""")
 def plottable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return board(spark, sf_dir).agg(F.count_if(F.col("points").isNotNull() & (F.col("n") > 0)).alias("shown"), F.count_if(F.col("points").isNull()).alias("missing"), F.round(F.corr(F.col("points").cast("double"), F.col("wins").cast("double")), 6).alias("corr"))
 
@@ -87,12 +94,14 @@ def fixtures_upset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures(spark, sf_dir).orderBy(F.desc("date"), F.desc("match_id")).limit(60).select("match_id", "p", "upset")
 
 
-@query(_FIX + "SELECT surface, count(*) AS n, CAST(count(*) FILTER (WHERE p < 0.5) AS BIGINT) AS upsets, CAST(count(*) FILTER (WHERE p >= 0.5) AS BIGINT) AS called FROM fx GROUP BY surface")
+@query(_FIX + """SELECT surface, count(*) AS n, CAST(count(*) FILTER (WHERE p < 0.5) AS BIGINT) AS upsets, CAST(count(*) FILTER (WHERE p >= 0.5) AS BIGINT) AS called
+  FROM fx GROUP BY surface""")
 def result_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures(spark, sf_dir).groupBy("surface").agg(F.count("*").alias("n"), F.count_if("upset").alias("upsets"), F.count_if(~F.col("upset")).alias("called"))
 
 
-_WATCH = _FIX + """, wt AS (SELECT match_id, date, round(0.30 * (1 - 2 * abs(p - 0.5)) + 0.25 * (6 - tier) / 5.0 + 0.15 * round_order / 7.0 + 0.15 * CASE WHEN surface = 'Grass' THEN 1 ELSE 0 END + 0.15 * greatest(p, 1 - p), 6) AS score FROM fx)
+_WATCH = _FIX + """, wt AS (SELECT match_id, date, round(0.30 * (1 - 2 * abs(p - 0.5)) + 0.25 * (6 - tier) / 5.0 + 0.15 * round_order / 7.0 + 0.15 * CASE
+  WHEN surface = 'Grass' THEN 1 ELSE 0 END + 0.15 * greatest(p, 1 - p), 6) AS score FROM fx)
 """
 
 
@@ -105,12 +114,13 @@ def watch_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("match_id", "score", F.row_number().over(W.partitionBy("date").orderBy(F.desc("score"), "match_id")).alias("rank"))
 
 
-@query(_FIX + "SELECT date, arg_min(match_id, (abs(p - 0.5), match_id)) AS closest, arg_max(match_id, (p, -match_id)) AS surest, count(*) AS n FROM fx GROUP BY date")
+@query(_FIX + """SELECT date, arg_min(match_id, (abs(p - 0.5), match_id)) AS closest, arg_max(match_id, (p, -match_id)) AS surest, count(*) AS n FROM fx GROUP BY date""")
 def closest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures(spark, sf_dir).groupBy("date").agg(F.min_by("match_id", F.struct(F.abs(F.col("p") - 0.5), "match_id")).alias("closest"), F.max_by("match_id", F.struct("p", -F.col("match_id"))).alias("surest"), F.count("*").alias("n"))
 
 
-@query(MATCHES + """SELECT event_id, array_to_string(list(CAST(match_id AS VARCHAR) ORDER BY date, -round_order, match_id), ',') AS matches FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY date, round_order DESC, match_id) AS i FROM matches) WHERE i <= 3 GROUP BY event_id""")
+@query(MATCHES + """SELECT event_id, array_to_string(list(CAST(match_id AS VARCHAR) ORDER BY date, -round_order, match_id), ',') AS matches
+  FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY date, round_order DESC, match_id) AS i FROM matches) WHERE i <= 3 GROUP BY event_id""")
 def upcoming_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three matches of each event by day, round depth and id."""
     m = matches(spark, sf_dir).withColumn("i", F.row_number().over(W.partitionBy("event_id").orderBy("date", F.desc("round_order"), "match_id"))).filter("i <= 3")
@@ -124,7 +134,8 @@ def upcoming_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(spark, sf_dir).select("event_id", "match_id", place.cast("long").alias("place"))
 
 
-@query(MATCHES + """, s AS (SELECT match_id, event_id, least(winner, loser) AS a, greatest(winner, loser) AS b FROM matches WHERE match_id % 2 = 0), v AS (SELECT DISTINCT event_id, least(winner, loser) AS a, greatest(winner, loser) AS b FROM matches WHERE match_id % 2 = 1)
+@query(MATCHES + """, s AS (SELECT match_id, event_id, least(winner, loser) AS a, greatest(winner, loser) AS b FROM matches
+  WHERE match_id % 2 = 0), v AS (SELECT DISTINCT event_id, least(winner, loser) AS a, greatest(winner, loser) AS b FROM matches WHERE match_id % 2 = 1)
 SELECT match_id FROM s ANTI JOIN v USING (event_id, a, b)""")
 def exclude_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = matches(spark, sf_dir).select("match_id", "event_id", F.least("winner", "loser").alias("a"), F.greatest("winner", "loser").alias("b"))
@@ -138,8 +149,11 @@ def profile_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return board(spark, sf_dir).select("player", F.concat(F.substring(digest, 1, 16), F.lit(".json")).alias("file"), F.substring(digest, 1, 1).alias("shard"))
 
 
-@query(MATCHES + """, t AS (SELECT event_id, min(date) AS start, max(date) AS finish, min(tier) AS tier FROM matches GROUP BY event_id), r AS (SELECT DATE '1998-06-01' AS now)
-SELECT event_id, CASE WHEN finish < now THEN 'completed' WHEN start > now THEN 'upcoming' ELSE 'active' END AS status, row_number() OVER (ORDER BY CASE WHEN start <= now AND finish >= now THEN 0 WHEN start > now THEN 1 ELSE 2 END, finish DESC, tier, event_id) AS place FROM t, r""")
+@query(MATCHES + """, t AS (SELECT event_id, min(date) AS start, max(date) AS finish, min(tier) AS tier FROM matches
+  GROUP BY event_id), r AS (SELECT DATE '1998-06-01' AS now)
+SELECT event_id, CASE WHEN finish < now THEN 'completed' WHEN start > now THEN 'upcoming' ELSE 'active' END AS status,
+  row_number() OVER (ORDER BY CASE WHEN start <= now AND finish >= now THEN 0 WHEN start > now THEN 1 ELSE 2 END, finish DESC, tier, event_id) AS place
+  FROM t, r""")
 def tournament_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lifecycle of events at a stated day, and their order."""
     now = F.lit("1998-06-01").cast("date")

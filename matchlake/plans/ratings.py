@@ -85,13 +85,15 @@ def elo_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elo(spark, sf_dir).select("match_id", *[F.round(c, 6).alias(c) for c in ("w_elo", "l_elo", "w_after", "l_after")])
 
 
-@query(_WALK + "SELECT match_id, surface, round(w_selo, 6) AS w_selo, round(l_selo, 6) AS l_selo, round(1 / (1 + pow(10, -((w_elo + w_selo) / 2 - (l_elo + l_selo) / 2) / 400)), 6) AS p_blend FROM elo")
+@query(_WALK + """SELECT match_id, surface, round(w_selo, 6) AS w_selo, round(l_selo, 6) AS l_selo, round(1 / (1 + pow(10,
+  -((w_elo + w_selo) / 2 - (l_elo + l_selo) / 2) / 400)), 6) AS p_blend FROM elo""")
 def elo_surface_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elo(spark, sf_dir).select("match_id", "surface", *[F.round(c, 6).alias(c) for c in ("w_selo", "l_selo", "p_blend")])
 
 
 @query(_WALK + """, last AS (SELECT tour, player, arg_max(elo, n) AS elo, max(n) AS matches, max(date) AS last_date FROM after GROUP BY ALL),
-active AS (SELECT * FROM last WHERE last_date >= (SELECT max(date) FROM elo) - 550), board AS (SELECT *, row_number() OVER (PARTITION BY tour ORDER BY elo DESC, player) AS rank FROM active)
+active AS (SELECT * FROM last WHERE last_date >= (SELECT max(date) FROM elo) - 550), board AS (SELECT *,
+  row_number() OVER (PARTITION BY tour ORDER BY elo DESC, player) AS rank FROM active)
 SELECT tour, rank, player, round(elo, 6) AS elo, matches, last_date FROM board WHERE rank <= 20""")
 def elo_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best active players of each tour."""
@@ -110,7 +112,8 @@ def elo_monthly_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_WALK + """, last AS (SELECT tour, player, arg_max(elo, n) AS elo, max(date) AS asof FROM after GROUP BY ALL),
-old AS (SELECT a.tour, a.player, arg_max(a.elo, a.n) AS elo FROM after a JOIN last l ON l.tour = a.tour AND l.player = a.player AND a.date <= l.asof - 90 GROUP BY ALL)
+old AS (SELECT a.tour, a.player, arg_max(a.elo, a.n) AS elo FROM after a JOIN last l ON l.tour = a.tour AND l.player = a.player
+  AND a.date <= l.asof - 90 GROUP BY ALL)
 SELECT l.tour, l.player, round(coalesce(l.elo - o.elo, 0), 6) AS form FROM last l LEFT JOIN old o ON o.tour = l.tour AND o.player = l.player""")
 def elo_form_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rating now less the last one 90 days or more before: an as-of lookup inside the player's window."""
@@ -121,7 +124,8 @@ def elo_form_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_WALK + """, h AS (SELECT tour, player, year(date) * 12 + month(date) AS m, arg_min(elo, n) AS elo FROM after GROUP BY ALL),
 p AS (SELECT *, row_number() OVER (PARTITION BY tour, player ORDER BY m DESC) AS place FROM h)
-SELECT tour, player, count(*) AS points, round(arg_min(elo, place) - arg_max(elo, place), 6) AS delta FROM p WHERE place <= 13 GROUP BY tour, player HAVING count(*) >= 4""")
+SELECT tour, player, count(*) AS points, round(arg_min(elo, place) - arg_max(elo, place), 6) AS delta FROM p WHERE place <= 13 GROUP BY tour, player
+  HAVING count(*) >= 4""")
 def movers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change over the last 13 monthly points, of players with 4 or more."""
     month = (F.year("date") * 12 + F.month("date")).alias("m")
@@ -165,7 +169,8 @@ def serve_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve(spark, sf_dir, r.Serve(venue_shrink=2000.0))
 
 
-@query("SELECT part.p_partkey, round(p, 6) AS p, round(pow(p, 4) * (1 + 4 * (1 - p) + 10 * (1 - p) * (1 - p)) + 20 * pow(p * (1 - p), 3) * p * p / (1 - 2 * p * (1 - p)), 6) AS hold FROM part JOIN (SELECT p_partkey, 0.3 + (p_size % 50) / 100.0 AS p FROM part) USING (p_partkey)")
+@query("""SELECT part.p_partkey, round(p, 6) AS p, round(pow(p, 4) * (1 + 4 * (1 - p) + 10 * (1 - p) * (1 - p)) + 20 * pow(p * (1 - p),
+  3) * p * p / (1 - 2 * p * (1 - p)), 6) AS hold FROM part JOIN (SELECT p_partkey, 0.3 + (p_size % 50) / 100.0 AS p FROM part) USING (p_partkey)""")
 def hold_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.lit(0.3) + (F.col("p_size") % 50) / 100.0
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.round(p, 6).alias("p"), F.round(s.hold_probability(p), 6).alias("hold"))
@@ -179,7 +184,8 @@ def match_from_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH x AS (SELECT p_partkey, 0.05 + (p_partkey % 90) / 100.0 AS q FROM part)
-SELECT p_partkey, sets, lost, round(CASE sets WHEN 2 THEN CASE lost WHEN 0 THEN q * q ELSE 2 * q * q * (1 - q) END ELSE CASE lost WHEN 0 THEN q * q * q WHEN 1 THEN 3 * q * q * q * (1 - q) ELSE 6 * q * q * q * (1 - q) * (1 - q) END END, 6) AS p
+SELECT p_partkey, sets, lost, round(CASE sets WHEN 2 THEN CASE lost WHEN 0 THEN q * q ELSE 2 * q * q * (1 - q) END ELSE CASE lost
+  WHEN 0 THEN q * q * q WHEN 1 THEN 3 * q * q * q * (1 - q) ELSE 6 * q * q * q * (1 - q) * (1 - q) END END, 6) AS p
 FROM x, (VALUES (2, 0), (2, 1), (3, 0), (3, 1), (3, 2)) AS v(sets, lost)""")
 def set_score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chance of each score in sets: binomial ways to lose sets before the last one is won."""
@@ -191,7 +197,8 @@ def set_score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH RECURSIVE x AS (SELECT p_partkey, 0.05 + (p_partkey % 90) / 100.0 AS p FROM part),
 b AS (SELECT p_partkey, p, 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi FROM x
-  UNION ALL SELECT p_partkey, p, i + 1, CASE WHEN m * m * (3 - 2 * m) < p THEN m ELSE lo END, CASE WHEN m * m * (3 - 2 * m) < p THEN hi ELSE m END FROM (SELECT *, (lo + hi) / 2 AS m FROM b WHERE i < 60))
+  UNION ALL SELECT p_partkey, p, i + 1, CASE WHEN m * m * (3 - 2 * m) < p THEN m ELSE lo END, CASE WHEN m * m * (3 - 2 * m) < p THEN hi ELSE m END
+  FROM (SELECT *, (lo + hi) / 2 AS m FROM b WHERE i < 60))
 SELECT p_partkey, round((lo + hi) / 2, 6) AS set_p FROM b WHERE i = 60""")
 def set_from_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.lit(0.05) + (F.col("p_partkey") % 90) / 100.0

@@ -10,10 +10,14 @@ from matchlake.plans.registry import query
 from matchlake.sources import scoreboard as sb
 from matchlake.sources.adapters import MATCHES, matches
 
-_BOARD = MATCHES + """, cp AS (SELECT event_id AS espn_id, event, match_id, round_order, draw_level, date, match_id % 4 > 0 AS completed, CASE match_id % 8 WHEN 0 THEN 'pre' WHEN 4 THEN 'in' ELSE 'post' END AS state,
+_BOARD = MATCHES + """, cp AS (SELECT event_id AS espn_id, event, match_id, round_order, draw_level, date, match_id % 4 > 0 AS completed, CASE match_id % 8
+  WHEN 0 THEN 'pre' WHEN 4 THEN 'in' ELSE 'post' END AS state,
     'P' || winner AS w, CASE WHEN match_id % 37 = 0 THEN NULL ELSE 'P' || loser END AS l, w_games, l_games FROM matches WHERE draw_level = 'main'),
-nn AS (SELECT espn_id, max(2 * c * CAST(pow(2, round_order - 1) AS BIGINT)) AS need FROM (SELECT espn_id, round_order, count(*) AS c FROM cp WHERE round_order <= 4 GROUP BY ALL) GROUP BY ALL),
-coded AS (SELECT cp.*, CASE WHEN round_order = 5 THEN 'QF' WHEN round_order = 6 THEN 'SF' WHEN round_order = 7 THEN 'F' ELSE CASE draw >> (round_order - 1) WHEN 8 THEN 'QF' WHEN 4 THEN 'SF' WHEN 2 THEN 'F' ELSE 'R' || CAST(draw >> (round_order - 1) AS VARCHAR) END END AS round
+nn AS (SELECT espn_id, max(2 * c * CAST(pow(2, round_order - 1) AS BIGINT)) AS need FROM (SELECT espn_id, round_order, count(*) AS c FROM cp
+  WHERE round_order <= 4 GROUP BY ALL) GROUP BY ALL),
+coded AS (SELECT cp.*, CASE WHEN round_order = 5 THEN 'QF' WHEN round_order = 6 THEN 'SF' WHEN round_order = 7 THEN 'F'
+  ELSE CASE draw >> (round_order - 1) WHEN 8 THEN 'QF' WHEN 4 THEN 'SF' WHEN 2 THEN 'F'
+  ELSE 'R' || CAST(draw >> (round_order - 1) AS VARCHAR) END END AS round
   FROM cp LEFT JOIN (SELECT espn_id, CAST(pow(2, ceil(log2(need))) AS INTEGER) AS draw FROM nn) USING (espn_id) WHERE match_id % 31 > 0)
 """
 
@@ -38,25 +42,31 @@ def boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.concat_ws(" ", "event", "event_id").alias("name"), short.alias("shortName"), "date", "endDate", "groupings")).alias("payload"))
 
 
-@query(_BOARD + "SELECT DISTINCT espn_id, event || ' ' || espn_id AS event, CAST(date AS VARCHAR) AS date, round, w AS winner, l AS loser, CAST(w_games AS VARCHAR) || '-' || CAST(l_games AS VARCHAR) AS score FROM coded WHERE completed AND l IS NOT NULL QUALIFY row_number() OVER (PARTITION BY espn_id, w, l, score ORDER BY date, round) = 1")
+@query(_BOARD + """SELECT DISTINCT espn_id, event || ' ' || espn_id AS event, CAST(date AS VARCHAR) AS date, round, w AS winner, l AS loser,
+  CAST(w_games AS VARCHAR) || '-' || CAST(l_games AS VARCHAR) AS score FROM coded
+  WHERE completed AND l IS NOT NULL QUALIFY row_number() OVER (PARTITION BY espn_id, w, l, score ORDER BY date, round) = 1""")
 def scoreboard_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completed main-draw singles; a repeated result has the date and round of its earliest row."""
     return sb.results(boards(spark, sf_dir), "mens")
 
 
-@query(_BOARD + "SELECT espn_id, round, count(*) AS n, min(w) AS first FROM (SELECT espn_id, w, l, arg_min(round, (date, round)) AS round FROM coded WHERE NOT completed AND state IN ('pre', 'in') AND l IS NOT NULL GROUP BY ALL) GROUP BY ALL")
+@query(_BOARD + """SELECT espn_id, round, count(*) AS n, min(w) AS first FROM (SELECT espn_id, w, l, arg_min(round, (date, round)) AS round FROM coded
+  WHERE NOT completed AND state IN ('pre', 'in') AND l IS NOT NULL GROUP BY ALL) GROUP BY ALL""")
 def scoreboard_upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scheduled and running matches by event and round."""
     return sb.upcoming(boards(spark, sf_dir), "mens").groupBy("espn_id", "round").agg(F.count("*").alias("n"), F.min("a").alias("first"))
 
 
 @query(_BOARD + """, s AS (SELECT espn_id, w AS p, FALSE AS lost FROM coded UNION ALL SELECT espn_id, l, completed FROM coded WHERE l IS NOT NULL)
-SELECT espn_id, array_to_string(list_sort(list_distinct(list(p))), ',') AS field, coalesce(array_to_string(list_sort(list_distinct(list(p) FILTER (WHERE lost))), ','), '') AS eliminated FROM s GROUP BY espn_id HAVING count(DISTINCT p) >= 8""")
+SELECT espn_id, array_to_string(list_sort(list_distinct(list(p))), ',') AS field,
+  coalesce(array_to_string(list_sort(list_distinct(list(p) FILTER (WHERE lost))), ','), '') AS eliminated FROM s GROUP BY espn_id
+  HAVING count(DISTINCT p) >= 8""")
 def scoreboard_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sb.fields(boards(spark, sf_dir), "mens").select("espn_id", F.array_join("field", ",").alias("field"), F.array_join("eliminated", ",").alias("eliminated"))
 
 
-@query(MATCHES + "SELECT event || ' ' || event_id AS event, event_id AS espn_id, CAST(min(date) AS VARCHAR) AS start, CAST(max(date) AS VARCHAR) AS finish FROM matches GROUP BY event, event_id")
+@query(MATCHES + """SELECT event || ' ' || event_id AS event, event_id AS espn_id, CAST(min(date) AS VARCHAR) AS start, CAST(max(date) AS VARCHAR) AS finish FROM matches
+  GROUP BY event, event_id""")
 def scoreboard_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and dates of all events, whatever their groupings."""
     return sb.meta(boards(spark, sf_dir))
@@ -72,8 +82,10 @@ def scoreboard_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.select("id", F.get_json_object("payload", "$.window").cast("long").alias("w"))
 
 
-_UP = MATCHES + """, feed AS (SELECT CASE WHEN match_id % 3 > 0 THEN event_id END AS id, event || ' Open' AS event, winner AS a, loser AS b, match_id, 0 AS src FROM matches WHERE match_id % 4 = 0),
-draws AS (SELECT event_id AS id, event || ' Open' AS event, loser AS a, winner AS b, match_id, 1 AS src FROM matches WHERE round_order = 1 AND match_id % 8 < 6),
+_UP = MATCHES + """, feed AS (SELECT CASE WHEN match_id % 3 > 0 THEN event_id END AS id, event || ' Open' AS event, winner AS a, loser AS b, match_id, 0 AS src
+  FROM matches WHERE match_id % 4 = 0),
+draws AS (SELECT event_id AS id, event || ' Open' AS event, loser AS a, winner AS b, match_id, 1 AS src FROM matches
+  WHERE round_order = 1 AND match_id % 8 < 6),
 twin AS (SELECT *, coalesce(id, event) AS ev, least(a, b) AS lo, greatest(a, b) AS hi FROM (SELECT * FROM feed UNION ALL SELECT * FROM draws))
 """
 
@@ -93,8 +105,10 @@ def upcoming_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_best(rows, ["ev", "lo", "hi"], [F.col("src"), F.col("match_id")])
 
 
-@query(_UP + """, u AS (SELECT ev, event, arg_min(a, (src, match_id)) AS a, arg_min(b, (src, match_id)) AS b, arg_min(match_id, (src, match_id)) AS match_id FROM twin GROUP BY ev, event, lo, hi)
-SELECT u.match_id, x.name AS player_a, y.name AS player_b, round(1 / (1 + pow(10, -(x.points - y.points) / 4000.0)), 6) AS p FROM u JOIN players x ON x.player = u.a AND x.points IS NOT NULL JOIN players y ON y.player = u.b AND y.points IS NOT NULL WHERE u.a <> u.b""")
+@query(_UP + """, u AS (SELECT ev, event, arg_min(a, (src, match_id)) AS a, arg_min(b, (src, match_id)) AS b, arg_min(match_id, (src, match_id)) AS match_id FROM twin
+  GROUP BY ev, event, lo, hi)
+SELECT u.match_id, x.name AS player_a, y.name AS player_b, round(1 / (1 + pow(10, -(x.points - y.points) / 4000.0)), 6) AS p FROM u
+  JOIN players x ON x.player = u.a AND x.points IS NOT NULL JOIN players y ON y.player = u.b AND y.points IS NOT NULL WHERE u.a <> u.b""")
 def upcoming_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scheduled matches of known, different players, priced; others are dropped."""
     from matchlake.sources.adapters import players
@@ -108,8 +122,10 @@ def upcoming_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("match_id", "player_a", "player_b", F.round(chance, 6).alias("p"))
 
 
-_DRAWS = MATCHES + """, cur AS (SELECT event_id AS key, CASE WHEN match_id % 2 = 0 THEN event_id END AS espn_id, 'official' AS source, match_id FROM matches WHERE round_order = 7 AND year < 1996),
-old AS (SELECT event AS key, CASE WHEN match_id % 3 = 0 THEN event_id END AS espn_id, 'wiki' AS source, match_id FROM matches WHERE round_order = 7 AND year = 1996),
+_DRAWS = MATCHES + """, cur AS (SELECT event_id AS key, CASE WHEN match_id % 2 = 0 THEN event_id END AS espn_id, 'official' AS source, match_id FROM matches
+  WHERE round_order = 7 AND year < 1996),
+old AS (SELECT event AS key, CASE WHEN match_id % 3 = 0 THEN event_id END AS espn_id, 'wiki' AS source, match_id FROM matches
+  WHERE round_order = 7 AND year = 1996),
 allr AS (SELECT coalesce(espn_id, key) AS key, source, match_id FROM (SELECT * FROM cur UNION ALL SELECT * FROM old))
 """
 

@@ -62,14 +62,16 @@ def standard_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots(spark, sf_dir).select("event", "slot", "seed", "player")
 
 
-@query(_SLOTS + ", " + rounds_sql("r", "slots") + " SELECT event, player, round, round(reach, 6) AS reach FROM (SELECT *, 1 AS round FROM r1 UNION ALL SELECT *, 2 FROM r2 UNION ALL SELECT *, 3 FROM r3) WHERE player IS NOT NULL")
+@query(_SLOTS + ", " + rounds_sql("r", "slots") + """ SELECT event, player, round, round(reach, 6) AS reach FROM (SELECT *, 1 AS round FROM r1 UNION ALL SELECT *, 2 FROM r2 UNION ALL SELECT *, 3 FROM r3)
+  WHERE player IS NOT NULL""")
 def exact_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.propagate(slots(spark, sf_dir), "event", ROUNDS, chance()).filter("player is not null").select("event", "player", "round", F.round("reach", 6).alias("reach"))
 
 
 #: Rounds that the SQL of whole fields knows; fields of up to 128 players.
 MOST = 7
-_WHOLE = _SLOTS + ", sizes AS (SELECT event, greatest(1, CAST(ceil(log2(count(*))) AS INTEGER)) AS rounds FROM field GROUP BY event), spots AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {i}, {x})" for k in range(1, MOST + 1) for i, x in enumerate(b.seed_order(k))) + ") AS v(rounds, slot, seed)), whole AS (SELECT z.event, p.slot, p.seed, f.player, f.rating FROM sizes z JOIN spots p USING (rounds) LEFT JOIN field f ON f.event = z.event AND f.seed = p.seed)"
+_WHOLE = _SLOTS + ", sizes AS (SELECT event, greatest(1, CAST(ceil(log2(count(*))) AS INTEGER)) AS rounds FROM field GROUP BY event), spots AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {i}, {x})" for k in range(1, MOST + 1) for i, x in enumerate(b.seed_order(k))) + """) AS v(rounds, slot, seed)), whole AS (SELECT z.event, p.slot, p.seed, f.player, f.rating FROM sizes z JOIN spots p USING (rounds) LEFT
+  JOIN field f ON f.event = z.event AND f.seed = p.seed)"""
 _REACH = " UNION ALL ".join(f"SELECT *, {r} AS round FROM w{r}" for r in range(1, MOST + 1))
 
 
@@ -87,7 +89,8 @@ def exact_reach_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LOCK = "CASE WHEN x.player = x.forced THEN 1.0 WHEN y.player = x.forced THEN 0.0 END"
-_SCENARIOS = _SLOTS + ", top AS (SELECT event, player AS forced FROM slots WHERE seed <= 2 AND player IS NOT NULL), sc AS (SELECT s.*, t.forced FROM slots s JOIN top t USING (event)), " + rounds_sql("s", "sc", ", forced", _LOCK) + ", " + rounds_sql("r", "slots")
+_SCENARIOS = _SLOTS + """, top AS (SELECT event, player AS forced FROM slots WHERE seed <= 2 AND player IS NOT NULL), sc AS (SELECT s.*, t.forced FROM slots s
+  JOIN top t USING (event)), """ + rounds_sql("s", "sc", ", forced", _LOCK) + ", " + rounds_sql("r", "slots")
 
 
 def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +118,8 @@ def scenario_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenarios(spark, sf_dir).select("event", "forced", "player", F.round("title", 6).alias("title"))
 
 
-@query(_SCENARIOS + " SELECT s.event, s.forced, round(0.5 * sum(abs(s.reach - r.reach)), 6) AS leverage FROM s3 s JOIN r3 r ON r.event = s.event AND r.player = s.player GROUP BY s.event, s.forced")
+@query(_SCENARIOS + """ SELECT s.event, s.forced, round(0.5 * sum(abs(s.reach - r.reach)), 6) AS leverage FROM s3 s JOIN r3 r ON r.event = s.event AND r.player = s.player
+  GROUP BY s.event, s.forced""")
 def title_leverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total-variation distance of the title law under each lock from the plain one."""
     plain = b.propagate(slots(spark, sf_dir), "event", ROUNDS, chance()).filter(F.col("round") == ROUNDS).select("event", "player", "reach")
@@ -179,8 +183,12 @@ def _pairs(now: DataFrame) -> DataFrame:
 
 
 _FOLD = _SLOTS + """, res AS (SELECT least(winner, loser) AS lo, greatest(winner, loser) AS hi, arg_max(winner, (date, match_id)) AS w FROM matches GROUP BY ALL),
-f1 AS (SELECT a.event, a.slot // 2 AS slot, a.player AS a, b.player AS b, CASE WHEN a.player IS NULL THEN b.player WHEN b.player IS NULL THEN a.player ELSE r.w END AS player FROM slots a JOIN slots b ON a.event = b.event AND a.slot % 2 = 0 AND b.slot = a.slot + 1 LEFT JOIN res r ON r.lo = least(a.player, b.player) AND r.hi = greatest(a.player, b.player)),
-f2 AS (SELECT a.event, a.slot // 2 AS slot, a.player AS a, b.player AS b, CASE WHEN a.player IS NULL OR b.player IS NULL THEN NULL ELSE r.w END AS player FROM f1 a JOIN f1 b ON a.event = b.event AND a.slot % 2 = 0 AND b.slot = a.slot + 1 LEFT JOIN res r ON r.lo = least(a.player, b.player) AND r.hi = greatest(a.player, b.player))
+f1 AS (SELECT a.event, a.slot // 2 AS slot, a.player AS a, b.player AS b, CASE WHEN a.player IS NULL THEN b.player WHEN b.player IS NULL THEN a.player
+  ELSE r.w END AS player FROM slots a JOIN slots b ON a.event = b.event AND a.slot % 2 = 0 AND b.slot = a.slot + 1 LEFT
+  JOIN res r ON r.lo = least(a.player, b.player) AND r.hi = greatest(a.player, b.player)),
+f2 AS (SELECT a.event, a.slot // 2 AS slot, a.player AS a, b.player AS b, CASE WHEN a.player IS NULL OR b.player IS NULL THEN NULL
+  ELSE r.w END AS player FROM f1 a JOIN f1 b ON a.event = b.event AND a.slot % 2 = 0 AND b.slot = a.slot + 1 LEFT
+  JOIN res r ON r.lo = least(a.player, b.player) AND r.hi = greatest(a.player, b.player))
 """
 
 
@@ -212,7 +220,8 @@ def folded(rows: DataFrame, rounds: int, m: DataFrame) -> DataFrame:
     return out
 
 
-_MATRIX = _SLOTS + ", top AS (SELECT * FROM field WHERE seed <= 8), pm AS (SELECT a.event, a.player AS i, b.player AS j, a.seed AS si, b.seed AS sj, 1 / (1 + pow(10, -(a.rating - b.rating) / 4000)) AS p FROM top a JOIN top b ON a.event = b.event AND a.seed < b.seed)"
+_MATRIX = _SLOTS + """, top AS (SELECT * FROM field WHERE seed <= 8), pm AS (SELECT a.event, a.player AS i, b.player AS j, a.seed AS si, b.seed AS sj, 1 / (1 + pow(10,
+  -(a.rating - b.rating) / 4000)) AS p FROM top a JOIN top b ON a.event = b.event AND a.seed < b.seed)"""
 
 #: Players in a published matrix (a top-k report), as in the reference.
 TOP = 120
@@ -227,8 +236,11 @@ def matrix(spark: SparkSession, sf_dir: str, top: int = 8) -> DataFrame:
 
 
 _PAIRS = " SELECT event, i, j, round(p, 6) AS p FROM pm UNION ALL SELECT event, j, i, round(1 - p, 6) FROM pm"
-_BAD = ", bad AS (SELECT event, i, j, CASE WHEN si = 1 AND sj = 2 THEN p + 0.1 ELSE p END AS p, 1 - p AS q FROM pm) SELECT event, i, j, CASE WHEN p < 0 OR p > 1 THEN 'range' ELSE 'complement' END AS problem FROM bad WHERE p < 0 OR p > 1 OR abs(p + q - 1) > 1e-6"
-_PACKED = ", n AS (SELECT event, count(*) AS k FROM top GROUP BY event) SELECT pm.event, CAST((si - 1) * (2 * k - si) / 2 + sj - si - 1 AS BIGINT) AS place, CAST(round(p * 10000) AS BIGINT) AS bps FROM pm JOIN n USING (event)"
+_BAD = """, bad AS (SELECT event, i, j, CASE WHEN si = 1 AND sj = 2 THEN p + 0.1 ELSE p END AS p, 1 - p AS q
+  FROM pm) SELECT event, i, j, CASE WHEN p < 0 OR p > 1 THEN 'range' ELSE 'complement' END AS problem FROM bad
+  WHERE p < 0 OR p > 1 OR abs(p + q - 1) > 1e-6"""
+_PACKED = """, n AS (SELECT event, count(*) AS k FROM top GROUP BY event) SELECT pm.event, CAST((si - 1) * (2 * k - si) / 2 + sj - si - 1 AS BIGINT) AS place,
+  CAST(round(p * 10000) AS BIGINT) AS bps FROM pm JOIN n USING (event)"""
 
 
 @query(_MATRIX + _PAIRS)
@@ -279,7 +291,10 @@ def packed(m: DataFrame) -> DataFrame:
     return m.join(size, "event").select("event", F.expr("(si - 1) * (2 * k - si) div 2 + sj - si - 1").cast("long").alias("place"), F.round(F.col("p") * 10000).cast("long").alias("bps"))
 
 
-@query(MATCHES + ", f AS (SELECT event_id, arg_max({'w': winner, 'l': loser}, (date, match_id)) AS fin FROM matches WHERE round_order = 7 GROUP BY event_id), s AS (SELECT event_id, winner, arg_max(loser, (date, match_id)) AS beat FROM matches WHERE round_order = 6 GROUP BY ALL)\nSELECT f.event_id, f.fin.w AS slot0, a.beat AS slot1, f.fin.l AS slot2, b.beat AS slot3 FROM f LEFT JOIN s a ON a.event_id = f.event_id AND a.winner = f.fin.w LEFT JOIN s b ON b.event_id = f.event_id AND b.winner = f.fin.l")
+@query(MATCHES + """, f AS (SELECT event_id, arg_max({'w': winner, 'l': loser}, (date, match_id)) AS fin FROM matches WHERE round_order = 7
+  GROUP BY event_id), s AS (SELECT event_id, winner, arg_max(loser, (date, match_id)) AS beat FROM matches WHERE round_order = 6
+  GROUP BY ALL)\nSELECT f.event_id, f.fin.w AS slot0, a.beat AS slot1, f.fin.l AS slot2, b.beat AS slot3 FROM f LEFT
+  JOIN s a ON a.event_id = f.event_id AND a.winner = f.fin.w LEFT JOIN s b ON b.event_id = f.event_id AND b.winner = f.fin.l""")
 def reconstruct_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots rebuilt backwards from the final: each finalist with whom it beat in the semi-final."""
     m = matches(spark, sf_dir)

@@ -12,7 +12,8 @@ from matchlake.sources import tables as t
 from matchlake.sources.adapters import MATCHES, matches, players, table
 from matchlake.sources.files import scratch
 
-_PAGES = MATCHES + ", r AS (SELECT ioc AS page_id, row_number() OVER (PARTITION BY ioc ORDER BY points DESC NULLS LAST, player) AS rank, name, points, player FROM players) "
+_PAGES = MATCHES + """, r AS (SELECT ioc AS page_id, row_number() OVER (PARTITION BY ioc ORDER BY points DESC NULLS LAST, player) AS rank, name, points, player
+  FROM players) """
 
 
 def ranking_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +53,10 @@ def _lines(rows: DataFrame, line: F.Column, text: F.Column) -> DataFrame:
     return rows.groupBy("event").agg(lines.alias("lines")).select("event", text.alias("text"))
 
 
-@query(MATCHES + _FIELD + """, p AS (SELECT *, max(name) OVER (PARTITION BY event, slot // 2) IS NULL AS bare FROM shown), q AS (SELECT *, sum(CASE WHEN name = 'Qualifier' THEN 1 ELSE 0 END) OVER (PARTITION BY event ORDER BY slot) AS nth FROM p)
-SELECT event, slot, CASE WHEN name = 'Qualifier' THEN 'Qualifier ' || nth WHEN bare AND slot % 2 = 0 THEN 'Bye ' || slot ELSE name END AS player, CASE WHEN (name IS NOT NULL OR bare AND slot % 2 = 0) AND seed <= 4 THEN seed END AS seed, 5 AS best_of FROM q""")
+@query(MATCHES + _FIELD + """, p AS (SELECT *, max(name) OVER (PARTITION BY event, slot // 2) IS NULL AS bare
+  FROM shown), q AS (SELECT *, sum(CASE WHEN name = 'Qualifier' THEN 1 ELSE 0 END) OVER (PARTITION BY event ORDER BY slot) AS nth FROM p)
+SELECT event, slot, CASE WHEN name = 'Qualifier' THEN 'Qualifier ' || nth WHEN bare AND slot % 2 = 0 THEN 'Bye ' || slot ELSE name END AS player, CASE
+  WHEN (name IS NOT NULL OR bare AND slot % 2 = 0) AND seed <= 4 THEN seed END AS seed, 5 AS best_of FROM q""")
 def draw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draws out of bracket templates: two sections of eight leaves, links, flags, byes in the second round."""
     i = F.col("slot") % 8 + 1
@@ -68,7 +71,8 @@ def draw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(MATCHES + _FIELD + """, q AS (SELECT *, sum(CASE WHEN name = 'Qualifier' THEN 1 ELSE 0 END) OVER (PARTITION BY event ORDER BY slot) AS nth FROM shown)
-SELECT event, slot, CASE WHEN name = 'Qualifier' THEN 'Qualifier ' || nth ELSE name END AS player, CASE WHEN name IS NOT NULL AND seed <= 4 THEN seed END AS seed FROM q""")
+SELECT event, slot, CASE WHEN name = 'Qualifier' THEN 'Qualifier ' || nth ELSE name END AS player, CASE WHEN name IS NOT NULL
+  AND seed <= 4 THEN seed END AS seed FROM q""")
 def printed_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draws out of numbered lines with a false start, notes behind and placeholders in several spellings."""
     name = F.when(F.col("name") == "Qualifier", F.when(F.col("slot") % 2 == 0, "Qualifier / Lucky Loser").otherwise("QUALIFIER")).otherwise(F.coalesce("name", F.lit("Bye")))
@@ -77,7 +81,9 @@ def printed_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.printed_draws(_lines(seats(spark, sf_dir), line, text), "event", "text")
 
 
-@query(MATCHES + """SELECT CAST(m.match_id AS BIGINT) AS match_id, m.date, m.surface, m.best_of, 'supplier#' || lpad(CAST(m.winner AS VARCHAR), 9, '0') || ' s' AS w_key, CASE WHEN m.match_id % 3 > 0 THEN 1.2 + (b.wq % 30) / 10.0 END AS odds_w_ps, CASE WHEN m.match_id % 3 > 0 THEN 1.2 + (b.lq % 30) / 10.0 END AS odds_l_ps
+@query(MATCHES + """SELECT CAST(m.match_id AS BIGINT) AS match_id, m.date, m.surface, m.best_of, 'supplier#' || lpad(CAST(m.winner AS VARCHAR), 9, '0') || ' s' AS w_key,
+  CASE WHEN m.match_id % 3 > 0 THEN 1.2 + (b.wq % 30) / 10.0 END AS odds_w_ps, CASE
+  WHEN m.match_id % 3 > 0 THEN 1.2 + (b.lq % 30) / 10.0 END AS odds_l_ps
 FROM matches m JOIN base b USING (match_id) WHERE m.match_id % 29 > 0 AND m.year IN (1994, 1997)""")
 def odds_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odds written as CSV and read back: names as keys, bad numbers null, rows without names or outside the years dropped."""
@@ -95,7 +101,8 @@ def odds_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("s")[1].cast("long").alias("match_id"), "date", F.col("s")[0].alias("surface"), "best_of", "w_key", F.round("odds_w_ps", 6).alias("odds_w_ps"), F.round("odds_l_ps", 6).alias("odds_l_ps"))
 
 
-@query(MATCHES + "SELECT CAST(match_id AS VARCHAR) AS ticker, CASE WHEN match_id % 4 = 0 THEN '' ELSE surface END AS status, CASE WHEN match_id % 5 > 0 THEN match_id % 100 / 100.0 END AS p_model, CAST(NULL AS DOUBLE) AS p_kalshi FROM matches")
+@query(MATCHES + """SELECT CAST(match_id AS VARCHAR) AS ticker, CASE WHEN match_id % 4 = 0 THEN '' ELSE surface END AS status, CASE
+  WHEN match_id % 5 > 0 THEN match_id % 100 / 100.0 END AS p_model, CAST(NULL AS DOUBLE) AS p_kalshi FROM matches""")
 def ledger_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger of text columns with casts that give null for what is no number, and a missing one, which is empty."""
     k = F.col("match_id")
@@ -107,7 +114,8 @@ def ledger_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(MATCHES + """, s AS (SELECT match_id, match_id % 5 AS k, w_svpt AS ws, l_svpt AS ls, w_won AS ww, l_won AS lw FROM matches WHERE w_svpt IS NOT NULL)
-SELECT match_id, CAST(CASE WHEN match_id % 2 = 0 THEN ws ELSE ls END AS DOUBLE) AS w_svpt, CAST(CASE WHEN match_id % 2 = 0 THEN ws // 2 ELSE ls // 2 END AS DOUBLE) AS w_first_in, CAST(CASE WHEN match_id % 2 = 0 THEN ww - ws // 4 ELSE lw - ls // 4 END AS DOUBLE) AS w_second_won
+SELECT match_id, CAST(CASE WHEN match_id % 2 = 0 THEN ws ELSE ls END AS DOUBLE) AS w_svpt, CAST(CASE WHEN match_id % 2 = 0 THEN ws // 2
+  ELSE ls // 2 END AS DOUBLE) AS w_first_in, CAST(CASE WHEN match_id % 2 = 0 THEN ww - ws // 4 ELSE lw - ls // 4 END AS DOUBLE) AS w_second_won
 FROM s WHERE k NOT IN (3, 4) AND ww - ws // 4 <= ws - ws // 2 AND lw - ls // 4 <= ls - ls // 2""")
 def stats_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Serve statistics of an API: matches without a winner and rows that contradict themselves are dropped."""

@@ -41,14 +41,17 @@ def stream_first_sighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.run(log.first_sightings(log.source(spark, landed(spark, sf_dir), _SCHEMA))).select("match")
 
 
-@query(MATCHES + """, d AS (SELECT date_trunc('day', as_of) AS day, version, count(*) AS n, round(avg(p), 6) AS p FROM forecasts GROUP BY ALL) SELECT * FROM d WHERE day < (SELECT date_trunc('day', max(as_of) - INTERVAL 1 DAY) FROM forecasts)""")
+@query(MATCHES + """, d AS (SELECT date_trunc('day', as_of) AS day, version, count(*) AS n, round(avg(p), 6) AS p FROM forecasts GROUP BY ALL) SELECT * FROM d
+  WHERE day < (SELECT date_trunc('day', max(as_of) - INTERVAL 1 DAY) FROM forecasts)""")
 def stream_daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily windows that the watermark has closed; rows an hour late still count."""
     found = log.run(log.windows(log.source(spark, landed(spark, sf_dir), _SCHEMA)))
     return found.select(F.col("w.start").alias("day"), "version", "n", "p")
 
 
-@query(MATCHES + """, r AS (SELECT match, as_of + INTERVAL 20 DAY AS ended, event_id % 2 = 0 AS won FROM forecasts WHERE event_id % 3 = 0) SELECT f.event_id, f.match, f.p, r.won FROM forecasts f JOIN r ON f.match = r.match AND r.ended >= f.as_of - INTERVAL 1 DAY AND r.ended <= f.as_of + INTERVAL 21 DAY""")
+@query(MATCHES + """, r AS (SELECT match, as_of + INTERVAL 20 DAY AS ended, event_id % 2 = 0 AS won FROM forecasts
+  WHERE event_id % 3 = 0) SELECT f.event_id, f.match, f.p, r.won FROM forecasts f
+  JOIN r ON f.match = r.match AND r.ended >= f.as_of - INTERVAL 1 DAY AND r.ended <= f.as_of + INTERVAL 21 DAY""")
 def stream_late_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecasts graded by results that come within three weeks: two streams joined by match and interval."""
     left = log.source(spark, landed(spark, sf_dir), _SCHEMA)

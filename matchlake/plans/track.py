@@ -19,7 +19,8 @@ def forecast_first_sighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecasts(spark, sf_dir).groupBy("match").agg(F.min("as_of").alias("as_of"), F.min_by("p", at).alias("p"), F.min_by("version", at).alias("version"))
 
 
-@query(MATCHES + "SELECT match, date_trunc('hour', as_of) AS hour, arg_max(event_id, (as_of, event_id)) AS event_id, arg_max(p, (as_of, event_id)) AS p FROM forecasts GROUP BY ALL")
+@query(MATCHES + """SELECT match, date_trunc('hour', as_of) AS hour, arg_max(event_id, (as_of, event_id)) AS event_id, arg_max(p, (as_of, event_id)) AS p FROM forecasts
+  GROUP BY ALL""")
 def snapshot_hour_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last snapshot of each match and hour."""
     at = F.struct("as_of", "event_id")
@@ -27,17 +28,23 @@ def snapshot_hour_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(MATCHES + """, h AS (SELECT match, date_trunc('hour', as_of) AS hour, arg_max(p, (as_of, event_id)) AS p FROM forecasts GROUP BY ALL)
-SELECT match, hour, p, round(p - first_value(p) OVER w, 6) AS from_first, round(coalesce(p - lag(p) OVER w, 0), 6) AS step FROM h WINDOW w AS (PARTITION BY match ORDER BY hour)""")
+SELECT match, hour, p, round(p - first_value(p) OVER w, 6) AS from_first, round(coalesce(p - lag(p) OVER w, 0), 6) AS step FROM h
+  WINDOW w AS (PARTITION BY match ORDER BY hour)""")
 def forecast_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("match").orderBy("hour")
     rows = snapshot_hour_dedup(spark, sf_dir)
     return rows.select("match", "hour", "p", F.round(F.col("p") - F.first("p").over(w), 6).alias("from_first"), F.round(F.coalesce(F.col("p") - F.lag("p").over(w), F.lit(0.0)), 6).alias("step"))
 
 
-_GRADE = MATCHES + """, fc AS (SELECT match_id AS id, least(winner, loser) AS a, greatest(winner, loser) AS b, date - CAST(match_id % 25 AS INTEGER) AS as_of, CASE WHEN match_id % 2 = 0 THEN event_id END AS event_id, 0.3 + (match_id % 40) / 100.0 AS p FROM matches WHERE match_id % 4 < 2),
-c AS (SELECT fc.id, m.match_id, m.winner = fc.a AS a_won, m.event_id = fc.event_id AS same FROM fc JOIN matches m ON least(m.winner, m.loser) = fc.a AND greatest(m.winner, m.loser) = fc.b AND date_diff('day', fc.as_of, m.date) BETWEEN -1 AND 21 AND NOT m.walkover),
-s AS (SELECT *, max(CASE WHEN same THEN 1 ELSE 0 END) OVER (PARTITION BY id) AS any_same FROM c), u AS (SELECT id, count(*) AS n, min(match_id) AS match_id, bool_and(a_won) AS a_won FROM s WHERE any_same = 0 OR same GROUP BY id),
-graded AS (SELECT fc.id, fc.as_of, fc.p, CASE WHEN u.n = 1 THEN u.match_id END AS match_id, CASE WHEN u.n = 1 THEN CASE WHEN u.a_won THEN fc.p ELSE 1 - fc.p END END AS p_winner FROM fc LEFT JOIN u USING (id))
+_GRADE = MATCHES + """, fc AS (SELECT match_id AS id, least(winner, loser) AS a, greatest(winner, loser) AS b, date - CAST(match_id % 25 AS INTEGER) AS as_of, CASE
+  WHEN match_id % 2 = 0 THEN event_id END AS event_id, 0.3 + (match_id % 40) / 100.0 AS p FROM matches WHERE match_id % 4 < 2),
+c AS (SELECT fc.id, m.match_id, m.winner = fc.a AS a_won, m.event_id = fc.event_id AS same FROM fc
+  JOIN matches m ON least(m.winner, m.loser) = fc.a AND greatest(m.winner, m.loser) = fc.b AND date_diff('day', fc.as_of, m.date) BETWEEN -1 AND 21
+  AND NOT m.walkover),
+s AS (SELECT *, max(CASE WHEN same THEN 1 ELSE 0 END) OVER (PARTITION BY id) AS any_same
+  FROM c), u AS (SELECT id, count(*) AS n, min(match_id) AS match_id, bool_and(a_won) AS a_won FROM s WHERE any_same = 0 OR same GROUP BY id),
+graded AS (SELECT fc.id, fc.as_of, fc.p, CASE WHEN u.n = 1 THEN u.match_id END AS match_id, CASE WHEN u.n = 1 THEN CASE WHEN u.a_won THEN fc.p
+  ELSE 1 - fc.p END END AS p_winner FROM fc LEFT JOIN u USING (id))
 """
 
 
@@ -62,18 +69,21 @@ def grade_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded(spark, sf_dir).select("id", "match_id", F.round("p_winner", 6).alias("p_winner"))
 
 
-@query(_GRADE + "SELECT year(as_of) AS year, month(as_of) AS month, count(*) AS logged, count(p_winner) AS graded, count(*) - count(p_winner) AS pending, round(avg((1 - p_winner) * (1 - p_winner)), 6) AS brier, CAST(count(*) FILTER (WHERE p_winner > 0.5) AS BIGINT) AS hits FROM graded GROUP BY ALL")
+@query(_GRADE + """SELECT year(as_of) AS year, month(as_of) AS month, count(*) AS logged, count(p_winner) AS graded, count(*) - count(p_winner) AS pending,
+  round(avg((1 - p_winner) * (1 - p_winner)), 6) AS brier, CAST(count(*) FILTER (WHERE p_winner > 0.5) AS BIGINT) AS hits FROM graded GROUP BY ALL""")
 def grade_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_winner")
     return graded(spark, sf_dir).groupBy(F.year("as_of").alias("year"), F.month("as_of").alias("month")).agg(F.count("*").alias("logged"), F.count(p).alias("graded"), (F.count("*") - F.count(p)).alias("pending"), F.round(F.avg((1 - p) * (1 - p)), 6).alias("brier"), F.count_if(p > 0.5).alias("hits"))
 
 
 _CHAMPION = MATCHES + """, champ AS (SELECT event_id, arg_max(winner, (date, match_id)) AS champion FROM matches WHERE round_order = 7 GROUP BY event_id),
-field AS (SELECT event_id, player, count(*) + 0.0 AS w FROM pl WHERE event_id IN (SELECT event_id FROM champ) GROUP BY ALL), odds AS (SELECT *, w / sum(w) OVER (PARTITION BY event_id) AS p FROM field)
+field AS (SELECT event_id, player, count(*) + 0.0 AS w FROM pl WHERE event_id IN (SELECT event_id FROM champ)
+  GROUP BY ALL), odds AS (SELECT *, w / sum(w) OVER (PARTITION BY event_id) AS p FROM field)
 """
 
 
-@query(_CHAMPION + "SELECT o.event_id, round(sum(pow(p - CASE WHEN o.player = c.champion THEN 1 ELSE 0 END, 2)), 6) AS brier, arg_max(o.player, (p, -o.player)) = max(c.champion) AS hit, count(*) AS field FROM odds o JOIN champ c ON c.event_id = o.event_id GROUP BY o.event_id")
+@query(_CHAMPION + """SELECT o.event_id, round(sum(pow(p - CASE WHEN o.player = c.champion THEN 1 ELSE 0 END, 2)), 6) AS brier, arg_max(o.player, (p,
+  -o.player)) = max(c.champion) AS hit, count(*) AS field FROM odds o JOIN champ c ON c.event_id = o.event_id GROUP BY o.event_id""")
 def champion_brier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squared error of title odds over an event's field, and whether the favourite won."""
     m = matches(spark, sf_dir)
@@ -84,8 +94,10 @@ def champion_brier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("event_id").agg(F.round(F.sum(miss), 6).alias("brier"), (F.max_by("player", F.struct("p", -F.col("player"))) == F.max("champion")).alias("hit"), F.count("*").alias("field"))
 
 
-@query(MATCHES + """, legacy AS (SELECT match, min(as_of) AS as_of FROM forecasts WHERE event_id % 2 = 0 GROUP BY match), modern AS (SELECT user_id * 8 + event_id % 8 AS match, event_id, min(ts) AS as_of FROM events WHERE event_id % 2 = 1 GROUP BY ALL),
-c AS (SELECT l.match, m.event_id FROM legacy l JOIN modern m ON m.match = l.match + 1 AND m.as_of BETWEEN l.as_of - INTERVAL 6 HOUR AND l.as_of + INTERVAL 6 HOUR)
+@query(MATCHES + """, legacy AS (SELECT match, min(as_of) AS as_of FROM forecasts WHERE event_id % 2 = 0
+  GROUP BY match), modern AS (SELECT user_id * 8 + event_id % 8 AS match, event_id, min(ts) AS as_of FROM events WHERE event_id % 2 = 1 GROUP BY ALL),
+c AS (SELECT l.match, m.event_id FROM legacy l JOIN modern m ON m.match = l.match + 1 AND m.as_of BETWEEN l.as_of - INTERVAL 6 HOUR
+  AND l.as_of + INTERVAL 6 HOUR)
 SELECT match, min(event_id) AS event_id FROM c GROUP BY match HAVING count(*) = 1""")
 def legacy_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old keys that have exactly one new key near in time."""
@@ -96,7 +108,8 @@ def legacy_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.join(new, "match").filter(near).groupBy("match").agg(F.min("event_id").alias("event_id"), F.count("*").alias("n")).filter("n = 1").drop("n")
 
 
-@query(MATCHES + "SELECT f.event_id, f.match, f.p FROM forecasts f WHERE NOT EXISTS (SELECT 1 FROM forecasts g WHERE g.event_id % 3 = 0 AND g.match = f.match AND date_trunc('hour', g.as_of) = date_trunc('hour', f.as_of))")
+@query(MATCHES + """SELECT f.event_id, f.match, f.p FROM forecasts f WHERE NOT EXISTS (SELECT 1 FROM forecasts g
+  WHERE g.event_id % 3 = 0 AND g.match = f.match AND date_trunc('hour', g.as_of) = date_trunc('hour', f.as_of))""")
 def log_append_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecasts whose match and hour are not in the log yet: the rows that an idempotent append adds."""
     f = forecasts(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "as_of"))

@@ -14,10 +14,13 @@ from matchlake.sources.adapters import MATCHES, matches, table
 _CITY = """, city AS (SELECT lower(n_name) AS key, n_nationkey AS ioc, CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey * 37.5 END AS elevation,
     CASE n_nationkey % 4 WHEN 0 THEN 'America/New_York' WHEN 1 THEN 'Asia/Tokyo' WHEN 2 THEN 'Europe/Paris' END AS zone FROM nation
   UNION ALL SELECT split_part(lower(n_name), ' ', 2), n_nationkey + 100, 5.5, NULL FROM nation WHERE contains(n_name, ' ')),
-named AS (SELECT match_id, year, CASE WHEN tour % 2 = 0 THEN 'atp' ELSE 'wta' END AS tour, CASE match_id % 7 WHEN 0 THEN event WHEN 1 THEN 'Grand Prix de ' || event || ' 2'
-    WHEN 2 THEN event || ' Open #2' WHEN 3 THEN 'Davis Cup WG: ' || substr(event, 1, 3) || ' vs BRA' WHEN 4 THEN 'Nowhere Classic 40K' WHEN 5 THEN lower(event) || ', 125k 3'
+named AS (SELECT match_id, year, CASE WHEN tour % 2 = 0 THEN 'atp' ELSE 'wta' END AS tour, CASE match_id % 7 WHEN 0 THEN event
+  WHEN 1 THEN 'Grand Prix de ' || event || ' 2'
+    WHEN 2 THEN event || ' Open #2' WHEN 3 THEN 'Davis Cup WG: ' || substr(event, 1, 3) || ' vs BRA' WHEN 4 THEN 'Nowhere Classic 40K'
+  WHEN 5 THEN lower(event) || ', 125k 3'
     ELSE 'Fed Cup: ' || substr(event, 1, 3) || ' vs BRA' END AS name FROM matches),
-normed AS (SELECT *, trim(regexp_replace(trim(regexp_replace(regexp_replace(lower(strip_accents(name)), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), '( \\d+k?)+$', '')) AS norm FROM named),
+normed AS (SELECT *, trim(regexp_replace(trim(regexp_replace(regexp_replace(lower(strip_accents(name)), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')),
+  '( \\d+k?)+$', '')) AS norm FROM named),
 hit AS (SELECT n.norm, arg_max({'key': key, 'ioc': ioc, 'elevation': elevation, 'zone': zone}, (length(key), key)) AS c
   FROM (SELECT DISTINCT norm FROM normed) n JOIN city ON contains(' ' || n.norm || ' ', ' ' || key || ' ') GROUP BY n.norm),
 placed AS (SELECT n.*, h.c.key AS key, h.c.ioc AS ioc, h.c.elevation AS elevation, h.c.zone AS zone FROM normed n LEFT JOIN hit h USING (norm))
@@ -54,7 +57,8 @@ def venue_city_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(MATCHES + _CITY + """SELECT match_id, CASE WHEN match_id % 7 = 3 THEN regexp_extract(name, '([A-Z]{3}) vs', 1) WHEN match_id % 7 = 6 THEN NULL
-  WHEN norm = 'brazil' AND tour = 'atp' THEN 'RIO' WHEN norm = 'china' THEN CASE year WHEN 1994 THEN 'PEK' WHEN 1996 THEN 'SHA' END ELSE CAST(ioc AS VARCHAR) END AS host FROM placed""")
+  WHEN norm = 'brazil' AND tour = 'atp' THEN 'RIO' WHEN norm = 'china' THEN CASE year WHEN 1994 THEN 'PEK' WHEN 1996 THEN 'SHA' END
+  ELSE CAST(ioc AS VARCHAR) END AS host FROM placed""")
 def venue_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host nations: of cup ties the first nation, by tour, by year, else by city."""
     rule = v.host(F.col("name"), F.col("norm"), F.col("year"), F.col("tour"), F.col("ioc").cast("string"), {("brazil", "atp"): "RIO"}, {"china": {1994: "PEK", 1996: "SHA"}})
@@ -124,18 +128,22 @@ def level_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toured(spark, sf_dir).select("match_id", lv.resolve_level([F.col(f"v{i}") for i in range(4)], F.col("tour")).alias("level"))
 
 
-@query(_TOURED + """ SELECT match_id, CASE WHEN contains(lower(l), 'grand') OR event = 'US Open' THEN 0 WHEN contains(lower(l), 'final') THEN 1 WHEN contains(l, '1000') OR contains(lower(l), 'olympic') THEN 2 WHEN l LIKE '%500' THEN 3 WHEN l LIKE '%250' THEN 4
+@query(_TOURED + """ SELECT match_id, CASE WHEN contains(lower(l), 'grand') OR event = 'US Open' THEN 0 WHEN contains(lower(l), 'final') THEN 1 WHEN contains(l,
+  '1000') OR contains(lower(l), 'olympic') THEN 2 WHEN l LIKE '%500' THEN 3 WHEN l LIKE '%250' THEN 4
   WHEN contains(lower(l), 'cup') THEN 5 WHEN l LIKE '%125' THEN 6 ELSE 7 END AS rank,
-  CASE WHEN contains(lower(l), 'grand') THEN 'GS' WHEN contains(lower(l), 'final') THEN 'Finals' WHEN contains(l, '1000') THEN '1000' WHEN contains(lower(l), 'olympic') THEN 'Oly' WHEN l LIKE '%500' THEN '500' WHEN l LIKE '%250' THEN '250'
+  CASE WHEN contains(lower(l), 'grand') THEN 'GS' WHEN contains(lower(l), 'final') THEN 'Finals' WHEN contains(l, '1000') THEN '1000'
+  WHEN contains(lower(l), 'olympic') THEN 'Oly' WHEN l LIKE '%500' THEN '500' WHEN l LIKE '%250' THEN '250'
   WHEN contains(lower(l), 'cup') THEN 'Cup' WHEN l LIKE '%125' THEN '125' ELSE 'Tour' END AS short,
-  CASE WHEN contains(lower(l), 'grand') THEN 'Grand Slam' WHEN contains(lower(l), 'final') OR contains(l, '1000') THEN l WHEN contains(lower(l), 'olympic') THEN 'Olympics' WHEN l LIKE '%500' OR l LIKE '%250' OR contains(lower(l), 'cup') OR l LIKE '%125' THEN l
+  CASE WHEN contains(lower(l), 'grand') THEN 'Grand Slam' WHEN contains(lower(l), 'final') OR contains(l, '1000') THEN l WHEN contains(lower(l),
+  'olympic') THEN 'Olympics' WHEN l LIKE '%500' OR l LIKE '%250' OR contains(lower(l), 'cup') OR l LIKE '%125' THEN l
   WHEN l <> '' AND lower(l) <> 'q' THEN l ELSE 'Tour' END AS full FROM (SELECT match_id, event, coalesce(v0, '') AS l FROM t)""")
 def level_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     tier = lv.tournament_tier(F.col("v0"), F.col("event"))
     return toured(spark, sf_dir).select("match_id", tier.alias("t")).select("match_id", "t.*")
 
 
-_SIZES = MATCHES + """, n AS (SELECT event_id, draw_level, max(2 * c * CAST(pow(2, round_order - 1) AS BIGINT)) AS need FROM (SELECT event_id, draw_level, round_order, count(*) AS c FROM matches WHERE round_order <= 4 GROUP BY ALL) GROUP BY ALL),
+_SIZES = MATCHES + """, n AS (SELECT event_id, draw_level, max(2 * c * CAST(pow(2, round_order - 1) AS BIGINT)) AS need
+  FROM (SELECT event_id, draw_level, round_order, count(*) AS c FROM matches WHERE round_order <= 4 GROUP BY ALL) GROUP BY ALL),
 sizes AS (SELECT event_id, draw_level, CAST(pow(2, ceil(log2(need))) AS INTEGER) AS draw FROM n)
 """
 
@@ -151,7 +159,8 @@ def draw_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes(matches(spark, sf_dir).filter("round_order <= 4"))
 
 
-@query(_SIZES + """SELECT match_id, CASE WHEN match_id % 31 = 0 THEN NULL WHEN round_order <= 4 THEN CASE draw >> (round_order - 1) WHEN 8 THEN 'QF' WHEN 4 THEN 'SF' WHEN 2 THEN 'F' ELSE 'R' || CAST(draw >> (round_order - 1) AS VARCHAR) END
+@query(_SIZES + """SELECT match_id, CASE WHEN match_id % 31 = 0 THEN NULL WHEN round_order <= 4 THEN CASE draw >> (round_order - 1) WHEN 8 THEN 'QF' WHEN 4 THEN 'SF'
+  WHEN 2 THEN 'F' ELSE 'R' || CAST(draw >> (round_order - 1) AS VARCHAR) END
   WHEN round_order = 5 THEN 'QF' WHEN round_order = 6 THEN 'SF' ELSE 'F' END AS code FROM matches LEFT JOIN sizes USING (event_id, draw_level)""")
 def round_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounds by draw size and label; qualifying has none."""
@@ -183,8 +192,10 @@ def market_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", lv.parse_rules(text).alias("r")).select("p_partkey", "r.*")
 
 
-@query("""SELECT o_orderkey, CASE WHEN k = 5 THEN NULL WHEN y = 1996 THEN d END AS start, CASE WHEN k = 5 THEN NULL WHEN y = 1996 THEN CASE WHEN k IN (2, 3) AND month(d + 6) <> month(d) THEN CASE WHEN k = 2 THEN d + 6 END ELSE d + 6 END END AS finish
-FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, year(CAST(o_orderdate AS DATE)) AS y, o_orderkey % 6 AS k FROM orders) WHERE NOT (k = 3 AND month(d + 6) <> month(d)) AND NOT (k IN (0, 1, 4) AND year(d + 6) <> year(d))""")
+@query("""SELECT o_orderkey, CASE WHEN k = 5 THEN NULL WHEN y = 1996 THEN d END AS start, CASE WHEN k = 5 THEN NULL WHEN y = 1996 THEN CASE WHEN k IN (2, 3)
+  AND month(d + 6) <> month(d) THEN CASE WHEN k = 2 THEN d + 6 END ELSE d + 6 END END AS finish
+FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, year(CAST(o_orderdate AS DATE)) AS y, o_orderkey % 6 AS k FROM orders)
+  WHERE NOT (k = 3 AND month(d + 6) <> month(d)) AND NOT (k IN (0, 1, 4) AND year(d + 6) <> year(d))""")
 def date_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calendar ranges of 1996 in four dialects; ranges that the dialect can't write are left out."""
     d = F.col("o_orderdate").cast("date")
@@ -203,8 +214,10 @@ def date_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", lv.parse_date_span(text, 1996).alias("s")).select("o_orderkey", "s.*")
 
 
-@query("""WITH f AS (SELECT o_custkey AS event, CASE o_orderkey % 5 WHEN 0 THEN 'Qualifier ' || o_orderkey WHEN 1 THEN CASE WHEN o_custkey % 2 = 0 THEN ' TBD' ELSE o_clerk END ELSE o_clerk END AS x FROM (SELECT o_custkey, o_orderkey, o_orderpriority AS o_clerk FROM orders))
-SELECT event, count(*) AS n, CAST(count(*) FILTER (WHERE NOT (starts_with(x, 'Qualifier') OR x = ' TBD')) AS BIGINT) AS real, 2 * count(*) FILTER (WHERE NOT (starts_with(x, 'Qualifier') OR x = ' TBD')) >= count(*) AS meaningful FROM f GROUP BY event""")
+@query("""WITH f AS (SELECT o_custkey AS event, CASE o_orderkey % 5 WHEN 0 THEN 'Qualifier ' || o_orderkey WHEN 1 THEN CASE WHEN o_custkey % 2 = 0 THEN ' TBD'
+  ELSE o_clerk END ELSE o_clerk END AS x FROM (SELECT o_custkey, o_orderkey, o_orderpriority AS o_clerk FROM orders))
+SELECT event, count(*) AS n, CAST(count(*) FILTER (WHERE NOT (starts_with(x, 'Qualifier') OR x = ' TBD')) AS BIGINT) AS real,
+  2 * count(*) FILTER (WHERE NOT (starts_with(x, 'Qualifier') OR x = ' TBD')) >= count(*) AS meaningful FROM f GROUP BY event""")
 def meaningful_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of which half at least are names, not placeholders."""
     k, who = F.col("o_orderkey"), F.col("o_orderpriority")
