@@ -15,12 +15,22 @@ _SCHEMA = "event_id bigint, as_of timestamp, match bigint, player bigint, p doub
 FILES = 4
 
 
+def arriving(rows: DataFrame, by: str) -> str:
+    """A folder where the rows land as FILES files, one after the other in order of a time: streams take files in the order
+    in which they were written."""
+    path = scratch(rows.sparkSession)
+    at = rows.withColumn("_at", F.unix_timestamp(F.col(by).cast("timestamp")))
+    cuts = [-float("inf"), *at.approxQuantile("_at", [i / FILES for i in range(1, FILES)], 0.01), float("inf")]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        at.filter((F.col("_at") > low) & (F.col("_at") <= high)).drop("_at", by if by == "arrives" else "_at").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def landed(spark: SparkSession, sf_dir: str, twice: bool = False) -> str:
     """The log as files in order of time; every tenth row comes up to an hour after its time. With ``twice`` a file follows
     that repeats rows of the last ones."""
-    path = scratch(spark)
     rows = forecasts(spark, sf_dir).withColumn("arrives", F.when(F.col("event_id") % 10 == 0, F.col("as_of") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("as_of")))
-    rows.repartitionByRange(FILES, "arrives").sortWithinPartitions("arrives", "event_id").drop("arrives").write.parquet(path)
+    path = arriving(rows, "arrives")
     if twice:
         latest = rows.agg(F.max("as_of").alias("latest"))
         again = rows.join(F.broadcast(latest), F.col("as_of") > F.col("latest") - F.expr("INTERVAL 1 HOUR")).drop("arrives", "latest")
@@ -55,8 +65,6 @@ def stream_daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_late_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecasts graded by results that come within three weeks: two streams joined by match and interval."""
     left = log.source(spark, landed(spark, sf_dir), _SCHEMA)
-    path = scratch(spark)
     rows = forecasts(spark, sf_dir).filter("event_id % 3 = 0").select("match", (F.col("as_of") + F.expr("INTERVAL 20 DAYS")).alias("ended"), (F.col("event_id") % 2 == 0).alias("won"))
-    rows.repartitionByRange(FILES, "ended").write.parquet(path)
-    right = log.source(spark, path, "match bigint, ended timestamp, won boolean")
+    right = log.source(spark, arriving(rows, "ended"), "match bigint, ended timestamp, won boolean")
     return log.run(log.graded(left, right, 21, late="30 days"))
