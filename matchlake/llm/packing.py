@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from matchlake.llm.blocks import narrow_batches, staged, totals
 
 #: Distinct stretches of text whose ids a worker remembers.
-REMEMBERED = 20_000
+REMEMBERED = 100_000
 
 #: Fixed value: how byte-level tokenizers of this kind cut a text into pre-tokens.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
