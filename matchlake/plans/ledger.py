@@ -121,7 +121,7 @@ def live_rank_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEDGER = MATCHES + """, led AS (SELECT match_id AS ticker, tour, date AS result_date, CASE WHEN match_id % 11 = 0 THEN 'pending' ELSE 'matched' END AS match_status, CASE
   WHEN completed THEN 'completed' WHEN walkover THEN 'walkover' ELSE 'retired' END AS result_type,
   CASE WHEN match_id % 6 = 0 THEN 'last' ELSE 'candle' END AS price_kind, CASE WHEN match_id % 10 > 0 THEN 0.2 + match_id % 61 / 100.0 END AS p_model,
-  CASE WHEN match_id % 9 > 0 THEN 0.2 + match_id % 59 / 100.0 END AS p_kalshi, match_id % 15 / 100.0 AS spread_max, match_id % 2 AS a_won,
+  CASE WHEN match_id % 9 > 0 THEN 0.2 + match_id % 59 / 100.0 END AS p_quote, match_id % 15 / 100.0 AS spread_max, match_id % 2 AS a_won,
   CASE WHEN match_id % 13 = 0 THEN 'live' ELSE 'live_aligned' END AS pred_source, CASE WHEN match_id % 4 = 0 THEN NULL WHEN match_id % 2 = 0 THEN 'no'
   WHEN match_id % 17 = 0 THEN 'no' ELSE 'yes' END AS settled_a,
   CAST(date AS TIMESTAMP) + INTERVAL 8 HOUR + INTERVAL 1 MINUTE * (match_id % 97 * 20 - 1500) AS price_ts, CASE WHEN match_id % 19 = 0 THEN 0.995
@@ -135,7 +135,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     minutes = F.make_dt_interval(F.lit(0), F.lit(ANCHOR_HOUR), (k % 97 * 20 - 1500).cast("int"))
     return matches(spark, sf_dir).select(
         k.alias("ticker"), "tour", F.col("date").alias("result_date"), F.when(k % 11 == 0, "pending").otherwise("matched").alias("match_status"), F.when(F.col("completed"), "completed").when(F.col("walkover"), "walkover").otherwise("retired").alias("result_type"),
-        F.when(k % 6 == 0, "last").otherwise("candle").alias("price_kind"), F.when(k % 10 > 0, 0.2 + k % 61 / 100.0).alias("p_model"), F.when(k % 9 > 0, 0.2 + k % 59 / 100.0).alias("p_kalshi"), (k % 15 / 100.0).alias("spread_max"), (k % 2).alias("a_won"),
+        F.when(k % 6 == 0, "last").otherwise("candle").alias("price_kind"), F.when(k % 10 > 0, 0.2 + k % 61 / 100.0).alias("p_model"), F.when(k % 9 > 0, 0.2 + k % 59 / 100.0).alias("p_quote"), (k % 15 / 100.0).alias("spread_max"), (k % 2).alias("a_won"),
         F.when(k % 13 == 0, "live").otherwise("live_aligned").alias("pred_source"), F.when(k % 4 == 0, None).when(k % 2 == 0, "no").when(k % 17 == 0, "no").otherwise("yes").alias("settled_a"),
         (F.col("date").cast("timestamp_ntz") + minutes).alias("price_ts"), F.when(k % 19 == 0, 0.995).otherwise(0.4).alias("mid_a"), F.least("winner", "loser").alias("lo"), F.greatest("winner", "loser").alias("hi"))
 
@@ -144,17 +144,17 @@ def scored(rows: DataFrame, retired: bool = False) -> DataFrame:
     """Rows that are scored, with both probabilities seen from the winner: matched, completed (or retired), priced by a
     candle of narrow spread, forecast in line with the quote."""
     types = ["completed", "retired"] if retired else ["completed"]
-    good = (F.col("match_status") == "matched") & F.col("result_type").isin(types) & (F.col("price_kind") == "candle") & F.col("p_model").isNotNull() & F.col("p_kalshi").isNotNull() & (F.col("spread_max") <= SPREAD) & ~F.col("pred_source").eqNullSafe("live")
+    good = (F.col("match_status") == "matched") & F.col("result_type").isin(types) & (F.col("price_kind") == "candle") & F.col("p_model").isNotNull() & F.col("p_quote").isNotNull() & (F.col("spread_max") <= SPREAD) & ~F.col("pred_source").eqNullSafe("live")
     seen = lambda p: F.when(F.col("a_won") == 1, F.col(p)).otherwise(1 - F.col(p))
-    return rows.filter(good).withColumns({"p_model_w": seen("p_model"), "p_kalshi_w": seen("p_kalshi")})
+    return rows.filter(good).withColumns({"p_model_w": seen("p_model"), "p_quote_w": seen("p_quote")})
 
 
-_SCORED = "match_status = 'matched' AND result_type = 'completed' AND price_kind = 'candle' AND p_model IS NOT NULL AND p_kalshi IS NOT NULL"
+_SCORED = "match_status = 'matched' AND result_type = 'completed' AND price_kind = 'candle' AND p_model IS NOT NULL AND p_quote IS NOT NULL"
 
 
-@query(_LEDGER + f"SELECT ticker, round(CASE WHEN a_won = 1 THEN p_model ELSE 1 - p_model END, 6) AS p_model_w, round(CASE WHEN a_won = 1 THEN p_kalshi ELSE 1 - p_kalshi END, 6) AS p_kalshi_w FROM led WHERE {_SCORED} AND spread_max <= 0.10 AND pred_source <> 'live'")
+@query(_LEDGER + f"SELECT ticker, round(CASE WHEN a_won = 1 THEN p_model ELSE 1 - p_model END, 6) AS p_model_w, round(CASE WHEN a_won = 1 THEN p_quote ELSE 1 - p_quote END, 6) AS p_quote_w FROM led WHERE {_SCORED} AND spread_max <= 0.10 AND pred_source <> 'live'")
 def ledger_scored_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(ledger(spark, sf_dir)).select("ticker", F.round("p_model_w", 6).alias("p_model_w"), F.round("p_kalshi_w", 6).alias("p_kalshi_w"))
+    return scored(ledger(spark, sf_dir)).select("ticker", F.round("p_model_w", 6).alias("p_model_w"), F.round("p_quote_w", 6).alias("p_quote_w"))
 
 
 def scoring_quote_ok(day: str = "result_date", at: str = "price_ts", mid: str = "mid_a") -> Column:
@@ -179,7 +179,7 @@ def gate_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with scored rows: quotes after the anchor, settled books, contradicted or doubled results; one scan."""
     from pyspark.sql import Window as W
 
-    rows = ledger(spark, sf_dir).filter("match_status = 'matched' and result_type = 'completed' and price_kind = 'candle' and p_model is not null and p_kalshi is not null")
+    rows = ledger(spark, sf_dir).filter("match_status = 'matched' and result_type = 'completed' and price_kind = 'candle' and p_model is not null and p_quote is not null")
     rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("lo", "hi", "result_date").orderBy("ticker")))
     anchor = F.col("result_date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(ANCHOR_HOUR))
     stale = F.col("price_ts") <= F.col("result_date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(ANCHOR_HOUR - LOOKBACK // 3600))

@@ -10,15 +10,15 @@ from matchlake.plans.registry import query
 from matchlake.sources import scoreboard as sb
 from matchlake.sources.adapters import MATCHES, matches
 
-_BOARD = MATCHES + """, cp AS (SELECT event_id AS espn_id, event, match_id, round_order, draw_level, date, match_id % 4 > 0 AS completed, CASE match_id % 8
+_BOARD = MATCHES + """, cp AS (SELECT event_id AS feed_id, event, match_id, round_order, draw_level, date, match_id % 4 > 0 AS completed, CASE match_id % 8
   WHEN 0 THEN 'pre' WHEN 4 THEN 'in' ELSE 'post' END AS state,
     'P' || winner AS w, CASE WHEN match_id % 37 = 0 THEN NULL ELSE 'P' || loser END AS l, w_games, l_games FROM matches WHERE draw_level = 'main'),
-nn AS (SELECT espn_id, max(2 * c * CAST(pow(2, round_order - 1) AS BIGINT)) AS need FROM (SELECT espn_id, round_order, count(*) AS c FROM cp
+nn AS (SELECT feed_id, max(2 * c * CAST(pow(2, round_order - 1) AS BIGINT)) AS need FROM (SELECT feed_id, round_order, count(*) AS c FROM cp
   WHERE round_order <= 4 GROUP BY ALL) GROUP BY ALL),
 coded AS (SELECT cp.*, CASE WHEN round_order = 5 THEN 'QF' WHEN round_order = 6 THEN 'SF' WHEN round_order = 7 THEN 'F'
   ELSE CASE draw >> (round_order - 1) WHEN 8 THEN 'QF' WHEN 4 THEN 'SF' WHEN 2 THEN 'F'
   ELSE 'R' || CAST(draw >> (round_order - 1) AS VARCHAR) END END AS round
-  FROM cp LEFT JOIN (SELECT espn_id, CAST(pow(2, ceil(log2(need))) AS INTEGER) AS draw FROM nn) USING (espn_id) WHERE match_id % 31 > 0)
+  FROM cp LEFT JOIN (SELECT feed_id, CAST(pow(2, ceil(log2(need))) AS INTEGER) AS draw FROM nn) USING (feed_id) WHERE match_id % 31 > 0)
 """
 
 
@@ -42,30 +42,30 @@ def boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.concat_ws(" ", "event", "event_id").alias("name"), short.alias("shortName"), "date", "endDate", "groupings")).alias("payload"))
 
 
-@query(_BOARD + """SELECT DISTINCT espn_id, event || ' ' || espn_id AS event, CAST(date AS VARCHAR) AS date, round, w AS winner, l AS loser,
+@query(_BOARD + """SELECT DISTINCT feed_id, event || ' ' || feed_id AS event, CAST(date AS VARCHAR) AS date, round, w AS winner, l AS loser,
   CAST(w_games AS VARCHAR) || '-' || CAST(l_games AS VARCHAR) AS score FROM coded
-  WHERE completed AND l IS NOT NULL QUALIFY row_number() OVER (PARTITION BY espn_id, w, l, score ORDER BY date, round) = 1""")
+  WHERE completed AND l IS NOT NULL QUALIFY row_number() OVER (PARTITION BY feed_id, w, l, score ORDER BY date, round) = 1""")
 def scoreboard_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completed main-draw singles; a repeated result has the date and round of its earliest row."""
     return sb.results(boards(spark, sf_dir), "mens")
 
 
-@query(_BOARD + """SELECT espn_id, round, count(*) AS n, min(w) AS first FROM (SELECT espn_id, w, l, arg_min(round, (date, round)) AS round FROM coded
+@query(_BOARD + """SELECT feed_id, round, count(*) AS n, min(w) AS first FROM (SELECT feed_id, w, l, arg_min(round, (date, round)) AS round FROM coded
   WHERE NOT completed AND state IN ('pre', 'in') AND l IS NOT NULL GROUP BY ALL) GROUP BY ALL""")
 def scoreboard_upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scheduled and running matches by event and round."""
-    return sb.upcoming(boards(spark, sf_dir), "mens").groupBy("espn_id", "round").agg(F.count("*").alias("n"), F.min("a").alias("first"))
+    return sb.upcoming(boards(spark, sf_dir), "mens").groupBy("feed_id", "round").agg(F.count("*").alias("n"), F.min("a").alias("first"))
 
 
-@query(_BOARD + """, s AS (SELECT espn_id, w AS p, FALSE AS lost FROM coded UNION ALL SELECT espn_id, l, completed FROM coded WHERE l IS NOT NULL)
-SELECT espn_id, array_to_string(list_sort(list_distinct(list(p))), ',') AS field,
-  coalesce(array_to_string(list_sort(list_distinct(list(p) FILTER (WHERE lost))), ','), '') AS eliminated FROM s GROUP BY espn_id
+@query(_BOARD + """, s AS (SELECT feed_id, w AS p, FALSE AS lost FROM coded UNION ALL SELECT feed_id, l, completed FROM coded WHERE l IS NOT NULL)
+SELECT feed_id, array_to_string(list_sort(list_distinct(list(p))), ',') AS field,
+  coalesce(array_to_string(list_sort(list_distinct(list(p) FILTER (WHERE lost))), ','), '') AS eliminated FROM s GROUP BY feed_id
   HAVING count(DISTINCT p) >= 8""")
 def scoreboard_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sb.fields(boards(spark, sf_dir), "mens").select("espn_id", F.array_join("field", ",").alias("field"), F.array_join("eliminated", ",").alias("eliminated"))
+    return sb.fields(boards(spark, sf_dir), "mens").select("feed_id", F.array_join("field", ",").alias("field"), F.array_join("eliminated", ",").alias("eliminated"))
 
 
-@query(MATCHES + """SELECT event || ' ' || event_id AS event, event_id AS espn_id, CAST(min(date) AS VARCHAR) AS start, CAST(max(date) AS VARCHAR) AS finish FROM matches
+@query(MATCHES + """SELECT event || ' ' || event_id AS event, event_id AS feed_id, CAST(min(date) AS VARCHAR) AS start, CAST(max(date) AS VARCHAR) AS finish FROM matches
   GROUP BY event, event_id""")
 def scoreboard_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and dates of all events, whatever their groupings."""
@@ -122,11 +122,11 @@ def upcoming_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("match_id", "player_a", "player_b", F.round(chance, 6).alias("p"))
 
 
-_DRAWS = MATCHES + """, cur AS (SELECT event_id AS key, CASE WHEN match_id % 2 = 0 THEN event_id END AS espn_id, 'official' AS source, match_id FROM matches
+_DRAWS = MATCHES + """, cur AS (SELECT event_id AS key, CASE WHEN match_id % 2 = 0 THEN event_id END AS feed_id, 'official' AS source, match_id FROM matches
   WHERE round_order = 7 AND year < 1996),
-old AS (SELECT event AS key, CASE WHEN match_id % 3 = 0 THEN event_id END AS espn_id, 'wiki' AS source, match_id FROM matches
+old AS (SELECT event AS key, CASE WHEN match_id % 3 = 0 THEN event_id END AS feed_id, 'wiki' AS source, match_id FROM matches
   WHERE round_order = 7 AND year = 1996),
-allr AS (SELECT coalesce(espn_id, key) AS key, source, match_id FROM (SELECT * FROM cur UNION ALL SELECT * FROM old))
+allr AS (SELECT coalesce(feed_id, key) AS key, source, match_id FROM (SELECT * FROM cur UNION ALL SELECT * FROM old))
 """
 
 
@@ -134,7 +134,7 @@ allr AS (SELECT coalesce(espn_id, key) AS key, source, match_id FROM (SELECT * F
 def draws_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of the current and the old cache under their id where they have one, else under their old key; later ones hold."""
     final, k = matches(spark, sf_dir).filter("round_order = 7"), F.col("match_id")
-    now = final.filter("year < 1996").select(F.col("event_id").alias("key"), F.when(k % 2 == 0, F.col("event_id")).alias("espn_id"), F.lit("official").alias("source"), "match_id")
-    old = final.filter("year = 1996").select(F.col("event").alias("key"), F.when(k % 3 == 0, F.col("event_id")).alias("espn_id"), F.lit("wiki").alias("source"), "match_id")
-    rows = now.unionByName(old).select(F.coalesce("espn_id", "key").alias("key"), "source", "match_id")
+    now = final.filter("year < 1996").select(F.col("event_id").alias("key"), F.when(k % 2 == 0, F.col("event_id")).alias("feed_id"), F.lit("official").alias("source"), "match_id")
+    old = final.filter("year = 1996").select(F.col("event").alias("key"), F.when(k % 3 == 0, F.col("event_id")).alias("feed_id"), F.lit("wiki").alias("source"), "match_id")
+    rows = now.unionByName(old).select(F.coalesce("feed_id", "key").alias("key"), "source", "match_id")
     return rows.groupBy("key").agg(F.max_by("source", "match_id").alias("source"), F.max("match_id").alias("match_id"))

@@ -102,12 +102,12 @@ def odds_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(MATCHES + """SELECT CAST(match_id AS VARCHAR) AS ticker, CASE WHEN match_id % 4 = 0 THEN '' ELSE surface END AS status, CASE
-  WHEN match_id % 5 > 0 THEN match_id % 100 / 100.0 END AS p_model, CAST(NULL AS DOUBLE) AS p_kalshi FROM matches""")
+  WHEN match_id % 5 > 0 THEN match_id % 100 / 100.0 END AS p_model, CAST(NULL AS DOUBLE) AS p_quote FROM matches""")
 def ledger_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger of text columns with casts that give null for what is no number, and a missing one, which is empty."""
     k = F.col("match_id")
-    rows = matches(spark, sf_dir).select(k.cast("string").alias("ticker"), F.when(k % 4 > 0, F.col("surface")).alias("status"), F.when(k % 5 > 0, (k % 100 / 100.0).cast("string")).otherwise("n/a").alias("p_model"), F.lit("").alias("p_kalshi"))
-    path, columns = scratch(spark), ["ticker", "status", "p_model", "p_kalshi"]
+    rows = matches(spark, sf_dir).select(k.cast("string").alias("ticker"), F.when(k % 4 > 0, F.col("surface")).alias("status"), F.when(k % 5 > 0, (k % 100 / 100.0).cast("string")).otherwise("n/a").alias("p_model"), F.lit("").alias("p_quote"))
+    path, columns = scratch(spark), ["ticker", "status", "p_model", "p_quote"]
     rows.write.option("header", True).csv(path)
     both = t.read_ledger(spark, path, columns[2:], columns).unionByName(t.read_ledger(spark, path + "-missing", columns[2:], columns))
     return both

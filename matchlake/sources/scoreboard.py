@@ -23,11 +23,11 @@ def _player(competitor: Column) -> Column:
 
 
 def events(boards: DataFrame, payload: str = "payload") -> DataFrame:
-    """event (short name first), espn_id, venue, start, finish and groupings of each JSON event."""
+    """event (short name first), feed_id, venue, start, finish and groupings of each JSON event."""
     e = boards.select(F.from_json(payload, SCHEMA).alias("e")).select("e.*")
     name = F.coalesce("shortName", "name")
     venue = F.coalesce("venue.displayName", "venue.fullName", name)
-    return e.select(name.alias("event"), F.col("id").alias("espn_id"), venue.alias("venue"), F.substring("date", 1, 10).alias("start"), F.substring(F.coalesce("endDate", "date"), 1, 10).alias("finish"), "groupings")
+    return e.select(name.alias("event"), F.col("id").alias("feed_id"), venue.alias("venue"), F.substring("date", 1, 10).alias("start"), F.substring(F.coalesce("endDate", "date"), 1, 10).alias("finish"), "groupings")
 
 
 def competitions(boards: DataFrame, gender: str) -> DataFrame:
@@ -37,7 +37,7 @@ def competitions(boards: DataFrame, gender: str) -> DataFrame:
     count = lambda r: F.size(F.filter("g.competitions", lambda c: F.coalesce(round_id(c), F.lit(0)) == r))
     each = groups.withColumn("draw", lv.bracket_size([count(r) for r in range(1, 5)])).withColumn("c", F.explode("g.competitions"))
     code = lv.round_code(round_id(F.col("c")), F.col("c.round.displayName"), F.col("draw"))
-    return each.select("event", "espn_id", "venue", F.substring("c.date", 1, 10).alias("date"), code.alias("round"), F.coalesce("c.status.type.completed", F.lit(False)).alias("completed"), F.col("c.status.type.state").alias("state"), F.col("c.competitors").alias("sides")).filter(F.col("round").isNotNull())
+    return each.select("event", "feed_id", "venue", F.substring("c.date", 1, 10).alias("date"), code.alias("round"), F.coalesce("c.status.type.completed", F.lit(False)).alias("completed"), F.col("c.status.type.state").alias("state"), F.col("c.competitors").alias("sides")).filter(F.col("round").isNotNull())
 
 
 def results(boards: DataFrame, gender: str) -> DataFrame:
@@ -46,7 +46,7 @@ def results(boards: DataFrame, gender: str) -> DataFrame:
     rows = competitions(boards, gender).filter("completed").select("*", side(True).alias("w"), side(False).alias("l"))
     games = lambda x: F.round(x["value"]).cast("int").cast("string")
     score = F.array_join(F.zip_with(F.col("w.linescores"), F.col("l.linescores"), lambda a, b: F.concat_ws("-", games(a), games(b))), " ")
-    named = rows.select("event", "espn_id", "date", "round", _player(F.col("w")).alias("winner"), _player(F.col("l")).alias("loser"), score.alias("score"))
+    named = rows.select("event", "feed_id", "date", "round", _player(F.col("w")).alias("winner"), _player(F.col("l")).alias("loser"), score.alias("score"))
     return named.filter("winner is not null and loser is not null").transform(lambda d: keep_best(d, ["event", "winner", "loser", "score"], [F.col("date"), F.col("round")]))
 
 
@@ -54,22 +54,22 @@ def upcoming(boards: DataFrame, gender: str) -> DataFrame:
     """Scheduled and running matches whose two players are known, each (event, a, b) once, as it came first."""
     names = F.array_compact(F.transform("sides", _player))
     rows = competitions(boards, gender).filter("not completed and state in ('pre', 'in')").withColumn("names", names).filter(F.size("names") > 1)
-    pairs = rows.select("event", "espn_id", "date", "round", F.col("names")[0].alias("a"), F.col("names")[1].alias("b"))
+    pairs = rows.select("event", "feed_id", "date", "round", F.col("names")[0].alias("a"), F.col("names")[1].alias("b"))
     return keep_best(pairs, ["event", "a", "b"], [F.col("date"), F.col("round")])
 
 
 def fields(boards: DataFrame, gender: str, least: int = 8) -> DataFrame:
-    """event, espn_id, field and eliminated of events with so many known players, from matches in any state."""
+    """event, feed_id, field and eliminated of events with so many known players, from matches in any state."""
     rows = competitions(boards, gender).withColumn("c", F.explode("sides"))
     lost = F.when(F.col("completed") & (F.col("c.winner") == F.lit(False)), _player(F.col("c")))
-    sets = rows.groupBy("event", "espn_id").agg(F.array_sort(F.collect_set(_player(F.col("c")))).alias("field"), F.array_sort(F.collect_set(lost)).alias("eliminated"))
+    sets = rows.groupBy("event", "feed_id").agg(F.array_sort(F.collect_set(_player(F.col("c")))).alias("field"), F.array_sort(F.collect_set(lost)).alias("eliminated"))
     return sets.filter(F.size("field") >= least)
 
 
 def meta(boards: DataFrame) -> DataFrame:
-    """event, espn_id, start and finish, one row a name (the smallest id)."""
+    """event, feed_id, start and finish, one row a name (the smallest id)."""
     named = events(boards).filter("event <> ''")
-    return named.groupBy("event").agg(F.min(F.struct("espn_id", "start", "finish")).alias("m")).select("event", "m.*")
+    return named.groupBy("event").agg(F.min(F.struct("feed_id", "start", "finish")).alias("m")).select("event", "m.*")
 
 
 def distinct_events(windows: DataFrame, order: str) -> DataFrame:
