@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import bpe, fingerprints, lm_scoring, media, minhash, packing, quality, sharding, substring_dedup, toxicity
+from matchlake.llm import bpe, fill_in_middle, fingerprints, lm_scoring, media, minhash, packing, quality, resampling, sharding, substring_dedup, toxicity
 from matchlake.llm.blocks import narrow_batches
 
 
@@ -68,5 +68,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_lm_scoring, op3_substring_dedup, op4_quality, op5_minhash, op6_sharding, op7_media, op8_packing, op9_bpe, op10_toxicity)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.form_digests(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_lm_scoring, op3_substring_dedup, op4_quality, op5_minhash, op6_sharding, op7_media, op8_packing, op9_bpe, op10_toxicity, op11_resampling, op12_fill_in_middle)}
 ORACLE_SQL: dict[str, str] = {}

@@ -20,6 +20,7 @@ def folders(spark, tmp_path_factory):
         out[name] = str(tmp_path_factory.mktemp(name))
         spark.createDataFrame(rows, COLUMNS).write.parquet(f"{out[name]}/documents.parquet")
         spark.createDataFrame(labels, LABELS).write.parquet(f"{out[name]}/labels.parquet")
+        spark.createDataFrame(labels and [(None, None)], "item_id bigint, text string").write.parquet(f"{out[name]}/benchmark.parquet")
     return out
 
 
