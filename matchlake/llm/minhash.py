@@ -194,7 +194,7 @@ def joining_links(mixed: DataFrame, texts: DataFrame, shingle: int, percent: int
     return dealt.join(own, "a").groupBy("key", "low", "high").applyInArrow(across, "a binary, b binary").distinct()
 
 
-def _same_text() -> F.Column:
+def same_text() -> F.Column:
     """128 bits that tell texts apart."""
     return F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.unhex(F.lit("")))))
 
@@ -202,7 +202,7 @@ def _same_text() -> F.Column:
 def members(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """doc_id, row (128 bits of the text), n_shingles, root (null for empty sets) and component_id of every row."""
     narrow_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _same_text().alias("row"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), same_text().alias("row"), F.col("text").cast("binary").alias("text"))
     each = staged(signed(rows, shingle))
     some = each.filter(F.col("n_shingles") > 0)
     classes = staged(some.groupBy("class").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")))
@@ -240,7 +240,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     first = found.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     first = first.select(F.coalesce("first.doc_id", F.lit(0)).alias("id"), F.col("first.doc_id").isNull().alias("no_id"), "first.row")
     id, none = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").cast("long").isNull()
-    rows = docs.select(id.alias("id"), none.alias("no_id"), _same_text().alias("row"), F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("words"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("own"))
+    rows = docs.select(id.alias("id"), none.alias("no_id"), same_text().alias("row"), F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("words"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("own"))
     some = rows.filter("words").join(first, ["id", "no_id", "row"], "left_semi").dropDuplicates(["id", "no_id", "row"])
     kept = some.select("own").unionByName(rows.filter("not words").select("own"))
     return kept.select(*[F.col(f"own.c{i}").alias(c) for i, c in enumerate(docs.columns)])
