@@ -57,70 +57,118 @@ def chance(difference: float) -> float:
     return 1 / (1 + 10 ** (-difference / SCALE))
 
 
-def rating_walk(s: Rating) -> Callable[[], Callable[..., tuple]]:
+class Rated:
+    """What the rating walk knows of a player: ratings, matches and last day, and the ratings of the last months."""
+
+    __slots__ = ("elo", "n", "day", "local", "on", "days", "values")
+
+    def __init__(self) -> None:
+        self.elo, self.n, self.day = START, 0, None
+        self.local: dict[str, float] = {}
+        self.on: dict[str, int] = {}
+        self.days: list[int] = []
+        self.values: list[float] = []
+
+    def packed(self) -> list[float]:
+        """The state as numbers: elo, matches, day, then rating and matches of each surface, then days and ratings of the
+        last months (RATED_AT has the places; what isn't there is no number)."""
+        none = math.nan
+        surfaces = [x for k in SURFACES for x in (self.local.get(k, none), float(self.on.get(k, 0)))]
+        return [self.elo, float(self.n), none if self.day is None else float(self.day), *surfaces, *map(float, self.days), *self.values]
+
+    @classmethod
+    def unpacked(cls, numbers: list[float]) -> Rated:
+        own, rest = cls(), numbers[3 + 2 * len(SURFACES) :]
+        own.elo, own.n, own.day = numbers[0], int(numbers[1]), None if math.isnan(numbers[2]) else int(numbers[2])
+        for i, k in enumerate(SURFACES):
+            rating, n = numbers[3 + 2 * i], int(numbers[4 + 2 * i])
+            own.local |= {} if math.isnan(rating) else {k: rating}
+            own.on |= {k: n} if n else {}
+        own.days, own.values = [int(x) for x in rest[: len(rest) // 2]], list(rest[len(rest) // 2 :])
+        return own
+
+
+class RatingWalk:
     """Overall and surface ratings: what they are before each match, then the update of both sides.
 
     Recorded chances know no venue; only the update's expectation has the home bonus. Ratings after a match that is not
-    counted are those before it.
+    counted are those before it. With several settings, tours take turns in them. ``known`` gives the state of a player
+    that hasn't been met yet, so that a walk goes on from states that were saved.
     """
 
-    def start() -> Callable[..., tuple]:
-        overall: dict[int, float] = {}
-        surfaces: dict[tuple[int, str], float] = {}
-        played: dict[int, int] = {}
-        on: dict[tuple[int, str], int] = {}
-        last: dict[int, int] = {}
-        form: dict[int, tuple[list[int], list[float]]] = {}
-
-        def change(player: int, now: float, day: int) -> float:
-            days, values = form.get(player, ((), ()))
-            at = bisect_right(days, day - s.form_days)
-            return now - values[at - 1] if at else 0.0
-
-        def boost(player: int, day: int) -> float:
-            gap = day - last.get(player, day)
-            return 1 + s.layoff_boost * min(gap / 365, 2.0) if s.layoff_days > 0 and gap > s.layoff_days else 1.0
-
-        def step(match_id, tour, winner, loser, date, day, surface, tier_k, w_games, l_games, completed, walkover, best_of, w_home, l_home) -> tuple:
-            we, le = overall.get(winner, START), overall.get(loser, START)
-            ws, ls = surfaces.get((winner, surface), we), surfaces.get((loser, surface), le)
-            wn, ln = played.get(winner, 0), played.get(loser, 0)
-            wsn, lsn = on.get((winner, surface), 0), on.get((loser, surface), 0)
-            wide = [s.blend * n / (n + s.blend_half) if s.blend_half > 0 else s.blend for n in (wsn, lsn)]
-            wb, lb = (1 - wide[0]) * we + wide[0] * ws, (1 - wide[1]) * le + wide[1] * ls
-            stretch = s.best_of_5 if best_of == 5 else 1.0
-            p, q = chance((we - le) * stretch), chance((ws - ls) * stretch)
-            out = (wb, lb, p, q, change(winner, we, day), change(loser, le, day))
-            head = (match_id, tour, winner, loser, date, surface, we, le, ws, ls, chance((wb - lb) * stretch))
-            if walkover and s.skip_walkovers:
-                return *head, we, le, wn, ln, *out, False
-            weight = tier_k * (1.0 if completed or walkover else s.retired)
-            if completed:
-                weight *= min(1 + s.margin * math.log1p(abs(w_games - l_games)), s.cap)
-            if w_home or l_home:
-                p, q = chance((we + s.home * w_home - le - s.home * l_home) * stretch), chance((ws + s.home * w_home - ls - s.home * l_home) * stretch)
-            for player, sign, rating, local, n, sn in ((winner, 1, we, ws, wn, wsn), (loser, -1, le, ls, ln, lsn)):
-                more = weight * boost(player, day)
-                overall[player] = rating + sign * s.k / (n + s.offset) ** s.shape * more * (1 - p)
-                step_on = sign * s.surface_k / (sn + s.surface_offset) ** s.surface_shape * more * (1 - q)
-                surfaces[player, surface] = local + step_on
-                for other in SURFACES if s.transfer > 0 else ():
-                    if other != surface:
-                        surfaces[player, other] = surfaces.get((player, other), rating) + s.transfer * step_on
-                played[player], on[player, surface] = n + 1, sn + 1
-            for player in (winner, loser):
-                last[player] = day
-                days, values = form.setdefault(player, ([], []))
-                days.append(day)
-                values.append(overall[player])
-                if days[0] < day - s.keep_days:
-                    old = bisect_right(days, day - s.keep_days - 1)
-                    del days[:old], values[:old]
-            return *head, overall[winner], overall[loser], wn + 1, ln + 1, *out, True
-
-        return step
-
-    return start
+    def __init__(self, *settings: Rating, known: Callable[[int], list[float] | None] = lambda _: None):
+        self.settings, self.known = settings, known
+        self.players: dict[int, Rated] = {}
+
+    def of(self, player: int) -> Rated:
+        own = self.players.get(player)
+        if own is None:
+            saved = self.known(player)
+            own = self.players[player] = Rated() if saved is None else Rated.unpacked(saved)
+        return own
+
+    def step(self, match_id, tour, winner, loser, date, day, surface, tier_k, w_games, l_games, completed, walkover, best_of, w_home, l_home) -> tuple:
+        s = self.settings[tour % len(self.settings)]
+        w, l = self.of(winner), self.of(loser)
+        we, le = w.elo, l.elo
+        ws, ls = w.local.get(surface, we), l.local.get(surface, le)
+        wn, ln = w.n, l.n
+        wsn, lsn = w.on.get(surface, 0), l.on.get(surface, 0)
+        wide = [s.blend * n / (n + s.blend_half) if s.blend_half > 0 else s.blend for n in (wsn, lsn)]
+        wb, lb = (1 - wide[0]) * we + wide[0] * ws, (1 - wide[1]) * le + wide[1] * ls
+        stretch = s.best_of_5 if best_of == 5 else 1.0
+        p, q = chance((we - le) * stretch), chance((ws - ls) * stretch)
+        out = (wb, lb, p, q, self.change(s, w, day), self.change(s, l, day))
+        head = (match_id, tour, winner, loser, date, surface, we, le, ws, ls, chance((wb - lb) * stretch))
+        if walkover and s.skip_walkovers:
+            return *head, we, le, wn, ln, *out, False
+        weight = tier_k * (1.0 if completed or walkover else s.retired)
+        if completed:
+            weight *= min(1 + s.margin * math.log1p(abs(w_games - l_games)), s.cap)
+        if w_home or l_home:
+            p, q = chance((we + s.home * w_home - le - s.home * l_home) * stretch), chance((ws + s.home * w_home - ls - s.home * l_home) * stretch)
+        for own, sign, rating, local, n, sn in ((w, 1, we, ws, wn, wsn), (l, -1, le, ls, ln, lsn)):
+            gap = 0 if own.day is None else day - own.day
+            more = weight * (1 + s.layoff_boost * min(gap / 365, 2.0) if s.layoff_days > 0 and gap > s.layoff_days else 1.0)
+            own.elo = rating + sign * s.k / (n + s.offset) ** s.shape * more * (1 - p)
+            step_on = sign * s.surface_k / (sn + s.surface_offset) ** s.surface_shape * more * (1 - q)
+            own.local[surface] = local + step_on
+            for other in SURFACES if s.transfer > 0 else ():
+                if other != surface:
+                    own.local[other] = own.local.get(other, rating) + s.transfer * step_on
+            own.n, own.on[surface], own.day = n + 1, sn + 1, day
+            own.days.append(day)
+            own.values.append(own.elo)
+            if own.days[0] < day - s.keep_days:
+                old = bisect_right(own.days, day - s.keep_days - 1)
+                del own.days[:old], own.values[:old]
+        return *head, w.elo, l.elo, wn + 1, ln + 1, *out, True
+
+    @staticmethod
+    def change(s: Rating, own: Rated, day: int) -> float:
+        """The rating now less the last one ``form_days`` ago or before."""
+        at = bisect_right(own.days, day - s.form_days)
+        return own.elo - own.values[at - 1] if at else 0.0
+
+    def recorded(self, match_id, tour, winner, loser, date, day, surface, tier_k, w_games, l_games, completed, walkover, best_of, w_home, l_home) -> tuple:
+        """A step, with both states after it."""
+        row = self.step(match_id, tour, winner, loser, date, day, surface, tier_k, w_games, l_games, completed, walkover, best_of, w_home, l_home)
+        return *row, self.players[winner].packed(), self.players[loser].packed()
+
+
+#: Places in a packed state, and where its months begin (counted from 0).
+RATED_AT = {"elo": 0, "n": 1, "day": 2} | {f"{x}_{k}": 3 + 2 * i + j for i, k in enumerate(SURFACES) for j, x in enumerate(("elo", "n"))}
+RATED_HEAD = 3 + 2 * len(SURFACES)
+STATES = "w_state array<double>, l_state array<double>"
+
+
+def rating_walk(*settings: Rating) -> Callable[[], Callable[..., tuple]]:
+    return lambda: RatingWalk(*settings).step
+
+
+def rating_history(*settings: Rating) -> Callable[[], Callable[..., tuple]]:
+    """The walk with both states after each match (columns ELO, then STATES)."""
+    return lambda: RatingWalk(*settings).recorded
 
 
 @dataclass(frozen=True)
@@ -141,63 +189,78 @@ CLIP = (0.05, 0.95)
 SERVE = "match_id bigint, tour int, winner bigint, loser bigint, date date, best_of int, w_serve double, l_serve double, w_return double, l_return double, w_points double, l_points double, pa double, pb double"
 
 
-def serve_walk(s: Serve, average: float, base: dict[str, float]) -> Callable[[], Callable[..., tuple]]:
+class ServeWalk:
     """Decayed serve and return skills by surface, each adjusted for the opponent's skill read before the update, and what
     venues add to everybody's serve.
 
-    average and base: serve points won in the league, and by surface.
+    average and base: serve points won in the league, and by surface. With several settings, tours take turns in them.
     """
 
-    def start() -> Callable[..., tuple]:
-        # of a player: the day, then won and served on serve, won and received on return, over all and by surface
-        state: dict[int, list] = {}
-        venues: dict[tuple, list[float]] = {}
-
-        def at(player: int, day: int) -> dict:
-            then, totals = state.setdefault(player, [day, {}])
-            if day > then:
-                factor = 0.5 ** ((day - then) / s.half_life)
-                for t in totals.values():
-                    t[:] = [x * factor for x in t]
-            state[player][0] = day
-            return totals
-
-        def skills(totals: dict, surface: str) -> tuple[float, float, float, float]:
-            """Serve and return over all, then on the surface."""
-            sw, sp, rw, rp = totals.get(None, (0.0, 0.0, 0.0, 0.0))
-            serve = (sw + average * s.shrink) / (sp + s.shrink) - average
-            back = (rw + (1 - average) * s.shrink) / (rp + s.shrink) - (1 - average)
-            if surface not in base:
-                return serve, back, serve, back
-            sw, sp, rw, rp = totals.get(surface, (0.0, 0.0, 0.0, 0.0))
-            level = base[surface]
-            local = (sw + (level + serve) * s.surface_shrink) / (sp + s.surface_shrink) - level
-            local_back = (rw + (1 - level + back) * s.surface_shrink) / (rp + s.surface_shrink) - (1 - level)
-            return serve, back, local, local_back
-
-        def step(match_id, tour, winner, loser, date, day, surface, event, best_of, w_svpt, w_won, l_svpt, l_won) -> tuple:
-            mine, other = at(winner, day), at(loser, day)
-            gsw, grw, sw, rw = skills(mine, surface)
-            gsl, grl, sl, rl = skills(other, surface)
-            level = base.get(surface, average)
-            won, n = venues.get((event, surface), (0.0, 0.0)) if s.venue_shrink > 0 else (0.0, 0.0)
-            shift = won / (n + s.venue_shrink) if s.venue_shrink > 0 else 0.0
-            pa, pb = (min(max(level + shift + x, CLIP[0]), CLIP[1]) for x in (sw - rl, sl - rw))
-            out = (match_id, tour, winner, loser, date, best_of, sw, sl, rw, rl, mine.get(None, (0, 0.0))[1], other.get(None, (0, 0.0))[1], pa, pb)
-            if w_svpt and l_svpt and w_svpt > 0 and l_svpt > 0:
-                for totals, own, ours, theirs, lost, back, serve in ((mine, w_svpt, w_won, l_svpt, l_won, grl, gsl), (other, l_svpt, l_won, w_svpt, w_won, grw, gsw)):
-                    more = ((ours / own + back - shift) * own, own, ((theirs - lost) / theirs + serve + shift) * theirs, theirs)
-                    for key in (None, surface):
-                        totals[key] = [x + y for x, y in zip(totals.get(key, (0.0, 0.0, 0.0, 0.0)), more, strict=True)]
-                if s.venue_shrink > 0:
-                    pool = w_svpt + l_svpt
-                    expected = level + ((sw - rl) * w_svpt + (sl - rw) * l_svpt) / pool
-                    venues[event, surface] = [won + (w_won + l_won) - expected * pool, n + pool]
-            return out
-
-        return step
-
-    return start
+    #: Of a player: the day, then won and served on serve, won and received on return, over all and by surface.
+    KEYS = (None, *SURFACES)
+
+    def __init__(self, *settings: Serve, average: float, base: dict[str, float], known: Callable[[int], list[float] | None] = lambda _: None, venue: Callable[[str, str], list[float] | None] = lambda *_: None):
+        self.settings, self.average, self.base, self.known, self.venue = settings, average, base, known, venue
+        self.players: dict[int, list] = {}
+        self.venues: dict[tuple, list[float]] = {}
+
+    def packed(self, player: int) -> list[float]:
+        day, totals = self.players[player]
+        return [float(day), *[x for k in self.KEYS for x in totals.get(k, (0.0,) * 4)]]
+
+    def of(self, player: int, day: int, half_life: float) -> dict:
+        own = self.players.get(player)
+        if own is None:
+            saved = self.known(player)
+            own = [day, {}] if saved is None else [int(saved[0]), {k: list(saved[4 * i + 1 : 4 * i + 5]) for i, k in enumerate(self.KEYS)}]
+            self.players[player] = own
+        if day > own[0]:
+            factor = 0.5 ** ((day - own[0]) / half_life)
+            for t in own[1].values():
+                t[:] = [x * factor for x in t]
+        own[0] = day
+        return own[1]
+
+    def skills(self, s: Serve, totals: dict, surface: str) -> tuple[float, float, float, float]:
+        """Serve and return over all, then on the surface."""
+        average, none = self.average, (0.0,) * 4
+        sw, sp, rw, rp = totals.get(None, none)
+        serve = (sw + average * s.shrink) / (sp + s.shrink) - average
+        back = (rw + (1 - average) * s.shrink) / (rp + s.shrink) - (1 - average)
+        if surface not in self.base:
+            return serve, back, serve, back
+        sw, sp, rw, rp = totals.get(surface, none)
+        level = self.base[surface]
+        local = (sw + (level + serve) * s.surface_shrink) / (sp + s.surface_shrink) - level
+        local_back = (rw + (1 - level + back) * s.surface_shrink) / (rp + s.surface_shrink) - (1 - level)
+        return serve, back, local, local_back
+
+    def step(self, match_id, tour, winner, loser, date, day, surface, event, best_of, w_svpt, w_won, l_svpt, l_won) -> tuple:
+        s = self.settings[tour % len(self.settings)]
+        mine, other = self.of(winner, day, s.half_life), self.of(loser, day, s.half_life)
+        gsw, grw, sw, rw = self.skills(s, mine, surface)
+        gsl, grl, sl, rl = self.skills(s, other, surface)
+        level, won, n, shift = self.base.get(surface, self.average), 0.0, 0.0, 0.0
+        if s.venue_shrink > 0:
+            won, n = self.venues.get((event, surface)) or self.venue(event, surface) or (0.0, 0.0)
+            shift = won / (n + s.venue_shrink)
+        pa, pb = (min(max(level + shift + x, CLIP[0]), CLIP[1]) for x in (sw - rl, sl - rw))
+        out = (match_id, tour, winner, loser, date, best_of, sw, sl, rw, rl, mine.get(None, (0, 0.0))[1], other.get(None, (0, 0.0))[1], pa, pb)
+        if w_svpt and l_svpt and w_svpt > 0 and l_svpt > 0:
+            for totals, own, ours, theirs, lost, back, serve in ((mine, w_svpt, w_won, l_svpt, l_won, grl, gsl), (other, l_svpt, l_won, w_svpt, w_won, grw, gsw)):
+                more = ((ours / own + back - shift) * own, own, ((theirs - lost) / theirs + serve + shift) * theirs, theirs)
+                for key in (None, surface):
+                    totals[key] = [x + y for x, y in zip(totals.get(key, (0.0, 0.0, 0.0, 0.0)), more, strict=True)]
+            if s.venue_shrink > 0:
+                pool = w_svpt + l_svpt
+                expected = level + ((sw - rl) * w_svpt + (sl - rw) * l_svpt) / pool
+                self.venues[event, surface] = [won + (w_won + l_won) - expected * pool, n + pool]
+        return out
+
+    def recorded(self, match_id, tour, winner, loser, date, day, surface, event, best_of, w_svpt, w_won, l_svpt, l_won) -> tuple:
+        """A step, with both states after it."""
+        row = self.step(match_id, tour, winner, loser, date, day, surface, event, best_of, w_svpt, w_won, l_svpt, l_won)
+        return *row, self.packed(winner), self.packed(loser)
 
 
 def game(p: np.ndarray) -> np.ndarray:

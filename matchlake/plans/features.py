@@ -9,7 +9,7 @@ from matchlake.functions import scalars as s
 from matchlake.operators import context as c
 from matchlake.operators.charting import STYLES, profiles
 from matchlake.plans.charting import tables as charted
-from matchlake.plans.ratings import elo, serve
+from matchlake.plans.ratings import TUNED, TUNED_SERVE, elo, serve
 from matchlake.plans.registry import query
 from matchlake.sources.adapters import MATCHES, matches, player_long, players
 from matchlake.sources.files import staged
@@ -43,11 +43,12 @@ def static_features() -> dict[str, Column]:
     """Features of the two sides' own attributes and of the match."""
     diff = lambda n: F.coalesce((F.col("w_" + n) - F.col("l_" + n)).cast("double"), F.lit(0.0))
     left = lambda x: (F.col(x + "_hand") == "L").cast("int")
-    host = F.split(F.col("event_id"), "-")[0].cast("int")
+    host = F.split(F.col("event_id"), "-")[0].try_cast("int")
+    at_home = lambda x: F.coalesce((F.col(x + "_ioc") == host).cast("int"), F.lit(0))
     return {
         "rankpts_diff": F.coalesce(F.log((F.col("w_points") + 1.0) / (F.col("l_points") + 1.0)), F.lit(0.0)),
         "age_diff": diff("age"), "ht_diff": diff("ht"), "hand_matchup": (left("w") - left("l")).cast("double"),
-        "home_flag_diff": ((F.col("w_ioc") == host).cast("int") - (F.col("l_ioc") == host).cast("int")).cast("double"),
+        "home_flag_diff": (at_home("w") - at_home("l")).cast("double"),
         "peak_age_dev_diff": F.coalesce(F.abs(F.col("w_age") - 26.5) - F.abs(F.col("l_age") - 26.5), F.lit(0.0)),
         "surf_hard": (F.col("surface") == "Hard").cast("double"), "surf_clay": (F.col("surface") == "Clay").cast("double"), "surf_grass": (F.col("surface") == "Grass").cast("double"),
     }
@@ -81,20 +82,31 @@ def features_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contexts(spark, sf_dir).select("match_id", "rest_diff", F.round("log_days_since_diff", 6).alias("log_days_since_diff"), "layoff_flag_diff", "h2h_diff", F.round("log1p_h2h_total", 6).alias("log1p_h2h_total"), F.round("exp_diff", 6).alias("exp_diff"), F.round("log_min_matches", 6).alias("log_min_matches"))
 
 
-def contexts(spark: SparkSession, sf_dir: str, m: DataFrame | None = None) -> DataFrame:
-    """Differences of the sides' contexts: both rows of a match meet in one aggregation, not in a self-join."""
+#: What a context knows of a side before a match, and the differences made of it.
+CONTEXT = ("rest", "n", "load", "h2h", "h2h_surface", "win_rate")
+
+
+def context_sides(m: DataFrame) -> DataFrame:
+    """match_id and both sides' contexts: both rows of a match meet in one aggregation, not in a self-join."""
     w = c.timeline("player")
-    rows = player_long(matches(spark, sf_dir) if m is None else m)
-    rows = c.win_rate_bounded(rows, 10).withColumns({"rest": c.rest_days(), "n": F.count("*").over(w) - 1, "load": c.workload(14)})
+    rows = c.win_rate_bounded(player_long(m), 10).withColumns({"rest": c.rest_days(), "n": F.count("*").over(w) - 1, "load": c.workload(14)})
     rows = c.head_to_head(c.head_to_head(rows), "surface", name="h2h_surface")
-    side = F.struct("rest", "n", "load", "h2h", "h2h_surface", "win_rate")
-    both = rows.groupBy("match_id").agg(F.max(F.when(F.col("won") == 1, side)).alias("a"), F.max(F.when(F.col("won") == 0, side)).alias("b"))
-    flag = lambda x: (F.col(x + ".rest") > 120).cast("int")
-    diff = lambda x: F.col("a." + x) - F.col("b." + x)
-    return both.select(
-        "match_id", F.greatest(F.lit(-60), F.least(F.lit(60), diff("rest"))).cast("int").alias("rest_diff"), (F.log1p("a.rest") - F.log1p("b.rest")).alias("log_days_since_diff"), (flag("a") - flag("b")).alias("layoff_flag_diff"),
-        diff("h2h").alias("h2h_diff"), F.log1p(F.col("a.h2h") + F.col("b.h2h")).alias("log1p_h2h_total"), (F.log(F.col("a.n") + 1.0) - F.log(F.col("b.n") + 1.0)).alias("exp_diff"), F.log1p(F.least("a.n", "b.n")).alias("log_min_matches"),
-        diff("load").alias("fatigue_diff"), diff("win_rate").alias("winrate10_diff"), diff("h2h_surface").alias("h2h_surface_diff"))
+    both = rows.groupBy("match_id").agg(F.max(F.when(F.col("won") == 1, F.struct(*CONTEXT))).alias("a"), F.max(F.when(F.col("won") == 0, F.struct(*CONTEXT))).alias("b"))
+    return both.select("match_id", *[F.col(f"{x}.{k}").alias(f"{side}_{k}") for x, side in (("a", "w"), ("b", "l")) for k in CONTEXT])
+
+
+def context_features() -> dict[str, Column]:
+    w, l = (lambda k, x=x: F.col(f"{x}_{k}") for x in "wl")
+    diff = lambda k: w(k) - l(k)
+    return {
+        "rest_diff": F.greatest(F.lit(-60), F.least(F.lit(60), diff("rest"))).cast("int"), "log_days_since_diff": F.log1p(w("rest")) - F.log1p(l("rest")),
+        "layoff_flag_diff": (w("rest") > 120).cast("int") - (l("rest") > 120).cast("int"), "h2h_diff": diff("h2h"), "log1p_h2h_total": F.log1p(w("h2h") + l("h2h")),
+        "exp_diff": F.log(w("n") + 1.0) - F.log(l("n") + 1.0), "log_min_matches": F.log1p(F.least(w("n"), l("n"))), "fatigue_diff": diff("load"), "winrate10_diff": diff("win_rate"), "h2h_surface_diff": diff("h2h_surface"),
+    }
+
+
+def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_sides(matches(spark, sf_dir)).select("match_id", *[v.alias(k) for k, v in context_features().items()])
 
 
 def qualified(player: str) -> Column:
@@ -102,23 +114,44 @@ def qualified(player: str) -> Column:
     return ((F.col(player) + F.col("match_id")) % 11 < 2).cast("int")
 
 
-def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 42 features of every match, winner-oriented, with keys. The match table is made once and staged."""
-    m = staged(matches(spark, sf_dir))
+#: What both walks know of a side before a match.
+RATED, SERVED = ("elo", "selo", "belo", "form"), ("serve", "return", "served")
+
+
+def combined(rows: DataFrame, *keep: str) -> DataFrame:
+    """The 42 features of rows that have both sides' values (w_ and l_): of RATED, SERVED, CONTEXT, qualified, players'
+    attributes, known and STYLES, with the match's own columns, p_blend and p_point. Training and prediction share it."""
     d = lambda x: F.col(f"w_{x}") - F.col(f"l_{x}")
-    walk = elo(spark, sf_dir, m=m).select("match_id", "p_blend", d("elo").alias("elo_overall_diff"), d("selo").alias("elo_surface_diff"), d("belo").alias("elo_diff"), s.logit(F.col("p_blend")).alias("logit_p_blend"), d("form").alias("form90_diff"))
-    point = serve(spark, sf_dir, m=m).select("match_id", "p_point", s.logit(F.col("p_point")).alias("logit_p_point"), d("serve").alias("serve_skill_diff"), d("return").alias("return_skill_diff"), F.log1p(F.least("w_points", "l_points")).alias("log_min_srv_pts"))
-    style = staged(profiles(*charted(m)))
-    bios = with_bios(spark, sf_dir, m)
-    for side, who in (("ws_", "winner"), ("ls_", "loser")):
-        bios = bios.join(style.select(F.col("player").alias(who), F.lit(True).alias(side + "known"), *[F.col(x).alias(side + x) for x in STYLES]), who, "left")
-    known = F.coalesce(F.col("ws_known") & F.col("ls_known"), F.lit(False))
-    styles = [F.when(known, F.coalesce(F.col("ws_" + x) - F.col("ls_" + x), F.lit(0.0))).otherwise(0.0).alias(f"{x}_diff") for x in STYLES]
-    base = bios.select(
-        "match_id", "date", "year", "tour", "draw_level", "completed", "best_of", "tier_k", "round_order", (F.col("match_id") % 5 == 0).cast("int").alias("is_indoor"), known.cast("int").alias("has_style"),
-        (qualified("winner") - qualified("loser")).alias("entry_q_diff"), *[v.alias(k) for k, v in static_features().items()], *styles)
-    joined = base.join(walk, "match_id").join(point, "match_id").join(contexts(spark, sf_dir, m), "match_id")
-    return joined.select("match_id", "date", "year", "tour", "draw_level", "completed", "p_blend", "p_point", *[F.col(x).cast("double").alias(x) for x in (*SIGNED, *EVEN)])
+    known = F.coalesce(F.col("w_known") & F.col("l_known"), F.lit(False))
+    made = {
+        "elo_diff": d("belo"), "elo_overall_diff": d("elo"), "elo_surface_diff": d("selo"), "form90_diff": d("form"), "logit_p_blend": s.logit(F.col("p_blend")), "logit_p_point": s.logit(F.col("p_point")),
+        "serve_skill_diff": d("serve"), "return_skill_diff": d("return"), "log_min_srv_pts": F.log1p(F.least("w_served", "l_served")), "entry_q_diff": d("qualified"), "has_style": known,
+        "is_indoor": F.col("indoor"), "best_of": F.col("best_of"), "tier_k": F.col("tier_k"), "round_order": F.col("round_order"),
+    } | static_features() | context_features() | {f"{x}_diff": F.when(known, F.coalesce(d(x), F.lit(0.0))).otherwise(0.0) for x in STYLES}
+    return rows.select(*keep, *[made[x].cast("double").alias(x) for x in (*SIGNED, *EVEN)])
+
+
+def with_styles(df: DataFrame, style: DataFrame) -> DataFrame:
+    for side, who in (("w", "winner"), ("l", "loser")):
+        df = df.join(style.select(F.col("player").alias(who), F.lit(True).alias(f"{side}_known"), *[F.col(x).alias(f"{side}_{x}") for x in STYLES]), who, "left")
+    return df
+
+
+def indoor() -> Column:
+    return F.col("match_id") % 5 == 0
+
+
+def assembled(spark: SparkSession, sf_dir: str, m: DataFrame | None = None) -> DataFrame:
+    """All 42 features of every match, winner-oriented, with keys; both walks have the tours' tuned settings. The match table
+    is made once and staged."""
+    m = staged(matches(spark, sf_dir)) if m is None else m
+    both = lambda *names: [f"{x}_{n}" for n in names for x in "wl"]
+    walk = elo(spark, sf_dir, TUNED, m).select("match_id", "p_blend", *both(*RATED))
+    point = serve(spark, sf_dir, TUNED_SERVE, m).withColumnsRenamed({"w_points": "w_served", "l_points": "l_served"}).select("match_id", "p_point", *both(*SERVED))
+    rows = with_styles(with_bios(spark, sf_dir, m), staged(profiles(*charted(m))))
+    rows = rows.withColumns({"indoor": indoor(), "w_qualified": qualified("winner"), "l_qualified": qualified("loser")})
+    joined = rows.join(walk, "match_id").join(point, "match_id").join(context_sides(m), "match_id")
+    return combined(joined, "match_id", "date", "year", "tour", "draw_level", "completed", "p_blend", "p_point")
 
 
 @query()

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from matchlake.functions import scalars as s
@@ -61,16 +62,25 @@ _WALK = walk_sql(Rating())
 ALL_RULES = Rating(k=145, shape=0.21, surface_k=52, surface_shape=0.33, blend=0.63, margin=0.22, cap=2.0, transfer=0.27, blend_half=10, home=30, skip_walkovers=True, retired=0.72, layoff_days=60, layoff_boost=0.44, best_of_5=1.28)
 
 
-def elo(spark: SparkSession, sf_dir: str, rating: Rating | None = None, m: DataFrame | None = None) -> DataFrame:
-    """The rating walk over all matches, or over ``m``."""
-    rating, m = rating or Rating(), matches(spark, sf_dir) if m is None else m
-    if not rating.home:
-        m = m.withColumns({"w_home": F.lit(0), "l_home": F.lit(0)})
-    else:
-        host = F.split("event_id", "-")[0].cast("int")
-        for side, who in (("w", "winner"), ("l", "loser")):
-            m = m.join(players(spark, sf_dir).select(F.col("player").alias(who), F.col("ioc").alias("_ioc")), who, "left").withColumn(f"{side}_home", F.coalesce((F.col("_ioc") == host).cast("int"), F.lit(0))).drop("_ioc")
-    return ordered_fold(m, "tour", list(ORDER), r.rating_walk(rating), r.ELO)
+#: Settings of the two tours; tours take turns in them.
+TUNED, TUNED_SERVE = (r.ATP, r.WTA), (r.SERVE_ATP, r.SERVE_WTA)
+
+
+def with_homes(spark: SparkSession, sf_dir: str, m: DataFrame) -> DataFrame:
+    """Whether each side plays at home."""
+    host = F.split("event_id", "-")[0].cast("int")
+    for side, who in (("w", "winner"), ("l", "loser")):
+        m = m.join(players(spark, sf_dir).select(F.col("player").alias(who), F.col("ioc").alias("_ioc")), who, "left").withColumn(f"{side}_home", F.coalesce((F.col("_ioc") == host).cast("int"), F.lit(0))).drop("_ioc")
+    return m
+
+
+def elo(spark: SparkSession, sf_dir: str, rating: Rating | tuple[Rating, ...] | None = None, m: DataFrame | None = None, states: bool = False) -> DataFrame:
+    """The rating walk over all matches, or over ``m``; with ``states`` also what it knows of both sides after each."""
+    settings = rating if isinstance(rating, tuple) else (rating or Rating(),)
+    m = matches(spark, sf_dir) if m is None else m
+    m = with_homes(spark, sf_dir, m) if any(x.home for x in settings) else m.withColumns({"w_home": F.lit(0), "l_home": F.lit(0)})
+    fold = r.rating_history if states else r.rating_walk
+    return ordered_fold(m, "tour", list(ORDER), fold(*settings), f"{r.ELO}, {r.STATES}" if states else r.ELO)
 
 
 def after(walk: DataFrame) -> DataFrame:
@@ -146,20 +156,41 @@ def rating_walk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elo(spark, sf_dir, ALL_RULES).select("match_id", *[F.round(c, 6).alias(c) for c in columns], "counted")
 
 
-def serve(spark: SparkSession, sf_dir: str, settings: r.Serve | None = None, m: DataFrame | None = None) -> DataFrame:
-    """The serve walk, its league averages taken from the same matches, with the point model's chance ``p_point``."""
-    m = matches(spark, sf_dir) if m is None else m
+def league(m: DataFrame) -> tuple[float, dict[str, float]]:
+    """Serve points won in the league, and by surface."""
     served = m.filter("w_svpt is not null").groupBy("surface").agg(F.sum(F.col("w_won") + F.col("l_won")).alias("won"), F.sum(F.col("w_svpt") + F.col("l_svpt")).alias("n")).collect()  # a row a surface
     total = sum(x["n"] for x in served)
-    average = sum(x["won"] for x in served) / total if total else 0.62
-    rows = m.withColumns({c: F.col(c).cast("double") for c in ("w_svpt", "w_won", "l_svpt", "l_won")}).fillna(0.0, ["w_svpt", "w_won", "l_svpt", "l_won"])
-    walk = ordered_fold(rows, "tour", list(ORDER), r.serve_walk(settings or r.Serve(), average, {x["surface"]: x["won"] / x["n"] for x in served}), r.SERVE)
+    return (sum(x["won"] for x in served) / total if total else 0.62), {x["surface"]: x["won"] / x["n"] for x in served}
+
+
+def with_point_chance(df: DataFrame) -> DataFrame:
+    """Add ``p_point``, the match's chance by points, from the sides' points won on serve (pa, pb) and best_of."""
 
     def priced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield frame.assign(p_point=r.point_match(frame["pa"].to_numpy(), frame["pb"].to_numpy(), frame["best_of"].to_numpy()))
 
-    return walk.mapInPandas(priced, r.SERVE + ", p_point double")
+    return df.mapInPandas(priced, T.StructType([*df.schema.fields, T.StructField("p_point", T.DoubleType())]))
+
+
+def served(m: DataFrame) -> DataFrame:
+    """Matches with serve counts as numbers, 0 where unknown."""
+    counts = ["w_svpt", "w_won", "l_svpt", "l_won"]
+    return m.withColumns({c: F.col(c).cast("double") for c in counts}).fillna(0.0, counts)
+
+
+def serve(spark: SparkSession, sf_dir: str, settings: r.Serve | tuple[r.Serve, ...] | None = None, m: DataFrame | None = None, states: bool = False) -> DataFrame:
+    """The serve walk, its league averages taken from the same matches, with the point model's chance ``p_point``; with
+    ``states`` also what it knows of both sides after each match."""
+    settings = settings if isinstance(settings, tuple) else (settings or r.Serve(),)
+    m = matches(spark, sf_dir) if m is None else m
+    average, base = league(m)
+
+    def start():
+        walk = r.ServeWalk(*settings, average=average, base=base)
+        return walk.recorded if states else walk.step
+
+    return with_point_chance(ordered_fold(served(m), "tour", list(ORDER), start, f"{r.SERVE}, {r.STATES}" if states else r.SERVE))
 
 
 @query()

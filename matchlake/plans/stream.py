@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchlake.operators.ratings import Rating
+from matchlake.plans.ratings import _WALK, elo
 from matchlake.plans.registry import query
-from matchlake.sources.adapters import MATCHES, forecasts
-from matchlake.sources.files import scratch
+from matchlake.sources.adapters import MATCHES, forecasts, matches
+from matchlake.sources.files import scratch, staged
 from matchlake.streaming import forecast_log as log
+from matchlake.streaming import walks
 
 _SCHEMA = "event_id bigint, as_of timestamp, match bigint, player bigint, p double, version string, k int"
 #: Files that the log lands in: as many micro-batches.
@@ -68,3 +71,31 @@ def stream_late_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = forecasts(spark, sf_dir).filter("event_id % 3 = 0").select("match", (F.col("as_of") + F.expr("INTERVAL 20 DAYS")).alias("ended"), (F.col("event_id") % 2 == 0).alias("won"))
     right = log.source(spark, arriving(rows, "ended"), "match bigint, ended timestamp, won boolean")
     return log.run(log.graded(left, right, 21, late="30 days"))
+
+
+def rated_in_batches(m: DataFrame, rating: Rating, cuts: list[str], history: DataFrame | None = None) -> DataFrame:
+    """The rating walk over matches that land period after period (from each cut on to the next), resumed for each from the
+    checkpoint that the last left; history: a walk with states over what came before."""
+    spark, path, out, kept = m.sparkSession, scratch(m.sparkSession), scratch(m.sparkSession), scratch(m.sparkSession)
+    initial = None if history is None else walks.last_states(history)
+    rows = m.withColumns({"w_home": F.lit(0), "l_home": F.lit(0), "at": F.col("date").cast("timestamp")})
+    names = [x.split()[0] for x in walks.READS.split(", ")]
+    rows = staged(rows.select(*[F.col(x).cast(kind) for x, kind in (y.split() for y in walks.READS.split(", "))]).select(*names))
+    for low, high in zip(cuts, [*cuts[1:], "9999-01-01"], strict=True):
+        rows.filter((F.col("date") >= low) & (F.col("date") < high)).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).parquet(path)
+        found = log.run(walks.ratings(stream, rating, initial=initial), checkpoint=kept, out=out)
+    return found
+
+
+@query(_WALK + "SELECT match_id, round(w_elo, 6) AS w_elo, round(l_elo, 6) AS l_elo, round(w_after, 6) AS w_after, round(l_after, 6) AS l_after FROM elo")
+def stream_rating_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole walk, made of a walk over history whose states are saved, and three periods that arrive later, each resumed
+    from the state store after a restart."""
+    m = staged(matches(spark, sf_dir))
+    before, cuts = "1999-01-01", ["1999-01-01", "2000-01-01", "2001-01-01"]
+    past = staged(elo(spark, sf_dir, Rating(), m.filter(F.col("date") < before), states=True))
+    history = past.join(m.select("match_id", "event_id", "round_order"), "match_id")
+    later = rated_in_batches(m.filter(F.col("date") >= before), Rating(), cuts, history)
+    columns = ["match_id", *[F.round(c, 6).alias(c) for c in ("w_elo", "l_elo", "w_after", "l_after")]]
+    return past.select(*columns).unionByName(later.select(*columns))

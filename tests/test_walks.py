@@ -9,7 +9,7 @@ import pytest
 from matchlake.operators import ratings as r
 from matchlake.operators.order import ordered_fold
 from matchlake.plans import features
-from matchlake.plans.ratings import serve
+from matchlake.plans.ratings import TUNED, serve
 from matchlake.sources.adapters import matches
 
 SF = "/root/testdata/sf0.001"
@@ -150,6 +150,8 @@ def test_features(spark):
     assert (turned["label"] == 0).all()
     one = rows.orderBy("date", "match_id").toPandas()
     assert (one[["surf_hard", "surf_clay", "surf_grass"]].sum(axis=1) == 1).all() and one["log_min_srv_pts"].min() == 0
-    assert np.allclose(one["elo_diff"], (one["elo_overall_diff"] + one["elo_surface_diff"]) / 2)
+    for k, settings in enumerate(TUNED):
+        own = one[one["tour"] % 2 == k]
+        assert np.allclose(own["elo_diff"], (1 - settings.blend) * own["elo_overall_diff"] + settings.blend * own["elo_surface_diff"])
     assert np.allclose(1 / (1 + np.exp(-one["logit_p_blend"])), one["p_blend"], atol=1e-6)
     assert not one.drop(columns=["date"]).isna().any().any()
