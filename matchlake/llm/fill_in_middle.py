@@ -1,12 +1,14 @@
 """Fill-in-the-middle forms of documents: prefix, middle and suffix, cut at seeded code points and put in another order.
 
-A distinct-text index is made first. Rows are grouped by a 256-bit digest, and a group's smallest and largest text are
-compared, so equal content is verified and not assumed. Each group's text gets an Elias-Fano list of the byte offsets of its
-code points once: upper bits in unary with the place of every 256th, lower bits packed, so that any boundary is found in
-constant time. The index then meets the documents again by digest, and every row selects its two cuts from the list.
-
-Texts are shuffled once, one for each map task and different text; the rows of documents that meet them are an id and a
-digest. A text with more than CROWD copies (or a 100,000th of all rows, so that the table of such texts stays small enough
+A distinct-text index is made first: rows are grouped by a 256-bit digest, and a group's smallest and largest text are
+compared, so equal content is verified and not assumed. The index meets the documents again by digest, in its order: with
+the first row of a text an Elias-Fano list of the byte offsets of its code points is made, once - upper bits in unary with the
+place of every 256th, lower bits packed, so that any boundary is found in constant time - and every row of the text selects its
+two cuts from it.
+
+Texts are shuffled once, compressed, one for each map task and different text; the rows that meet them are an id and a digest,
+and come to where the index is. (An index that held the lists was tried first; a Python column loses the index' partitioning, so all texts
+were shuffled again.) A text with more than CROWD copies (or a 100,000th of all rows, so that the table of such texts stays small enough
 to broadcast at any size) is dealt to as many parts as its rows ask for, each with the index entry.
 
 Edge cases: a null text is an empty one; an empty text, or one that contains a marker, stays plain; a null id counts as an
@@ -23,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from matchlake.llm import words as w
 from matchlake.llm.blocks import narrow_batches, staged
@@ -37,6 +38,7 @@ CROWDS = 100_000
 STEP = 256
 
 _HEADER = struct.Struct("<QB")
+_LENGTH = struct.Struct("<Q")
 
 
 def boundaries(text: bytes) -> bytes:
@@ -73,26 +75,33 @@ class Boundaries:
         return high << self.low | own
 
 
-@F.arrow_udf(T.BinaryType())
-def _listed(text: pa.Array) -> pa.Array:
-    return pa.array([boundaries(x) for x in w.binary(text).to_pylist()], pa.binary())
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as their length and compressed bytes."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        each = [_LENGTH.pack(len(x)) + codec.compress(x, asbytes=True) for x in w.binary(batch.column(1)).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(each, pa.binary())], names=["digest", "packed"])
+
+
+def _unpacked(packed: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(packed[_LENGTH.size :], _LENGTH.unpack_from(packed)[0], asbytes=True)
 
 
 def indexed(texts: DataFrame) -> DataFrame:
-    """digest, text and ends (Elias-Fano) of each different text; fails where one digest has two texts."""
-    same = texts.groupBy("digest").agg(F.min("text").alias("text"), F.max("text").alias("other"))
-    checked = same.select("digest", F.when(F.col("text") == F.col("other"), F.col("text")).otherwise(F.raise_error(F.lit("two texts of one digest"))).alias("text"))
-    return checked.withColumn("ends", _listed("text"))
+    """digest and packed (compressed text) of each different text; fails where one digest has two texts."""
+    same = texts.mapInArrow(_packed, "digest binary, packed binary").groupBy("digest").agg(F.min("packed").alias("packed"), F.max("packed").alias("other"))
+    return same.select("digest", F.when(F.col("packed") == F.col("other"), F.col("packed")).otherwise(F.raise_error(F.lit("two texts of one digest"))).alias("packed"))
 
 
 def _cut(seed: int, plain_from: int, spm_below: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, index = None, None
+        own, text, index = None, b"", Boundaries(boundaries(b""))
         for batch in batches:
             out = []
-            for doc_id, text, ends in zip(batch.column(0).to_pylist(), w.binary(batch.column(1)).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if ends != own:
-                    own, index = ends, Boundaries(ends)
+            for doc_id, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if packed != own:
+                    own, text = packed, _unpacked(packed)
+                    index = Boundaries(boundaries(text))
                 h = struct.unpack(">4I", hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).digest()[:16])
                 a, b = sorted((h[0] % (index.n + 1), h[1] % (index.n + 1)))
                 if not text or h[2] % 100 >= plain_from or any(m.encode() in text for m in (PREFIX, SUFFIX, MIDDLE)):
@@ -120,11 +129,11 @@ def transform(docs: DataFrame, seed: int = 1, plain_percent: int = 10, spm_perce
     most = max(CROWD, rows.count() // CROWDS)
     crowds = staged(rows.groupBy("digest").agg(F.count("*").alias("copies")).filter(F.col("copies") > most).select("digest", F.expr(f"cast(copies div {most} as int)").alias("parts")))
     few = F.broadcast(crowds)  # CROWDS rows at most
-    met = rows.join(few, "digest", "left_anti").join(indexed(texts.join(few, "digest", "left_anti")), "digest").select("doc_id", "text", "ends")
+    met = rows.join(few, "digest", "left_anti").join(indexed(texts.join(few, "digest", "left_anti")), "digest").select("doc_id", "packed")
     part = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.col("parts") + 1).cast("int")
     crowded = indexed(texts.join(few, "digest", "left_semi")).join(few, "digest").withColumn("part", F.explode(F.sequence(F.lit(0), "parts")))
     dealt = rows.join(few, "digest").select("doc_id", "digest", part.alias("part"))
-    met = met.unionByName(dealt.join(crowded, ["digest", "part"]).select("doc_id", "text", "ends"))
+    met = met.unionByName(dealt.join(crowded, ["digest", "part"]).select("doc_id", "packed"))
     return met.mapInArrow(_cut(seed, 100 - plain_percent, spm_percent), "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output string")
 
 
