@@ -12,12 +12,12 @@ ALIASES = {"SIN": "SGP"}
 REVERSED_TIES = {"Davis Cup WG F: ARG vs CRO": "CRO", "Davis Cup WG F: BEL vs FRA": "FRA"}
 
 
-def with_city(names: DataFrame, name: str, cities: DataFrame, most_words: int = 4) -> DataFrame:
+def with_city(names: DataFrame, name: str, cities: DataFrame) -> DataFrame:
     """Add ``norm`` and the columns of ``cities`` (key and others): the city whose key is the longest phrase in the name.
 
-    Distinct names meet the keys by equality of phrases, so no name is compared with every city; keys of more than
-    ``most_words`` words are not found.
+    Distinct names meet the keys by equality of phrases, as long as the longest key, so no name is compared with every city.
     """
+    most_words = cities.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 1
     known = names.select(name).distinct().withColumn("norm", city_norm(F.col(name)))
     asked = known.filter("norm <> ''").select(name, F.explode(phrases(F.col("norm"), most_words)).alias("key"))
     hit = asked.join(cities, "key").groupBy(name).agg(F.max_by(F.struct(*cities.columns), F.struct(F.length("key"), "key")).alias("city"))

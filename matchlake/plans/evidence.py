@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from matchlake.functions import levels as lv
 from matchlake.functions.names import name_key
 from matchlake.functions.scalars import event_key
+from matchlake.operators.assign import draw_names
 from matchlake.operators.graph import smallest_member
 from matchlake.operators.merge import keep_best
 from matchlake.plans.gate import violations
@@ -318,25 +319,40 @@ def derived_withdrawals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return withdrawals(slots, field, m.select("event_id", "winner", "loser"))
 
 
-def withdrawals(slots: DataFrame, field: DataFrame, results: DataFrame, most: int = 4) -> DataFrame:
+def withdrawals(slots: DataFrame, field: DataFrame, results: DataFrame, most: int = 4, real: Column | None = None) -> DataFrame:
     """event_id, gone, replacement, status of each player drawn, not in the field and without a match.
 
-    With nobody new in the field it is a walkover; else the one new player who met the slot's first opponent replaces;
-    none or several leave it unresolved, and so does an event where more than ``most`` are absent (a broken feed).
-    slots: event_id, slot, player; field: event_id, player; results: event_id, winner, loser.
+    With nobody new in the field it is a walkover. Else the absent claim new players in order: who has exactly one left among
+    those who met the slot's first opponent is replaced by that one, whom nobody can claim again; none or several leave it
+    unresolved. An event where more than ``most`` are absent is a broken feed, and all stay unresolved.
+    slots: event_id, slot, player; field: event_id, player; results: event_id, winner, loser; real: whether a drawn player
+    is somebody (placeholders can't withdraw).
     """
     played = results.select("event_id", F.explode(F.array("winner", "loser")).alias("player"))
-    drawn = slots.filter("player is not null").select("event_id", "player")
+    drawn = slots.filter(F.col("player").isNotNull() & (F.lit(True) if real is None else real)).select("event_id", "player")
     absent = drawn.subtract(field).subtract(played).withColumnRenamed("player", "gone")
-    extra = field.subtract(drawn).withColumnRenamed("player", "new")
+    extra = field.filter("player is not null").subtract(drawn).withColumnRenamed("player", "new")
     count = absent.groupBy("event_id").agg(F.count("*").alias("absent")).join(extra.groupBy("event_id").agg(F.count("*").alias("extra")), "event_id", "left")
     other = slots.select("event_id", (F.col("slot").bitwiseXOR(1)).alias("slot"), F.col("player").alias("opponent"))
     vacated = absent.join(slots.withColumnRenamed("player", "gone"), ["event_id", "gone"]).join(other, ["event_id", "slot"])
     met = results.select("event_id", F.explode(F.array(F.struct(F.col("winner").alias("opponent"), F.col("loser").alias("new")), F.struct(F.col("loser").alias("opponent"), F.col("winner").alias("new")))).alias("x")).select("event_id", "x.*")
-    hits = vacated.join(met, ["event_id", "opponent"]).join(extra, ["event_id", "new"]).groupBy("event_id", "gone").agg(F.count_distinct("new").alias("n"), F.min("new").alias("new"))
-    joined = absent.join(count, "event_id").join(hits, ["event_id", "gone"], "left")
-    status = F.when(F.col("absent") > most, "unresolved").when(F.col("extra").isNull(), "walkover").when(F.col("n") == 1, "replaced").otherwise("unresolved")
-    return joined.select("event_id", "gone", F.when(status == "replaced", F.col("new")).alias("replacement"), status.alias("status"))
+    hits = vacated.join(met, ["event_id", "opponent"]).join(extra, ["event_id", "new"]).groupBy("event_id", "gone").agg(F.collect_set("new").alias("hits"))
+    few = absent.join(count, "event_id").filter(F.col("absent") <= most).join(hits, ["event_id", "gone"], "left")
+    kind = drawn.schema["player"].dataType.simpleString()
+    none = F.array().cast(f"array<{kind}>")
+    claims = few.groupBy("event_id").agg(F.max("extra").alias("extra"), F.array_sort(F.collect_list(F.struct("gone", F.coalesce("hits", none).alias("hits")))).alias("claims"))  # ``most`` of them
+
+    def claim(state: Column, x: Column) -> Column:
+        left = F.array_except(x["hits"], state["taken"])
+        one = F.when(F.size(left) == 1, left[0])
+        taken = F.when(one.isNotNull(), F.concat(state["taken"], F.array(one))).otherwise(state["taken"])
+        return F.struct(taken.alias("taken"), F.concat(state["out"], F.array(F.struct(x["gone"].alias("gone"), one.alias("replacement")))).alias("out"))
+
+    start = F.struct(none.alias("taken"), F.array().cast(f"array<struct<gone:{kind},replacement:{kind}>>").alias("out"))
+    made = claims.select("event_id", "extra", F.explode(F.aggregate("claims", start, claim)["out"]).alias("x")).select("event_id", "extra", "x.*")
+    status = F.when(F.col("extra").isNull(), "walkover").when(F.col("replacement").isNotNull(), "replaced").otherwise("unresolved")
+    many = absent.join(count.filter(F.col("absent") > most).select("event_id"), "event_id")
+    return made.select("event_id", "gone", "replacement", status.alias("status")).unionByName(many.select("event_id", "gone", F.lit(None).cast(kind).alias("replacement"), F.lit("unresolved").alias("status")))
 
 
 _EVID = MATCHES + ", sp AS (SELECT event || CASE WHEN match_id % 5 = 0 THEN ' ' ELSE '' END || player AS spelling, player, opponent, event FROM pl WHERE year >= 1996) "
@@ -396,6 +412,20 @@ def slots_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconciled(raw, rows)
 
 
+@query()
+def draw_names_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A provider's spellings of an event's entrants (another transliteration, one more given name, the order turned round)
+    matched one to one to the event's own; a test holds the rows to a greedy loop over all pairs."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    letter = lambda n: F.char((97 + n % 26).cast("long"))
+    given = F.concat(F.lit("Ale"), letter(F.floor(k / 5)), F.lit("x"), letter(k))
+    surname = F.concat(F.lit("Shev"), letter(F.floor(k / 3)), F.lit("enko"))
+    full = F.concat_ws(" ", given, surname)
+    raw = F.when(k % 4 == 0, F.upper(full)).when(k % 4 == 1, F.concat_ws(" ", F.replace(given, F.lit("x"), F.lit("ks")), surname)).when(k % 4 == 2, F.concat_ws(" ", F.lit("Adolfo"), full)).otherwise(F.concat(surname, F.lit("-"), given))
+    return draw_names(s.select(F.col("s_nationkey").alias("event"), k.alias("place"), raw.alias("raw")), s.select(F.col("s_nationkey").alias("event"), k.alias("place"), full.alias("player")))
+
+
 def reconciled(raw: DataFrame, field: DataFrame) -> DataFrame:
     """event, raw, player: names (event, raw) matched one to one to a field (event, player).
 

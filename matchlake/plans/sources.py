@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from matchlake.operators.bracket import seed_order
 from matchlake.plans.registry import query
+from matchlake.sources import printed
 from matchlake.sources import tables as t
 from matchlake.sources.adapters import MATCHES, matches, players, table
 from matchlake.sources.files import scratch
@@ -78,7 +79,7 @@ def printed_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("name") == "Qualifier", F.when(F.col("slot") % 2 == 0, "Qualifier / Lucky Loser").otherwise("QUALIFIER")).otherwise(F.coalesce("name", F.lit("Bye")))
     line = F.concat(F.lit(" "), (F.col("slot") + 1).cast("string"), F.lit(". "), name, F.when(F.col("seed") <= 4, F.concat(F.lit(" ["), F.col("seed").cast("string"), F.lit("]"))).otherwise(""))
     text = F.concat(F.lit("Main draw\n1. Somebody\n2. Else\nWeek of 3\n7. Odd\n"), F.array_join("lines", "\n"), F.lit("\nSeeds\n1. First\n18. Last\n"))
-    return t.printed_draws(_lines(seats(spark, sf_dir), line, text), "event", "text")
+    return printed.printed_draws(_lines(seats(spark, sf_dir), line, text), "event", "text")
 
 
 @query(MATCHES + """SELECT CAST(m.match_id AS BIGINT) AS match_id, m.date, m.surface, m.best_of, 'supplier#' || lpad(CAST(m.winner AS VARCHAR), 9, '0') || ' s' AS w_key,

@@ -1,8 +1,7 @@
-"""Tables out of web pages, draw articles, printed draws and CSV files of other makers."""
+"""Tables out of web pages, draw articles and CSV files of other makers."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -16,8 +15,6 @@ from matchlake.functions.scalars import surname_key
 
 #: Fixed value: id of the rankings table in its page.
 RANKING_TABLE = "u868"
-#: What printed draws write in a place without a player.
-UNRESOLVED = ("qualifier", "qualifier/lucky loser", "lucky loser", "q", "ll", "tba", "tbd")
 
 
 class _Cells(HTMLParser):
@@ -98,48 +95,6 @@ def draw_article(articles: DataFrame, key: str, text: str) -> DataFrame:
     return slots.filter("n > 1 and bit_count(n) = 1").select(key, "slot", shown.alias("player"), F.when(F.col("player").isNotNull(), F.col("seed1").try_cast("int")).alias("seed"), "best_of")
 
 
-def printed_draw(text: str | None) -> list[tuple[int, str | None, int | None]]:
-    """slot, player and seed out of the lines of a printed draw.
-
-    The first block of lines numbered from 1 without gaps counts, up to 128; a shorter one than 8 is dropped and the search
-    goes on; anything but 8, 16, ... places is no draw. Places without a player get numbered names.
-    """
-    rows: list[tuple[str | None, int | None]] = []
-    for line in (text or "").splitlines():
-        found = re.match(r"\s*(\d{1,3})[. ]\s*(.*?)\s*(?:\[(\d+)\])?\s*$", line)
-        if not found or not found[2]:
-            continue
-        number = int(found[1])
-        if number == len(rows) + 1:
-            rows.append((None if found[2].lower() == "bye" else found[2], int(found[3]) if found[3] else None))
-        elif number > len(rows):
-            if len(rows) >= 8:
-                break
-            rows = []
-        if len(rows) == 128:
-            break
-    if len(rows) < 8 or len(rows) & (len(rows) - 1):
-        return []
-    out, unresolved = [], 0
-    for slot, (player, seed) in enumerate(rows):
-        if player and re.sub(r"\s*/\s*", "/", player.strip().lower()) in UNRESOLVED:
-            unresolved += 1
-            player = f"Qualifier {unresolved}"
-        out.append((slot, player, seed if player else None))
-    return out
-
-
-def printed_draws(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, slot, player, seed of each text; a text is small and read whole."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(name, *row) for name, body in zip(frame[key], frame[text], strict=True) for row in printed_draw(body)]
-            yield pd.DataFrame(rows, columns=[key, "slot", "player", "seed"]).astype({"slot": "int32", "seed": "Int32"})
-
-    return texts.select(key, text).mapInPandas(run, f"{key} {texts.schema[key].dataType.simpleString()}, slot int, player string, seed int")
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether there is anything at a path of any file system that Spark reads."""
     try:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from matchlake.operators import draws as d
 from matchlake.operators.bracket import seed_order
+from matchlake.functions.levels import is_real
 from matchlake.plans import draws as plans
 from matchlake.plans import evidence
 from matchlake.plans.gate import projection_problems
@@ -99,6 +100,16 @@ def test_withdrawals(spark):
     assert found == {("a", 1): (9, "replaced"), ("b", 5): (None, "walkover"), ("c", 7): (None, "unresolved"), **{("d", 20 + i): (None, "unresolved") for i in range(6)}}
 
 
+def test_a_replacement_comes_in_once(spark):
+    """One new player who met two absent players' opponents replaces the first of them; placeholders don't withdraw."""
+    slots = [("a", 0, "1"), ("a", 1, "2"), ("a", 2, "3"), ("a", 3, "4"), ("a", 4, "Qualifier 1"), ("a", 5, "5")]
+    field = [("a", "2"), ("a", "4"), ("a", "9"), ("a", "5")]
+    results = [("a", "9", "2"), ("a", "9", "4")]
+    frames = [spark.createDataFrame(rows, s) for rows, s in ((slots, "event_id string, slot int, player string"), (field, "event_id string, player string"), (results, "event_id string, winner string, loser string"))]
+    found = {r.gone: (r.replacement, r.status) for r in evidence.withdrawals(*frames, real=is_real(F.col("player"))).collect()}
+    assert found == {"1": ("9", "replaced"), "3": (None, "unresolved")}
+
+
 def test_one_match_a_round(spark):
     rows = [("e", 1, f"1998-01-0{i}", i, w, l) for i, (w, l) in enumerate([(1, 2), (1, 3), (3, 4), (5, 4), (5, 6)], 1)] + [("e", 2, "1998-01-09", 9, 1, 3), ("f", 1, "1998-01-01", 10, 1, 2)]
     m = spark.createDataFrame(rows, "event_id string, round_order int, date string, match_id bigint, winner bigint, loser bigint").withColumn("date", F.col("date").cast("date"))
