@@ -171,6 +171,56 @@ def rating_history(*settings: Rating) -> Callable[[], Callable[..., tuple]]:
     return lambda: RatingWalk(*settings).recorded
 
 
+class Arms:
+    """The rating walk under many settings at once: what is a number for a player there is an array here, one value for each
+    setting, so a pass over the matches costs about the same for one arm and for a hundred."""
+
+    def __init__(self, settings: list[Rating]):
+        self.s = {k: np.array([float(getattr(x, k)) for x in settings]) for k in Rating.__dataclass_fields__}
+        self.width, self.players = len(settings), {}
+
+    def of(self, player: int) -> dict[str, np.ndarray]:
+        """elo, matches and day, then rating and matches of each surface (no number: none yet)."""
+        if player not in self.players:
+            none, zero = np.full(self.width, math.nan), np.zeros(self.width)
+            self.players[player] = {"elo": np.full(self.width, START), "n": zero, "day": none} | {(k, x): y for k in SURFACES for x, y in (("elo", none), ("n", zero))}
+        return self.players[player]
+
+    def step(self, match_id, tour, winner, loser, day, surface, tier_k, w_games, l_games, completed, walkover, best_of, w_home, l_home) -> tuple:
+        """match_id, tour and the blended chance of the winner under each setting."""
+        s, w, l = self.s, self.of(winner), self.of(loser)
+        stretch = s["best_of_5"] if best_of == 5 else np.ones(self.width)
+        even = lambda d: 1 / (1 + 10 ** (-d * stretch / SCALE))
+        rating, local, blended = [], [], []
+        for own in (w, l):
+            here, n = own[surface, "elo"], own[surface, "n"]
+            rating.append(own["elo"])
+            local.append(np.where(np.isnan(here), own["elo"], here))
+            wide = np.where(s["blend_half"] > 0, s["blend"] * n / np.maximum(n + s["blend_half"], 1e-300), s["blend"])
+            blended.append((1 - wide) * rating[-1] + wide * local[-1])
+        counted = ~((s["skip_walkovers"] > 0) & bool(walkover))
+        weight = tier_k * (np.ones(self.width) if completed or walkover else s["retired"])
+        if completed:
+            weight = weight * np.minimum(1 + s["margin"] * math.log1p(abs(w_games - l_games)), s["cap"])
+        home = s["home"] * ((w_home or 0) - (l_home or 0))
+        miss, miss_on = 1 - even(rating[0] - rating[1] + home), 1 - even(local[0] - local[1] + home)
+        for i, (own, sign) in enumerate(((w, 1.0), (l, -1.0))):
+            gap = np.nan_to_num(day - own["day"])
+            late = np.where((s["layoff_days"] > 0) & (gap > s["layoff_days"]), 1 + s["layoff_boost"] * np.minimum(gap / 365, 2.0), 1.0)
+            move = sign * s["k"] / (own["n"] + s["offset"]) ** s["shape"] * weight * late * miss
+            move_on = sign * s["surface_k"] / (own[surface, "n"] + s["surface_offset"]) ** s["surface_shape"] * weight * late * miss_on
+            for other in SURFACES:
+                if other == surface:
+                    own[other, "elo"] = np.where(counted, local[i] + move_on, own[other, "elo"])
+                else:
+                    here = np.where(np.isnan(own[other, "elo"]), rating[i], own[other, "elo"])
+                    own[other, "elo"] = np.where(counted & (s["transfer"] > 0), here + s["transfer"] * move_on, own[other, "elo"])
+            own["elo"] = np.where(counted, rating[i] + move, own["elo"])
+            own["n"], own[surface, "n"] = own["n"] + counted, own[surface, "n"] + counted
+            own["day"] = np.where(counted, float(day), own["day"])
+        return match_id, tour, even(blended[0] - blended[1]).tolist()
+
+
 @dataclass(frozen=True)
 class Serve:
     """Settings of a serve walk: half-life of credit in days, and points of shrinkage toward the league, toward the player's
