@@ -36,33 +36,86 @@ def seeded(field: DataFrame, key: str, rating: str, rounds: int) -> DataFrame:
     return slots.join(ranked.select(key, "seed", "player", rating), [key, "seed"], "left")
 
 
+def seed_at(slot: Column, rounds: Column) -> Column:
+    """The seed of a slot in a standard draw of so many rounds: from the first bit of the slot on, a one takes the complement
+    within the places so far."""
+    def step(seed: Column, r: Column) -> Column:
+        one = F.pmod(F.floor(slot / F.pow(F.lit(2.0), rounds - 1 - r)), F.lit(2)) == 1
+        return F.when(one, F.pow(F.lit(2.0), r + 1).cast("int") + 1 - seed).otherwise(seed)
+
+    return F.aggregate(F.sequence(F.lit(0), rounds - 1), F.lit(1), step)
+
+
 def seeded_whole(field: DataFrame, key: str, rating: str) -> tuple[DataFrame, int]:
     """key, rounds, slot, seed, player, rating: every player of each field in standard places, with byes up to the next
     power of two (two places at least); and the rounds of the largest field."""
     ranked = field.withColumn("seed", F.row_number().over(W.partitionBy(key).orderBy(F.desc(rating), "player")))
     sizes = field.groupBy(key).agg(F.length(F.bin(F.count("*") - 1)).alias("rounds"))
     most = sizes.agg(F.max("rounds")).first()[0] or 1
-    places = field.sparkSession.createDataFrame([(k, i, x) for k in range(1, most + 1) for i, x in enumerate(seed_order(k))], "rounds int, slot int, seed int")
-    return sizes.join(F.broadcast(places), "rounds").join(ranked.select(key, "seed", "player", rating), [key, "seed"], "left").select(key, "rounds", "slot", "seed", "player", rating), most
+    places = sizes.withColumn("slot", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2.0), "rounds").cast("int") - 1)))
+    places = places.withColumn("seed", seed_at(F.col("slot"), F.col("rounds")))
+    return places.join(ranked.select(key, "seed", "player", rating), [key, "seed"], "left").select(key, "rounds", "slot", "seed", "player", rating), most
 
 
-def propagate(slots: DataFrame, key: str, rounds: int, chance: Column, lock: Callable[[int], Column] | None = None) -> DataFrame:
+def propagate(slots: DataFrame, key: str, rounds: int, chance: Column, lock: Callable[[int], Column] | None = None, settled: DataFrame | None = None) -> DataFrame:
     """key, slot, player, round, reach: the exact chance to win each round; ``chance`` prices x.rating against y.rating, and
-    ``lock`` of a round takes its place where it is not null. Fields with fewer rounds end with their final."""
+    ``lock`` of a round takes its place where it is not null. Fields with fewer rounds end with their final.
+
+    settled: key, round, block, winner of matches that have been played. Their blocks are decided before the round's join, so nobody
+    who can't be there any more meets anybody. A winner who can't have reached the match decides nothing (``unreachable``
+    finds these).
+    """
     now = slots.select(key, "slot", "player", "rating", F.lit(1.0).alias("reach"))
     out = None
     for r in range(1, rounds + 1):
         side = now.withColumn("block", F.shiftright("slot", r)).withColumn("half", F.shiftright("slot", r - 1) % 2)
+        decided = None
+        if settled is not None:
+            fixed = settled.filter(F.col("round") == r).select(key, "block", F.col("winner").alias("player"))
+            decided = side.filter("reach > 0").join(fixed, [key, "block", "player"]).select(key, "block", "slot", "player", "rating")
+            side = side.join(decided.select(key, "block"), [key, "block"], "left_anti")
         x, y = side.alias("x"), side.alias("y")
         meet = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.half") != F.col("y.half")))
         p = F.when(F.col("x.player").isNull(), F.when(F.col("y.player").isNull(), 0.5).otherwise(0.0)).when(F.col("y.player").isNull(), 1.0).otherwise(F.coalesce(lock(r), chance) if lock else chance)
         won = meet.groupBy(F.col(f"x.{key}").alias(key), F.col("x.slot").alias("slot"), F.col("x.player").alias("player"), F.col("x.rating").alias("rating")).agg(F.sum(F.col("x.reach") * F.col("y.reach") * p).alias("reach"))
+        if decided is not None:
+            won = won.unionByName(decided.select(key, "slot", "player", "rating", F.lit(1.0).alias("reach")))
         now = staged(won) if r < rounds else won  # else every round's plan would hold all before it twice
         done = now.select(key, "slot", "player", F.lit(r).alias("round"), "reach")
         out = done if out is None else out.unionByName(done)
     return out
 
 
+def unreachable(reach: DataFrame, slots: DataFrame, key: str, settled: DataFrame) -> DataFrame:
+    """The settled matches whose winner had no way to them, by a propagation that knew them."""
+    before = reach.filter("reach > 0").select(key, (F.col("round") + 1).alias("round"), F.expr("shiftright(slot, round + 1)").alias("block"), F.col("player").alias("winner"))
+    first = slots.filter("player is not null").select(key, F.lit(1).alias("round"), F.shiftright("slot", 1).alias("block"), F.col("player").alias("winner"))
+    return settled.join(before.unionByName(first), [key, "round", "block", "winner"], "left_anti")
+
+
+def tabled(slots: pd.DataFrame, chance: Callable[[np.ndarray, np.ndarray], np.ndarray], settled: dict[tuple[int, int], object]) -> list[dict]:
+    """The law of each round's winners by slot, for one bracket (slot, player, rating): a matrix of chances, and blocks of slots
+    halved round by round. A second way to what ``propagate`` gives, for its checks; settled: (round, block) to the winner."""
+    slots = slots.sort_values("slot")
+    rating, player = slots["rating"].astype("float64").to_numpy(), slots["player"].tolist()
+    there = ~np.isnan(slots["player"].astype("float64").to_numpy())
+    p = chance(rating[:, None], rating[None])
+    p = np.where(there[:, None], np.where(there[None], p, 1.0), np.where(there[None], 0.0, 0.5))
+    law, out = np.ones(len(rating)), []
+    for r in range(1, len(rating).bit_length()):
+        new = np.zeros(len(rating))
+        for block in range(len(rating) >> r):
+            a, m, b = block << r, (block << r) + (1 << r - 1), (block + 1) << r
+            won = np.concatenate([law[a:m] * (p[a:m, m:b] @ law[m:b]), law[m:b] * (p[m:b, a:m] @ law[a:m])])
+            sure = [i for i in range(a, b) if there[i] and law[i] > 0 and player[i] == settled.get((r, block))]
+            new[a:b] = won
+            if sure:
+                new[a:b], new[sure[0]] = 0.0, 1.0
+        law = new
+        out.append({i: law[i] for i in np.flatnonzero(law).tolist()})
+    return out
+
+
 def simulate(slots: DataFrame, key: str, chance: Callable[[np.ndarray, np.ndarray], np.ndarray], runs: int, seed: int) -> DataFrame:
     """key, player, round, wins: how often each player wins a round in simulated brackets.
 
