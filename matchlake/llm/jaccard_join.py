@@ -1,18 +1,19 @@
 """Similarity join on sets of word n-grams through a token-group matrix, without missing a link.
 
 Equal sets are one class from the start. Two sets that are similar enough share many of the tokens that come first in any
-fixed order, and the rarest of those: with d(n) = n * (100 - percent) / 100, rounded down, the first 2 d + 1 tokens by hash
-(``low``) of two such sets have d + 1 of the smaller set in common at least, so some token is among each one's rarest
-2 d(n) + 1 - d(m) of them, m being the least size of a partner. How many classes hold a token is counted exactly: blocks of
-classes send their distinct tokens to parts by value, and parts send back those that occur more than once. Tokens of one
-class only can link nothing and go no further, which leaves few rows of most corpora.
-
-Classes that are left are put in groups by their smallest token, of bounded size. A group's union of tokens is its row of
-the token-group matrix. Links within a group are found when its row is made. Across groups every (token, component) first
-meets one component of the same token, so that large families of near copies become one component at the cost of a few
-comparisons each. What is left are tokens with several components: there the classes outside the token's largest component
-query the groups of the others, a query's overlap with the whole group is bounded by the matrix, and only groups whose bound
-reaches percent of the query are opened and compared member by member, on full sets.
+fixed order, and the rarest of those: with d(n) = n * (100 - percent) / 100 and k(n) = d(n) / 2 + 1, rounded down, the first
+d + k tokens by hash (``low``) of two such sets have k of the smaller set in common at least, so some token is among each
+one's rarest d(n) + k(n) - k(m) + 1 of them, m being the least size of a partner. How many classes hold a token is counted exactly:
+blocks of classes send their distinct tokens to parts by value, and parts send back those that occur more than once. Tokens
+of one class only can link nothing and go no further, which leaves few rows of most corpora.
+
+Classes that are left are put in groups by their smallest token, of bounded size, so near copies share groups. A group's union
+of tokens is its row of the token-group matrix, with the members as places in it. Links within a group are found when its row
+is made. Two groups meet if a rare token of members is in both: first every group with one other, the smallest that it can, so that large
+families of near copies become one component; then all that hold different components still, each two in a task. There every
+member of one group is a query: its overlap with the other's whole union bounds that with any member, and only if the bound
+reaches percent of the query are that group's members counted, all at once and exactly. Texts of a family meet as groups, so
+neither rows nor shuffled bytes are pairs of members.
 
 Words are runs of bytes other than ASCII white space, A-Z in lower case; tokens are 64-bit hashes of runs of words. Edge
 cases: a null text or one without words has an empty set and is its own component; fewer words than a run are one token;
@@ -32,12 +33,12 @@ from pyspark.sql import functions as F
 
 from matchlake.llm import words as w
 from matchlake.llm.blocks import narrow_batches, staged
-from matchlake.llm.minhash import components, confirmed, representatives, same_text, shingle_sets
+from matchlake.llm.minhash import components, representatives, same_text, shingle_sets
 
 #: Bytes of first tokens in a block, and tokens in a part, that one task holds.
 BLOCK, PART = 4 << 20, 2_000_000
 #: Classes and tokens of a group.
-GROUP, TOGETHER = 64, 500_000
+GROUP, TOGETHER = 512, 300_000
 
 _U = np.uint64
 
@@ -47,6 +48,11 @@ def missing(n, percent: int):
     return n * (100 - percent) // 100
 
 
+def spare(n: int, percent: int) -> int:
+    """First tokens by hash that a set of n shares at least with a similar set that isn't smaller."""
+    return missing(n, percent) // 2 + 1
+
+
 def described(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, row, n_shingles, class (digest of the set; null if empty) and low (its first tokens) of every row."""
 
@@ -57,7 +63,7 @@ def described(rows: DataFrame, size: int, percent: int) -> DataFrame:
                 sizes, classes, low = np.diff(first), [], []
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                     classes.append(hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() if b > a else None)
-                    low.append(values[a : min(b, a + 2 * missing(b - a, percent) + 1)].tobytes())
+                    low.append(values[a : min(b, a + missing(b - a, percent) + spare(b - a, percent))].tobytes())
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, len(sizes)), "row": batch.column(1).slice(at, len(sizes)), "n_shingles": pa.array(sizes, pa.int64()), "class": pa.array(classes, pa.binary()), "low": pa.array(low, pa.binary())})
                 at += len(sizes)
 
@@ -111,7 +117,7 @@ def rare_tokens(classes: DataFrame, percent: int) -> DataFrame:
             at = np.searchsorted(keys, key)
             often = np.where(keys[at] == key, total[at], 1)
             least = -(-n * percent // 100)
-            first = np.lexsort((tokens, often))[: 2 * missing(n, percent) + 1 - missing(least, percent)]
+            first = np.lexsort((tokens, often))[: missing(n, percent) + spare(n, percent) - spare(least, percent) + 1]
             some = tokens[first[often[first] > 1]]
             out.append(some)
             owner += [i] * len(some)
@@ -128,92 +134,114 @@ def grouped(classes: DataFrame) -> DataFrame:
     return keyed.join(size, "key").select("a", "n", F.xxhash64("key", F.pmod(F.xxhash64("a"), F.col("groups"))).alias("g"))
 
 
+_ROW = "g bigint, tokens binary, names binary, sizes binary, places binary, links array<struct<a: binary, b: binary>>"
+
+
+class Joined:
+    """Names joined to components as links are found; ``links`` are those that joined two."""
+
+    def __init__(self, names: list[bytes]):
+        self.names, self.part, self.links = names, np.arange(len(names)), []
+
+    def add(self, i: int, others: np.ndarray) -> None:
+        for j in others.tolist():
+            x, y = self.part[i], self.part[j]
+            if x != y:
+                self.part[self.part == x] = y
+                self.links.append({"a": max(self.names[i], self.names[j]), "b": min(self.names[i], self.names[j])})
+
+
 def matrix(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """g, tokens (union of the members' sets), low and high (sizes) and links (enough to join the members that are linked)."""
+    """A row for each group g: tokens (union of the members' sets), the members' names, sizes and places in the union, and
+    links enough to join the members that are linked."""
 
     def row(table: pa.Table) -> pa.Table:
         names, each = table.column("a").to_pylist(), []
         for values, first in shingle_sets(table.column("text").combine_chunks(), size):
             each += [values[x:y] for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         union, at = np.unique(np.concatenate(each), return_inverse=True)
-        sizes = np.array([len(x) for x in each])
-        owner, part, links = np.repeat(np.arange(len(each)), sizes), list(range(len(each))), []
+        sizes, joined = np.array([len(x) for x in each]), Joined(names)
+        first, owner = np.concatenate([[0], np.cumsum(sizes)]), np.repeat(np.arange(len(each)), sizes)
         inside = np.zeros(len(union), bool)
         for i in range(1, len(each)):  # a member and those before it, at once
-            inside[at[owner == i - 1]] = False
-            mine = at[owner == i]
+            mine = at[first[i] : first[i + 1]]
             inside[mine] = True
-            before = owner < i
-            shared = np.bincount(owner[before], inside[at[before]], i).astype(np.int64)
-            for j in np.flatnonzero(100 * shared >= percent * (sizes[i] + sizes[:i] - shared)).tolist():
-                x, y = part[i], part[j]
-                if x != y:
-                    part = [y if p == x else p for p in part]
-                    links.append({"a": max(names[i], names[j]), "b": min(names[i], names[j])})
+            shared = np.bincount(owner[: first[i]], inside[at[: first[i]]], i).astype(np.int64)
+            inside[mine] = False
+            joined.add(i, np.flatnonzero(100 * shared >= percent * (sizes[i] + sizes[:i] - shared)))
+        own = (table.column("g")[0].as_py(), union.tobytes(), b"".join(names), sizes.astype(np.uint32).tobytes(), at.astype(np.uint32).tobytes())
         kind = pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary())]))
-        return pa.table({"g": pa.array([table.column("g")[0].as_py()], pa.int64()), "tokens": pa.array([union.tobytes()], pa.binary()), "low": pa.array([sizes.min()], pa.int64()), "high": pa.array([sizes.max()], pa.int64()), "links": pa.array([links], kind)})
+        columns = {k: pa.array([x], pa.int64() if k == "g" else pa.binary()) for k, x in zip(("g", "tokens", "names", "sizes", "places"), own, strict=True)}
+        return pa.table(columns | {"links": pa.array([joined.links], kind)})
 
     own = members.select("a", "g").join(texts.withColumnRenamed("class", "a"), "a")
-    return own.groupBy("g").applyInArrow(row, "g bigint, tokens binary, low bigint, high bigint, links array<struct<a: binary, b: binary>>")
+    return own.groupBy("g").applyInArrow(row, _ROW)
 
 
-def across(placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b): of each token's components one class, and one of the component with the smallest root."""
-    one = placed.groupBy("token", "root").agg(F.min_by("a", "n").alias("a"), F.min("n").alias("n"))
-    centre = one.groupBy("token").agg(F.min(F.struct("root", "a", "n")).alias("c"), F.count("*").alias("roots")).filter("roots > 1").select("token", "c.root", F.col("c.a").alias("b"), F.col("c.n").alias("m"))
-    met = one.join(centre.withColumnRenamed("root", "other"), "token").filter("root <> other").filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+def compared(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of the groups x and y, enough to join all that are linked."""
 
+    def split(names: bytes) -> list[bytes]:
+        return [names[i : i + 16] for i in range(0, len(names), 16)]
 
-def queries(placed: DataFrame, percent: int) -> DataFrame:
-    """Query classes a and groups g to bound: of tokens with several components, all classes outside the largest one
-    with all groups of the others that have members of fitting size."""
-    held = placed.groupBy("token", "root").agg(F.count("*").alias("classes"))
-    several = held.groupBy("token").agg(F.max(F.struct("classes", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1").select("token", F.col("most.root").alias("most"))
-    mixed = staged(placed.join(several, "token"))
-    asking = mixed.filter("root <> most").select("token", "a", "n", "root")
-    asked = mixed.groupBy("token", "g", F.col("root").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    met = asking.join(asked, "token").filter("root <> other").filter((100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low")))
-    return met.select("a", "g").distinct()
-
-
-def opened(asked: DataFrame, rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The (a, g) whose bound on the overlap of the query with any member, |a and union of g|, reaches percent of a."""
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, at = [], 0
-            for values, first in shingle_sets(batch.column(2), size):
-                for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    union = np.frombuffer(batch.column(3)[at].as_py(), _U)
-                    keep.append(100 * len(np.intersect1d(values[x:y], union, assume_unique=True)) >= percent * (y - x))
-                    at += 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "g"]).filter(pa.array(keep, pa.bool_()))
-
-    met = asked.join(texts.withColumnRenamed("class", "a"), "a").join(rows.select("g", "tokens"), "g")
-    return met.select("a", "g", "text", "tokens").mapInArrow(bound, "a binary, g bigint")
-
-
-def rooted(members: DataFrame, links: DataFrame) -> DataFrame:
-    return members.join(components(links), "a", "left").withColumn("root", F.coalesce("root", "a"))
+            found = []
+            for x in batch.to_pylist():
+                asking, asked = ({k: np.frombuffer(x[f"{k}_{side}"], kind) for k, kind in (("tokens", _U), ("sizes", np.uint32), ("places", np.uint32))} for side in "xy")
+                at = np.minimum(np.searchsorted(asked["tokens"], asking["tokens"]), len(asked["tokens"]) - 1)
+                at = np.where(asked["tokens"][at] == asking["tokens"], at, -1)  # where the one union's tokens are in the other
+                n, m = asking["sizes"].astype(np.int64), asked["sizes"].astype(np.int64)
+                inside, first = None, np.concatenate([[0], np.cumsum(n)])
+                hits = at[asking["places"]]
+                bound = np.add.reduceat(hits >= 0, first[:-1], dtype=np.int64)
+                fits = (100 * bound >= percent * n) & (100 * m.max() >= percent * n) & (100 * n >= percent * m.min())
+                names = split(x["names_x"]), split(x["names_y"])
+                joined = Joined([*names[0], *names[1]])
+                for i in np.flatnonzero(fits).tolist():
+                    if inside is None:
+                        inside = np.zeros((len(m), len(asked["tokens"])), bool)
+                        inside[np.repeat(np.arange(len(m)), m), asked["places"]] = True
+                    own = hits[first[i] : first[i + 1]]
+                    shared = inside[:, own[own >= 0]].sum(1)
+                    joined.add(i, len(n) + np.flatnonzero(100 * shared >= percent * (n[i] + m - shared)))
+                found += joined.links
+            yield pa.RecordBatch.from_pydict({k: pa.array([x[k] for x in found], pa.binary()) for k in "ab"})
+
+    side = lambda x: table.select(F.col("g").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("tokens", "names", "sizes", "places")])
+    return pairs.join(side("x"), "x").join(side("y"), "y").drop("x", "y").mapInArrow(open_groups, "a binary, b binary")
+
+
+def held(rare: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
+    """token, g, low and high (sizes), least and most (roots): of the members of each group with a token."""
+    roots = members.select("a", "g").join(components(links), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    return rare.join(roots, "a").groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("least"), F.max("root").alias("most"))
+
+
+def meeting(tokens: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """x, y: groups with a token in common, of fitting sizes and not yet one component as far as they have the token."""
+    side = lambda df, x: df.select("token", *[F.col(c).alias(x if c == "g" else f"{c}_{x}") for c in ("g", "low", "high", "least", "most")])
+    apart = (F.col("least_x") != F.col("most_x")) | (F.col("least_y") != F.col("most_y")) | (F.col("least_x") != F.col("least_y"))
+    fits = (100 * F.col("high_x") >= percent * F.col("low_y")) & (100 * F.col("high_y") >= percent * F.col("low_x"))
+    return side(tokens, "x").join(side(others, "y"), "token").filter((F.col("x") < F.col("y")) & apart & fits).select("x", "y").distinct()
 
 
 def jaccard_links(classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between classes, enough to join all that are linked."""
     rare = staged(rare_tokens(classes, percent))
     members = staged(grouped(classes.join(rare.select(F.col("a").alias("class")).distinct(), "class", "left_semi")))
-    texts = representatives(rows, classes, rare)
-    table = staged(matrix(members, texts, size, percent))
+    table = staged(matrix(members, representatives(rows, classes, rare), size, percent))
     links = table.select(F.explode("links").alias("x")).select("x.a", "x.b")
-    place = lambda: rare.join(rooted(members.select("a", "g"), links), "a")
-    links = staged(links.unionByName(confirmed(staged(across(place(), percent)), texts, size, percent)))
-    roots = staged(rooted(members, links))
-    asked = queries(rare.join(roots.select("a", "g", "root"), "a"), percent)
-    found = staged(opened(asked, table, texts, size, percent))
-    side = lambda a, n, r: roots.select(F.col("a").alias(a), F.col("n").alias(n), F.col("root").alias(r))
-    pairs = found.join(side("a", "n", "own"), "a").join(side("b", "m", "other").join(members.select(F.col("a").alias("b"), "g"), "b"), "g")
-    pairs = pairs.filter("own <> other").filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return staged(links.unionByName(confirmed(staged(pairs), texts, size, percent)))
+    tokens = staged(held(rare, members, links))
+    smallest = tokens.groupBy("token").agg(F.min("g").alias("g"))
+    star = meeting(tokens.join(smallest, ["token", "g"], "left_semi"), tokens, percent).groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
+    star = staged(star)
+    links = staged(links.unionByName(compared(star, table, percent)))
+    tokens = staged(held(rare, members, links))
+    mixed = tokens.groupBy("token").agg(F.min("least").alias("l"), F.max("most").alias("m")).filter("l <> m").select("token")
+    tokens = tokens.join(mixed, "token", "left_semi")
+    rest = staged(meeting(tokens, tokens, percent).join(star, ["x", "y"], "left_anti"))
+    return staged(links.unionByName(compared(rest, table, percent)))
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
