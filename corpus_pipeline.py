@@ -33,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut words of passages that occur elsewhere too; n_chars follows the text."""
     cut = substring_dedup.without_repeats(docs)
-    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from matchlake.llm import words as w
@@ -303,7 +304,7 @@ def _regions(window: int, seed: int):
     return run
 
 
-def parse(docs: DataFrame, columns: str, emit, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+def parse(docs: DataFrame, columns: str | T.StructType, emit, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """Parse every text; ``emit(rows, words, covered, factors)`` makes the result of a slice.
 
     docs: any columns with ``text``, and ``doc_id`` if factors are to name their sources; ``columns`` is the schema of
@@ -314,7 +315,7 @@ def parse(docs: DataFrame, columns: str, emit, window: int = WINDOW, seed: int =
         raise ValueError("a region must fit 64 words")
     rows = docs.withColumn("text", F.coalesce(F.col("text").cast("binary"), F.unhex(F.lit(""))))
     blocks = block_count(rows, most=BLOCK_BYTES)
-    rows = with_block(rows, blocks, *rows.columns)
+    rows = with_block(rows, blocks, *[F.to_json(F.col(c)) if "map<" in kind else F.col(c) for c, kind in rows.dtypes])  # maps have no hash
     texts = rows.select("block", "text", *(c for c in ("doc_id",) if c in rows.columns))
     seeds = texts.select("block", "text").groupBy("block").applyInArrow(_seeds(window, seed), "block int, seed bigint, kinds bigint, times bigint")
     of_seed = W.partitionBy("seed")
@@ -423,7 +424,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """The same rows and columns with the kept words as text; rows of which nothing is removed keep their text as it is."""
     numbered = docs.withColumn("text", F.col("text").cast("binary"))
     names = [c for c in docs.columns if c != "text"]
-    packed = numbered.select(F.struct(*[F.col(c) for c in names]).alias("row"), "text", F.col("text").isNull().alias("absent"))
+    packed = numbered.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row"), "text", F.col("text").isNull().alias("absent"))
 
     def emit(table: pa.Table, found: w.Words, covered: np.ndarray, _) -> pa.Table:
         removed = np.concatenate([[0], np.cumsum(covered)])
@@ -431,6 +432,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         texts = [None if gone else k if s else t for gone, s, t, k in zip(table.column("absent").to_pylist(), some, w.binary(table.column("text")).to_pylist(), kept_words(table, found, covered), strict=True)]
         return pa.table({"row": table.column("row"), "text": pa.array(texts, pa.binary())})
 
-    schema = packed.schema["row"].dataType.simpleString()
-    out = parse(packed, f"row {schema}, text binary", emit)
-    return out.select(*[F.col("row")[c].alias(c) if c != "text" else F.col("text").cast("string").alias("text") for c in docs.columns])
+    out = parse(packed, T.StructType([packed.schema["row"], T.StructField("text", T.BinaryType())]), emit)
+    place = {c: f"c{i}" for i, c in enumerate(names)}
+    return out.select(*[F.col("row")[place[c]].alias(c) if c != "text" else F.col("text").cast("string").alias("text") for c in docs.columns])

@@ -440,11 +440,13 @@ def test_stages_keep_columns_of_any_name(spark):
     some = docs.filter("doc_id < 400")
     for name in extra:
         some = some.withColumn(name, F.concat(F.lit(f"{name} of "), F.col("doc_id")))
+    some = some.withColumn("a.b", F.col("doc_id") + 1).withColumn("tags", F.create_map(F.lit("id"), F.col("doc_id")))
     for name, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, some, "/root/testdata/sf0.01")
         assert out.columns == some.columns and [t for _, t in out.dtypes] == [t for _, t in some.dtypes], name
         rows = out.collect()
         assert rows and all(r[x] == f"{x} of {r.doc_id}" for r in rows for x in extra), name
+        assert all(r["a.b"] == r.doc_id + 1 and r.tags == {"id": r.doc_id} for r in rows), name
 
 
 def labelled(spark, sf):
