@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from matchlake.functions import scalars as s
 from matchlake.operators.graph import smallest_member
+from matchlake.operators.spans import containing, overlapping
 from matchlake.plans.registry import query
 from matchlake.sources.adapters import MATCHES, matches, table
 
@@ -25,8 +26,8 @@ def event_resolve_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = n.select(F.col("n_nationkey").alias("id"), s.event_key(F.col("n_name")).alias("known"))
     suffix = F.when(F.col("c_custkey") % 3 == 0, "").when(F.col("c_custkey") % 3 == 1, " open").otherwise(" masters 1000")
     raw = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("k"), F.concat(s.event_key(F.col("n_name")), suffix).alias("name"))
-    inside = F.col("name").contains(F.col("known")) | F.col("known").contains(F.col("name"))
-    hits = raw.select("name").distinct().join(registry, inside).groupBy("name").agg(F.max(F.when(F.col("name") == F.col("known"), F.col("id"))).alias("exact"), F.count_distinct("id").alias("n"), F.max("id").alias("one"))
+    pairs = containing(raw, "name", registry, "known").unionByName(containing(registry, "known", raw, "name")).distinct()
+    hits = pairs.join(registry, "known").groupBy("name").agg(F.max(F.when(F.col("name") == F.col("known"), F.col("id"))).alias("exact"), F.count_distinct("id").alias("n"), F.max("id").alias("one"))
     return raw.join(hits, "name", "left").select("k", F.coalesce("exact", F.when(F.col("n") == 1, F.col("one"))).alias("id"))
 
 
@@ -47,7 +48,7 @@ def coverage(m: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = m.select(F.col("event_id").alias("e"), F.least("winner", "loser").alias("a"), F.greatest("winner", "loser").alias("b")).distinct()
     x = pairs.join(ev, "e").select(F.col("e").alias("x"), "a", "b", F.col("lo").alias("xlo"), F.col("hi").alias("xhi"))
     y = x.select(F.col("x").alias("y"), "a", "b", F.col("xlo").alias("ylo"), F.col("xhi").alias("yhi"))
-    edges = x.join(y, ["a", "b"]).filter("x < y and xlo <= yhi and ylo <= xhi").select("x", "y").distinct()
+    edges = overlapping(x, y, ["a", "b"]).filter("x < y").select("x", "y").distinct()
     return ev, edges
 
 

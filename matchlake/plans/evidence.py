@@ -12,9 +12,11 @@ from matchlake.functions.scalars import event_key
 from matchlake.operators.assign import draw_names
 from matchlake.operators.graph import smallest_member
 from matchlake.operators.merge import keep_best
+from matchlake.operators.spans import containing, overlapping, spanned
 from matchlake.plans.gate import violations
 from matchlake.plans.registry import query
 from matchlake.sources.adapters import MATCHES, matches, table
+from matchlake.sources.files import staged
 
 #: Days of results that a candidate's evidence comes from, and days that it is kept after its end.
 CAPTURE, RETENTION = 40, 18
@@ -81,10 +83,9 @@ def schedule_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(key.alias("event")).agg(F.min("date").alias("start"), F.max("date").alias("finish"), F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"), F.count_distinct(F.least("a", "b"), F.greatest("a", "b")).alias("pairs"))
 
 
-def shared(a: DataFrame, b: DataFrame, key_a: str, key_b: str, on: list[str]) -> DataFrame:
-    """key_a, key_b, n: how many of the ``on`` values two groups have in common."""
-    x, y = a.select(key_a, *on).distinct(), b.select(key_b, *on).distinct()
-    return x.join(y, on).groupBy(key_a, key_b).agg(F.count("*").alias("n"))
+def shared(x: DataFrame, y: DataFrame, on: list[str], least: int = 0) -> DataFrame:
+    """x, y, n: how many of the ``on`` values two groups have in common whose spans overlap; x and y as ``spanned`` makes them."""
+    return overlapping(x, y, on, least=least).groupBy("x", "y").agg(F.count("*").alias("n"))
 
 
 _PROOF = MATCHES + """, gr AS (SELECT event || '/' || year AS g, winner, loser, date FROM matches WHERE match_id % 2 = 0), dr AS (SELECT event_id AS id, winner, loser,
@@ -106,20 +107,20 @@ def proven_ids(groups: DataFrame, draws: DataFrame) -> DataFrame:
 
     groups: g, winner, loser, date; draws: id, winner, loser, date, round_order.
     """
-    both = lambda d, k: d.select(k, F.explode(F.array("winner", "loser")).alias("p"))
-    pair = lambda d, k: d.select(k, F.least("winner", "loser").alias("a"), F.greatest("winner", "loser").alias("b"))
-    span = lambda d, k, x: d.groupBy(k).agg(F.min("date").alias(x + "lo"), F.max("date").alias(x + "hi"))
-    pairs = shared(pair(groups, "g"), pair(draws.filter("round_order = 1"), "id"), "g", "id", ["a", "b"]).filter("n >= 2").drop("n")
-    players = shared(both(groups, "g"), both(draws, "id"), "g", "id", ["p"]).filter("n >= 3").drop("n")
-    close = pairs.join(players, ["g", "id"]).join(span(groups, "g", "g"), "g").join(span(draws, "id", "d"), "id")
-    hits = close.filter(F.datediff(F.least("ghi", "dhi"), F.greatest("glo", "dlo")) >= 2)
+    both = lambda d, k: d.select(k, F.explode(F.array("winner", "loser")).alias("p"), "date")
+    pair = lambda d: d.withColumns({"a": F.least("winner", "loser"), "b": F.greatest("winner", "loser")})
+    span = draws.groupBy("id").agg(F.min("date").alias("ylo"), F.max("date").alias("yhi"))
+    first = pair(draws.filter("round_order = 1")).select("id", "a", "b").distinct().join(span, "id").withColumnRenamed("id", "y")
+    pairs = shared(spanned(pair(groups), "g", "x", "a", "b"), first, ["a", "b"], 2).filter("n >= 2").drop("n")
+    players = shared(spanned(both(groups, "g"), "g", "x", "p"), spanned(both(draws, "id"), "id", "y", "p"), ["p"], 2).filter("n >= 3").drop("n")
+    hits = pairs.join(players, ["x", "y"]).select(F.col("x").alias("g"), F.col("y").alias("id"))
     return hits.groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").drop("n")
 
 
 @query(_PROOF + "SELECT g, min(id) AS id FROM hits GROUP BY g HAVING count(*) = 1")
 def draw_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result groups without an id, proven to be a draw by players, pairs and days; names play no part."""
-    m, k = matches(spark, sf_dir), F.col("match_id")
+    m, k = staged(matches(spark, sf_dir).select("match_id", "event", "year", "event_id", "winner", "loser", "date", "round_order")), F.col("match_id")
     groups = m.filter(k % 2 == 0).select(F.concat_ws("/", "event", F.col("year").cast("string")).alias("g"), "winner", "loser", "date")
     draws = m.filter(k % 4 < 3).select(F.col("event_id").alias("id"), "winner", "loser", "date", "round_order")
     return proven_ids(groups, draws)
@@ -134,7 +135,7 @@ def merge_candidates(groups: DataFrame) -> DataFrame:
     each = groups.groupBy("g").agg(F.max("id").alias("id"), F.min("date").alias("lo"), F.max("date").alias("hi"))
     pairs = groups.select("g", F.least("winner", "loser").alias("a"), F.greatest("winner", "loser").alias("b")).distinct().join(each, "g")
     x, y = (pairs.select(F.col("g").alias(n), "a", "b", F.col("id").alias(n + "id"), F.col("lo").alias(n + "lo"), F.col("hi").alias(n + "hi")) for n in "xy")
-    near = x.join(y, ["a", "b"]).filter("x < y and xlo <= yhi and ylo <= xhi and (xid is null or yid is null)").select("x", "y")
+    near = overlapping(x, y, ["a", "b"]).filter("x < y and (xid is null or yid is null)").select("x", "y")
     same = each.filter("id is not null").withColumn("first", F.min("g").over(W.partitionBy("id"))).filter("g <> first").select(F.col("first").alias("x"), F.col("g").alias("y"))
     roots = smallest_member(near.unionByName(same).distinct(), "x", "y")
     joined = each.join(roots, F.col("g") == F.col("vertex"), "left").withColumn("root", F.coalesce("root", "g"))
@@ -143,7 +144,7 @@ def merge_candidates(groups: DataFrame) -> DataFrame:
 
 
 @query(MATCHES.replace("WITH qty", "WITH RECURSIVE qty", 1) + """, gr AS (SELECT event || '/' || year || '/' || (match_id % 2) AS g, CASE WHEN match_id % 2 = 0 AND tour < 3 THEN event_id END AS id, winner, loser,
-  date FROM matches WHERE draw_level = 'qual'),
+  date FROM matches),
 ea AS (SELECT g, max(id) AS id, min(date) AS lo, max(date) AS hi FROM gr GROUP BY g), pq AS (SELECT DISTINCT g, least(winner, loser) AS a,
   greatest(winner, loser) AS b FROM gr),
 ed AS (SELECT DISTINCT x.g AS a, y.g AS b FROM pq x JOIN pq y ON x.a = y.a AND x.b = y.b AND x.g <> y.g JOIN ea u ON u.g = x.g JOIN ea v ON v.g = y.g
@@ -154,8 +155,8 @@ n AS (SELECT rt.g, rt.root, ea.id, (SELECT count(DISTINCT e2.id) FROM rt r2 JOIN
   JOIN ea ON ea.g = rt.g)
 SELECT g, CASE WHEN ids > 1 THEN min(g) OVER (PARTITION BY root, id) ELSE root END AS root, id FROM n""")
 def merged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Qualifying groups of two sources merged on shared pairs; no bridge joins two ids."""
-    m, k = matches(spark, sf_dir).filter("draw_level = 'qual'"), F.col("match_id")
+    """Groups of two sources, of all draws, merged on shared pairs; no bridge joins two ids."""
+    m, k = staged(matches(spark, sf_dir).select("match_id", "event", "year", "tour", "event_id", "winner", "loser", "date")), F.col("match_id")
     key = F.concat_ws("/", "event", F.col("year").cast("string"), (k % 2).cast("string"))
     return merge_candidates(m.select(key.alias("g"), F.when((k % 2 == 0) & (F.col("tour") < 3), F.col("event_id")).alias("id"), "winner", "loser", "date"))
 
@@ -172,10 +173,12 @@ def split_identities(field: DataFrame) -> DataFrame:
     """a, b, shared: groups (g, id, p, date) of different names that overlap two days or more and share three players, or
     of which one's field lies in the other's; two different ids are two events."""
     g = field.groupBy("g").agg(F.max("id").alias("id"), F.min("date").alias("lo"), F.max("date").alias("hi"), F.count_distinct("p").alias("n"))
-    n = shared(field.select(F.col("g").alias("a"), "p"), field.select(F.col("g").alias("b"), "p"), "a", "b", ["p"]).filter("a < b")
+    own = spanned(field, "g", "x", "p")
+    other = own.withColumnsRenamed({"x": "y", "xlo": "ylo", "xhi": "yhi"})
+    n = shared(own, other, ["p"], 2).filter("x < y").withColumnsRenamed({"x": "a", "y": "b"})
     side = lambda x: g.select(*[F.col(c).alias(x if c == "g" else x + c) for c in g.columns])
     both = n.withColumnRenamed("n", "shared").join(side("a"), "a").join(side("b"), "b")
-    close = (F.datediff(F.least("ahi", "bhi"), F.greatest("alo", "blo")) >= 2) & (F.col("aid").isNull() | F.col("bid").isNull() | (F.col("aid") == F.col("bid")))
+    close = (F.col("aid").isNull() | F.col("bid").isNull() | (F.col("aid") == F.col("bid")))
     inside = (F.least("an", "bn") >= 2) & (F.col("shared") == F.least("an", "bn"))
     return both.filter(close & ((F.col("shared") >= 3) | inside)).select("a", "b", "shared")
 
@@ -267,7 +270,7 @@ def event_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, k = matches(spark, sf_dir), F.col("match_id")
     asked = m.filter(k % 9 == 0).select(F.concat("event_id", F.lit("!")).alias("k"), F.concat(F.lower("event"), F.lit(" open")).alias("name")).distinct()
     counted = m.groupBy(F.lower("event").alias("t"), "surface").agg(F.count_if(k % 4 != 0).alias("n"), F.max("best_of").alias("best_of"))
-    names = asked.select("name").distinct().join(counted.select("t").distinct(), F.col("name").contains(F.col("t")) | F.col("t").contains(F.col("name")))
+    names = containing(asked, "name", counted, "t").unionByName(containing(counted, "t", asked, "name")).distinct()
     each = names.join(counted, "t").groupBy("name", "surface").agg(F.sum("n").alias("n"), F.max("best_of").alias("best_of"))
     best = each.groupBy("name").agg(F.min(F.when(F.col("n") > 0, F.struct((-F.col("n")).alias("n"), "surface")))["surface"].alias("surface"), F.max("best_of").alias("best_of"))
     return asked.join(best, "name", "left").select("k", "surface", "best_of")
@@ -291,8 +294,8 @@ def surface_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contained(asked: DataFrame, cache: DataFrame) -> DataFrame:
     """event, surface; both sides are distinct names of events, dimensions."""
-    inside = F.col("event").contains(F.col("name")) | ((F.length("event") >= 5) & F.col("name").contains(F.col("event")))
-    hits = asked.join(cache, inside).groupBy("event").agg(F.max(F.when(F.col("name") == F.col("event"), F.col("surface"))).alias("exact"), F.count_distinct("surface").alias("n"), F.max("surface").alias("one"))
+    pairs = containing(asked, "event", cache, "name").unionByName(containing(cache, "name", asked.filter(F.length("event") >= 5), "event")).distinct()
+    hits = pairs.join(cache, "name").groupBy("event").agg(F.max(F.when(F.col("name") == F.col("event"), F.col("surface"))).alias("exact"), F.count_distinct("surface").alias("n"), F.max("surface").alias("one"))
     return asked.join(hits, "event", "left").select("event", F.coalesce("exact", F.when(F.col("n") == 1, F.col("one"))).alias("surface"))
 
 
