@@ -62,6 +62,25 @@ def stream_daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("w.start").alias("day"), "version", "n", "p")
 
 
+@query(MATCHES + """, w AS (SELECT unnest([0, 1, 2, 3]) AS i), x AS (SELECT time_bucket(INTERVAL 6 HOUR, as_of, TIMESTAMP '1970-01-01') - i * INTERVAL 6 HOUR AS start, version, p FROM forecasts, w)
+SELECT start, version, count(*) AS n, round(sum(p), 6) AS total FROM x WHERE start + INTERVAL 1 DAY <= (SELECT max(as_of) - INTERVAL 1 DAY FROM forecasts) GROUP BY ALL""")
+def stream_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a day every six hours that the watermark has closed."""
+    found = log.run(log.sliding(log.source(spark, landed(spark, sf_dir), _SCHEMA), "1 day", "6 hours"))
+    return found.select(F.col("w.start").alias("start"), "version", "n", "total")
+
+
+@query(MATCHES + """, o AS (SELECT *, as_of - lag(as_of) OVER (PARTITION BY player ORDER BY as_of, event_id) > INTERVAL 9 HOUR AS fresh FROM forecasts),
+g AS (SELECT *, sum(CASE WHEN fresh IS NULL OR fresh THEN 1 ELSE 0 END) OVER (PARTITION BY player ORDER BY as_of, event_id) AS run FROM o),
+s AS (SELECT player, run, count(*) AS n, min(as_of) AS first, max(as_of) AS last, round(arg_max(p, (as_of, event_id)), 6) AS p FROM g GROUP BY player, run)
+SELECT player, n, first, last, p FROM s WHERE last + INTERVAL 9 HOUR <= (SELECT max(as_of) - INTERVAL 1 DAY FROM forecasts)""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A player's runs of forecasts with less than nine hours between them, over several batches with late rows; a run's state is
+    dropped when it is given out."""
+    found = log.run(log.sessions(log.source(spark, landed(spark, sf_dir), _SCHEMA), "9 hours"))
+    return found.select("player", "n", "first", "last", "p")
+
+
 @query(MATCHES + """, r AS (SELECT match, as_of + INTERVAL 20 DAY AS ended, event_id % 2 = 0 AS won FROM forecasts
   WHERE event_id % 3 = 0) SELECT f.event_id, f.match, f.p, r.won FROM forecasts f
   JOIN r ON f.match = r.match AND r.ended >= f.as_of - INTERVAL 1 DAY AND r.ended <= f.as_of + INTERVAL 21 DAY""")

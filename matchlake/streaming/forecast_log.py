@@ -28,6 +28,19 @@ def windows(stream: DataFrame, late: str = "1 day") -> DataFrame:
     return stream.withWatermark("as_of", late).groupBy(F.window("as_of", "1 day").alias("w"), "version").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("p"))
 
 
+def sliding(stream: DataFrame, width: str, step: str, late: str = "1 day") -> DataFrame:
+    """Counts and sums of chances by version in windows that overlap, once each is closed."""
+    return stream.withWatermark("as_of", late).groupBy(F.window("as_of", width, step).alias("w"), "version").agg(F.count("*").alias("n"), F.round(F.sum("p"), 6).alias("total"))
+
+
+def sessions(stream: DataFrame, gap: str, late: str = "1 day") -> DataFrame:
+    """A player's runs of forecasts without a gap: start, last chance and number of each run, given out when no row that may
+    still come could lengthen it. Then its state is gone, so state follows the players of the last days."""
+    run = F.session_window("as_of", gap).alias("w")
+    last = F.round(F.max_by("p", F.struct("as_of", "event_id")), 6)
+    return stream.withWatermark("as_of", late).groupBy("player", run).agg(F.count("*").alias("n"), F.min("as_of").alias("first"), F.max("as_of").alias("last"), last.alias("p"))
+
+
 def first_sightings(stream: DataFrame) -> DataFrame:
     """Each match once, in the batch that first holds it, with the earliest row of that batch: a sighting is locked, later
     batches never change it."""
