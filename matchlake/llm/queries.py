@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from matchlake.llm import bpe, fill_in_middle, fingerprints, jaccard_join, lm_scoring, media, minhash, packing, quality, resampling, sharding, substring_dedup, toxicity
 from matchlake.llm.blocks import narrow_batches
+from matchlake.llm.oracles import ORACLE_SQL
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +81,5 @@ def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, sf_dir), size=4, percent=85)
 
 
+__all__ = ["ORACLE_SQL", "QUERIES", "documents", "labels", "remainder"]
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_lm_scoring, op3_substring_dedup, op4_quality, op5_minhash, op6_sharding, op7_media, op8_packing, op9_bpe, op10_toxicity, op11_resampling, op12_fill_in_middle, op13_jaccard)}
-ORACLE_SQL: dict[str, str] = {}
