@@ -12,6 +12,7 @@ from matchlake.plans.metrics import log_loss, scored
 from matchlake.plans.registry import query
 from matchlake.plans.metrics import _P
 from matchlake.sources.adapters import MATCHES, forecasts, matches
+from matchlake.sources.files import staged
 
 _ODDS = MATCHES + """, odds AS (SELECT match_id, winner AS w_key, loser AS l_key, date + CAST(match_id % 6 AS INTEGER) AS date,
   CASE WHEN match_id % 3 <> 0 THEN 1.2 + (wq % 30) / 10.0 END AS odds_w_ps, CASE WHEN match_id % 3 <> 0
@@ -107,7 +108,7 @@ def source_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_BAND + """, r AS (SELECT * FROM priced WHERE date > (SELECT max(date) FROM priced) - 90) SELECT count(*) AS n, round(avg(-ln(p)), 6) AS model,
   round(avg(-ln(mkt)), 6) AS market, round(avg(ln(mkt) - ln(p)), 6) AS d FROM r""")
 def recent_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = priced(spark, sf_dir).select("date", "p", "mkt")
+    rows = staged(priced(spark, sf_dir).select("date", "p", "mkt"))
     last = rows.join(F.broadcast(rows.agg(F.max("date").alias("latest")))).filter(F.col("date") > F.date_sub("latest", 90))
     model, market = log_loss(F.col("p")), log_loss(F.col("mkt"))
     return last.agg(F.count("*").alias("n"), F.round(F.avg(model), 6).alias("model"), F.round(F.avg(market), 6).alias("market"), F.round(F.avg(model - market), 6).alias("d"))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from matchlake.plans.features import with_bios
 from matchlake.plans.registry import query
 from matchlake.sources.adapters import MATCHES
+from matchlake.sources.files import staged
 
 _P = MATCHES + """, pr AS (SELECT m.match_id, m.date, m.year, m.tour, m.surface, m.tier, m.round_order, m.winner, m.loser, (coalesce(w.points,
   0) + 100.0) / (coalesce(w.points, 0) + coalesce(l.points, 0) + 200.0) AS p
@@ -118,7 +119,7 @@ def drift_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-loss above what the forecasts themselves expect, over the last 90 days."""
     p = F.col("p")
     expect = -(p * F.log(p) + (1 - p) * F.log(1 - p))
-    rows = scored(spark, sf_dir)
+    rows = staged(scored(spark, sf_dir))
     last = rows.join(F.broadcast(rows.agg(F.max("date").alias("latest")))).filter(F.col("date") > F.date_sub("latest", 90))
     s = last.agg(F.count("*").alias("n"), F.avg(log_loss(p)).alias("loss"), F.avg(expect).alias("entropy"), (F.stddev_samp(log_loss(p) - expect) / F.sqrt(F.count("*"))).alias("se"))
     over = F.col("loss") - F.col("entropy")

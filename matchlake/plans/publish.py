@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.plans.registry import QUERIES, SQL, query
-from matchlake.sources.adapters import table
+from matchlake.sources.adapters import facts, table
 from matchlake.sources.files import scratch, write_json
 
 #: Products that every quick run makes anew; the others come from full runs only.
@@ -47,8 +47,9 @@ def _master_sql() -> str:
 
 
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """family, check, message: what all checks find."""
-    found = [QUERIES[name](spark, sf_dir).select(F.lit(name).alias("family"), "check", "message") for name in CHECKS]
+    """family, check, message: what all checks find, over one making of the facts that they share."""
+    with facts(spark, sf_dir):
+        found = [QUERIES[name](spark, sf_dir).select(F.lit(name).alias("family"), "check", "message") for name in CHECKS]
     return reduce(DataFrame.unionByName, found)
 
 

@@ -5,11 +5,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from matchlake.functions import scalars as s
+from matchlake.sources.files import staged
 
 #: Chronological order of matches.
 ORDER = ("date", "event_id", "round_order", "match_id")
@@ -19,6 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_FACTS: ContextVar[dict[tuple[str, str], DataFrame]] = ContextVar("facts", default={})
+
+
+@contextmanager
+def facts(spark: SparkSession, sf_dir: str) -> Iterator[None]:
+    """Make the tables that many parts of a query derive (matches, players) once: they are written, and what is built inside
+    reads them."""
+    made = {(name, sf_dir): staged(make(spark, sf_dir)) for name, make in (("matches", matches), ("players", players))}
+    before = _FACTS.set(made)
+    try:
+        yield
+    finally:
+        _FACTS.reset(before)
+
+
 def pairings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """match_id, winner, loser, wq, lq: suppliers of each order by quantity, in one aggregation per order."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
@@ -30,6 +50,8 @@ def pairings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The match fact table: one winner-oriented row for each match."""
+    if ("matches", sf_dir) in _FACTS.get():
+        return _FACTS.get()["matches", sf_dir]
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("date"), "o_orderpriority")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -66,6 +88,8 @@ def player_long(games: DataFrame) -> DataFrame:
 
 def players(spark: SparkSession, sf_dir: str) -> DataFrame:
     """player, name, ioc, hand, ht, age, points of each supplier."""
+    if ("players", sf_dir) in _FACTS.get():
+        return _FACTS.get()["players", sf_dir]
     supplier = table(spark, sf_dir, "supplier")
     key = F.col("s_suppkey")
     return supplier.select(key.alias("player"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("ioc"), F.when(key % 7 == 0, "L").otherwise("R").alias("hand"), F.when(key % 11 == 0, F.lit(None)).otherwise(170 + key % 30).cast("int").alias("ht"), (18 + key % 20).cast("double").alias("age"), F.when(F.col("s_acctbal") > 0, F.floor("s_acctbal")).cast("int").alias("points"))

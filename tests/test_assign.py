@@ -73,3 +73,23 @@ def test_greedy_takes_each_side_once(spark):
             left.add(a)
             right.add(b)
     assert found == want
+
+
+def test_registered_draw_names(spark):
+    """The registered query against the loop, over the names that it made."""
+    from matchlake.plans import evidence
+
+    kept = {}
+
+    def keep(slots, pool):
+        kept["frames"] = slots, pool
+        return assign.draw_names(slots, pool)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(evidence, "draw_names", keep)
+        found = {(r.event, r.raw): (r.player, r.how) for r in evidence.draw_names_reconciled(spark, "/root/testdata/sf0.01").collect()}
+    slots, pool = ({} for _ in range(2))
+    for frame, column, out in zip(kept["frames"], ("raw", "player"), (slots, pool), strict=True):
+        for r in sorted(frame.collect(), key=lambda r: r.place):
+            out.setdefault(r.event, []).append(r[column])
+    assert found == {(e, s): v for e in slots for s, v in plain(slots[e], pool[e]).items()} and {h for _, h in found.values()} >= {"key", "similar"}

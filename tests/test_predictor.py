@@ -77,3 +77,21 @@ def test_turned_pairs_negate(spark, played):
     one, other = (predictor.unplayed(spark, SF, x, played, "match_id").toPandas().set_index("match_id").sort_index() for x in (targets, turned))
     assert len(one) == len(other) > 20
     assert np.allclose(one[f.SIGNED], -other[f.SIGNED]) and np.allclose(one[f.EVEN], other[f.EVEN])
+
+
+def test_ranked_evidence_of_played_matches(spark, played):
+    """Points of each group are what single predictions give, largest first."""
+    from matchlake.plans.training import evidence
+
+    rows = staged(f.assembled(spark, SF, played).filter("draw_level = 'main' and completed"))
+    predict = t.final_fit(rows, f.SIGNED, COLUMNS, replace(predictor.QUICK, bags=1, trees=3))[0]
+    some = staged(rows.filter("match_id % 50 = 1"))
+    found = {(r.match_id, r.group): (r.points, r["rank"]) for r in evidence(some, predict).collect()}
+    plain = {r.match_id: r.p for r in predict(some, "p").collect()}
+    assert len(found) == len(f.GROUPS) * len(plain) > 50
+    for group, columns in f.GROUPS.items():
+        for r in predict(some.withColumns({x: F.lit(0.0) for x in columns}), "p").collect():
+            assert abs(found[r.match_id, group][0] - 100 * (plain[r.match_id] - r.p)) < 1e-3
+    for i in plain:
+        sizes = [abs(x) for x, _ in sorted((v for k, v in found.items() if k[0] == i), key=lambda v: v[1])]
+        assert sizes == sorted(sizes, reverse=True)
