@@ -110,18 +110,24 @@ def tournament_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(x, "event_id", "left").select("event_id", status.alias("status"), "field", (F.col("field") - F.coalesce("out", F.lit(0))).alias("alive"), "champion")
 
 
+#: The day that upcoming events are looked for, and how many days ahead.
+EVE, AHEAD = "1997-12-15", 60
+
+
 @query()
 def upcoming_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events that have not begun on a stated day, with the title chances of their best eight entrants (a top-k report)."""
-    now = F.lit("1998-06-01").cast("date")
-    m = matches(spark, sf_dir).filter("draw_level = 'main'")
-    start = m.groupBy("event_id").agg(F.min("date").alias("start")).filter((F.col("start") > now) & (F.col("start") <= F.date_add(now, 60)))
+    """Events that begin within AHEAD days after a stated day, with the chances of all their entrants to win the title and to reach the
+    final and the semi-finals; a test holds them to a plain recursion."""
+    now = F.lit(EVE).cast("date")
+    m = staged(matches(spark, sf_dir).filter("draw_level = 'main'").select("event_id", "date", "winner", "loser"))
+    start = m.groupBy("event_id").agg(F.min("date").alias("start")).filter((F.col("start") > now) & (F.col("start") <= F.date_add(now, AHEAD)))
     entrants = m.join(start, "event_id", "left_semi").select("event_id", F.explode(F.array("winner", "loser")).alias("player")).distinct()
     rated = players(spark, sf_dir).select("player", F.coalesce("points", F.lit(0)).cast("double").alias("rating"))
-    ranked = entrants.join(rated, "player").withColumn("i", F.row_number().over(W.partitionBy("event_id").orderBy(F.desc("rating"), "player"))).filter("i <= 8")
-    slots, rounds = b.seeded_whole(ranked.select(F.col("event_id").alias("event"), "player", "rating"), "event", "rating")
-    title = b.propagate(slots, "event", rounds, chance()).filter("player is not null").join(slots.select("event", F.col("rounds").alias("round")).distinct(), ["event", "round"])
-    return title.select("event", "player", F.round("reach", 4).alias("champion"))
+    field = entrants.join(rated, "player").select(F.col("event_id").alias("event"), "player", "rating")
+    slots, rounds = b.seeded_whole(staged(field), "event", "rating")
+    reach = b.propagate(slots, "event", rounds, chance()).filter("player is not null").join(slots.select("event", F.col("rounds").alias("n")).distinct(), "event")
+    at = lambda back: F.round(F.max(F.when(F.col("round") == F.col("n") - back, F.col("reach"))), 4)
+    return reach.groupBy("event", "player").agg(at(0).alias("champion"), at(1).alias("final"), at(2).alias("semi"))
 
 
 _SECTION = MATCHES + ", r AS (SELECT match_id, round_order AS round, match_id % 64 AS match FROM matches WHERE round_order <= 5) "
