@@ -35,7 +35,7 @@ from matchlake.operators.graph import smallest_member
 BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS // 2
 #: Shingles and classes of a bucket that meet in one task, with as many others; shingles in one matrix product.
-TOGETHER, CLASSES, WIDE = 500_000, 2000, 4096
+TOGETHER, CLASSES, WIDE = 500_000, 2000, 1024
 #: Pairs of one class that share a copy of its text.
 CROWD = 500
 
@@ -178,7 +178,8 @@ def joining_links(mixed: DataFrame, texts: DataFrame, shingle: int, percent: int
             return i
 
         found = []
-        for row, i in zip(shared.astype(np.int64), asked.tolist(), strict=True):
+        for counted, i in zip(shared, asked.tolist(), strict=True):
+            row = counted.astype(np.int64)
             for j in np.flatnonzero(100 * row >= percent * (count[i] + count - row)).tolist():
                 x, y = top(root[i]), top(root[j])
                 if x != y:
