@@ -95,3 +95,17 @@ def test_ranked_evidence_of_played_matches(spark, played):
     for i in plain:
         sizes = [abs(x) for x, _ in sorted((v for k, v in found.items() if k[0] == i), key=lambda v: v[1])]
         assert sizes == sorted(sizes, reverse=True)
+
+
+def test_packed_matrices(spark):
+    """Rows of the upper triangle one after the other, for every group and tour."""
+    names = list(predictor.EVIDENCE)
+    rows = [(t, i, j, 0.5 + i / 100 - j / 90, [(k + 1) * (i - j) / 50 for k in range(len(names))], [(i + j + k) % 2 == 0 for k in range(len(names))]) for t in (1, 2) for i in range(1, 6) for j in range(i + 1, 6 + t)]
+    df = spark.createDataFrame(rows, "tour int, i int, j int, p double, effects array<double>, available array<boolean>").repartition(3)
+    found = {(r.tour, r.group): r for r in predictor.packed(df).collect()}
+    assert len(found) == 2 * (len(names) + 1)
+    for tour in (1, 2):
+        own = sorted(r for r in rows if r[0] == tour)
+        assert found[tour, "combiner"].effects == [round(r[3], 6) for r in own] and found[tour, "combiner"].players == 5 + tour
+        for k, name in enumerate(names):
+            assert found[tour, name].effects == [round(r[4][k], 6) for r in own] and found[tour, name].available == [int(r[5][k]) for r in own]
