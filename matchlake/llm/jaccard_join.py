@@ -7,7 +7,7 @@ one's rarest d(n) + k(n) - k(m) + 1 of them, m being the least size of a partner
 blocks of classes send their distinct tokens to parts by value, and parts send back those that occur more than once. Tokens
 of one class only can link nothing and go no further, which leaves few rows of most corpora.
 
-Classes that are left are put in groups by their smallest token, of bounded size, so near copies share groups. A group's union
+Classes that are left are put in groups by the smallest class that shares a rare token, of bounded size, so near copies share groups. A group's union
 of tokens is its row of the token-group matrix, with the members as places in it. Links within a group are found when its row
 is made. Two groups meet if a rare token of members is in both: first every group with one other, the smallest that it can, so that large
 families of near copies become one component; then all that hold different components still, each two in a task. There every
@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from matchlake.llm import words as w
 from matchlake.llm.blocks import narrow_batches, staged
@@ -127,11 +128,16 @@ def rare_tokens(classes: DataFrame, percent: int) -> DataFrame:
     return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(choose, "token bigint, a binary, n bigint")
 
 
-def grouped(classes: DataFrame) -> DataFrame:
-    """a, g: classes with the same smallest token, dealt to groups of GROUP classes and TOGETHER tokens, about."""
-    keyed = classes.select(F.col("class").alias("a"), "n", F.substring("low", 1, 8).alias("key"))
-    size = keyed.groupBy("key").agg((F.greatest(F.expr(f"count(*) div {GROUP}"), F.expr(f"sum(n) div {TOGETHER}")) + 1).alias("groups"))
-    return keyed.join(size, "key").select("a", "n", F.xxhash64("key", F.pmod(F.xxhash64("a"), F.col("groups"))).alias("g"))
+def grouped(classes: DataFrame, rare: DataFrame) -> DataFrame:
+    """a, n, g: classes dealt to groups of GROUP classes and TOGETHER tokens, about. Classes go together by the smallest class (by
+    hash) that any of their rare tokens is in, so a family of near copies is as few groups as its size asks for; too many are
+    dealt by their smallest token, then one by one."""
+    centre = rare.select("a", F.min(F.xxhash64("a")).over(W.partitionBy("token")).alias("key")).groupBy("a").agg(F.min("key").alias("key"))
+    keyed = classes.select(F.col("class").alias("a"), "n", F.xxhash64(F.substring("low", 1, 8)).alias("first")).join(centre, "a")
+    needed = lambda most: (F.greatest(F.expr(f"count(*) div {most * GROUP}"), F.expr(f"sum(n) div {most * TOGETHER}")) + 1).alias("groups")
+    keyed = keyed.join(keyed.groupBy("key").agg(needed(1)), "key").withColumn("first", F.pmod("first", F.col("groups"))).drop("groups")
+    size = keyed.groupBy("key", "first").agg(needed(2))
+    return keyed.join(size, ["key", "first"]).select("a", "n", F.xxhash64("key", "first", F.pmod(F.xxhash64("a"), F.col("groups"))).alias("g"))
 
 
 _ROW = "g bigint, tokens binary, names binary, sizes binary, places binary, links array<struct<a: binary, b: binary>>"
@@ -229,7 +235,7 @@ def meeting(tokens: DataFrame, others: DataFrame, percent: int) -> DataFrame:
 def jaccard_links(classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between classes, enough to join all that are linked."""
     rare = staged(rare_tokens(classes, percent))
-    members = staged(grouped(classes.join(rare.select(F.col("a").alias("class")).distinct(), "class", "left_semi")))
+    members = staged(grouped(classes, rare))
     table = staged(matrix(members, representatives(rows, classes, rare), size, percent))
     links = table.select(F.explode("links").alias("x")).select("x.a", "x.b")
     tokens = staged(held(rare, members, links))

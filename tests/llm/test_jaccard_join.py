@@ -61,3 +61,16 @@ def test_links_across_groups_are_bounded_first(spark, monkeypatch):
     rows += [(100 + i, " ".join([*base[:100], *[f"y{i}-{j}" for j in range(200)]])) for i in range(20)]
     found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
     assert {(r.doc_id, r.component_id) for r in found} == {(i, 0 if i < 100 else i) for i, _ in rows}
+
+
+def test_a_family_is_few_groups(spark, monkeypatch):
+    """Near copies with many different smallest tokens share a group, so pairs of groups don't grow with the square of a family."""
+    seen, meeting = [], jaccard_join.meeting
+    monkeypatch.setattr(jaccard_join, "meeting", lambda *x: seen.append(meeting(*x)) or seen[-1])
+    pick = random.Random(2)
+    base = [f"b{i}" for i in range(80)]
+    edit = lambda i: " ".join(f"x{i}-{k}" if k in spots else word for k, word in enumerate(base)) if (spots := set(pick.sample(range(80), 3))) else ""
+    rows = [(i, edit(i)) for i in range(120)]
+    found = sorted(map(tuple, jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 4, 85).collect()), key=repr)
+    assert found == expected(rows, 4, 85)
+    assert sum(x.count() for x in seen) <= 3
