@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -43,19 +45,23 @@ def sessions(stream: DataFrame, gap: str, late: str = "1 day") -> DataFrame:
 
 def first_sightings(stream: DataFrame) -> DataFrame:
     """Each match once, in the batch that first holds it, with the earliest row of that batch: a sighting is locked, later
-    batches never change it."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first = None
-        for frame in frames:
-            row = frame.sort_values(["as_of", "event_id"]).iloc[0]
-            if first is None or (row["as_of"], row["event_id"]) < (first["as_of"], first["event_id"]):
-                first = row
-        if not state.exists:
-            state.update((int(first["event_id"]),))
-            yield pd.DataFrame({"match": [key[0]], "event_id": [int(first["event_id"])], "p": [float(first["p"])]})
-
-    return stream.groupBy("match").applyInPandasWithState(update, "match bigint, event_id bigint, p double", "event_id bigint", "append", GroupStateTimeout.NoTimeout)
+    batches never change it. A batch's rows are dealt by match and cut to the earliest of each before they meet the state, which
+    then takes one row a match."""
+
+    def earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
+            rows = rows.sort_by([("match", "ascending"), ("as_of", "ascending"), ("event_id", "ascending")])
+            match, none = rows.column("match").fill_null(0).to_numpy(), rows.column("match").is_null().to_numpy()
+            new = np.ones(len(match), bool)
+            new[1:] = (match[1:] != match[:-1]) | (none[1:] != none[:-1])
+            kept = rows.filter(pa.array(new))
+        if kept is not None:
+            yield from kept.select(["match", "event_id", "p"]).to_batches()
+
+    dealt = stream.select("match", "as_of", "event_id", "p").repartition("match")
+    return dealt.mapInArrow(earliest, "match bigint, event_id bigint, p double").dropDuplicates(["match"])
 
 
 def latest(stream: DataFrame, late: str, keep_hours: int) -> DataFrame:

@@ -151,6 +151,21 @@ def test_sightings_are_locked_over_batches(spark):
     assert run() == {7: 2, 8: 3, 9: 5}
 
 
+def test_sightings_take_a_row_a_match_to_the_state(spark):
+    """The earliest of many rows over small batches, of no match too; no call to Python for each match."""
+    path, schema = scratch(spark), "event_id bigint, as_of timestamp, match bigint, p double"
+    rows = spark.range(3000).selectExpr("id as event_id", "timestamp_seconds(10000 - id) as as_of", "if(id % 50 = 0, null, id % 50 + 4611686018427387904) as match", "0.5D as p")
+    rows.coalesce(1).write.parquet(path)
+    stream = log.first_sightings(log.source(spark, path, schema))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        found = {r.match: r.event_id for r in log.run(stream).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {k + 4611686018427387904 if k else None: 2950 + k for k in range(50)}
+    assert "FlatMapGroups" not in stream._jdf.queryExecution().logical().toString()
+
+
 def test_state_expires(spark):
     """A match's state goes a day after its last row; a later row starts anew."""
     path = scratch(spark)
