@@ -98,10 +98,9 @@ def sections(slots: DataFrame, width: int = 16) -> DataFrame:
     return slots.withColumns({"section": F.floor(F.col("match") / per).cast("int"), "place": (F.col("match") % per).cast("int")})
 
 
-def swings(before: DataFrame, after: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """keys, player, before, after, swing, place: the largest changes of title chances (a top-k report); who is missing on
-    one side has no chance there."""
-    both = before.withColumnRenamed("p", "before").join(after.withColumnRenamed("p", "after"), [*keys, "player"], "full").fillna(0.0, ["before", "after"])
-    ranked = both.withColumn("swing", F.col("after") - F.col("before"))
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(F.abs(F.round("swing", 9))), "player"))
-    return ranked.withColumn("place", place).filter(F.col("place") <= most)
+def swings(outcomes: DataFrame, most: int) -> DataFrame:
+    """The columns of ``outcomes``' matches, player, before, after, place: the largest changes of title chances of each match (a top-k
+    report), found within its row."""
+    both = F.transform(F.arrays_zip("players", "before", "after"), lambda x: F.struct((-F.abs(F.round(x["after"] - x["before"], 9))).alias("swing"), x["players"].alias("player"), x["before"].alias("before"), x["after"].alias("after")))
+    found = outcomes.withColumn("top", F.slice(F.array_sort(both), 1, most)).select("event", "round", "block", F.posexplode("top").alias("i", "x"))
+    return found.select("event", "round", "block", "x.player", "x.before", "x.after", (F.col("i") + 1).alias("place"))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from matchlake.operators import bracket as b
 from matchlake.operators import draws as d
 from matchlake.plans.registry import query
-from matchlake.plans.sim import brackets, chance, fields, folded, locked
+from matchlake.plans.sim import brackets, by_player, chance, fields, folded, locked, price
 from matchlake.sources.adapters import MATCHES, forecasts, matches, players, table
 from matchlake.sources.files import staged
 
@@ -144,10 +144,7 @@ def draw_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def title_swings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three largest changes of title chances between the two outcomes of each lockable match (a top-k report)."""
-    rows = staged(locked(spark, sf_dir))
-    keys = ["event", "round", "block"]
-    of = lambda side: rows.filter(F.col("forced") == F.col(side)).select(*keys, "player", F.col("title").alias("p"))
-    return d.swings(of("a"), of("b"), keys, 3).select(*keys, "player", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), "place")
+    return d.swings(locked(spark, sf_dir), 3).select("event", "round", "block", "player", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), "place")
 
 
 _ONE = MATCHES + ", f AS (SELECT event, lower(event) AS l, year, event_id, count(*) AS n FROM matches GROUP BY ALL) "
@@ -209,17 +206,15 @@ def recent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def settled_scenarios(rows: DataFrame, rounds: int, found: DataFrame) -> DataFrame:
     """event, round, block, forced, player, title: title chances under each outcome of every match whose two players are known
-    and that hasn't been played, with all played matches settled; all outcomes are rows of one propagation."""
-    settled = settled_matches(found)
-    sides = found.filter("a is not null and b is not null and winner is null").select("event", "round", F.col("slot").alias("block"), F.explode(F.array("a", "b")).alias("forced"))
-    case = F.struct("event", "round", "block", "forced").alias("case")
-    cases = staged(rows.select("event", "slot", "player", "rating").join(sides, "event").select(case, "slot", "player", "rating"))
-    known = settled.select("event", F.struct("round", "block", "winner").alias("s")).join(sides.select("event", case), "event")
-    forced = sides.select(case, "round", "block", F.col("forced").alias("winner"))
-    fixed = staged(known.select("case", "s.*").unionByName(forced))
-    last = rows.select("event", "rounds").distinct()
-    won = b.propagate(cases, "case", rounds, chance(), settled=fixed).filter("player is not null and reach > 0")
-    return won.select("case.*", "player", F.col("round").alias("at"), F.col("reach").alias("title")).join(last, "event").filter("at = rounds").drop("at", "rounds")
+    and that hasn't been played, with all played matches settled."""
+    return by_player(settled_outcomes(rows, rounds, found)).filter("title > 0")
+
+
+def settled_outcomes(rows: DataFrame, rounds: int, found: DataFrame) -> DataFrame:
+    """The same with a row a match, as ``outcomes`` gives them."""
+    rows, open_ = staged(rows), found.filter("a is not null and b is not null and winner is null")
+    reach = staged(b.propagate(rows, "event", rounds, chance(), settled=settled_matches(found)))
+    return b.outcomes(rows, reach, open_.select("event", "round", F.col("slot").alias("block"), "a", "b"), "event", price)
 
 
 @query()

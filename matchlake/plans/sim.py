@@ -135,34 +135,36 @@ def lockable(rows: DataFrame) -> DataFrame:
     return first.select("event", F.lit(1).alias("round"), F.col("slot").alias("block"), "a", "b").unionByName(second.select("event", F.lit(2).alias("round"), F.col("slot").alias("block"), "a", "b")).filter("a is not null and b is not null")
 
 
+def price(x, y):
+    """``chance`` over arrays of ratings."""
+    return 1 / (1 + 10 ** (-(x - y) / 4000))
+
+
 def locked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event, round, block, a, b, forced, player, title: title chances of every player under each outcome of every lockable
-    match; all outcomes are rows of one propagation."""
+    """event, round, block, a, b, players, before, after: title chances of every player under each outcome of every lockable
+    match, a row a match."""
     rows, rounds = brackets(spark, sf_dir)
-    sides = lockable(rows).withColumn("forced", F.explode(F.array("a", "b")))
-    last = rows.select("event", "rounds").distinct()
-    cases = rows.select("event", "slot", "player", "rating").join(sides, "event").select(F.struct("event", "round", "block", "a", "b", "forced").alias("case"), "slot", "player", "rating")
+    rows = staged(rows)
+    return b.outcomes(rows, staged(b.propagate(rows, "event", rounds, chance())), lockable(rows), "event", price)
 
-    def lock(r: int) -> Column:
-        case = F.col("x.case")
-        here = (case["round"] == r) & (F.shiftright("x.slot", r) == case["block"])
-        return F.when(here, F.when(F.col("x.player") == case["forced"], 1.0).otherwise(0.0))
 
-    won = b.propagate(cases, "case", rounds, chance(), lock).filter("player is not null")
-    return won.select("case.*", "player", F.col("round").alias("at"), F.col("reach").alias("title")).join(last, "event").filter("at = rounds").drop("at", "rounds")
+def by_player(found: DataFrame) -> DataFrame:
+    """event, round, block, forced, player, title of ``outcomes``."""
+    side = F.explode(F.array(*[F.struct(F.col(x).alias("forced"), F.arrays_zip("players", F.col(of).alias("titles")).alias("law")) for x, of in (("a", "before"), ("b", "after"))])).alias("s")
+    each = found.select("event", "round", "block", side).select("event", "round", "block", "s.forced", F.explode("s.law").alias("x"))
+    return each.select("event", "round", "block", "forced", F.col("x.players").alias("player"), F.col("x.titles").alias("title"))
 
 
 @query()
 def scenario_locks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return locked(spark, sf_dir).select("event", "round", "block", "forced", "player", F.round("title", 6).alias("title"))
+    return by_player(locked(spark, sf_dir)).withColumn("title", F.round("title", 6))
 
 
 @query()
 def title_leverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total-variation distance of the title laws under the two outcomes of every lockable match."""
-    signed = F.when(F.col("forced") == F.col("a"), F.col("title")).otherwise(-F.col("title"))
-    apart = locked(spark, sf_dir).groupBy("event", "round", "block", "a", "b", "player").agg(F.abs(F.sum(signed)).alias("apart"))
-    return apart.groupBy("event", "round", "block", "a", "b").agg(F.round(0.5 * F.sum("apart"), 6).alias("leverage"))
+    apart = F.aggregate(F.zip_with("before", "after", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda x, y: x + y)
+    return locked(spark, sf_dir).select("event", "round", "block", "a", "b", F.round(0.5 * apart, 6).alias("leverage"))
 
 
 @query()
