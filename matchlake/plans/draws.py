@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -250,9 +253,53 @@ def gate_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     them: of each event the chances that were compared, and those that differ, lack or are too many (none are expected; a test
     plants each)."""
     rows, rounds = brackets(spark, sf_dir)
+    rows = staged(rows)
     found = staged(folded(rows, rounds, recent(spark, sf_dir)))
-    published = staged(settled_scenarios(rows, rounds, found).withColumn("title", F.round("title", 6)))
-    return scenario_audit(published, tabled_scenarios(rows, found))
+    cut = lambda c: F.transform(c, lambda p: F.round(p, 6)).alias(c)
+    published = settled_outcomes(rows, rounds, found).select("event", "round", "block", "a", "b", "players", cut("before"), cut("after"))
+    return packed_audit(published, rows, found)
+
+
+def packed_audit(published: DataFrame, rows: DataFrame, found: DataFrame, tolerance: float = 2e-6) -> DataFrame:
+    """What ``scenario_audit`` gives, of published rows a match: each is held to its bracket's matrices where it is, so no chances are
+    shuffled; open matches that nobody published follow, with all their chances lacking."""
+    keys = ["event", "round", "block", "a", "b"]
+    open_ = found.filter("a is not null and b is not null and winner is null").select("event", "round", F.col("slot").alias("block"), "a", "b")
+    places = rows.groupBy("event").agg(F.array_sort(F.collect_list(F.struct("slot", "player", "rating"))).alias("places"))
+    played = settled_matches(found).groupBy("event").agg(F.collect_list(F.struct("round", "block", "winner")).alias("played"))
+    whole = staged(places.join(played, "event", "left"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, some in frame.groupby("event"):
+                bracket = pd.DataFrame([x.asDict() if hasattr(x, "asDict") else x for x in some["places"].iloc[0]])
+                player = bracket["player"].tolist()
+                settled = some["played"].iloc[0]
+                held = {(x["round"], x["block"]): x["winner"] for x in ([] if settled is None else settled)}
+                forced = [(m.round, m.block, x) for m in some.itertuples() for x in (m.a, m.b)]
+                again, at, out = b.titles(bracket, price, held, forced), {x: i for i, x in enumerate(player) if x == x and x is not None}, []
+                for k, m in enumerate(some.itertuples()):
+                    told, known = np.zeros((2, len(player))), np.zeros(len(player), bool)
+                    strange = 0
+                    if m.players is not None:
+                        own = np.array([at.get(x, -1) for x in m.players])
+                        for side, law in enumerate((m.before, m.after)):
+                            told[side, own[own >= 0]] = np.asarray(law, float)[own >= 0]
+                            strange += int((np.asarray(law, float)[own < 0] > tolerance).sum())
+                        known[own[own >= 0]] = True
+                    real = again[2 * k : 2 * k + 2] if m.wanted else np.zeros_like(told)
+                    both, apart = known & (real > 0) & (told > 0), np.abs(told - real) > tolerance
+                    out.append((int(m.event), int(m.round), int(m.block), int(m.a), int(m.b), int(((real > 0) | (told > 0)).sum()) + strange, int((both & apart).sum()), int((apart & ~both & (told == 0)).sum()), int((apart & ~both & (real == 0)).sum()) + strange))
+                yield pd.DataFrame(out, columns=[*keys, "compared", "wrong", "lacking", "extra"])
+
+    def audited(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(whole), "event").mapInPandas(run, "event int, round int, block int, a bigint, b bigint, compared bigint, wrong bigint, lacking bigint, extra bigint")
+
+    wanted = open_.withColumn("wanted", F.lit(True))
+    first = staged(audited(published.join(F.broadcast(wanted), keys, "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))))
+    none = [F.lit(None).cast(f"array<{kind}>").alias(c) for c, kind in (("players", "bigint"), ("before", "double"), ("after", "double"))]
+    rest = audited(wanted.join(first.select(*keys), keys, "left_anti").select(*keys, *none, "wanted"))
+    return first.unionByName(rest).groupBy("event").agg(*[F.sum(c).alias(c) for c in ("compared", "wrong", "lacking", "extra")])
 
 
 def scenario_audit(published: DataFrame, again: DataFrame, tolerance: float = 2e-6) -> DataFrame:

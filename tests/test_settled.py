@@ -120,6 +120,19 @@ def test_scenarios_and_their_audit(spark, tables):
     assert audit[1].lacking == 1 and audit[3].wrong == audit[3].compared > 0 and audit[2].extra == 1
 
 
+def test_packed_audit_finds_planted_faults(spark, tables):
+    """A chance changed, a match left out and one that isn't open."""
+    rows, _ = tables
+    found = folded(spark)
+    published = draws.settled_outcomes(rows, 3, found)
+    audit = {r.event: r for r in draws.packed_audit(published, rows, found).collect()}
+    assert audit and all((r.wrong, r.lacking, r.extra) == (0, 0, 0) and r.compared for r in audit.values())
+    kept = published.filter("event <> 1").withColumn("before", F.when(F.col("event") == 3, F.transform("before", lambda p: F.when(p > 0, p + 0.01).otherwise(p))).otherwise(F.col("before")))
+    strange = published.filter("event = 2").limit(1).withColumn("block", F.col("block") + 100)
+    audit = {r.event: r for r in draws.packed_audit(kept.unionByName(strange), rows, found).collect()}
+    assert audit[1].lacking == audit[1].compared > 0 and audit[3].wrong > 0 and audit[3].lacking == 0 and audit[2].extra > 0
+
+
 def test_registered_queries_settle(spark):
     sf = "/root/testdata/sf0.01"
     reach = draws.settled_reach(spark, sf).toPandas()
