@@ -109,3 +109,14 @@ def test_packed_matrices(spark):
         assert found[tour, "combiner"].effects == [round(r[3], 6) for r in own] and found[tour, "combiner"].players == 5 + tour
         for k, name in enumerate(names):
             assert found[tour, name].effects == [round(r[4][k], 6) for r in own] and found[tour, name].available == [int(r[5][k]) for r in own]
+
+
+def test_no_state_leaves_a_walk(spark, played):
+    """Features of matches to come shuffle no packed states and no target more than once for its contexts."""
+    targets = staged(predictor.pairs(spark, SF, played).filter("i <= 3"))
+    plan = predictor.unplayed(spark, SF, targets, played, "match_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_state" not in plan and "_row" not in plan
+    context = predictor.contexts_before(targets, played)
+    physical = context._jdf.queryExecution().sparkPlan().toString()
+    prepared = context._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Window") >= 4 and prepared.count("Exchange hashpartitioning(player") == 1 and "hashpartitioning(opponent" not in prepared
