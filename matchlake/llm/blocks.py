@@ -19,6 +19,8 @@ __all__ = ["BLOCK_BYTES", "beside", "block_count", "groups", "narrow_batches", "
 BLOCK_BYTES = 16 << 20
 #: Rows of documents that cross to Python together, where the session has not been told of fewer.
 BATCH_ROWS = 512
+#: Bytes of any rows that cross to Python together, about: rows may be whole groups.
+BATCH_BYTES = 8 << 20
 
 
 def narrow_batches(spark: SparkSession) -> None:
@@ -26,6 +28,7 @@ def narrow_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def block_count(docs: DataFrame, column: str = "text", most: int = BLOCK_BYTES) -> int:

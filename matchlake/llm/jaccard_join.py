@@ -167,12 +167,12 @@ def matrix(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
             each += [values[x:y] for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         union, at = np.unique(np.concatenate(each), return_inverse=True)
         sizes, joined = np.array([len(x) for x in each]), Joined(names)
-        first, owner = np.concatenate([[0], np.cumsum(sizes)]), np.repeat(np.arange(len(each)), sizes)
+        first = np.concatenate([[0], np.cumsum(sizes)])
         inside = np.zeros(len(union), bool)
         for i in range(1, len(each)):  # a member and those before it, at once
             mine = at[first[i] : first[i + 1]]
             inside[mine] = True
-            shared = np.bincount(owner[: first[i]], inside[at[: first[i]]], i).astype(np.int64)
+            shared = np.add.reduceat(inside[at[: first[i]]], first[:i], dtype=np.int64)
             inside[mine] = False
             joined.add(i, np.flatnonzero(100 * shared >= percent * (sizes[i] + sizes[:i] - shared)))
         own = (table.column("g")[0].as_py(), union.tobytes(), b"".join(names), sizes.astype(np.uint32).tobytes(), at.astype(np.uint32).tobytes())
@@ -193,23 +193,24 @@ def compared(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for x in batch.to_pylist():
+            for x in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # two groups at a time
                 asking, asked = ({k: np.frombuffer(x[f"{k}_{side}"], kind) for k, kind in (("tokens", _U), ("sizes", np.uint32), ("places", np.uint32))} for side in "xy")
                 at = np.minimum(np.searchsorted(asked["tokens"], asking["tokens"]), len(asked["tokens"]) - 1)
                 at = np.where(asked["tokens"][at] == asking["tokens"], at, -1)  # where the one union's tokens are in the other
                 n, m = asking["sizes"].astype(np.int64), asked["sizes"].astype(np.int64)
-                inside, first = None, np.concatenate([[0], np.cumsum(n)])
+                first, begin = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(m)])[:-1]
+                inside = np.zeros(len(asked["tokens"]), bool)
                 hits = at[asking["places"]]
                 bound = np.add.reduceat(hits >= 0, first[:-1], dtype=np.int64)
                 fits = (100 * bound >= percent * n) & (100 * m.max() >= percent * n) & (100 * n >= percent * m.min())
                 names = split(x["names_x"]), split(x["names_y"])
                 joined = Joined([*names[0], *names[1]])
                 for i in np.flatnonzero(fits).tolist():
-                    if inside is None:
-                        inside = np.zeros((len(m), len(asked["tokens"])), bool)
-                        inside[np.repeat(np.arange(len(m)), m), asked["places"]] = True
                     own = hits[first[i] : first[i + 1]]
-                    shared = inside[:, own[own >= 0]].sum(1)
+                    own = own[own >= 0]
+                    inside[own] = True
+                    shared = np.add.reduceat(inside[asked["places"]], begin, dtype=np.int64)
+                    inside[own] = False
                     joined.add(i, len(n) + np.flatnonzero(100 * shared >= percent * (n[i] + m - shared)))
                 found += joined.links
             yield pa.RecordBatch.from_pydict({k: pa.array([x[k] for x in found], pa.binary()) for k in "ab"})

@@ -74,3 +74,19 @@ def test_a_family_is_few_groups(spark, monkeypatch):
     found = sorted(map(tuple, jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 4, 85).collect()), key=repr)
     assert found == expected(rows, 4, 85)
     assert sum(x.count() for x in seen) <= 3
+
+
+def test_pairs_of_groups_cross_few_at_a_time(spark):
+    """Rows of two whole groups come to Python in batches of bounded bytes."""
+    from matchlake.llm import blocks
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    blocks.narrow_batches(spark)
+    wide = spark.range(64, numPartitions=1).selectExpr("cast(repeat('x', 1000000) as binary) as tokens")
+    found = [r.n for r in wide.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) == 64 and max(found) <= 10
