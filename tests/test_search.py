@@ -62,3 +62,19 @@ def test_search(spark):
     assert rows[0]["pass"] == 3 and all(0.3 < x.tune < 2 for x in rows) and all((x.later is not None) == (x["pass"] == 3) for x in rows)
     best = min((x for x in rows if x["pass"] == 3), key=lambda x: x.tune)
     assert best.tune <= rows[0].tune
+
+
+def test_batches_are_walked_at_once():
+    """A batch in which players meet again gives what single matches give, in about as many array steps as its longest chain."""
+    settings, pick = [r.Rating(), ALL_RULES, r.Rating(k=40, skip_walkovers=True)], np.random.default_rng(5)
+    many, single, steps = r.Arms(settings), r.Arms(settings), []
+    together = many._together
+    many._together = lambda *x, **k: steps.append(1) or together(*x, **k)
+    rows = []
+    for i in range(600):
+        a, b = pick.choice(200, 2, replace=False).tolist()
+        walkover = bool(pick.random() < 0.1)
+        rows.append((a, b, i // 3, str(pick.choice(r.SURFACES)), 1.1, int(pick.integers(6, 14)), int(pick.integers(0, 12)), not walkover and bool(pick.random() < 0.9), walkover, int(pick.choice([3, 5])), 0, 1))
+    found = np.concatenate([many.chances(*zip(*part, strict=True)) for part in (rows[:350], rows[350:])])
+    assert np.allclose(found, [single.step(0, 0, *x)[2] for x in rows], atol=1e-12)
+    assert len(steps) < 200
