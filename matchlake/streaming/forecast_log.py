@@ -97,9 +97,15 @@ def graded(forecasts: DataFrame, results: DataFrame, grace_days: int, late: str
     return f.join(r, within).select("f.event_id", "f.match", "f.p", "r.won")
 
 
-def run(stream: DataFrame, mode: str = "append", checkpoint: str | None = None, out: str | None = None) -> DataFrame:
-    """Process all files there are, a batch after the other, then read what was written; a checkpoint goes on where it ended."""
-    spark = stream.sparkSession
-    out, checkpoint = out or scratch(spark), checkpoint or scratch(spark)
-    stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+def run(stream: DataFrame, mode: str = "append", checkpoint: str | None = None, out: str | None = None, parts: int | None = None) -> DataFrame:
+    """Process all files there are, a batch after the other, then read what was written; a checkpoint goes on where it ended.
+    parts: partitions of its state at most, where keys are few."""
+    spark, key = stream.sparkSession, "spark.sql.shuffle.partitions"
+    out, checkpoint, before = out or scratch(spark), checkpoint or scratch(spark), spark.conf.get(key)
+    spark.conf.set(key, min(int(before), parts or int(before)))
+    try:
+        query = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(stream.schema).parquet(out)
