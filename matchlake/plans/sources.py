@@ -88,12 +88,12 @@ def printed_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM matches m JOIN base b USING (match_id) WHERE m.match_id % 29 > 0 AND m.year IN (1994, 1997)""")
 def odds_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odds written as CSV and read back: names as keys, bad numbers null, rows without names or outside the years dropped."""
-    from matchlake.sources.adapters import pairings
+    from matchlake.sources.adapters import matches_with
 
-    q = pairings(spark, sf_dir).select("match_id", F.col("wq").cast("int").alias("wq"), F.col("lq").cast("int").alias("lq"))
+    m = matches_with(spark, sf_dir, "wq", "lq").withColumns({c: F.col(c).cast("int") for c in ("wq", "lq")})
     who = lambda c: F.concat(F.lit("Supplier#"), F.lpad(F.col(c).cast("string"), 9, "0"))
     odds = lambda c: F.when(F.col("match_id") % 3 > 0, (1.2 + (F.col(c) % 30) / 10.0).cast("string")).otherwise("-")
-    raw = matches(spark, sf_dir).join(q, "match_id").select(
+    raw = m.select(
         "match_id", F.col("date").cast("string").alias("Date"), F.col("surface").alias("Surface"), F.when(F.col("best_of") == 5, "5").alias("Best of"),
         F.when(F.col("match_id") % 29 > 0, who("winner")).alias("Winner"), who("loser").alias("Loser"), odds("wq").alias("PSW"), odds("lq").alias("PSL"))
     path = scratch(spark)

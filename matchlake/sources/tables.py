@@ -121,14 +121,15 @@ def read_odds(spark: SparkSession, path: str, years: list[int] | None = None) ->
     """date, surface, best_of, w_key, l_key and the odds of each book; rows without date or names are dropped, odds that are
     no numbers are null."""
     raw = spark.read.option("header", True).csv(path)
+    if years:  # before keys are made of the names of all other rows
+        raw = raw.filter(F.year(F.try_to_timestamp("Date", F.lit("yyyy-MM-dd"))).isin(years))
     number = lambda c: F.col(f"`{c}`").try_cast("double") if c in raw.columns else F.lit(None).cast("double")
     keyed = raw.select(
         F.try_to_timestamp("Date", F.lit("yyyy-MM-dd")).cast("date").alias("date"), F.col("Surface").alias("surface"), F.coalesce(F.col("`Best of`").try_cast("int"), F.lit(3)).alias("best_of"),
         *[F.when(F.trim(c) != "", surname_key(F.col(c))).alias(k) for c, k in (("Winner", "w_key"), ("Loser", "l_key"))],
         *[number(c).alias(f"odds_{side}_{book}") for book, pair in BOOKS.items() for side, c in zip("wl", pair, strict=True)],
     )
-    kept = keyed.dropna(subset=["date", "w_key", "l_key"])
-    return kept.filter(F.year("date").isin(years)) if years else kept
+    return keyed.dropna(subset=["date", "w_key", "l_key"])
 
 
 def read_ledger(spark: SparkSession, path: str, numbers: list[str], columns: list[str]) -> DataFrame:
