@@ -61,33 +61,52 @@ class Encoder:
             with open(ranks, "rb") as f:
                 vocabulary = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
             self.ranked = tiktoken.Encoding("ranked", pat_str=PRE_TOKEN, mergeable_ranks=vocabulary, special_tokens={})
+            self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.sizes[list(vocabulary.values())] = [len(token) for token in vocabulary]
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if "  " in text or "\n " in text or not text.isascii() or _LOOSE.search(text):
+        plain = text.isascii()
+        if "  " in text or "\n " in text or not plain or _LOOSE.search(text):
             first, *rest = _STRETCH.split(text)
         else:
             first, *rest = text.split(" ")
-        stretches = [first, *[" " + x for x in rest]]
-        try:
-            return b"".join(map(self.known.__getitem__, stretches))
-        except KeyError:
+        ends = [first] if not rest else [first, " " + rest.pop()]  # only the last may end in white space
+        if new := set(rest).difference(self.known):
             if len(self.known) > REMEMBERED:
                 self.known, self.before = {}, self.known
-            others = []
-            for x in stretches:
-                if x in self.known:
-                    continue
-                if (ids := self.before.get(x)) is not None:
-                    self.known[x] = ids
-                elif self.ranked and x and max(x) < "\u0250" and "<|" not in x:
-                    self.known[x] = np.array(self.ranked.encode_ordinary(x), "<u4").tobytes()
-                else:
-                    self.known[x] = b""
-                    others.append(x)
-            for x, found in zip(others, self.library.encode_batch(others, add_special_tokens=False), strict=True):
-                self.known[x] = np.array(found.ids, "<u4").tobytes()
-            return b"".join(map(self.known.__getitem__, stretches))
+                new = set(rest)
+            self._learn(new, bool(self.ranked) and plain and "<|" not in text)
+        ends = self._alone(ends)
+        return b"".join([ends[0], *map(self.known.__getitem__, rest), *ends[1:]])
+
+    def _latin(self, stretch: str) -> bool:
+        return bool(self.ranked) and (stretch.isascii() or max(stretch) < "\u0250") and "<|" not in stretch
+
+    def _alone(self, stretches: list[str]) -> list[bytes]:
+        """Ids of each stretch, its space included."""
+        out = [np.array(self.ranked.encode_ordinary(x), "<u4").tobytes() if x and self._latin(x) else b"" for x in stretches]
+        others = [i for i, x in enumerate(stretches) if x and not self._latin(x)]
+        if others:
+            for i, found in zip(others, self.library.encode_batch([stretches[i] for i in others], add_special_tokens=False), strict=True):
+                out[i] = np.array(found.ids, "<u4").tobytes()
+        return out
+
+    def _learn(self, new: set[str], plain: bool) -> None:
+        """Remember stretches that end visibly, given without the space before them. Latin ones are encoded as one text, which no
+        pre-token crosses from one to the next, and their ids are told apart by the bytes of each token."""
+        known, before = self.known, self.before
+        known.update([(x, before[x]) for x in new if x in before])
+        latin = [x for x in new if x not in before and (plain or self._latin(x))]
+        if latin:
+            joined = " " + " ".join(latin)
+            ids = np.array(self.ranked.encode_ordinary(joined), "<u4")
+            ends = np.cumsum([len(x) + 1 for x in latin] if joined.isascii() else [len(x.encode()) + 1 for x in latin])
+            cuts = (4 * np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 4).tolist()
+            held = ids.tobytes()
+            known.update(zip(latin, [held[at:to] for at, to in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+        if not plain and (others := [x for x in new if x not in known]):
+            known.update(zip(others, self._alone([" " + x for x in others]), strict=True))
 
 
 def encoder(path: str, ranks: str | None = None) -> Encoder:
