@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from matchlake.functions import levels as lv
 from matchlake.functions import scalars as s
 from matchlake.functions.names import name_key
+from matchlake.operators.context import dealt
 from matchlake.plans.gate import violations
 from matchlake.plans.products import fixtures
 from matchlake.plans.registry import query
@@ -196,13 +197,18 @@ w AS (SELECT *, CASE WHEN match_id % 17 = 0 THEN true_score + 1 ELSE true_score
 
 
 def watched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A published watch board with scores, coverage and ranks, some of them damaged."""
+    """A published watch board with scores and coverage, some of them damaged."""
     k = F.col("match_id")
-    f = matches(spark, sf_dir).select(k, "date", (100 - k % 50).alias("closeness"), (k % 101).alias("quality"), (k % 90).alias("stakes"), F.when(k % 3 > 0, k % 80).alias("leverage"), F.when(k % 4 > 0, k % 70).alias("style"))
+    f = staged(matches(spark, sf_dir).select("match_id", "date")).select(k, "date", (100 - k % 50).alias("closeness"), (k % 101).alias("quality"), (k % 90).alias("stakes"), F.when(k % 3 > 0, k % 80).alias("leverage"), F.when(k % 4 > 0, k % 70).alias("style"))
     score, cover = weighted()
-    w = f.withColumns({"score": F.when(k % 17 == 0, score + 1).otherwise(score), "coverage": F.when(k % 23 == 0, 5).otherwise(cover)})
+    return f.withColumns({"score": F.when(k % 17 == 0, score + 1).otherwise(score), "coverage": F.when(k % 23 == 0, 5).otherwise(cover)})
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """date and rank of a staged watch board, some of them damaged; days are dealt to tasks of about as many rows whatever the table."""
+    k = F.col("match_id")
     place = F.row_number().over(W.partitionBy("date").orderBy(F.desc("score"), "match_id"))
-    return w.withColumn("rank", place + F.when(k % 29 == 0, 1).otherwise(0))
+    return dealt(rows.select("date", "score", k), rows.count(), "date").select("date", (place + F.when(k % 29 == 0, 1).otherwise(0)).alias("rank"))
 
 
 def weighted() -> tuple[F.Column, F.Column]:
@@ -221,7 +227,7 @@ def gate_watch_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = watched(spark, sf_dir)
     score, cover = weighted()
     key = F.col("match_id")
-    day = rows.groupBy("date").agg(F.count("*").alias("n"), F.max("rank").alias("hi"), F.min("rank").alias("lo"), F.count_distinct("rank").alias("ranks"))
+    day = ranked(rows).groupBy("date").agg(F.count("*").alias("n"), F.max("rank").alias("hi"), F.min("rank").alias("lo"), F.count_distinct("rank").alias("ranks"))
     out = violations(rows, "score", key, F.abs(F.col("score") - score) > 0.11, F.lit("disagrees with its factors"))
     out = out.unionByName(violations(rows, "coverage", key, F.col("coverage") != cover, F.lit("disagrees with its factors")))
     return out.unionByName(violations(day, "ranks", F.col("date"), (F.col("hi") != F.col("n")) | (F.col("ranks") != F.col("n")) | (F.col("lo") != 1), F.lit("not contiguous")))
