@@ -128,7 +128,7 @@ def upcoming_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = players(spark, sf_dir).select("player", F.coalesce("points", F.lit(0)).cast("double").alias("rating"))
     field = entrants.join(rated, "player").select(F.col("event_id").alias("event"), "player", "rating")
     slots, rounds = b.seeded_whole(staged(field), "event", "rating")
-    reach = b.propagate(slots, "event", rounds, chance()).filter("player is not null").join(slots.select("event", F.col("rounds").alias("n")).distinct(), "event")
+    reach = b.propagate(slots, "event", rounds, chance(), price=price).filter("player is not null").join(slots.select("event", F.col("rounds").alias("n")).distinct(), "event")
     at = lambda back: F.round(F.max(F.when(F.col("round") == F.col("n") - back, F.col("reach"))), 4)
     return reach.groupBy("event", "player").agg(at(0).alias("champion"), at(1).alias("final"), at(2).alias("semi"))
 

@@ -3,6 +3,7 @@ account balance."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -136,8 +137,12 @@ def lockable(rows: DataFrame) -> DataFrame:
 
 
 def price(x, y):
-    """``chance`` over arrays of ratings."""
-    return 1 / (1 + 10 ** (-(x - y) / 4000))
+    """``chance`` over arrays of ratings. Powers are taken of each side alone, as pairs are many more; where those would
+    overflow, of the differences."""
+    if max(np.fmax.reduce(np.abs(v), axis=None, initial=0.0) for v in (x, y)) > 1e6:
+        return 1 / (1 + 10 ** (-(x - y) / 4000))
+    a, b = 10 ** (x / 4000), 10 ** (y / 4000)
+    return a / (a + b)
 
 
 def locked(spark: SparkSession, sf_dir: str) -> DataFrame:
