@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from matchlake.operators import training as t
-from matchlake.plans import training
+from matchlake.plans import predictor, training
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,6 +27,10 @@ def test_bagged_trees_are_the_published_ones(spark, monkeypatch):
     assert asked(monkeypatch, lambda: training.bagged_trees(spark, SF)) == t.Protocol() and (t.Protocol().bags, t.Protocol().trees, t.Protocol().patience) == (5, 600, 40)
 
 
+def test_evidence_of_pairs_has_the_published_model(spark, monkeypatch):
+    assert asked(monkeypatch, lambda: predictor.evidence_matrices(spark, SF)) == t.Protocol()
+
+
 def test_patience():
     assert t.patient([3.0, 2.0, 2.5, 1.0, 1.0, 1.0, 0.5], 2) == (4, True)
     assert t.patient([3.0, 2.0, 2.5, 1.0, 1.0, 0.5], 3) == (6, False) and t.patient([1.0], 40) == (1, False)
