@@ -50,3 +50,14 @@ def test_trees_that_better_the_loss_by_little_are_kept(spark):
     assert found.getNumTrees == t.patient(losses + [9.0] * 30, 6)[0] > short.getNumTrees
     again = found.evaluateEachIteration(t._vector(held, ["x", "z"]))
     assert np.allclose(again, losses[: len(again)], atol=1e-12)
+
+
+def test_tables_are_staged_at_once(spark):
+    """In the order asked for, and while another is still being made."""
+    import threading
+
+    from matchlake.sources.files import staged_at_once
+
+    both = threading.Barrier(2, timeout=60)
+    found = staged_at_once(*[lambda n=n: (both.wait(), spark.range(n))[1] for n in (3, 5)])
+    assert [x.count() for x in found] == [3, 5]
