@@ -216,7 +216,7 @@ def settled_scenarios(rows: DataFrame, rounds: int, found: DataFrame) -> DataFra
 def settled_outcomes(rows: DataFrame, rounds: int, found: DataFrame) -> DataFrame:
     """The same with a row a match, as ``outcomes`` gives them."""
     rows, open_ = staged(rows), found.filter("a is not null and b is not null and winner is null")
-    reach = staged(b.propagate(rows, "event", rounds, chance(), settled=settled_matches(found)))
+    reach = staged(b.propagate(rows, "event", rounds, chance(), settled=settled_matches(found), price=price))
     return b.outcomes(rows, reach, open_.select("event", "round", F.col("slot").alias("block"), "a", "b"), "event", price)
 
 
@@ -267,22 +267,26 @@ def packed_audit(published: DataFrame, rows: DataFrame, found: DataFrame, tolera
     open_ = found.filter("a is not null and b is not null and winner is null").select("event", "round", F.col("slot").alias("block"), "a", "b")
     places = rows.groupBy("event").agg(F.array_sort(F.collect_list(F.struct("slot", "player", "rating"))).alias("places"))
     played = settled_matches(found).groupBy("event").agg(F.collect_list(F.struct("round", "block", "winner")).alias("played"))
-    whole = staged(places.join(played, "event", "left"))
+    number = lambda c: F.transform("places", lambda x: F.coalesce(x[c].cast("double"), F.lit(float("nan")))).alias(c)
+    whole = staged(places.join(played, "event", "left").select("event", number("player"), number("rating"), "played"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, laws, names, own = None, [], None, None
         for frame in frames:
             for _, some in frame.groupby("event"):
-                bracket = pd.DataFrame([x.asDict() if hasattr(x, "asDict") else x for x in some["places"].iloc[0]])
-                player = bracket["player"].tolist()
-                settled = some["played"].iloc[0]
+                player, settled = np.asarray(some["player"].iloc[0], float), some["played"].iloc[0]
+                bracket = pd.DataFrame({"slot": np.arange(len(player)), "player": player, "rating": np.asarray(some["rating"].iloc[0], float)})
                 held = {(x["round"], x["block"]): x["winner"] for x in ([] if settled is None else settled)}
                 forced = [(m.round, m.block, x) for m in some.itertuples() for x in (m.a, m.b)]
-                again, at, out = b.titles(bracket, price, held, forced), {x: i for i, x in enumerate(player) if x == x and x is not None}, []
+                if of != some["event"].iloc[0]:
+                    of, laws, names = some["event"].iloc[0], b.unforced(bracket, price, held), None
+                again, at, out = b.titles(bracket, price, held, forced, laws), {x: i for i, x in enumerate(player.tolist()) if x == x}, []
                 for k, m in enumerate(some.itertuples()):
                     told, known = np.zeros((2, len(player))), np.zeros(len(player), bool)
                     strange = 0
                     if m.players is not None:
-                        own = np.array([at.get(x, -1) for x in m.players])
+                        if names is None or not np.array_equal(names, m.players):  # rows of an event mostly name the same players
+                            names, own = m.players, np.array([at.get(x, -1) for x in m.players])
                         for side, law in enumerate((m.before, m.after)):
                             told[side, own[own >= 0]] = np.asarray(law, float)[own >= 0]
                             strange += int((np.asarray(law, float)[own < 0] > tolerance).sum())

@@ -46,3 +46,32 @@ def test_prices_of_far_ratings():
         want = 1 / (1 + 10 ** (-(x - y) / 4000))
         assert np.allclose(price(x, y), want, equal_nan=True)
         assert np.allclose(price(x[:1], y[:, :1]), want[:1, :1], atol=1e-15)
+
+
+def test_forced_outcomes_follow_their_paths():
+    """Title laws under each outcome are those of whole brackets, and prices are asked for no oftener for many outcomes than for one."""
+    import pandas as pd
+
+    pick, asked = np.random.default_rng(4), []
+    player = [float(i) if i % 7 else np.nan for i in range(32)]
+    slots = pd.DataFrame({"slot": range(32), "player": player, "rating": [np.nan if x != x else float(v) for x, v in zip(player, pick.integers(0, 9000, 32), strict=True)]})
+    settled = {(1, 1): 2.0, (2, 1): 4.0, (3, 1): 9.0, (1, 5): 10.0}
+    forced = [(1, k, float(x)) for k, x in ((1, 3), (2, 5), (4, 8), (4, 9), (6, 13), (15, 31))] + [(2, 5, 23.0), (4, 0, 3.0), (1, 0, 0.0), (5, 0, 2.0)]
+
+    def counted(x, y):
+        asked.append(np.broadcast(x, y).size)
+        return price(x, y)
+
+    found = b.titles(slots, counted, settled, forced)
+    for row, (r, k, w) in zip(found, forced, strict=True):
+        law = np.zeros(32)
+        for i, p in b.tabled(slots, price, settled | {(r, k): w})[-1].items():
+            law[i] = p
+        assert np.allclose(row, law, atol=1e-12), (r, k, w)
+    laws = b.unforced(slots, price, settled)
+    work = []
+    for many in ([(1, 4, 8.0)], [(1, 4, 8.0), (1, 4, 9.0)] * 20):
+        asked.clear()
+        b.titles(slots, counted, settled, many, laws)
+        work.append(sum(asked))
+    assert 0 < work[1] <= 2 * work[0] < 2 * 32 * 32
